@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, licenses, line_dedup, quality, simhash, token_counts
+from . import bpe, decontam, exact_dedup, langid, licenses, line_dedup, lm, quality, simhash, token_counts
 from .licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,

@@ -179,3 +179,14 @@ def with_rows(batch: pa.RecordBatch, names: list[str], columns: dict[str, object
     """``names`` of the batch beside new columns, as ``schema`` has them."""
     have = {n: batch.column(batch.schema.get_field_index(n)) for n in names} | columns
     return pa.RecordBatch.from_arrays([pa.array(have[f.name], type=f.type) if not isinstance(have[f.name], pa.Array) else have[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame's rows, written as Parquet to the shared checkpoint folder and read again: smaller than a
+    checkpoint, and later steps read only the columns they use."""
+    import uuid
+
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
