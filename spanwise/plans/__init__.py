@@ -1 +1 @@
-
+"""Named queries and their SQL."""

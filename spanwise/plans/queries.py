@@ -1,3 +1,350 @@
-"""Named queries over the driver tables: name -> f(spark, sf_dir)."""
+"""Named queries over the driver tables: name -> f(spark, sf_dir).
 
-QUERIES = {}
+All chain the same lazy steps: fills, drug intervals, spells, changes, censoring, labels, segments, combinations, cohort."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.columns import age_bucket, race_label, starts_with_any
+from ..operators import codes, cohort, combos, features, intervals, metrics, models, spells, summary
+from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
+from ..sources.tables import PRODUCT, validate_dataset
+
+K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
+
+
+class Chain:
+    """The steps over one data folder, each built once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.claims = spark, Claims(spark, sf_dir)
+
+    @cached_property
+    def fills(self) -> DataFrame:
+        return codes.flag_listed(codes.enrich_classes(self.claims.rx_fills(), self.claims.ndc_to_atc(), check=False), self.claims.query_drugs())
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        return spells.drug_intervals(self.fills, GRACE)
+
+    @cached_property
+    def spells(self) -> DataFrame:
+        return spells.detect_spells(self.intervals, K, GRACE, MIN_LEN)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return spells.drug_changes(self.spells, self.intervals, LOOKBACK)
+
+    @cached_property
+    def censored(self) -> DataFrame:
+        return spells.censor_enrollment(self.spells, self.claims.enrollment())
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return spells.label_first_event(spells.require_washout(self.censored, self.claims.enrollment()), self.claims.adverse_events())
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return spells.split_at_adds(self.labelled, self.changes)
+
+    @cached_property
+    def combos(self) -> DataFrame:
+        return spells.label_combo(self.segments, self.changes)
+
+    @cached_property
+    def icd(self) -> DataFrame:
+        return codes.cluster_codes(spells.diagnosis_windows(self.segments, self.claims.diagnoses(), LOOKBACK), ("member_id", "spell_id", "split_seq"))
+
+    @cached_property
+    def steps(self) -> dict[str, DataFrame]:
+        return cohort.cohort_steps(self.combos, self.claims.demographics(), self.icd, WINDOW)
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return self.steps["gender"]
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self.claims.ndc_to_atc().select(F.col("atc_3_code").alias("code"), F.col("atc_3_name").alias("name")).distinct()
+
+
+def joined(column: str, name: str | None = None):
+    return F.array_join(column, "+").alias(name or column)
+
+
+def flat_segments(df: DataFrame) -> DataFrame:
+    out = df.withColumn("ae_codes", F.array_join("ae_codes", "+"))
+    return out.withColumn("drug_combo", F.array_join("drug_combo", "+")) if "drug_combo" in df.columns else out
+
+
+def mined(c: Chain, size: int | None, **options) -> DataFrame:
+    found = combos.mine_combinations(c.cohort, size, MIN_N, names=None if size is None else c.names, **options)
+    rounds = {"rate": 6, "chi2": 4}
+    logs = F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 4)
+    kept = [F.round(n, rounds[n]).alias(n) if n in rounds else F.col(n) for n in found.columns if n not in ("p_value", "p_adj")]
+    return found.select(*kept, logs.alias("log_p"), F.round("p_adj", 5).alias("p_adj"))
+
+
+def eligible_members(c: Chain) -> DataFrame:
+    return codes.eligible_members(c.claims.rx_fills(), c.claims.query_drugs())
+
+
+def semi_join_members(c: Chain) -> DataFrame:
+    kept = codes.restrict_to_members(c.claims.claim(), eligible_members(c))
+    return kept.groupBy("member_id").agg(F.count(F.lit(1)).alias("n_claims"), F.min("service_date").alias("first_date"))
+
+
+def clean_map(c: Chain) -> DataFrame:
+    raw = c.claims.ndc_to_atc().unionByName(c.claims.ndc_to_atc().select(F.concat(F.lit(" "), "ndc").alias("ndc"), "rxcui", F.lit("zz").alias("rxnorm_description"), "atc_3_code", "atc_3_name"))
+    return codes.clean_map(raw)
+
+
+def enrich_atc(c: Chain) -> DataFrame:
+    return codes.enrich_classes(c.claims.rx_fills(), c.claims.ndc_to_atc(gaps=True))
+
+
+def ae_prefix_filter(c: Chain) -> DataFrame:
+    return c.claims.claim_code().where(starts_with_any(F.col("code_value"), (p for _, p, _ in EVENT_CODES))).groupBy("code_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_type_filter(c: Chain) -> DataFrame:
+    return c.claims.claim_code().where(F.col("code_type").isin(*DIAGNOSIS_TYPES)).groupBy("code_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def concurrency_sweep(c: Chain) -> DataFrame:
+    return intervals.concurrency_sweep(c.intervals, "member_id", "start", "end", "is_op")
+
+
+def washout(c: Chain) -> DataFrame:
+    return spells.require_washout(c.censored, c.claims.enrollment())
+
+
+def washout_bridged(c: Chain) -> DataFrame:
+    return spells.require_washout(c.censored, c.claims.enrollment(), bridge=True)
+
+
+def diagnosis_windows(c: Chain) -> DataFrame:
+    return spells.diagnosis_windows(c.segments, c.claims.diagnoses(), LOOKBACK)
+
+
+def finalize(c: Chain) -> DataFrame:
+    return c.cohort.select("member_id", "spell_id", "split_seq", "entry_date", "spell_length_days", "had_ae", "first_ae_date", joined("drug_combo"), joined("icd10_codes"), "y", "age", "gendercode", "raceethnicitytypecode", "statecode")
+
+
+def spell_gaps(c: Chain) -> DataFrame:
+    return spells.spell_gaps(c.spells)
+
+
+def top_ae_codes(c: Chain) -> DataFrame:
+    return summary.frequency_table(c.labelled, "first_ae_code", 10)
+
+
+def ae_by_description(c: Chain) -> DataFrame:
+    events = c.claims.diagnoses()
+    counted = events.groupBy("code_value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(codes.describe_codes(counted, c.claims.event_codes()), "code_value").groupBy("description").agg(F.sum("n").alias("n"))
+
+
+def top_combos(c: Chain, size: int) -> DataFrame:
+    return combos.top_combos(c.combos, size, 10, c.names).select(joined("drug_combo"), "n", "names")
+
+
+def category_shares(c: Chain) -> DataFrame:
+    people = c.claims.demographics()
+    with_event = people.join(c.segments.where("had_ae").select("member_id"), "member_id", "left_semi")
+    without = people.join(cohort.members_without_event(c.segments), "member_id", "left_semi")
+    return summary.aligned_distributions(with_event, without, "statecode", ("ae_pct", "non_ae_pct"))
+
+
+def days_into_spell(c: Chain) -> DataFrame:
+    return c.labelled.where("had_ae").select("spell_id", F.date_diff("first_ae_date", "entry_date").alias("days"))
+
+
+def hist_ae_timing(c: Chain) -> DataFrame:
+    grouped = summary.top_or_other(c.labelled.where("had_ae").withColumn("days", F.date_diff("first_ae_date", "entry_date")), "first_ae_code", 2, "grp")
+    return summary.histogram(grouped, "days", 0, 60, 60, "grp")
+
+
+def top_other_bucket(c: Chain) -> DataFrame:
+    pool = c.labelled.select("first_ae_code").unionByName(c.segments.where("had_ae").select("first_ae_code"))
+    return summary.top_or_other(c.labelled.where("had_ae"), "first_ae_code", 2, "grp", pool).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table1(c: Chain) -> DataFrame:
+    return summary.baseline_table(c.cohort, "y", race_label(F.col("raceethnicitytypecode")))
+
+
+def age_buckets(c: Chain) -> DataFrame:
+    return c.cohort.groupBy(age_bucket(F.col("age")).alias("bucket"), race_label(F.col("raceethnicitytypecode")).alias("race")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def encode_sequence(c: Chain) -> DataFrame:
+    vocab = features.vocabulary(c.cohort, "drug_combo").where("code <> 'Brand#7'")  # one code left out: it comes back as unknown
+    return features.encode_sequence(c.cohort, ["spell_id", "split_seq"], "drug_combo", vocab, 5).select("spell_id", "split_seq", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+def pooled_embedding(c: Chain) -> DataFrame:
+    return features.pooled_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors()).select("spell_id", "split_seq", "dim", F.round("value", 5).alias("value"))
+
+
+def flattened_embedding(c: Chain) -> DataFrame:
+    flat = features.flattened_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors(), 4, 64)
+    return flat.select("spell_id", "split_seq", F.size("flat").cast("long").alias("n"), F.round(F.aggregate("flat", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+def json_explode(c: Chain) -> DataFrame:
+    events = c.claims.table("events")
+    value = F.from_json("props", "k int")
+    return events.select(value["k"].alias("k"), "event_type").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+
+
+def opioid_products(c: Chain) -> DataFrame:
+    """The part table as nested product records: each part has one package, and names stand in for ingredients."""
+    ingredient = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("OXYCODONE "), "p_name")).otherwise(F.col("p_name"))
+    digits = F.lpad(F.col("p_partkey").cast("string"), 10, "0")
+    code = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 2))
+    empty = F.array().cast("array<string>")
+    record = F.struct(
+        F.col("p_name").alias("brand_name"), F.col("p_brand").alias("labeler_name"), F.array(F.lit("ORAL")).alias("route"), F.array(F.struct(ingredient.alias("name"), F.col("p_type").alias("strength"))).alias("active_ingredients"),
+        empty.alias("pharm_class"), empty.alias("pharm_class_cs"), empty.alias("pharm_class_epc"), F.array(F.struct(code.alias("package_ndc"))).alias("packaging"),
+    )
+    text = c.claims.table("part").select(F.to_json(record).alias("j"))
+    return codes.opioid_products(text.select(F.from_json("j", T.StructType(PRODUCT.fields)).alias("p")).select("p.*"))
+
+
+def model_frame(c: Chain) -> tuple[DataFrame, list[str]]:
+    kept = c.cohort.select("spell_id", "split_seq", "drug_combo", "icd10_codes", "age", "gendercode", "raceethnicitytypecode", F.col("had_ae").cast("int").alias("y"))
+    frame, names = features.design_matrix(kept, ["age"], ["gendercode", "raceethnicitytypecode"], icd_floor=MIN_N)
+    return features.split_rows(frame.withColumn("row_id", F.col("spell_id") * 100 + F.col("split_seq")), "spell_id", "split_seq"), names
+
+
+def quality_of(scores: DataFrame) -> DataFrame:
+    scores = scores.cache()
+    return metrics.average_precision(scores).join(F.broadcast(metrics.roc_auc(scores)))
+
+
+def logistic_odds_ratios(c: Chain) -> DataFrame:
+    frame, names = model_frame(c)
+    return models.top_and_bottom(models.odds_ratios(c.spark, models.fit_logistic(frame.where("is_train"), 25), names), "odds_ratio", 30)
+
+
+def bootstrap_intervals(c: Chain) -> DataFrame:
+    frame, names = model_frame(c)
+    return models.bootstrap_odds_ratios(frame.where("is_train").select("features", "y").cache(), names, replicates=3, max_iter=10)
+
+
+def logistic_quality(c: Chain) -> DataFrame:
+    frame, _ = model_frame(c)
+    frame = frame.cache()
+    return quality_of(models.scored_rows(models.fit_logistic(frame.where("is_train"), 25), frame.where("not is_train")))
+
+
+def tree_search(c: Chain) -> DataFrame:
+    frame, _ = model_frame(c)
+    frame = frame.cache()
+    return models.tree_grid(frame.where("is_train"), frame.where("not is_train"), [{"pos_weight": w, "rounds": 5, "depth": 3} for w in (1.0, 5.0)])
+
+
+def tree_best(c: Chain) -> DataFrame:
+    return metrics.best_run(tree_search(c))
+
+
+def perceptron_quality(c: Chain) -> DataFrame:
+    pooled = features.pooled_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors())
+    rows = models.vector_rows(pooled, ["spell_id", "split_seq"], 64).join(c.cohort.select("spell_id", "split_seq", F.col("had_ae").cast("int").alias("y")), ["spell_id", "split_seq"])
+    split = features.split_rows(rows.withColumn("row_id", F.col("spell_id") * 100 + F.col("split_seq")), "spell_id", "split_seq").cache()
+    return quality_of(models.scored_rows(models.fit_perceptron(split.where("is_train"), (16,), 20), split.where("not is_train")))
+
+
+_STEPS = {
+    "view_rx_fills": lambda c: c.claims.rx_fills(),
+    "view_enrollment": lambda c: c.claims.enrollment(),
+    "view_demographics": lambda c: c.claims.demographics(),
+    "eligible_members": eligible_members,
+    "semi_join_members": semi_join_members,
+    "distinct_query_drugs": lambda c: c.claims.query_drugs().distinct(),
+    "clean_map": clean_map,
+    "enrich_atc": enrich_atc,
+    "match_rate": lambda c: codes.match_rate(enrich_atc(c)),
+    "ae_prefix_filter": ae_prefix_filter,
+    "code_type_filter": code_type_filter,
+    "opioid_products": opioid_products,
+    "coalesce_intervals": lambda c: c.intervals,
+    "concurrency_sweep": concurrency_sweep,
+    "detect_spells": lambda c: c.spells,
+    "drug_changes": lambda c: c.changes,
+    "censor_enrollment": lambda c: c.censored,
+    "washout": washout,
+    "washout_bridged": washout_bridged,
+    "label_first_event": lambda c: flat_segments(c.labelled),
+    "split_at_adds": lambda c: flat_segments(c.segments),
+    "label_combo": lambda c: c.combos.select("spell_id", "split_seq", joined("drug_combo")),
+    "label_combo_exact": lambda c: spells.label_combo(c.segments, c.changes, True, c.intervals).select("spell_id", "split_seq", joined("drug_combo")),
+    "diagnosis_windows": diagnosis_windows,
+    "cluster_codes": lambda c: c.icd.select("member_id", "spell_id", "split_seq", joined("icd10_codes")),
+    "finalize_cohort": finalize,
+    "attrition": lambda c: cohort.attrition(c.steps),
+    "combo_pairs": lambda c: mined(c, 2),
+    "combo_pairs_containing": lambda c: mined(c, 2, must_contain="Brand#7"),
+    "combo_trios": lambda c: mined(c, 3),
+    "combo_sets": lambda c: mined(c, None),
+    "bh_forward_cummin": lambda c: combos.bh_adjust(combos.mine_combinations(c.cohort, 2, MIN_N).select("item1", "item2", "p_value"), "p_value", ["item1", "item2"], "forward_cummin").select("item1", "item2", F.round("p_adj", 5).alias("p_adj")),
+    "spell_gaps": spell_gaps,
+    "describe_gaps": lambda c: summary.describe(spell_gaps(c), "gap_days"),
+    "describe_lengths": lambda c: summary.describe(c.segments, "spell_length_days", "segment_end_reason"),
+    "hist_gaps": lambda c: summary.histogram(spell_gaps(c), "gap_days", 0, 200, 60),
+    "hist_ae_timing": hist_ae_timing,
+    "top_ae_codes": top_ae_codes,
+    "ae_by_description": ae_by_description,
+    "top_combos_k3": lambda c: top_combos(c, 3),
+    "top_combos_k4": lambda c: top_combos(c, 4),
+    "category_shares": category_shares,
+    "table1": table1,
+    "total_and_members": lambda c: summary.total_and_members(c.segments),
+    "non_event_members": lambda c: cohort.members_without_event(c.segments),
+    "member_code_counts": lambda c: summary.member_code_counts(c.icd, "icd10_codes"),
+    "adds_per_spell": lambda c: summary.count_of_counts(c.changes.where("change_type = 'add'"), "spell_id"),
+    "ae_by_split_seq": lambda c: c.segments.where("had_ae").groupBy("split_seq").agg(F.count(F.lit(1)).alias("n")),
+    "days_into_spell": days_into_spell,
+    "top_other_bucket": top_other_bucket,
+    "multi_hot_long": lambda c: features.multi_hot_long(c.cohort, ["spell_id", "split_seq"], "drug_combo", "DRUG_").unionByName(features.multi_hot_long(c.cohort, ["spell_id", "split_seq"], "icd10_codes", "ICD_", 50)),
+    "one_hot_long": lambda c: features.one_hot_long(c.claims.demographics(), ["member_id"], ["gendercode", "raceethnicitytypecode"]),
+    "age_buckets": age_buckets,
+    "vocab_index": lambda c: features.vocabulary(c.cohort, "drug_combo"),
+    "encode_sequence": encode_sequence,
+    "pooled_embedding": pooled_embedding,
+    "flattened_embedding": flattened_embedding,
+    "stratified_split": lambda c: features.split_rows(c.cohort, "spell_id", "split_seq").groupBy("y", "is_train").agg(F.count(F.lit(1)).alias("n")),
+    "class_weights": lambda c: features.class_weights(c.claims.scored(), "y"),
+    "median_age": lambda c: features.median_of(c.claims.demographics(), "birthyear"),
+    "average_precision": lambda c: metrics.average_precision(c.claims.scored()),
+    "roc_auc": lambda c: metrics.roc_auc(c.claims.scored()),
+    "precision_at_fraction": lambda c: metrics.precision_at_fraction(c.claims.scored()),
+    "pr_curve": lambda c: metrics.pr_curve(c.claims.scored()),
+    "best_f1": lambda c: metrics.best_f1(c.claims.scored()),
+    "threshold_for_precision": lambda c: metrics.threshold_for_precision(c.claims.scored()),
+    "f1_sweep": lambda c: metrics.f1_sweep(c.claims.scored()),
+    "class_report": lambda c: metrics.class_report(c.claims.scored()),
+    "key_range_batches": lambda c: codes.key_range_batches(c.claims.rx_fills(), "member_id", 200),
+    "hash_buckets": lambda c: codes.hash_buckets(c.claims.rx_fills(), "member_id"),
+    "json_explode": json_explode,
+    "validate_dataset": lambda c: validate_dataset(c.claims.demographics(), ("member_id", "zip3value")),
+    "logistic_odds_ratios": logistic_odds_ratios,
+    "logistic_quality": logistic_quality,
+    "bootstrap_intervals": bootstrap_intervals,
+    "tree_search": tree_search,
+    "tree_best": tree_best,
+    "perceptron_quality": perceptron_quality,
+}
+
+
+def _over(step):
+    return lambda spark, sf_dir: step(Chain(spark, sf_dir))
+
+
+QUERIES = {name: _over(step) for name, step in _STEPS.items()}
