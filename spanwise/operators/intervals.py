@@ -42,8 +42,10 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[s
 
 
 def latest_on_or_before(probes: DataFrame, changes: DataFrame, key: str, probe_date: str, change_date: str, by: Sequence[str], value: str) -> DataFrame:
-    """As-of join: for each probe row and each ``by`` group of its key, the value of the latest change on or before the probe's date.
+    """As-of join: for each probe row and each ``by`` group of its key, the value of the latest change on or before the probe's date;
+    a probe without any keeps one row of nulls.
 
-    Written as an aggregate (max_by), so tasks fold changes before any sort; on one date the later value by order wins."""
-    keys = [c for c in probes.columns]
-    return probes.join(changes, key).where(F.col(change_date) <= F.col(probe_date)).groupBy(*keys, *by).agg(F.max_by(value, F.struct(change_date, value)).alias(value))
+    Written as an aggregate (max_by), so tasks fold changes before any sort; on one date the larger value wins."""
+    right = changes.withColumnRenamed(key, "_key")
+    cond = (F.col(key) == F.col("_key")) & (F.col(change_date) <= F.col(probe_date))
+    return probes.join(right, cond, "left").groupBy(*probes.columns, *by).agg(F.max_by(value, F.struct(change_date, value)).alias(value))

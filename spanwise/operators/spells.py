@@ -67,8 +67,7 @@ def censor_enrollment(spells: DataFrame, enrollment: DataFrame) -> DataFrame:
     """followup_end_date: the latest enrolled day of the spell; spells that no enrollment row overlaps go, as do rows that end before they start."""
     sane = enrollment.where("terminationdate >= effectivedate")
     met = spells.join(sane, "member_id").where((F.col("effectivedate") <= F.col("extended_exit_date")) & (F.col("terminationdate") >= F.col("entry_date")))
-    ends = met.groupBy("spell_id").agg(F.max(F.least("terminationdate", "extended_exit_date")).alias("followup_end_date"))
-    return spells.join(ends, "spell_id").select(*spells.columns, "followup_end_date")
+    return met.groupBy(*spells.columns).agg(F.max(F.least("terminationdate", "extended_exit_date")).alias("followup_end_date"))
 
 
 def require_washout(spells: DataFrame, enrollment: DataFrame, days: int = 180, bridge: bool = False) -> DataFrame:
@@ -89,14 +88,13 @@ def label_first_event(spells: DataFrame, events: DataFrame, shift_days: int = -1
     moved = events.select("member_id", F.date_add("event_date", shift_days).alias("ae_date"), F.col("code_value").alias("ae_code"))
     dated = moved.groupBy("member_id", "ae_date", "ae_code").agg(F.count(F.lit(1)).alias("_n"))
     since = dated.withColumn("first_seen", F.min("ae_date").over(Window.partitionBy("member_id", "ae_code")))
-    met = spells.select("member_id", "spell_id", "entry_date", "followup_end_date").join(since, "member_id").where((F.col("ae_date") >= F.col("entry_date")) & (F.col("ae_date") <= F.col("followup_end_date")))
+    since = since.withColumnRenamed("member_id", "_member").drop("_n")
+    inside = (F.col("member_id") == F.col("_member")) & (F.col("ae_date") >= F.col("entry_date")) & (F.col("ae_date") <= F.col("followup_end_date"))
     known = F.col("first_seen") < F.col("entry_date")
-    first = F.min(F.struct("ae_date", "ae_code", known.alias("known")))
-    found = met.groupBy("spell_id").agg(first.alias("f"), F.array_sort(F.collect_set(F.when(~known, F.col("ae_code")))).alias("codes"))
-    out = spells.join(found, "spell_id", "left").where(~F.coalesce(F.col("f.known"), F.lit(False)))
-    return out.select(
-        *spells.columns, F.col("f").isNotNull().alias("had_ae"), F.col("f.ae_date").alias("first_ae_date"), F.coalesce("codes", F.array().cast("array<string>")).alias("ae_codes"), F.col("f.ae_code").alias("first_ae_code")
-    )
+    first = F.min(F.when(F.col("ae_date").isNotNull(), F.struct("ae_date", "ae_code", known.alias("known"))))
+    found = spells.join(since, inside, "left").groupBy(*spells.columns).agg(first.alias("f"), F.array_sort(F.collect_set(F.when(~known, F.col("ae_code")))).alias("ae_codes"))
+    kept = found.where(~F.coalesce(F.col("f.known"), F.lit(False)))
+    return kept.select(*spells.columns, F.col("f").isNotNull().alias("had_ae"), F.col("f.ae_date").alias("first_ae_date"), "ae_codes", F.col("f.ae_code").alias("first_ae_code"))
 
 
 def split_at_adds(spells: DataFrame, changes: DataFrame) -> DataFrame:
@@ -106,11 +104,10 @@ def split_at_adds(spells: DataFrame, changes: DataFrame) -> DataFrame:
     ae_codes and followup_end_date stay on every segment."""
     cutoff = F.coalesce("first_ae_date", "followup_end_date", "extended_exit_date")
     ended = spells.withColumn("_end", F.least("extended_exit_date", cutoff))
-    adds = changes.where(F.lower("change_type") == "add").select("spell_id", F.to_date("date").alias("_add")).distinct()
-    days = ended.select("spell_id", "entry_date", "_end").join(adds, "spell_id").where((F.col("_add") >= F.col("entry_date")) & (F.col("_add") <= F.col("_end")))
+    adds = changes.where(F.lower("change_type") == "add").select(F.col("spell_id").alias("_spell"), F.to_date("date").alias("_add")).distinct()
     order = Window.partitionBy("spell_id").orderBy("_add")
-    starts = days.select("spell_id", "_add", F.lead("_add").over(order).alias("_next"), F.row_number().over(order).alias("_seq"))
-    met = ended.join(starts, "spell_id", "left")
+    inside = (F.col("spell_id") == F.col("_spell")) & (F.col("_add") >= F.col("entry_date")) & (F.col("_add") <= F.col("_end"))
+    met = ended.join(adds, inside, "left").withColumns({"_next": F.lead("_add").over(order), "_seq": F.row_number().over(order)})
     stop = F.greatest(F.least(F.coalesce(F.date_sub("_next", 1), F.col("_end")), F.col("_end")), F.col("_add"))
     split = F.col("_add").isNotNull()
     at_event = F.coalesce(F.col("_stop") == F.col("first_ae_date"), F.lit(False))
@@ -119,7 +116,7 @@ def split_at_adds(spells: DataFrame, changes: DataFrame) -> DataFrame:
         "entry_date": F.col("_add"), "raw_exit_date": F.col("_stop"), "extended_exit_date": F.col("_stop"), "spell_length_days": F.date_diff(F.col("_stop"), F.col("_add")) + 1, "had_ae": at_event, "first_ae_date": F.when(at_event, F.col("first_ae_date")),
     }
     return met.withColumn("_stop", F.when(split, stop)).select(
-        *(F.when(split, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in spells.columns), F.coalesce("_seq", F.lit(1)).alias("split_seq"), reason.alias("segment_end_reason")
+        *(F.when(split, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in spells.columns), F.col("_seq").alias("split_seq"), reason.alias("segment_end_reason")
     )
 
 
@@ -128,15 +125,14 @@ def label_combo(segments: DataFrame, changes: DataFrame, exact: bool = False, in
 
     By default a drug is active when its latest recorded change by then is an add, so one held since before the look-back is missed;
     ``exact`` compares the drugs' intervals with the day instead."""
-    probes = segments.select("member_id", "spell_id", "split_seq", F.col("entry_date").alias("_at"))
+    own = [F.col(c) for c in segments.columns]
     if exact:
-        active = probes.join(intervals.select("member_id", "atc_3_code", "start", "end"), "member_id").where((F.col("start") <= F.col("_at")) & (F.col("end") >= F.col("_at")))
-    else:
-        status = changes.where(F.lower("change_type").isin("add", "drop")).select("spell_id", F.col("date").alias("_date"), "atc_3_code", F.when(F.lower("change_type") == "add", 1).otherwise(0).alias("_on"))
-        active = latest_on_or_before(probes.drop("member_id"), status, "spell_id", "_at", "_date", ["atc_3_code"], "_on").where("_on = 1")
-    combos = active.groupBy("spell_id", "split_seq").agg(F.array_sort(F.collect_set("atc_3_code")).alias("drug_combo"))
-    out = segments.join(combos, ["spell_id", "split_seq"], "left")
-    return out.select(*segments.columns, F.coalesce("drug_combo", F.array().cast("array<string>")).alias("drug_combo"))
+        held = intervals.select(F.col("member_id").alias("_member"), F.col("atc_3_code").alias("_drug"), "start", "end")
+        met = segments.join(held, (F.col("member_id") == F.col("_member")) & (F.col("start") <= F.col("entry_date")) & (F.col("end") >= F.col("entry_date")), "left")
+        return met.groupBy(*own).agg(F.array_sort(F.collect_set("_drug")).alias("drug_combo"))
+    status = changes.where(F.lower("change_type").isin("add", "drop")).select("spell_id", F.col("date").alias("_date"), F.col("atc_3_code").alias("_drug"), F.when(F.lower("change_type") == "add", 1).otherwise(0).alias("_on"))
+    latest = latest_on_or_before(segments, status, "spell_id", "entry_date", "_date", ["_drug"], "_on")
+    return latest.groupBy(*own).agg(F.array_sort(F.collect_set(F.when(F.col("_on") == 1, F.col("_drug")))).alias("drug_combo"))
 
 
 def diagnosis_windows(segments: DataFrame, diagnoses: DataFrame, lookback: int = 180) -> DataFrame:

@@ -19,7 +19,10 @@ K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
 
 
 class Chain:
-    """The steps over one data folder, each built once."""
+    """The steps over one data folder, each built once.
+
+    Steps that several later ones read are persisted (memory, then disk): Spark computes them once, again only where an
+    executor is lost, and other queries of the session over the same folder find them by their plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.claims = spark, Claims(spark, sf_dir)
@@ -30,11 +33,11 @@ class Chain:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return spells.drug_intervals(self.fills, GRACE)
+        return spells.drug_intervals(self.fills, GRACE).persist()
 
     @cached_property
     def spells(self) -> DataFrame:
-        return spells.detect_spells(self.intervals, K, GRACE, MIN_LEN)
+        return spells.detect_spells(self.intervals, K, GRACE, MIN_LEN).persist()
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -50,7 +53,7 @@ class Chain:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return spells.split_at_adds(self.labelled, self.changes)
+        return spells.split_at_adds(self.labelled, self.changes).persist()
 
     @cached_property
     def combos(self) -> DataFrame:
@@ -66,7 +69,7 @@ class Chain:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return self.steps["gender"]
+        return self.steps["gender"].persist()
 
     @cached_property
     def names(self) -> DataFrame:
