@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import cut, read_table
+from .text import cut, read_table, stored
 
 #: Words from which a run is deleted.  A passage of 50 words may lose its first and last sentence to
 #: the sentences around it, so the bound on whole repeated lines is half of that.
@@ -47,8 +47,7 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def line_places(df: DataFrame, min_words: int) -> DataFrame:
-    """Kept lines: print, document, pos, order (of the place), before and after (the neighbours' hashes), and words
-    (w, w_before, w_after)."""
+    """Kept lines: print, document, pos, before and after (the neighbours' hashes), and words (w, w_before, w_after)."""
     lines = F.transform(lines_of(F.col("text")), lambda s: F.struct(F.xxhash64(F.lower(F.trim(F.translate(s, "\n\r\t", "   ")))).alias("h"), _words(s).alias("w")))
     rows = _keyed(df.where(F.col("text").isNotNull()).select("doc_id", "text")).select("_place", "_text", lines.alias("l"))
     l = F.col("l")
@@ -59,15 +58,19 @@ def line_places(df: DataFrame, min_words: int) -> DataFrame:
         return F.when(chosen & (x["w"] > 0), F.struct(i.alias("pos"), x["h"].alias("print"), left["h"].alias("before"), right["h"].alias("after"), x["w"].alias("w"), left["w"].alias("w_before"), right["w"].alias("w_after")))
 
     chosen = F.filter(F.transform(l, kept), lambda x: x.isNotNull())
-    order = F.col("_place").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
-    return rows.select("_place", "_text", F.explode(chosen).alias("k")).select("_place", "_text", "k.*").withColumn("order", order)
+    return rows.select("_place", "_text", F.explode(chosen).alias("k")).select("_place", "_text", "k.*")
+
+
+def _order(place: str = "_place", pos: str = "pos") -> Column:
+    """One number that sorts by document, then by place in it: a fixed-width buffer for aggregates."""
+    return F.col(place).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col(pos)
 
 
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to delete: _place and _text of the document, and runs: array of (first, last, words)."""
-    kept = line_places(df, min_words)
-    first = kept.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first")).where("n > 1").drop("n")
-    met = cut(kept.join(first, "print"))
+    kept = stored(line_places(df, min_words))
+    first = cut(kept.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
+    met = cut(kept.join(first, "print").withColumn("order", _order()))
     near = met.where(F.col("order") == F.col("first")).groupBy("print").agg(F.min("before").alias("first_before"), F.min("after").alias("first_after"))
     marks = F.array(
         F.struct(F.col("pos").alias("pos"), F.col("w").alias("w")),
