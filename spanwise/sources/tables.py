@@ -74,7 +74,6 @@ def read_jdbc_ranges(spark: SparkSession, url: str, query: str, key: str, low: i
 def validate_dataset(df: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
     """One row per check: rows, columns, null count of each column, and whether each expected column is there."""
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(df.columns)))
-    rows = [F.struct(F.lit("rows").alias("check"), F.col("rows").alias("value")), F.struct(F.lit("columns"), F.lit(len(df.columns)).cast("long"))]
-    rows += [F.struct(F.lit(f"nulls:{c}"), F.col(f"nulls_{i}")) for i, c in enumerate(df.columns)]
-    rows += [F.struct(F.lit(f"has:{c}"), F.lit(int(c in df.columns)).cast("long")) for c in expected]
-    return counts.select(F.inline(F.array(*rows))).toDF("check", "value")
+    values = {"rows": F.col("rows"), "columns": F.lit(len(df.columns))}
+    values |= {f"nulls:{c}": F.col(f"nulls_{i}") for i, c in enumerate(df.columns)} | {f"has:{c}": F.lit(int(c in df.columns)) for c in expected}
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), v.cast("long").alias("value")) for k, v in values.items()))))
