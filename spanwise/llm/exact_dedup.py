@@ -65,11 +65,18 @@ def dedup_exact(df: DataFrame, largest: bool = True, digest_hex: int = 64, broad
     hits = cut(salted.join(kept, ["digest", "salt"]).select("doc_id", "digest", "keep_id", "group_size", "text_sha256", same.alias("same"), F.when(~same, F.col("body")).alias("body")))
 
     other = hits.where("not same")
+    if other.isEmpty():  # no digest stands for two texts: the groups are right as they are
+        good = hits.select("doc_id", "keep_id", "group_size", "text_sha256")
+        return _marked(single.unionByName(good))
     lost = other.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
     good = hits.where("same").join(lost, "digest", "left").select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"), "text_sha256")
     regrouped = other.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     moved = other.select("doc_id", "digest", "body", "text_sha256").join(regrouped, ["digest", "body"]).select("doc_id", "keep_id", "group_size", "text_sha256")
-    return single.unionByName(good).unionByName(moved).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return _marked(single.unionByName(good).unionByName(moved))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
