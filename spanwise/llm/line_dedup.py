@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A text is cut into lines at line feeds and, so that a passage inside a paragraph is found too, after sentence ends followed
-by a space.  Lines are compared after trimming white space and lower-casing.  Order is by doc_id, then by place in the text.
+by a space.  Lines are compared after lower-casing and trimming white space, and have one word more than spaces.  Order is by doc_id, then by place in the text.
 
 A line *repeats* when an equal line stands earlier, in an earlier document or before it in the same text.
 A run is a longest sequence of repeating lines in one text; runs of ``min_words`` words or more are deleted.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import cut, read_table, stored
+from .text import read_table, stored
 
 #: Words from which a run is deleted.  A passage of 50 words may lose its first and last sentence to
 #: the sentences around it, so the bound on whole repeated lines is half of that.
@@ -38,8 +38,13 @@ def lines_of(text: Column) -> Column:
     return F.split(text, _CUT)
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"\S+"))
+def _trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\n"))
+
+
+def _words(trimmed: Column) -> Column:
+    """Pieces between spaces."""
+    return F.when(trimmed == "", 0).otherwise(F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def line_places(df: DataFrame, min_words: int) -> DataFrame:
     """Kept lines: print, document, pos, before and after (the neighbours' hashes), and words (w, w_before, w_after)."""
-    lines = F.transform(lines_of(F.col("text")), lambda s: F.struct(F.xxhash64(F.lower(F.trim(F.translate(s, "\n\r\t", "   ")))).alias("h"), _words(s).alias("w")))
+    lines = F.transform(F.transform(lines_of(F.lower("text")), _trimmed), lambda s: F.struct(F.xxhash64(s).alias("h"), _words(s).alias("w")))
     rows = _keyed(df.where(F.col("text").isNotNull()).select("doc_id", "text")).select("_place", "_text", lines.alias("l"))
     l = F.col("l")
 
@@ -69,9 +74,10 @@ def _order(place: str = "_place", pos: str = "pos") -> Column:
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to delete: _place and _text of the document, and runs: array of (first, last, words)."""
     kept = stored(line_places(df, min_words))
-    first = cut(kept.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
-    met = cut(kept.join(first, "print").withColumn("order", _order()))
+    first = stored(kept.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
+    met = stored(kept.join(first, "print").withColumn("order", _order()))
     near = met.where(F.col("order") == F.col("first")).groupBy("print").agg(F.min("before").alias("first_before"), F.min("after").alias("first_after"))
+    near = stored(near)  # a join of two plain shuffles, so that Spark can split the rows of a very frequent line
     marks = F.array(
         F.struct(F.col("pos").alias("pos"), F.col("w").alias("w")),
         F.when(F.col("before") == F.col("first_before"), F.struct((F.col("pos") - 1).alias("pos"), F.col("w_before").alias("w"))),
@@ -91,7 +97,7 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, report: bool = False)
     ``report``: n_lines, n_deleted and words_deleted are added.
     """
     columns = df.columns
-    runs = cut(repeated_runs(df, min_words))
+    runs = stored(repeated_runs(df, min_words))
     keyed = _keyed(df)
     met = keyed.join(runs, ["_place", "_text"], "left")
     lines = lines_of(F.col("text"))

@@ -249,10 +249,10 @@ def plain_lines(texts, ids, min_words):
 
     spark = SparkSession.getActiveSession()
     cut = [re.split(r"(?<=\n)|(?<=[.!?] )", t) if t is not None else [] for t in texts]
-    norm = [[x.translate({9: " ", 10: " ", 13: " "}).strip(" ").lower() for x in lines] for lines in cut]
+    norm = [[x.lower().strip(" \t\r\n") for x in lines] for lines in cut]
     flat = sorted({x for lines in norm for x in lines})
     h = dict(spark.createDataFrame([(x,) for x in flat], "x string").select("x", F.xxhash64("x")).collect()) if flat else {}
-    size = [[len(re.findall(r"\S+", x, re.ASCII)) for x in lines] for lines in cut]
+    size = [[x.count(" ") + 1 if x else 0 for x in lines] for lines in norm]
     first, kept = {}, []
     last = (1 << 63) - 1
     for d, lines in enumerate(norm):
