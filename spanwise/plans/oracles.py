@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.columns import ERFC, OPIOID_TERMS
 from ..sources.claims import CLAIM_CODES, EVENT_CODES, QUERY_BRANDS
-from .queries import GRACE, K, LOOKBACK, MIN_LEN, MIN_N, WINDOW
+from .queries import GRACE, K, LOOKBACK, MIN_LARGER, MIN_LEN, MIN_N, WINDOW
 
 
 def _strings(values) -> str:
@@ -146,7 +146,7 @@ def _mined(size: int | None, where: str = "", select: str = "") -> str:
     k = ", ".join(keys)
     select = select or f"{k}, CAST(n_total AS BIGINT) AS n_total, n_ae, round(rate, 6) AS rate, round(chi2, 4) AS chi2, p_adj < 0.05 AS significant, p_adj < 0.05 AND rate > all_ae / all_n AS signal{names}, round(-log10(greatest(p_value, 1e-300)), 4) AS log_p, round(p_adj, 5) AS p_adj"
     return f"""{CHAIN},
-counted AS (SELECT {k}, count(*) AS n_total, CAST(sum(CAST(had_ae AS INTEGER)) AS BIGINT) AS n_ae FROM ({rows}) GROUP BY ALL HAVING count(*) >= {MIN_N}),
+counted AS (SELECT {k}, count(*) AS n_total, CAST(sum(CAST(had_ae AS INTEGER)) AS BIGINT) AS n_ae FROM ({rows}) GROUP BY ALL HAVING count(*) >= {MIN_N if size == 2 else MIN_LARGER}),
 overall AS (SELECT CAST(count(*) AS DOUBLE) AS all_n, CAST(sum(CAST(had_ae AS INTEGER)) AS DOUBLE) AS all_ae FROM cohort),
 cells AS (SELECT *, CAST(n_ae AS DOUBLE) AS a, CAST(n_total - n_ae AS DOUBLE) AS b, all_ae - n_ae AS c, all_n - all_ae - (n_total - n_ae) AS d FROM counted, overall),
 chi AS (SELECT *, a / n_total AS rate, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN all_n * greatest(abs(a * d - b * c) - all_n / 2, 0) * greatest(abs(a * d - b * c) - all_n / 2, 0) / ((a + b) * (c + d) * (a + c) * (b + d)) END AS chi2 FROM cells),

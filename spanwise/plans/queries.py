@@ -16,6 +16,8 @@ from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
 from ..sources.tables import PRODUCT, validate_dataset
 
 K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
+#: Least support of trios and whole sets: they are rarer than pairs.
+MIN_LARGER = 3
 
 
 class Chain:
@@ -86,7 +88,7 @@ def flat_segments(df: DataFrame) -> DataFrame:
 
 
 def mined(c: Chain, size: int | None, **options) -> DataFrame:
-    found = combos.mine_combinations(c.cohort, size, MIN_N, names=None if size is None else c.names, **options)
+    found = combos.mine_combinations(c.cohort, size, MIN_N if size == 2 else MIN_LARGER, names=None if size is None else c.names, **options)
     rounds = {"rate": 6, "chi2": 4}
     logs = F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 4)
     kept = [F.round(n, rounds[n]).alias(n) if n in rounds else F.col(n) for n in found.columns if n not in ("p_value", "p_adj")]
