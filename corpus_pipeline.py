@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe, decontam, line_dedup, quality, simhash
+from spanwise.llm import bpe, decontam, line_dedup, near, quality
 from spanwise.llm.text import ensure_checkpoint_dir, read_table
 
 
@@ -22,8 +22,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one_of_each(docs)
+    """The documents that are not near copies (five-word shingles, similarity 0.8 or more) of an earlier one that stays."""
+    return near.keep_first_of_near(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
