@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup over line hashes, in DataFrame functions only.
 
 A text is cut into lines at line feeds and, so that a passage inside a paragraph is found too, after sentence ends followed
 by a space.  Lines are compared after lower-casing and trimming white space, and have one word more than spaces.  Order is by doc_id, then by place in the text.
@@ -6,13 +6,11 @@ by a space.  Lines are compared after lower-casing and trimming white space, and
 A line *repeats* when an equal line stands earlier, in an earlier document or before it in the same text.
 A run is a longest sequence of repeating lines in one text; runs of ``min_words`` words or more are deleted.
 
-1. Winnowing.  Of every two neighbouring lines the one with the smaller hash is kept, and so is every line
-   of ``min_words`` words or more.  Any run of ``min_words`` words holds at least two lines or one such long line, so
-   it holds a kept line.
-2. Kept lines are folded to (hash, number, first place); those that occur once go.  The rest are joined to
+1. Every line with a word is hashed.  None is left to a choice by winnowing: a line that its neighbours crowd out at one place may
+   be kept at another, so a choice can miss the equal line that stands earlier.
+2. Lines are folded to (hash, number, first place); those that occur once go.  The rest are joined to
    their places: the join's one side has a row per hash, so a very frequent line can be dealt over many tasks.
-3. Matches are extended both ways: the neighbours of a repeating kept line repeat too if they equal the neighbours
-   of its first place.  Since of two neighbours one is kept, one step each way reaches every line.
+3. A line repeats if its place comes after the first.  So it is compared with all earlier places at once.
 4. Neighbouring repeating lines make runs; the runs' words decide.
 
 Rows that share a doc_id have the same place in the order, so equal lines at the same position of such rows are
@@ -51,19 +49,11 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_text", F.xxhash64("text"))
 
 
-def line_places(df: DataFrame, min_words: int) -> DataFrame:
-    """Kept lines: print, document, pos, before and after (the neighbours' hashes), and words (w, w_before, w_after)."""
-    lines = F.transform(F.transform(lines_of(F.lower("text")), _trimmed), lambda s: F.struct(F.xxhash64(s).alias("h"), _words(s).alias("w")))
+def line_places(df: DataFrame) -> DataFrame:
+    """Every line with a word: document, number (pos, line), print and words (w)."""
+    lines = F.transform(F.transform(lines_of(F.lower("text")), _trimmed), lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("print"), _words(s).alias("w")))
     rows = _keyed(df.where(F.col("text").isNotNull()).select("doc_id", "text")).select("_place", "_text", lines.alias("l"))
-    l = F.col("l")
-
-    def kept(x: Column, i: Column) -> Column:
-        left, right = F.get(l, i - 1), F.get(l, i + 1)
-        chosen = (x["w"] >= min_words) | (x["h"] <= left["h"]) | (x["h"] <= right["h"]) | (left.isNull() & right.isNull())
-        return F.when(chosen & (x["w"] > 0), F.struct(i.alias("pos"), x["h"].alias("print"), left["h"].alias("before"), right["h"].alias("after"), x["w"].alias("w"), left["w"].alias("w_before"), right["w"].alias("w_after")))
-
-    chosen = F.filter(F.transform(l, kept), lambda x: x.isNotNull())
-    return rows.select("_place", "_text", F.explode(chosen).alias("k")).select("_place", "_text", "k.*")
+    return rows.select("_place", "_text", F.posexplode("l").alias("pos", "k")).select("_place", "_text", "pos", "k.*").where("w > 0")
 
 
 def _order(place: str = "_place", pos: str = "pos") -> Column:
@@ -73,21 +63,13 @@ def _order(place: str = "_place", pos: str = "pos") -> Column:
 
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to delete: _place and _text of the document, and runs: array of (first, last, words)."""
-    kept = stored(line_places(df, min_words))
-    first = stored(kept.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
-    met = stored(kept.join(first, "print").withColumn("order", _order()))
-    near = met.where(F.col("order") == F.col("first")).groupBy("print").agg(F.min("before").alias("first_before"), F.min("after").alias("first_after"))
-    near = stored(near)  # a join of two plain shuffles, so that Spark can split the rows of a very frequent line
-    marks = F.array(
-        F.struct(F.col("pos").alias("pos"), F.col("w").alias("w")),
-        F.when(F.col("before") == F.col("first_before"), F.struct((F.col("pos") - 1).alias("pos"), F.col("w_before").alias("w"))),
-        F.when(F.col("after") == F.col("first_after"), F.struct((F.col("pos") + 1).alias("pos"), F.col("w_after").alias("w"))),
-    )
-    later = met.where(F.col("order") > F.col("first")).join(near, "print")
-    marked = later.select("_place", "_text", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("_place", "_text", "m.pos", "m.w").distinct()
+    lines = stored(line_places(df))
+    first = stored(lines.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
+    later = lines.join(first, "print").where(_order() > F.col("first")).select("_place", "_text", "pos", "line", "w")
+    marked = later.distinct()  # rows that share doc_id and text
     of_text = Window.partitionBy("_place", "_text").orderBy("pos")
     run = marked.withColumn("run", F.col("pos") - F.row_number().over(of_text))
-    runs = run.groupBy("_place", "_text", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
+    runs = run.groupBy("_place", "_text", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
     return runs.groupBy("_place", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs"))
 
 

@@ -312,6 +312,41 @@ def test_line_dedup_equals_its_definition(spark):
     assert counted[1]["text"] == "new. " and counted[1]["n_chars"] == 5 and counted[0]["n_chars"] == 205
 
 
+def earlier_lines(texts, min_words):
+    """What stays of each text (in order of doc_id) when a line repeats if an equal one stands anywhere earlier; blank lines are passed over."""
+    seen, out = set(), []
+    for t in texts:
+        cut = re.split(r"(?<=\n)|(?<=[.!?] )", t)
+        lines = [(i, x.lower().strip(" \t\r\n")) for i, x in enumerate(cut) if x.strip(" \t\r\n")]
+        repeats = []
+        for _, x in lines:
+            repeats.append(x in seen)
+            seen.add(x)
+        drop, a = set(), 0
+        while a < len(lines):
+            b = a
+            while b < len(lines) and repeats[b]:
+                b += 1
+            if b > a and sum(x.count(" ") + 1 for _, x in lines[a:b]) >= min_words:
+                drop |= set(range(lines[a][0], lines[b - 1][0] + 1))
+            a = max(b, a + 1)
+        out.append("".join(x for i, x in enumerate(cut) if i not in drop))
+    return out
+
+
+def test_line_dedup_compares_all_earlier_places(spark):
+    rnd = random.Random(14)
+    common = [f"w{i}" for i in range(60)]  # each stands first in a text of its own, so no neighbours of first places agree
+    texts = [f"{x}\nown {i}" for i, x in enumerate(common)]
+    for i in range(20):
+        texts.append("\n".join([f"start {i}", *rnd.sample(common, 50), f"end {i}"]))
+    whole = "\n".join(rnd.sample(common, 40) + [f"new {i}" for i in range(30)])
+    texts += [whole, "other\n" + whole]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == earlier_lines(texts, line_dedup.MIN_WORDS)
+    assert got[len(texts) - 1] == "other\n"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     base = "/root/testdata/sf0.001"
