@@ -6,6 +6,9 @@ by a space.  Lines are compared after lower-casing and trimming white space, and
 A line *repeats* when an equal line stands earlier, in an earlier document or before it in the same text.
 A run is a longest sequence of repeating lines in one text; runs of ``min_words`` words or more are deleted.
 
+Blank lines have no words: they are passed over, so lines that only blank lines part are neighbours, and blank lines inside a
+deleted run go with it.
+
 1. Every line with a word is hashed.  None is left to a choice by winnowing: a line that its neighbours crowd out at one place may
    be kept at another, so a choice can miss the equal line that stands earlier.
 2. Lines are folded to (hash, number, first place); those that occur once go.  The rest are joined to
@@ -50,10 +53,10 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def line_places(df: DataFrame) -> DataFrame:
-    """Every line with a word: document, number (pos, line), print and words (w)."""
+    """Every line with a word: document, number among the text's lines with words (pos) and among all (line), print and words (w)."""
     lines = F.transform(F.transform(lines_of(F.lower("text")), _trimmed), lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("print"), _words(s).alias("w")))
     rows = _keyed(df.where(F.col("text").isNotNull()).select("doc_id", "text")).select("_place", "_text", lines.alias("l"))
-    return rows.select("_place", "_text", F.posexplode("l").alias("pos", "k")).select("_place", "_text", "pos", "k.*").where("w > 0")
+    return rows.select("_place", "_text", F.posexplode(F.filter("l", lambda x: x["w"] > 0)).alias("pos", "k")).select("_place", "_text", "pos", "k.*")
 
 
 def _order(place: str = "_place", pos: str = "pos") -> Column:

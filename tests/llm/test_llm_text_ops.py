@@ -347,6 +347,16 @@ def test_line_dedup_compares_all_earlier_places(spark):
     assert got[len(texts) - 1] == "other\n"
 
 
+def test_line_dedup_passes_over_blank_lines(spark):
+    rnd = random.Random(15)
+    passages = ["\n\n".join(" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(15)) for _ in range(5)) for _ in range(20)]
+    texts = [f"{p}\n" for p in passages] + [f"head {i}\n\n{p}\n\ntail {i}\n" for i, p in enumerate(passages)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(20)] == texts[:20]
+    assert [got[20 + i] for i in range(20)] == [f"head {i}\n\n\ntail {i}\n" for i in range(20)]
+    assert [got[i] for i in range(40)] == earlier_lines(texts, line_dedup.MIN_WORDS)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     base = "/root/testdata/sf0.001"
