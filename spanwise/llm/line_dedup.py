@@ -1,7 +1,8 @@
 """Line dedup over line hashes, in DataFrame functions only.
 
 A text is cut into lines at line feeds and, so that a passage inside a paragraph is found too, after sentence ends followed
-by a space.  Lines are compared after lower-casing and trimming white space, and have one word more than spaces.  Order is by doc_id, then by place in the text.
+by a space.  Lines are compared after lower-casing and trimming spaces; tabs and carriage returns count as spaces, and a line has one
+word more than spaces.  Order is by doc_id, then by place in the text.
 
 A line *repeats* when an equal line stands earlier, in an earlier document or before it in the same text.
 A run is a longest sequence of repeating lines in one text; runs of ``min_words`` words or more are deleted.
@@ -17,7 +18,9 @@ deleted run go with it.
 4. Neighbouring repeating lines make runs; the runs' words decide.
 
 Rows that share a doc_id have the same place in the order, so equal lines at the same position of such rows are
-both first.  Their texts are told apart by hash.  Null doc_ids come last; null texts stay null and have no lines.
+both first.  Their texts are told apart by hash.  Null doc_ids come last; null texts stay null and have no lines, empty
+texts stay empty.  A text of any length is one row; its lines are rows of their own.  An empty table gives an empty
+table.  Extra columns come through under any name.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import read_table, stored
+from .text import packed, read_table, stored, unpacked
 
 #: Words from which a run is deleted.  A passage of 50 words may lose its first and last sentence to
 #: the sentences around it, so the bound on whole repeated lines is half of that.
 MIN_WORDS = 25
 _LAST = (1 << 63) - 1
-_CUT = r"(?<=\n)|(?<=[.!?] )"
+#: The character that ends a line, and the place after it.  Both test one character before they look behind.
+_END, _CUT = r"[\n ](?<=\n|[.!?] )", r"(?<=[\n ])(?<=\n|[.!?] )"
 
 
 def lines_of(text: Column) -> Column:
@@ -39,61 +43,70 @@ def lines_of(text: Column) -> Column:
     return F.split(text, _CUT)
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\n"))
+def n_lines(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(_END)) + 1
+
+
+def _spaced(text: Column) -> Column:
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r"))
+    return F.when(other, F.translate(text, "\t\r", "  ")).otherwise(text)
 
 
 def _words(trimmed: Column) -> Column:
-    """Pieces between spaces."""
-    return F.when(trimmed == "", 0).otherwise(F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
+    """Pieces between spaces of a line that is not empty."""
+    return F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_text", F.xxhash64("text"))
+def _keys(text: Column, doc_id: Column) -> tuple[Column, Column]:
+    return F.coalesce(doc_id.cast("long"), F.lit(_LAST)).alias("place"), F.xxhash64(text).alias("body")
 
 
 def line_places(df: DataFrame) -> DataFrame:
-    """Every line with a word: document, number among the text's lines with words (pos) and among all (line), print and words (w)."""
-    lines = F.transform(F.transform(lines_of(F.lower("text")), _trimmed), lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("print"), _words(s).alias("w")))
-    rows = _keyed(df.where(F.col("text").isNotNull()).select("doc_id", "text")).select("_place", "_text", lines.alias("l"))
-    return rows.select("_place", "_text", F.posexplode(F.filter("l", lambda x: x["w"] > 0)).alias("pos", "k")).select("_place", "_text", "pos", "k.*")
+    """Every line with a word: place and body (hash) of its document, number among the text's lines with words (pos) and among all (line), print and words (w)."""
+    text = F.col("text")
+    lines = F.filter(F.transform(F.split(_spaced(F.lower(text)), _END), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("s"))), lambda x: x["s"] != "")
+    made = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("print"), _words(x["s"]).alias("w")))
+    rows = df.where(text.isNotNull()).select(*_keys(text, F.col("doc_id")), made.alias("l"))
+    return rows.select("place", "body", F.posexplode("l").alias("pos", "k")).select("place", "body", "pos", "k.*")
 
 
-def _order(place: str = "_place", pos: str = "pos") -> Column:
+def _order() -> Column:
     """One number that sorts by document, then by place in it: a fixed-width buffer for aggregates."""
-    return F.col(place).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col(pos)
+    return F.col("place").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
 
 
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The runs to delete: _place and _text of the document, and runs: array of (first, last, words)."""
+    """The runs to delete: place and body of the document, and runs: array of (first, last, words)."""
     lines = stored(line_places(df))
     first = stored(lines.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
-    later = lines.join(first, "print").where(_order() > F.col("first")).select("_place", "_text", "pos", "line", "w")
+    later = lines.join(first, "print").where(_order() > F.col("first")).select("place", "body", "pos", "line", "w")
     marked = later.distinct()  # rows that share doc_id and text
-    of_text = Window.partitionBy("_place", "_text").orderBy("pos")
+    of_text = Window.partitionBy("place", "body").orderBy("pos")
     run = marked.withColumn("run", F.col("pos") - F.row_number().over(of_text))
-    runs = run.groupBy("_place", "_text", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("_place", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs"))
+    runs = run.groupBy("place", "body", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
+    return runs.groupBy("place", "body").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs"))
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
     """The documents without later repeated runs; all columns stay, and n_chars, if there, follows the text.
 
-    ``report``: n_lines, n_deleted and words_deleted are added.
+    ``report``: n_lines, n_deleted and words_deleted are added; input columns of these names give way to them.
     """
-    columns = df.columns
-    runs = stored(repeated_runs(df, min_words))
-    keyed = _keyed(df)
-    met = keyed.join(runs, ["_place", "_text"], "left")
-    lines = lines_of(F.col("text"))
-    left = F.filter(lines, lambda s, i: ~F.exists(F.col("runs"), lambda r: i.between(r["first"], r["last"])))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
-    out = met.withColumn("_new", text)
-    made = [F.when(F.col("runs").isNull(), F.col(c)).otherwise(F.char_length("_new").cast(df.schema[c].dataType)).alias(c) if c == "n_chars" else F.col("_new").alias(c) if c == "text" else F.col(c) for c in columns]
+    runs = stored(repeated_runs(df.select("doc_id", "text"), min_words))
+    row, found = F.col("row"), F.col("runs")
+    text = row["text"]
+    met = packed(df).select("row", *_keys(text, row["doc_id"])).join(runs, ["place", "body"], "left")
+    left = F.array_join(F.filter(lines_of(text), lambda s, i: ~F.exists(found, lambda r: i.between(r["first"], r["last"]))), "")
+    met = met.withColumn("left", F.when(found.isNotNull(), left))
+    new = {"text": F.coalesce("left", text)}
+    if "n_chars" in df.columns:
+        new["n_chars"] = F.when(found.isNull(), row["n_chars"]).otherwise(F.char_length("left").cast(df.schema["n_chars"].dataType))
+    made = []
     if report:
         total = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + f(r)), F.lit(0).cast("long"))
-        made += [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), total(lambda r: r["last"] - r["first"] + 1).alias("n_deleted"), total(lambda r: r["words"]).alias("words_deleted")]
-    return out.select(*made)
+        made = [F.when(text.isNull(), 0).otherwise(n_lines(text)).cast("long").alias("n_lines"), total(lambda r: r["last"] - r["first"] + 1).alias("n_deleted"), total(lambda r: r["words"]).alias("words_deleted")]
+    own = ("n_lines", "n_deleted", "words_deleted") if report else ()
+    return met.select(*(new.get(c, row.getField(c)).alias(c) for c in df.columns if c not in own), *made)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,35 @@ def fold_of(column: Column, folds: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder the session names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The shared folder the session names in spark.checkpoint.dir; one of our own only in local mode where it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            import tempfile
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanwise-checkpoint-"))
+            folder = tempfile.mkdtemp(prefix="spanwise-checkpoint-")
+        context.setCheckpointDir(folder)
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """One column, ``row``: a struct of all columns, so that no helper column can clash with one of the input's."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def own_first(keep: tuple[str, ...], made: tuple[str, ...]) -> list[str]:
+    """The columns to keep beside an operator's own: where names are equal, the operator's column is the one that comes out."""
+    return [c for c in dict.fromkeys(keep) if c not in made]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -104,6 +104,44 @@ def test_decontamination_finds_every_window(spark):
     assert decontam.find_contamination(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_WORDS, 0])
+def test_decontamination_with_odd_items_and_columns(spark, bound, monkeypatch):
+    monkeypatch.setattr(decontam, "CANDIDATES", 2)
+    words = [f"w{i}" for i in range(200)]
+    items = [(None, " ".join(words[:20])), ("b", " ".join(words[30:45])), ("b", " ".join(words[60:75])), ("a,x", "only three words"), ("", None), ("long", " ".join(words))]
+    texts = [" ".join(words[5:40]), "say only THREE words", "none", None, "", " ".join(words[25:]), "x " * 100_000 + " ".join(words[55:90])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = contamination(texts, items)
+    names = ("n_hit", "n_words", "items", "spans", "row", "kept", "key", "a.b")
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(texts)], T.StructType([*DOCS.fields[:2], *(T.StructField(n, T.LongType()) for n in names)]))
+    got = {r["doc_id"]: r for r in decontam.find_contamination(df, bench, keep=("doc_id", "n_hit", "key"), broadcast_words=bound).collect()}
+    for i, (n, hit, found) in enumerate(want):
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["key"]) == (n, hit, [x for x in found if x != "None"], names.index("key"))
+        assert sum(x["end"] - x["start"] for x in got[i]["spans"]) == hit and all(x["end"] < y["start"] for x, y in zip(got[i]["spans"], got[i]["spans"][1:]))
+    clean = decontam.remove_contaminated(df, bench, broadcast_words=bound)
+    assert clean.columns == df.columns
+    assert sorted(tuple(r) for r in clean.collect()) == [(i, t, *range(len(names))) for i, t in enumerate(texts) if not want[i][1]]
+    twice = decontam.find_contamination(docs(spark, [texts[0]] * 2, [1, 1]), bench, broadcast_words=bound)
+    assert [(r["doc_id"], r["n_hit"]) for r in twice.collect()] == [(1, want[0][1])] * 2
+
+
+def test_hits_are_compared_as_bytes(monkeypatch):
+    from spanwise.llm.text import Words
+
+    monkeypatch.setattr(Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))  # all words of one length collide
+    index = decontam.Index([1, 2], ["aa bb cc dd ee ff gg hh ii jj kk", "x1 x2"], 10)
+    texts = ["aa bb cc dd ee ff gg hh ii zz", "qq aa bb cc dd ee ff gg hh ii jj x1 x2", "x1 x3"]
+    assert index.report(pa.array(texts)) == [(10, [], []), (13, [(1, 13)], [1, 2]), (2, [], [])]
+
+
+def test_long_shared_texts_are_walked_once():
+    rnd = np.random.default_rng(6)
+    words = [f"w{i}" for i in rnd.integers(0, 10**6, 300_000)]
+    index = decontam.Index([1], [" ".join(words)], 10)
+    text = " ".join(["start", *words[5:200_000], "other", *words[200_001:], "end"])
+    assert index.report(pa.array([text])) == [(299_997, [(1, 199_996), (199_997, 299_996)], [1])]
+
+
 def test_winnowing_keeps_a_print_of_every_shared_span():
     rnd = np.random.default_rng(3)
     shared = rnd.integers(0, 9, 10, dtype=np.uint64)
@@ -242,49 +280,6 @@ def test_trie_pairs_are_all_pairs():
     assert got == want
 
 
-def plain_lines(texts, ids, min_words):
-    """The docstring's definition, by plain loops; hashes only choose which of two neighbours is kept."""
-    from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
-
-    spark = SparkSession.getActiveSession()
-    cut = [re.split(r"(?<=\n)|(?<=[.!?] )", t) if t is not None else [] for t in texts]
-    norm = [[x.lower().strip(" \t\r\n") for x in lines] for lines in cut]
-    flat = sorted({x for lines in norm for x in lines})
-    h = dict(spark.createDataFrame([(x,) for x in flat], "x string").select("x", F.xxhash64("x")).collect()) if flat else {}
-    size = [[x.count(" ") + 1 if x else 0 for x in lines] for lines in norm]
-    first, kept = {}, []
-    last = (1 << 63) - 1
-    for d, lines in enumerate(norm):
-        for i, x in enumerate(lines):
-            left, right = (lines[i - 1] if i else None), (lines[i + 1] if i + 1 < len(lines) else None)
-            chosen = size[d][i] >= min_words or (left is not None and h[x] <= h[left]) or (right is not None and h[x] <= h[right]) or (left is None and right is None)
-            if chosen and size[d][i]:
-                place = (ids[d] if ids[d] is not None else last, i)
-                kept.append((d, i, x, left, right, place))
-                first[x] = min(first.get(x, place), place)
-    near = {x: (left, right) for d, i, x, left, right, place in kept if place == first[x]}
-    marked = defaultdict(set)
-    for d, i, x, left, right, place in kept:
-        if place > first[x]:
-            marked[d].add(i)
-            if left is not None and left == near[x][0]:
-                marked[d].add(i - 1)
-            if right is not None and right == near[x][1]:
-                marked[d].add(i + 1)
-    out = []
-    for d, lines in enumerate(cut):
-        drop, run = set(), []
-        for i in [*sorted(marked[d]), None]:
-            if run and (i is None or i != run[-1] + 1):
-                if sum(size[d][j] for j in run) >= min_words:
-                    drop |= set(run)
-                run = []
-            run.append(i)
-        out.append(None if texts[d] is None else "".join(x for i, x in enumerate(lines) if i not in drop))
-    return out
-
-
 def test_line_dedup_equals_its_definition(spark):
     rnd = random.Random(11)
 
@@ -300,12 +295,14 @@ def test_line_dedup_equals_its_definition(spark):
         texts.append(rnd.choice([" ", "\n"]).join(parts))
     texts += [t for t in ODD if t not in ("same", "SAME")] + [passages[0], passages[0] + " " + passages[0]]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
-    want = plain_lines(texts, range(len(texts)), line_dedup.MIN_WORDS)
+    want = earlier_lines(texts, line_dedup.MIN_WORDS)
     assert [got[i] for i in range(len(texts))] == want
     for p in passages[:6]:
         inside = " ".join(p.split(". ")[1:-1])
         assert sum(inside in " ".join((t or "").split(". ")) for t in got.values()) <= 1 or len(inside.split()) < 25
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    nobody = line_dedup.dedup_lines(docs(spark, ["x " * 30, "X " * 30 + "\n", None], [4, None, None])).orderBy("n_chars").collect()
+    assert {(r["doc_id"], r["text"]) for r in nobody} == {(4, "x " * 30), (None, ""), (None, None)}
     same = line_dedup.dedup_lines(docs(spark, ["One sentence. " + "word " * 40] * 2, [7, 7]))
     assert [r["text"] for r in same.collect()] == ["One sentence. " + "word " * 40] * 2
     counted = line_dedup.dedup_lines(docs(spark, ["x y. " + "word " * 40, "new. " + "word " * 40], [1, 2])).orderBy("doc_id").collect()
@@ -316,8 +313,12 @@ def earlier_lines(texts, min_words):
     """What stays of each text (in order of doc_id) when a line repeats if an equal one stands anywhere earlier; blank lines are passed over."""
     seen, out = set(), []
     for t in texts:
+        if t is None:
+            out.append(None)
+            continue
         cut = re.split(r"(?<=\n)|(?<=[.!?] )", t)
-        lines = [(i, x.lower().strip(" \t\r\n")) for i, x in enumerate(cut) if x.strip(" \t\r\n")]
+        plain = [x.removesuffix("\n").replace("\t", " ").replace("\r", " ").lower().strip(" ") for x in cut]
+        lines = [(i, x) for i, x in enumerate(plain) if x]
         repeats = []
         for _, x in lines:
             repeats.append(x in seen)
@@ -334,6 +335,26 @@ def earlier_lines(texts, min_words):
     return out
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ("row", "place", "body", "runs", "left", "line", "pos", "w", "print", "n_lines", "_text", "a.b", "`q`")
+    line = "word " * 30
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate([line, "own\n" + line, line])], T.StructType([*DOCS.fields[:2], *(T.StructField(n, T.LongType()) for n in names)]))
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", *names]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, t, *range(len(names))) for i, t in enumerate([line, "own\n", ""])]
+    counted = line_dedup.dedup_lines(df, report=True)
+    assert counted.columns == ["doc_id", "text", *(n for n in names if n != "n_lines"), "n_lines", "n_deleted", "words_deleted"]
+    assert [tuple(r) for r in counted.select("n_lines", "n_deleted", "words_deleted").orderBy("doc_id").collect()] == [(1, 0, 0), (2, 1, 30), (1, 1, 30)]
+
+
+def test_line_dedup_takes_very_long_texts(spark):
+    rnd = random.Random(16)
+    long = "".join(" ".join(f"w{rnd.randint(0, 10**9)}" for _ in range(12)) + rnd.choice(["\n", ". ", "! "]) for _ in range(70_000))
+    assert len(long) > 8_000_000
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [long, "a\n" + long + "b"])).collect()}
+    assert got == {0: long, 1: "a\nb"}
+
+
 def test_line_dedup_compares_all_earlier_places(spark):
     rnd = random.Random(14)
     common = [f"w{i}" for i in range(60)]  # each stands first in a text of its own, so no neighbours of first places agree
