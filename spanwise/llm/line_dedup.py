@@ -67,7 +67,8 @@ def line_places(df: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(_spaced(F.lower(text)), _END), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("s"))), lambda x: x["s"] != "")
     made = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("print"), _words(x["s"]).alias("w")))
     rows = df.where(text.isNotNull()).select(*_keys(text, F.col("doc_id")), made.alias("l"))
-    return rows.select("place", "body", F.posexplode("l").alias("pos", "k")).select("place", "body", "pos", "k.*")
+    # The outer form: Spark puts a filter on the size of the lines before the other one, which would cut every text twice.
+    return rows.select("place", "body", F.posexplode_outer("l").alias("pos", "k")).where("pos is not null").select("place", "body", "pos", "k.*")
 
 
 def _order() -> Column:
