@@ -1,19 +1,22 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network in numpy
 whose probabilities are calibrated by a temperature.
 
-Random indexing: every word falls by hash into one of ``BUCKETS`` buckets, each with a fixed sparse vector of +1 and -1.  A bucket's
-word vector is the sum of the fixed vectors of the words next to it (two to each side) over the training
-texts, at length 1.  A document is the mean of its words' vectors, beside the shares of word and punctuation shapes,
-the shares of distinct words and of words that follow themselves, and its length.  A two-layer network maps that to a logit; one temperature, fitted
-on a part of the sample that the network has not seen, makes probabilities of it.
-
-Only the fit is bounded: ``sample`` labelled documents, picked by a hash of doc_id.  Tasks turn them into vectors; the driver
-sees at most ``sample`` feature rows and PARTS partial sums of BUCKETS x DIM numbers.  Scoring is a
+Tokens are words of letters and digits (case kept), runs of ASCII punctuation, and one token of its own for every token
+that repeats the one before it.  Each falls by hash into one of ``BUCKETS`` buckets; repeats have bucket 0 to themselves.
+
+Random indexing: a bucket has a fixed sparse index vector (``SPARSE`` places of ``DIM`` with +1 or -1).  Its word vector is the sum
+of the index vectors of all tokens up to two places away from it, over all texts of the training folds, labelled or not, at
+length 1.  A document is the mean of its tokens' word vectors, and nothing else.  A two-layer network maps that to a
+logit; one temperature, fitted on a part of the sample that the network has not seen, makes probabilities of it.
+
+Context sums have a fixed size: each task sends its partial sums by blocks of buckets, which a shuffle adds up, and the driver gets
+BUCKETS x DIM numbers.  Only the network's fit is bounded: ``sample`` labelled documents, picked by a hash of doc_id.  Scoring is a
 map over all whole texts.
 
-Labels: doc_ids whose crc32 as text modulo 5 is not 0, quality 0 or 1; several labels of one doc_id are averaged.
-Null texts count as empty; an empty text gets the score of its (zero) features.  Without labels of both kinds every
-score is the share of label 1 (1/2 without any).  Repeated rows are scored each by itself.
+Labels: doc_ids whose crc32 as text modulo 5 is not 0, quality 0 or 1; several labels of one doc_id are averaged, and of several
+texts of one labelled doc_id the one with the smallest XXH64 is learned from.  Null texts count as empty; an empty text gets the
+score of zeros, and a text of any length is pooled whole.  Without labels of both kinds every score is the share of label 1 (1/2
+without any).  Repeated rows are scored each by itself; an empty table gives an empty result.  Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,50 +30,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LOWER, Words, find_words, fold_of, joined, pieces, read_table
+from .text import Words, fold_of, joined, own_first, packed, pieces, read_table, unpacked
 
-BUCKETS, DIM, PARTS = 1 << 15, 32, 8
+BUCKETS, DIM, SPARSE = 1 << 14, 64, 4
+#: Buckets whose sums travel together.
+BLOCK = 256
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 6_000
 FOLDS, THRESHOLD = 5, 0.3
 
-#: Words of letters and digits of either case, and runs of ASCII punctuation.
-_WORD = np.zeros(256, dtype=bool)
-_WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[0x21:0x7F] = True
-_MARK &= ~_WORD
-_UPPER = np.zeros(256, dtype=np.int32)
-_UPPER[0x41:0x5B] = 1
-_DIGIT = np.zeros(256, dtype=np.int32)
-_DIGIT[0x30:0x3A] = 1
-N_SHAPES = 24 + 32
-N_FEATURES = DIM + N_SHAPES + 4
-
-
-def fixed_vectors() -> np.ndarray:
-    """The buckets' sparse +1/-1 vectors."""
-    rng = np.random.default_rng(7)
-    return rng.choice(np.array([-1, 0, 1], dtype=np.int8), (BUCKETS, DIM), p=[0.1, 0.8, 0.1])
+#: 1: words of letters and digits of either case; 2: ASCII punctuation.
+_KIND = np.zeros(256, dtype=np.int8)
+_KIND[0x21:0x7F] = 2
+_KIND[0x30:0x3A] = _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
 
 
-def bucket_of(words: Words) -> np.ndarray:
-    lowered = Words(LOWER[words.data], words.start, words.end, words.first)
-    return (lowered.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """The places and signs of each bucket's index vector."""
+    rng = np.random.default_rng(7)
+    return rng.integers(0, DIM, (BUCKETS, SPARSE)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, SPARSE))
 
 
-def context_sums(words: Words, bucket: np.ndarray, fixed: np.ndarray, into: np.ndarray) -> None:
-    """Add to each bucket the fixed vectors of the words up to two places away in the same text."""
+def tokens(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """Each text's tokens, and their buckets."""
+    data, offsets = joined(texts)
+    kind = np.zeros(len(data) + 2, dtype=np.int8)
+    kind[1:-1] = _KIND[data]
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    begins = np.flatnonzero(kind[edge + 1] > 0)  # the edge after it ends the run
+    start = edge[begins]
+    words = Words(data, start, edge[begins + 1] if len(begins) else start, np.searchsorted(start, offsets))
+    h, doc = words.hashes(), words.doc
+    bucket = (h % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+    again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
+    bucket[again] = 0
+    return words, bucket
+
+
+def context_sums(words: Words, bucket: np.ndarray, index: tuple[np.ndarray, np.ndarray], into: np.ndarray) -> None:
+    """Add to each bucket the index vectors of the tokens up to two places away in the same text."""
+    place, sign = index
     doc = words.doc
     for step in (1, 2):
         here = np.flatnonzero(doc[step:] == doc[:-step])
         for a, b in ((here, here + step), (here + step, here)):
-            for at in range(0, len(a), 1 << 16):
-                x, y = bucket[a[at : at + (1 << 16)]], bucket[b[at : at + (1 << 16)]]
-                order = np.argsort(x, kind="stable")
-                x = x[order]
-                edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-                into[x[edge]] += np.add.reduceat(fixed[y[order]].astype(np.float32), edge, axis=0)
+            x, y = bucket[a] * DIM, bucket[b]
+            for j in range(SPARSE):
+                into += np.bincount(x + place[y, j], sign[y, j], BUCKETS * DIM)
 
 
 def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -84,42 +90,14 @@ def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """One row of N_FEATURES numbers for each text."""
-    data, offsets = joined(texts)
-    words, marks = (_found(data, offsets, kind) for kind in (_WORD, _MARK))
-    n = len(texts)
-    bucket = bucket_of(words)
-    count = words.counts
-    pooled = np.zeros((n, DIM))
+    """The mean of the word vectors of each text's tokens."""
+    words, bucket = tokens(texts)
+    pooled = np.zeros((len(texts), DIM))
     step = 1 << 18
     for a in range(0, len(bucket), step):  # bounded memory for one very long text
         first = np.clip(words.first, a, min(a + step, len(bucket))) - a
         pooled += _per_doc(vectors[bucket[a : a + step]], first)
-    pooled /= np.maximum(count, 1)[:, None]
-    shapes = np.zeros((n, N_SHAPES))
-    upper, digit = (np.concatenate(([0], np.cumsum(k[data]))) for k in (_UPPER, _DIGIT))
-    size = words.end - words.start
-    n_upper, n_digit = upper[words.end] - upper[words.start], digit[words.end] - digit[words.start]
-    kind = np.where(n_digit > 0, 3, np.where(n_upper == 0, 0, np.where((n_upper == 1) & (size > 1), 1, 2)))
-    shape = kind * 6 + np.digitize(size, [2, 4, 7, 11, 16])
-    shapes += np.bincount(words.doc * N_SHAPES + shape, minlength=n * N_SHAPES).reshape(n, N_SHAPES)
-    mark = 24 + (data[marks.start].astype(np.int64) % 16) * 2 + (marks.end - marks.start > 1)
-    shapes += np.bincount(marks.doc * N_SHAPES + mark, minlength=n * N_SHAPES).reshape(n, N_SHAPES)
-    total = np.maximum(shapes.sum(axis=1), 1)
-    distinct = np.bincount(np.unique(words.doc * BUCKETS + bucket) // BUCKETS, minlength=n)
-    again = np.zeros(len(bucket), dtype=bool)
-    again[1:] = (bucket[1:] == bucket[:-1]) & (words.doc[1:] == words.doc[:-1])
-    repeats = np.bincount(words.doc[again], minlength=n)
-    rest = np.stack([distinct / np.maximum(np.minimum(count, BUCKETS), 1), repeats / np.maximum(count, 1), np.log1p(count), np.log1p(np.diff(offsets) - 1) - np.log1p(count)], axis=1)
-    return np.concatenate([pooled, shapes / total[:, None], rest], axis=1)
-
-
-def _found(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
-    inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = kind[data]
-    edges = np.diff(inside)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    return Words(data, start, end, np.searchsorted(start, offsets))
+    return pooled / np.maximum(words.counts, 1)[:, None]
 
 
 @dataclass
@@ -182,57 +160,82 @@ class QualityModel:
         return self.network.probability(features(texts, self.vectors))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from at most ``sample`` labelled documents of the training folds."""
-    known = labels.where((fold_of(F.col("doc_id"), FOLDS) != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(PARTS, "doc_id").cache()
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """The buckets' word vectors, from the contexts in all ``texts``."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, into = fixed_vectors(), np.zeros((BUCKETS, DIM), dtype=np.float32)
+        index, into = index_vectors(), np.zeros(BUCKETS * DIM)
+
+        def blocks() -> pa.RecordBatch:
+            whole = into.astype(np.int32).reshape(-1, BLOCK * DIM)
+            seen = np.flatnonzero(whole.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([whole[i].tobytes() for i in seen], pa.binary())], names=["block", "sums"])
+
         for batch in pieces(batches):
-            words = _found(*joined(batch.column("text")), _WORD)
-            context_sums(words, bucket_of(words), fixed, into)
-        yield pa.RecordBatch.from_arrays([pa.array([into.tobytes()], pa.binary())], names=["sums"])
+            context_sums(*tokens(batch.column("text")), index, into)
+            if max(into.max(), -into.min()) > 1 << 30:
+                yield blocks()
+                into[:] = 0
+        yield blocks()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("sums")):
+                have = total.setdefault(block, np.zeros(BLOCK * DIM, dtype=np.int64))
+                have += np.frombuffer(part.as_buffer(), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
+
+    made = "block int, sums binary"
+    vectors = np.zeros((BUCKETS // BLOCK, BLOCK * DIM), dtype=np.float64)
+    for r in texts.select("text").mapInArrow(sums, made).repartition("block").mapInArrow(add, made).collect():  # BUCKETS / BLOCK rows
+        vectors[r["block"]] = np.frombuffer(r["sums"], dtype=np.int64)
+    vectors = vectors.reshape(BUCKETS, DIM)
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32)
 
-    vectors = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for r in rows.mapInArrow(sums, "sums binary").toLocalIterator():  # PARTS rows
-        vectors += np.frombuffer(r["sums"], dtype=np.float32).reshape(BUCKETS, DIM)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
+
+def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
+    """A model from the contexts of all texts of the training folds and at most ``sample`` of their labelled documents."""
+    training = documents.where(fold_of(F.col("doc_id"), FOLDS) != 0).select("doc_id", "text")
+    vectors = word_vectors(training)
+    known = labels.where((fold_of(F.col("doc_id"), FOLDS) != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = training.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             x = features(batch.column("text"), vectors)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, batch.column("y")], names=["doc_id", "x", "y"])
 
-    found = rows.mapInArrow(describe, T.StructType([documents.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])).orderBy("doc_id").toPandas()
-    rows.unpersist()
-    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, N_FEATURES))
+    schema = T.StructType([documents.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])
+    found = rows.mapInArrow(describe, schema).toPandas().sort_values("doc_id", kind="stable")  # at most ``sample`` rows
+    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, DIM))
     return QualityModel(vectors, fit_network(x, found["y"].to_numpy(dtype=np.float64)))
 
 
+MADE = ("score", "predicted")
+
+
 def score_quality(df: DataFrame, model: QualityModel, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score (probability of label 1) and predicted (score >= threshold) of each row."""
-    source = df.select(*dict.fromkeys((*keep, "text")))
-    kept = list(df.select(*keep).schema)
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    """``keep`` columns, score (probability of label 1) and predicted (score >= threshold) of each row.  Kept columns with one of
+    these names give way."""
+    kept = own_first(keep, MADE)
+    source = df.select(*dict.fromkeys((*kept, "text")))
+    schema = T.StructType([*df.select(*kept).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             p = model.score(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=pa.schema([*(batch.schema.field(f.name) for f in kept), ("score", pa.float64()), ("predicted", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=pa.schema([*(batch.schema.field(n) for n in kept), ("score", pa.float64()), ("predicted", pa.int32())]))
 
     return source.mapInArrow(score, schema)
 
 
 def keep_good(df: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the model accepts, with all their columns."""
-    columns = df.columns
-    clash = {c: f"_kept_{i}" for i, c in enumerate(columns) if c in ("score", "predicted")}
-    renamed = df.withColumnsRenamed(clash)
-    good = score_quality(renamed, model, threshold, tuple(renamed.columns)).where("predicted = 1").drop("score", "predicted")
-    return good.withColumnsRenamed({v: k for k, v in clash.items()}).select(*columns)
+    whole = packed(df).select("row", F.col("row")["text"].alias("text"))
+    return unpacked(score_quality(whole, model, threshold, ("row",)).where("predicted = 1"), df.columns)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
