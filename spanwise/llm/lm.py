@@ -2,24 +2,26 @@
 
 P(word | previous word) = P(class | previous class) * P(word | class).
 
-Classes.  The ``FREQUENT`` most frequent words of the training texts stand for themselves; every other word belongs
-to one of ``SUFFIXES`` groups by the hash of its last three bytes.  Exchange clustering assigns these units to
-``CLASSES`` classes: in each sweep every unit moves to the class that raises the likelihood of the
-class bigrams most.  So all words have a class, and what the clustering sees (unit bigram counts over all training
-texts) has a bounded size, whatever the corpus.
+Classes.  Exchange clustering in two steps; every training word is clustered as itself.  1. The ``CORE`` most frequent words and the end of
+a text are clustered by exchange over their bigram counts, a matrix of fixed size: in each sweep every word moves to the class that
+raises the likelihood of the class bigrams most.  2. All words, however rare, are swept over by tasks: a word's contexts are counted by the
+core classes of its neighbours (one more class stands for neighbours outside the core), and ``SWEEPS`` times every word moves
+to the class that raises the likelihood of the table classes x contexts most.  Only that table goes to the driver and to the tasks.
 
 Probabilities.  Class transitions come from all training bigrams, with ``SMOOTH_CLASS`` added.  Word emissions come from
 exact counts of every training word, with 0.1 added to each known word of the class and to one unknown: a word of count c in a
-class of N tokens and V words has (c + 0.1) / (N + 0.1 (V + 1)).
+class of N tokens and V words has (c + 0.1) / (N + 0.1 (V + 1)).  Words that training lacks belong to the class with the most words of count 1.
 
-Work.  1. Words are counted (tasks count first; one shuffle by word).  2. Unit bigrams are counted.  3. The texts are mapped
-over: what depends on frequent words and classes is summed at once; other words leave as posting lists, one for
-each word and block of documents, which meet the counts by a shuffle on the word and come back by a shuffle on the block.
-No word is hot in that shuffle: the frequent ones never enter it, and any other has under 1/FREQUENT of all tokens.
+Work.  1. Words are counted (tasks count first; one shuffle by word).  2. Core bigrams are counted.  3. Contexts leave the tasks by word and
+block of tokens, folded to a fixed size where a word is frequent, and meet by word.  4. All texts are mapped to classes.  Tasks know
+the ``FREQUENT`` most frequent words; others leave as posting lists, one for each word and block, which meet the words' table by a
+shuffle on the word and come back to their block by a shuffle on the block.  No word is hot there: the frequent ones never enter it.
+5. Class transitions are counted from the texts of classes, a byte a token, and the texts are scored.
 
 Words are known by 64-bit hashes.  Learned from: documents whose crc32 of doc_id as text modulo 10 is not 0; a
-null doc_id is neither learned from nor held out.  Null texts count as empty (one token, the end).  Repeated rows
-each count and are each scored.
+null doc_id is neither learned from nor held out.  Null and empty texts count as one token, the end; a very long text is a block of
+its own.  Repeated rows each count and are each scored.  Without training documents all words are unknown; an empty table gives an
+empty result.  Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,50 +34,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import SPACED, Words, find_words, fold_of, mixed, pieces, read_table, stored, take_runs
+from .text import SPACED, find_words, fold_of, pieces, read_table, stored, take_runs
 
-FREQUENT, SUFFIXES, CLASSES = 256, 256, 32
-SWEEPS = 8
+CORE, CLASSES = 1024, 32
+CORE_SWEEPS, SWEEPS = 8, 2
+#: Words whose class and count every task holds (17 bytes each).
+FREQUENT = 16_384
 SMOOTH_WORD, SMOOTH_CLASS = 0.1, 0.5
 FOLDS = 10
-#: Tokens and documents of one block of posting lists.
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 65_535
+#: Tokens of one block, unless a single text has more.
+BLOCK_TOKENS = 1_000_000
+#: Contexts of a word in a block that leave one by one; more are folded to counts.
+LOOSE = 512
 #: The end of a text, counted as a word.  Its hash can't be told from a word's with that hash.
 END = np.int64(-0x5DEECE66D1234567)
+#: Codes of contexts: the class of the next word (CLASSES: outside the core), then the class of the word before.
+CODES = 2 * (CLASSES + 1)
+_UNKNOWN = 255
 
 
-def suffix_groups(words: Words) -> np.ndarray:
-    """The group of each word by its last three bytes."""
-    key = np.zeros(len(words.start), dtype=np.uint64)
-    for j in (1, 2, 3):
-        at = words.end - j
-        inside = at >= words.start
-        key = key * np.uint64(257) + np.where(inside, words.data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-    return (mixed(key) % np.uint64(SUFFIXES)).astype(np.int64)
-
-
-def hashed(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's words, then of its end, one text after the other; and how many tokens each text has."""
     words = find_words(texts, SPACED)
-    return words, words.hashes().view(np.int64), suffix_groups(words)
+    out = np.full(len(words.start) + len(texts), END, dtype=np.int64)
+    out[np.arange(len(words.start)) + words.doc] = words.hashes().view(np.int64)
+    return out, words.counts + 1
 
 
 def count_words(training: DataFrame) -> DataFrame:
-    """word (hash), suffix and n of every word of the training texts, and of the end of each text."""
+    """word (hash) and n of every word of the training texts, and of the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
 
         def folded() -> pa.Table:
-            return pa.concat_tables(held).group_by(["word", "suffix"]).aggregate([("n", "sum")]).rename_columns(["word", "suffix", "n"])
+            return pa.concat_tables(held).group_by(["word"]).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in pieces(batches):
-            _, word, suffix = hashed(batch.column("text"))
-            word, suffix = np.append(word, END), np.append(suffix, 0)
-            n = np.ones(len(word), dtype=np.int64)
-            n[-1] = batch.num_rows
-            held.append(pa.table({"word": word, "suffix": suffix, "n": n}).group_by(["word", "suffix"]).aggregate([("n", "sum")]).rename_columns(["word", "suffix", "n"]))
-            rows += held[-1].num_rows
+            word, n = np.unique(token_hashes(batch.column("text"))[0], return_counts=True)
+            held.append(pa.table({"word": word, "n": n}))
+            rows += len(word)
             if rows > 1_000_000:
                 whole = folded()
                 if whole.num_rows > 500_000:  # bounded memory: what is counted so far goes out
@@ -86,49 +85,47 @@ def count_words(training: DataFrame) -> DataFrame:
         if held:
             yield from folded().to_batches(max_chunksize=65_536)
 
-    return training.select("text").mapInArrow(count, "word long, suffix long, n long").groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
-class Units:
-    """Frequent words by hash; units are numbered: frequent words, suffix groups, the end."""
+class Table:
+    """Values of a bounded number of words, by sorted hash."""
 
     word: np.ndarray
-    count: np.ndarray
+    value: np.ndarray
 
-    @property
-    def size(self) -> int:
-        return FREQUENT + SUFFIXES + 1
-
-    def of(self, word: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        unit = FREQUENT + suffix
-        if len(self.word):
-            at = np.searchsorted(self.word, word)
-            at[at == len(self.word)] = 0
-            unit = np.where(self.word[at] == word, at, unit)
-        return unit
-
-    def chain(self, texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """words, their hashes, and for every token (each text's words, then its end): text, unit and unit before."""
-        words, word, suffix = hashed(texts)
-        n = words.counts
-        unit = np.full(len(word) + len(n), self.size - 1, dtype=np.int64)
-        place = np.arange(len(word)) + words.doc
-        unit[place] = self.of(word, suffix)
-        before = np.full(len(unit), self.size - 1, dtype=np.int64)
-        before[1:] = unit[:-1]  # before a text's first word stands the end of the text before: the boundary
-        return words, word, np.repeat(np.arange(len(n)), n + 1), unit, before
-
-
-def count_bigrams(training: DataFrame, units: Units) -> np.ndarray:
-    """Unit bigram counts over all training texts: a matrix of bounded size."""
-    size = units.size
+    def place(self, word: np.ndarray) -> np.ndarray:
+        """The place of each word here, or -1."""
+        if not len(self.word):
+            return np.full(len(word), -1, dtype=np.int64)
+        at = np.searchsorted(self.word, word)
+        at[at == len(self.word)] = 0
+        return np.where(self.word[at] == word, at, -1)
+
+    def of(self, word: np.ndarray, missing: int) -> np.ndarray:
+        at = self.place(word)
+        return np.where(at >= 0, self.value[at], missing) if len(self.word) else np.full(len(word), missing)
+
+
+def shifted(x: np.ndarray, first) -> np.ndarray:
+    """What stands before each token; before the first text stands the end of a text."""
+    return np.concatenate(([first], x[:-1])).astype(x.dtype)
+
+
+def count_bigrams(training: DataFrame, core: np.ndarray) -> np.ndarray:
+    """Bigram counts of the core words and the end (all sorted) over all training texts: a matrix of fixed size."""
+    size = len(core) + 1  # one more for all other words
+    table = Table(core, np.arange(len(core)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, dtype=np.int64)
+        end = int(table.of(np.array([END]), size - 1)[0])
         for batch in pieces(batches):
-            *_, unit, before = units.chain(batch.column("text"))
-            total += np.bincount(before * size + unit, minlength=size * size)
+            unit = table.of(token_hashes(batch.column("text"))[0], size - 1)
+            pair = shifted(unit, end) * size + unit
+            pair, n = np.unique(pair[(unit < size - 1) & (pair < (size - 1) * size)], return_counts=True)
+            total[pair] += n
         seen = np.flatnonzero(total)
         if len(seen):
             yield from pa.table({"pair": seen, "n": total[seen]}).to_batches(max_chunksize=65_536)
@@ -136,10 +133,10 @@ def count_bigrams(training: DataFrame, units: Units) -> np.ndarray:
     found = training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(size * size)
     matrix[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return matrix.reshape(size, size)
+    return matrix.reshape(size, size)[:-1, :-1]
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = CORE_SWEEPS) -> np.ndarray:
     """Each unit's class: starts by frequency, then moves every unit to its best class until none moves."""
     size = len(bigrams)
     order = np.argsort(-(bigrams.sum(axis=0) + bigrams.sum(axis=1)), kind="stable")
@@ -182,158 +179,354 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
+def token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """Token hashes, tokens of each row, and the rows, for blocks of about BLOCK_TOKENS tokens."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
+    size = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        return np.concatenate([h for h, _, _ in held]), np.concatenate([n for _, n, _ in held]), pa.Table.from_batches([r for _, _, r in held])
+
+    for batch in pieces(batches, most=2 << 20):
+        own, n = token_hashes(batch.column("text"))
+        if held and size + len(own) > BLOCK_TOKENS:
+            yield block()
+            held, size = [], 0
+        held.append((own, n, batch.drop_columns(["text"])))
+        size += len(own)
+    if held:
+        yield block()
+
+
+def word_contexts(training: DataFrame, core: Table) -> DataFrame:
+    """word, n, and its contexts: codes (a byte each) and how often each occurs (counts, 64-bit)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, _, _ in token_blocks(batches):
+            own = core.of(word, CLASSES)
+            right, left = np.roll(own, -1), np.roll(own, 1) + CLASSES + 1  # an end stands before each text's first word
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            n = np.diff(np.append(edge, len(word)))
+            both = np.stack([right[order], left[order]], axis=1).astype(np.uint8)
+            few = 2 * n <= LOOSE
+            inside = np.repeat(few, n)
+            offsets = np.concatenate(([0], np.cumsum(2 * n[few]))).astype(np.int32)
+            loose = pa.Array.from_buffers(pa.binary(), int(few.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(both[inside]))])
+            yield from pa.table({"word": word[edge][few], "folded": np.zeros(int(few.sum()), dtype=bool), "codes": loose}).to_batches(max_chunksize=65_536)
+            many = np.flatnonzero(~few)
+            for a in range(0, len(many), 1024):
+                part = many[a : a + 1024]
+                counts = [np.bincount(both[edge[i] : edge[i] + n[i]].ravel(), minlength=CODES).astype(np.int64).tobytes() for i in part]
+                yield pa.RecordBatch.from_arrays([pa.array(word[edge[part]]), pa.array(np.ones(len(part), dtype=bool)), pa.array(counts, pa.binary())], names=["word", "folded", "codes"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def packed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            at = np.append(edge, len(word)).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(at), pa.py_buffer(code.astype(np.uint8))])
+            counts = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(at * 8), pa.py_buffer(np.ascontiguousarray(n))])
+            occurs = np.add.reduceat(np.where(code <= CLASSES, n, 0), edge)
+            yield from pa.table({"word": word[edge], "n": occurs, "codes": codes, "counts": counts}).to_batches(max_chunksize=16_384)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, folded = batch.column("word").to_numpy(), batch.column("folded").to_numpy(zero_copy_only=False)
+            raw, length = _bytes(batch.column("codes"))
+            inside = np.repeat(folded, length)
+            dense = np.frombuffer(raw[inside].tobytes(), dtype=np.int64)
+            loose = np.repeat(word[~folded], length[~folded])
+            words = np.concatenate((held[0], loose, np.repeat(word[folded], CODES)))
+            codes = np.concatenate((held[1], raw[~inside].astype(np.int64), np.tile(np.arange(CODES), int(folded.sum()))))
+            n = np.concatenate((held[2], np.ones(len(loose), dtype=np.int64), dense))
+            words, codes, n = (x[n > 0] for x in (words, codes, n))
+            order = np.lexsort((codes, words))
+            words, codes, n = words[order], codes[order], n[order]
+            edge = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (codes[1:] != codes[:-1]))))
+            words, codes, n = words[edge], codes[edge], np.add.reduceat(n, edge)
+            cut_at = int(np.searchsorted(words, words[-1], "left"))  # words come in order; the last may go on
+            if cut_at:
+                yield from packed(words[:cut_at], codes[:cut_at], n[:cut_at])
+            held = words[cut_at:], codes[cut_at:], n[cut_at:]
+        if len(held[0]):
+            yield from packed(*held)
+
+    made = training.select("text").mapInArrow(emit, "word long, folded boolean, codes binary")
+    return made.repartition("word").sortWithinPartitions("word").mapInArrow(fold, "word long, n long, codes binary, counts binary")
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the length of each value."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _gain(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(first: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood of the table (classes x codes) most.
+
+    Word i has contexts code[first[i]:first[i + 1]], each n times; own is its class now (-1: none), which the table counts."""
+    edge = first[:-1]
+    size = table[:, : CLASSES + 1].sum(axis=1)
+    total = np.add.reduceat(np.where(code <= CLASSES, n, 0), edge).astype(np.float64)
+    cell = table.T[code]
+    gain = np.add.reduceat(_gain(cell + n[:, None]) - _gain(cell), edge, axis=0) - 2 * (_gain(size + total[:, None]) - _gain(size))
+    has = np.flatnonzero(own >= 0)
+    if len(has):
+        word = np.repeat(np.arange(len(own)), np.diff(first))
+        mine = table[np.maximum(own[word], 0), code]
+        stay = np.add.reduceat(_gain(mine) - _gain(np.maximum(mine - n, 0)), edge) - 2 * (_gain(size[own]) - _gain(np.maximum(size[own] - total, 0)))
+        gain[has, own[has]] = stay[has]
+    return np.argmax(gain, axis=1)
+
+
+def _assigned(batch: pa.RecordBatch, core: Table, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """contexts of the batch's words (first, code, n) and their classes after the sweeps over ``tables``."""
+    code, length = _bytes(batch.column("codes"))
+    n = np.frombuffer(_bytes(batch.column("counts"))[0].tobytes(), dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(length)))
+    own = core.of(batch.column("word").to_numpy(), -1)
+    for table in tables:
+        own = best_classes(first, code, n, own, table)
+    return first, code, n, own
+
+
+def class_table(contexts: DataFrame, core: Table, tables: list[np.ndarray]) -> np.ndarray:
+    """Context counts of the classes after the sweeps so far."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CODES, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                first, code, n, own = _assigned(batch, core, tables)
+                own = np.repeat(own, np.diff(first))
+                has = own >= 0
+                total += np.bincount(own[has] * CODES + code[has], n[has], CLASSES * CODES).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
+
+    return _cells(contexts.mapInArrow(count, "cell long, n long"), CLASSES, CODES)
+
+
+def _cells(df: DataFrame, *shape: int) -> np.ndarray:
+    """Sums of n by cell, as a matrix."""
+    found = df.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(int(np.prod(shape)))
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(shape)
+
+
+def cluster_words(training: DataFrame) -> DataFrame:
+    """word, n and cls of every training word."""
+    counts = count_words(training)
+    top = counts.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(CORE).toPandas()
+    words = np.sort(np.append(top["word"].to_numpy(np.int64), END))
+    core = Table(words, exchange(count_bigrams(training, words)))
+    contexts = stored(word_contexts(training, core))
+    tables: list[np.ndarray] = []
+    for _ in range(SWEEPS):
+        tables.append(class_table(contexts, core, tables))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _assigned(batch, core, tables)[3]
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own, pa.int32())], names=["word", "n", "cls"])
+
+    return stored(contexts.mapInArrow(assign, "word long, n long, cls int"))
+
+
 @dataclass
-class ClassModel:
-    units: Units
-    class_of: np.ndarray
-    #: log10 P(class | class before), and -log10 of each class's emission denominator.
-    transition: np.ndarray
-    emission: np.ndarray
+class Emissions:
+    """Totals of the words' table, and the frequent words of it."""
+
     tokens: int
     distinct: int
-    ends: int
-
-
-def fit_classes(documents: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of the training folds, and the table of all word counts that goes with it."""
-    training = documents.where(fold_of(F.col("doc_id"), FOLDS) != 0)
-    counts = stored(count_words(training))
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == int(END), F.col("n"))).alias("ends")).first()
-    common = counts.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas().sort_values("word")
-    units = Units(common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
-    rest = counts.where(F.col("word") != int(END)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # SUFFIXES rows
-    n, v = np.zeros(units.size), np.zeros(units.size)
-    n[: len(common)], v[: len(common)] = units.count, 1
-    n[FREQUENT + rest["suffix"].to_numpy(int)] = rest["n"]
-    v[FREQUENT + rest["suffix"].to_numpy(int)] = rest["v"]
-    np.subtract.at(n, FREQUENT + common["suffix"].to_numpy(int), units.count)
-    np.subtract.at(v, FREQUENT + common["suffix"].to_numpy(int), 1)
-    ends = int(total["ends"] or 0)
-    n[-1], v[-1] = ends, int(ends > 0)
-    bigrams = count_bigrams(training, units)
-    class_of = exchange(bigrams)
-    belongs = np.zeros((units.size, CLASSES))
-    belongs[np.arange(units.size), class_of] = 1
-    pairs = belongs.T @ bigrams @ belongs + SMOOTH_CLASS
-    emission = -np.log10(belongs.T @ n + SMOOTH_WORD * (belongs.T @ v + 1))
-    return ClassModel(units, class_of, np.log10(pairs / pairs.sum(axis=1, keepdims=True)), emission, int(total["n"] or 0), int(total["v"]), ends), counts
-
-
-_MAPPED = "row long, doc_id long, n_tokens long, n_known long, log_counts double, classes double, word long, first long, docs binary"
-
-
-def map_texts(documents: DataFrame, model: ClassModel) -> DataFrame:
-    """Rows of two kinds.  Documents: row, doc_id, n_tokens, what frequent words give (n_known, log_counts: sum of log10(c + 0.1)),
-    and classes (all that depends on classes only).  Posting lists: word, first row of the block and the
-    documents it occurs in, as 16-bit steps from there, once for each occurrence."""
-    units = model.units
-    logs = np.log10(np.append(units.count.astype(np.float64), model.ends) + SMOOTH_WORD)
-    step = model.transition[np.ix_(model.class_of, model.class_of)] + model.emission[model.class_of][None, :]
+    #: -log10 of each class's emission denominator.
+    denominator: np.ndarray
+    unknown: int
+    frequent: Table
+    counts: np.ndarray
+
+    @property
+    def end(self) -> int:
+        return int(self.frequent.of(np.array([END]), self.unknown)[0])
+
+
+def emissions(words: DataFrame) -> Emissions:
+    rows = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()  # CLASSES rows
+    n, v, once = (np.zeros(CLASSES) for _ in range(3))
+    for x, c in ((n, "n"), (v, "v"), (once, "once")):
+        x[rows["cls"].to_numpy(int)] = rows[c]
+    known = words.where(F.col("word") == int(END)).unionByName(words.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(FREQUENT)).toPandas().sort_values("word")
+    table = Table(known["word"].to_numpy(np.int64), known["cls"].to_numpy(np.int64))
+    return Emissions(int(n.sum()), int(v.sum()), -np.log10(n + SMOOTH_WORD * (v + 1)), int(np.argmax(once)), table, known["n"].to_numpy(np.int64))
+
+
+_MAPPED = "block long, word long, places binary, classes binary, docs array<struct<doc_id:long,n_tokens:long,n_known:long,log_counts:double>>"
+_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64())]))
+_ARROW = pa.schema([("block", pa.int64()), ("word", pa.int64()), ("places", pa.binary()), ("classes", pa.binary()), ("docs", _DOCS)])
+
+
+def map_texts(documents: DataFrame, e: Emissions) -> DataFrame:
+    """Rows of two kinds.  Blocks: block, classes (a byte a token, 255 where a task does not know the word) and docs, with what frequent
+    words give (n_known, log_counts: sum of log10(c + 0.1)).  Posting lists: block, word and places (32-bit) in the block."""
+    logs = np.log10(e.counts + SMOOTH_WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        row = 0
-        word_held: list[np.ndarray] = []
-        doc_held: list[np.ndarray] = []
-        first = 0
+        block = TaskContext.get().partitionId() << 33
+        for word, n, rows in token_blocks(batches):
+            at = e.frequent.place(word)
+            known = at >= 0
+            classes = np.where(known, e.frequent.value[at], _UNKNOWN).astype(np.uint8) if len(e.frequent.word) else np.full(len(word), _UNKNOWN, dtype=np.uint8)
+            edge = np.cumsum(n) - n
+            n_known = np.add.reduceat(known.astype(np.int64), edge)
+            log = np.add.reduceat(np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(word)), edge)
+            docs = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(n_known), pa.array(log)], fields=list(_DOCS.value_type))
+            whole = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs).cast(_DOCS)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([classes.tobytes()], pa.binary()), whole], schema=_ARROW)
+            place = np.flatnonzero(~known)
+            if len(place):
+                rare = word[place]
+                order = np.argsort(rare, kind="stable")
+                rare, place = rare[order], place[order].astype(np.uint32)
+                edge = np.flatnonzero(np.concatenate(([True], rare[1:] != rare[:-1])))
+                offsets = np.append(edge, len(rare)).astype(np.int32) * 4
+                lists = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(place)])
+                for a in range(0, len(edge), 65_536):
+                    part = slice(a, a + 65_536)
+                    m = len(edge[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(rare[edge[part]]), lists.slice(a, m), pa.nulls(m, pa.binary()), pa.nulls(m, _DOCS)], schema=_ARROW)
+            block += 1
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MAPPED)
+
+
+class _Block:
+    """One block, put together from its own row and its posting lists, whichever comes first."""
+
+    def __init__(self, unknown: int):
+        self.unknown, self.row, self.held = unknown, None, []
+
+    def add(self, place: np.ndarray, cls: np.ndarray, log: np.ndarray, known: np.ndarray) -> None:
+        self.held.append((place, cls.astype(np.uint8), log.astype(np.float64), known))
+
+    def done(self) -> pa.RecordBatch:
+        classes, docs = np.frombuffer(self.row[0], dtype=np.uint8).copy(), self.row[1]
+        n, n_known, log = (np.array(docs.field(c)) for c in ("n_tokens", "n_known", "log_counts"))
+        edge = np.cumsum(n)
+        for place, cls, more, known in self.held:
+            classes[place] = cls
+            doc = np.searchsorted(edge, place, "right")
+            log = log + np.bincount(doc, more, len(n))
+            n_known = n_known + np.bincount(doc[known], minlength=len(n))
+        offsets = np.concatenate(([0], edge)).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(classes)])
+        return pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(n), pa.array(n_known), pa.array(log), texts], names=["doc_id", "n_tokens", "n_known", "log_counts", "classes"])
+
+
+def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFrame:
+    """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text."""
+    mapped = stored(map_texts(documents, e))
+    known = words.select("word", "n", "cls")
+    lists = mapped.where("word is not null").select("block", "word", "places").join(known, "word", "left")
+    none = lambda t: F.lit(None).cast(t)
+    blocks = mapped.where("word is null").select("block", none("binary").alias("places"), none("long").alias("n"), none("int").alias("cls"), "classes", "docs")
+    rows = lists.select("block", "places", "n", "cls", none("binary").alias("classes"), none(mapped.schema["docs"].dataType).alias("docs")).unionByName(blocks)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Block] = {}
+        for batch in batches:
+            owner = batch.column("block").to_numpy()
+            whole = batch.column("classes").is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(whole).tolist():
+                held.setdefault(int(owner[i]), _Block(e.unknown)).row = (batch.column("classes")[i].as_py(), pa.concat_arrays([batch.column("docs")[i].values]))
+            rest = np.flatnonzero(~whole)
+            if not len(rest):
+                continue
+            part = batch.take(pa.array(rest))
+            owner = owner[rest]
+            raw, length = _bytes(part.column("places"))
+            place, length = np.frombuffer(raw.tobytes(), dtype=np.uint32).astype(np.int64), length // 4
+            n = part.column("n").fill_null(0).to_numpy()
+            cls = part.column("cls").fill_null(e.unknown).to_numpy()
+            log = np.log10(n + SMOOTH_WORD)
+            start = np.cumsum(length) - length
+            order = np.argsort(owner, kind="stable")
+            edge = np.flatnonzero(np.concatenate(([True], owner[order][1:] != owner[order][:-1], [True])))
+            for a, b in zip(edge, edge[1:]):
+                mine = order[a:b]
+                m = length[mine]
+                held.setdefault(int(owner[mine[0]]), _Block(e.unknown)).add(place[take_runs(start[mine], m)], np.repeat(cls[mine], m), np.repeat(log[mine], m), np.repeat(n[mine] > 0, m))
+        for block in list(held):
+            made = held.pop(block).done()
+            for a in range(0, made.num_rows, 4096):
+                yield made.slice(a, 4096)
+
+    n_blocks = mapped.where("word is null").count()
+    parts = max(n_blocks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "block").mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary")
+
+
+def count_transitions(texts: DataFrame, end: int) -> np.ndarray:
+    """Class bigram counts of the training texts."""
 
-        def postings() -> Iterator[pa.RecordBatch]:
-            if not word_held:
-                return
-            word, doc = np.concatenate(word_held), np.concatenate(doc_held)
-            order = np.argsort(word, kind="stable")
-            word, doc = word[order], (doc[order] - first).astype(np.uint16)
-            edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            offsets = np.append(edge, len(word)).astype(np.int32) * 2
-            lists = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(doc)])
-            whole = pa.table({"word": word[edge], "first": np.full(len(edge), base + first), "docs": lists})
-            for part in whole.to_batches(max_chunksize=65_536):
-                yield padded(part)
-
-        for batch in pieces(batches, most=2 << 20):
-            for a in range(0, batch.num_rows, BLOCK_DOCS):
-                part = batch.slice(a, BLOCK_DOCS)
-                if sum(map(len, word_held)) > BLOCK_TOKENS or row + part.num_rows - first > BLOCK_DOCS:
-                    yield from postings()
-                    word_held, doc_held, first = [], [], row
-                words, word, doc, unit, before = units.chain(part.column("text"))
-                n = part.num_rows
-                known = (unit < FREQUENT) | ((unit == units.size - 1) & (model.ends > 0))
-                frequent = (unit < FREQUENT) | (unit == units.size - 1)
-                value = np.where(unit == units.size - 1, logs[-1], logs[np.minimum(unit, len(logs) - 1)])
-                made = pa.table({
-                    "row": base + row + np.arange(n), "doc_id": part.column("doc_id").cast(pa.int64()), "n_tokens": np.bincount(doc, minlength=n), "n_known": np.bincount(doc[known], minlength=n),
-                    "log_counts": np.bincount(doc[frequent], value[frequent], n), "classes": np.bincount(doc, step[before, unit], n),
-                })
-                yield from (padded(x) for x in made.to_batches())
-                place = np.arange(len(word)) + words.doc
-                rare = ~frequent[place]
-                word_held.append(word[rare])
-                doc_held.append(words.doc[rare] + row)
-                row += n
-        yield from postings()
-
-    return documents.select("doc_id", "text").mapInArrow(run, _MAPPED)
-
-
-_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("classes", pa.float64()), ("word", pa.int64()), ("first", pa.int64()), ("docs", pa.binary())])
-
-
-def padded(batch: pa.RecordBatch) -> pa.RecordBatch:
-    have = set(batch.schema.names)
-    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in _ARROW], schema=_ARROW)
-
-
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the posting lists of whole blocks give each document: the sum of log10(c + 0.1), and how many words are known.
-
-    All lists of a block meet here, so each document leaves in one row; a block holds at most BLOCK_DOCS documents."""
-    known: dict[int, np.ndarray] = {}
-    logs: dict[int, np.ndarray] = {}
-    for batch in batches:
-        docs = batch.column("docs")
-        if not len(docs):
-            continue
-        offsets = np.frombuffer(docs.buffers()[1], dtype=np.int32)[docs.offset : docs.offset + len(docs) + 1].astype(np.int64)
-        steps = np.frombuffer(docs.buffers()[2], dtype=np.uint16)
-        first, n = batch.column("first").to_numpy(), batch.column("n").to_numpy()
-        order = np.argsort(first, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], first[order][1:] != first[order][:-1], [True])))
-        for x, y in zip(edge, edge[1:]):
-            rows = order[x:y]
-            size = (offsets[rows + 1] - offsets[rows]) // 2
-            step = steps[take_runs(offsets[rows] // 2, size)].astype(np.int64)
-            block = int(first[rows[0]])
-            if block not in logs:
-                known[block], logs[block] = np.zeros(0, dtype=np.int64), np.zeros(0)
-            width = max(len(logs[block]), int(step.max()) + 1)
-            known[block].resize(width, refcheck=False)
-            logs[block].resize(width, refcheck=False)
-            known[block] += np.bincount(step[np.repeat(n[rows] > 0, size)], minlength=width)
-            logs[block] += np.bincount(step, np.repeat(np.log10(n[rows] + SMOOTH_WORD), size), width)
-    for block in logs:
-        for a in range(0, len(logs[block]), 1 << 14):
-            part = slice(a, a + (1 << 14))
-            rows = block + a + np.arange(len(logs[block][part]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(known[block][part]), pa.array(logs[block][part])], names=["row", "more_known", "more"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                now, before, _ = _pairs(batch.column("classes"), end)
+                total += np.bincount(before * CLASSES + now, minlength=CLASSES * CLASSES)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
+
+    training = texts.where(fold_of(F.col("doc_id"), FOLDS) != 0)
+    return _cells(training.select("classes").mapInArrow(count, "cell long, n long"), CLASSES, CLASSES)
+
+
+def _pairs(classes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token, class before it (that of the end at a text's start), and where each text starts."""
+    raw, length = _bytes(classes)
+    now = raw.astype(np.int64)
+    edge = np.cumsum(length) - length
+    before = shifted(now, end)
+    before[edge] = end
+    return now, before, edge
 
 
 def score_texts(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (class bigrams) and perplexity
     of every whole text; scores are log10 probabilities."""
-    model, counts = fit_classes(documents)
-    mapped = stored(map_texts(documents, model))
-    lists = mapped.where(F.col("word").isNotNull()).select("word", "first", "docs").join(counts.select("word", "n"), "word", "left").select("first", "docs", F.coalesce("n", F.lit(0)).alias("n"))
-    others = lists.repartition("first").mapInArrow(add_up, "row long, more_known long, more double")
-    rows = mapped.where(F.col("row").isNotNull()).select("row", "doc_id", "n_tokens", "n_known", "log_counts", "classes").join(others, "row", "left")
-    logs = F.col("log_counts") + F.coalesce("more", F.lit(0.0))
-    denominator = float(np.log10(model.tokens + SMOOTH_WORD * (model.distinct + 1)))
-    score = logs + F.col("classes")
+    words = cluster_words(documents.where(fold_of(F.col("doc_id"), FOLDS) != 0))
+    e = emissions(words)
+    texts = stored(class_texts(documents, words, e))
+    pairs = count_transitions(texts, e.end) + SMOOTH_CLASS
+    step = np.log10(pairs / pairs.sum(axis=1, keepdims=True)) + e.denominator[None, :]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                now, before, edge = _pairs(batch.column("classes"), e.end)
+                made = np.add.reduceat(step[before, now], edge)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "log_counts")), pa.array(made)], names=["doc_id", "n_tokens", "n_known", "log_counts", "of_classes"])
+
+    rows = texts.mapInArrow(score, "doc_id long, n_tokens long, n_known long, log_counts double, of_classes double")
+    denominator = float(np.log10(e.tokens + SMOOTH_WORD * (e.distinct + 1)))
+    total = F.col("log_counts") + F.col("of_classes")
     return rows.select(
-        "doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * denominator).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * denominator).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
 
 

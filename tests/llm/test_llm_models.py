@@ -60,24 +60,114 @@ def test_words_match_the_pattern():
     assert len(grams(h[:3], 5)) == 0 and take_runs(np.array([3, 7]), np.array([2, 0])).tolist() == [3, 4]
 
 
+def word_hash(word):
+    return int(lm.END) if word is None else int(find_words(pa.array([word]), SPACED).hashes().view(np.int64)[0])
+
+
+def tokens_of(rows):
+    return [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t or "")) + [None]) for i, t, _ in rows]
+
+
+def plain_classes(train, core, sweeps):
+    """Classes of all words by the docstring: contexts by core classes, then sweeps of all words at once."""
+    left, right = {}, {}
+    for w in train:
+        for a, b in zip([None, *w], w):
+            left.setdefault(b, Counter())[core.get(a, "other")] += 1
+            right.setdefault(a, Counter())[core.get(b, "other")] += 1
+    own = dict(core)
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    context = {w: {**{("r", c): n for c, n in right[w].items()}, **{("l", c): n for c, n in left[w].items()}} for w in left}
+    for _ in range(sweeps):
+        table, size = Counter(), Counter()
+        for w, cs in context.items():
+            if w in own:
+                size[own[w]] += sum(right[w].values())
+                for c, n in cs.items():
+                    table[own[w], c] += n
+        new = {}
+        for w, cs in context.items():
+            total = sum(right[w].values())
+            gains = []
+            for k in range(lm.CLASSES):
+                if own.get(w) == k:
+                    gains.append(sum(f(table[k, c]) - f(table[k, c] - n) for c, n in cs.items()) - 2 * (f(size[k]) - f(size[k] - total)))
+                else:
+                    gains.append(sum(f(table[k, c] + n) - f(table[k, c]) for c, n in cs.items()) - 2 * (f(size[k] + total) - f(size[k])))
+            new[w] = max(range(lm.CLASSES), key=lambda k: (round(gains[k], 7), -k))
+        own = new
+    return own
+
+
+def test_all_words_are_clustered_as_brute_force_does(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CORE", 12)
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    monkeypatch.setattr(lm, "CODES", 12)
+    monkeypatch.setattr(lm, "LOOSE", 6)
+    rows = corpus(120, 9) + [(500 + i, t, None) for i, t in enumerate(ODD)]
+    train = [w for _, w in tokens_of(rows)]
+    c = Counter(x for w in train for x in w)
+    # the clustering runs in tasks that import the module anew, so its steps are called here on arrays
+    words = [w for w, _ in sorted(((w, n) for w, n in c.items() if w is not None), key=lambda x: (-x[1], word_hash(x[0])))[:12]]
+    rnd = random.Random(2)
+    core = {w: rnd.randrange(5) for w in [*words, None]}
+    order = sorted(core, key=word_hash)
+    table = lm.Table(np.array([word_hash(w) for w in order]), np.array([core[w] for w in order]))
+    want = plain_classes(train, core, 2)
+    flat = [x for w in train for x in w]
+    own = table.of(np.array([word_hash(w) for w in flat]), 5)
+    right, left = np.roll(own, -1), np.roll(own, 1) + 6
+    pairs = {}
+    for w, r, left_code in zip(flat, right.tolist(), left.tolist()):
+        pairs.setdefault(w, Counter()).update([r, left_code])
+    names = sorted(pairs, key=word_hash)
+    first = np.concatenate(([0], np.cumsum([len(pairs[w]) for w in names])))
+    code = np.array([k for w in names for k in sorted(pairs[w])])
+    n = np.array([pairs[w][k] for w in names for k in sorted(pairs[w])])
+    now = table.of(np.array([word_hash(w) for w in names]), -1)
+    for _ in range(2):
+        whole = np.zeros((5, 12))
+        flat_own = np.repeat(now, np.diff(first))
+        np.add.at(whole, (flat_own[flat_own >= 0], code[flat_own >= 0]), n[flat_own >= 0])
+        now = lm.best_classes(first, code, n, now, whole)
+    assert [want[w] for w in names] == now.tolist()
+
+
+def test_contexts_are_counted_whole(spark):
+    rows = corpus(80, 10) + [(900 + i, t, None) for i, t in enumerate(ODD)]
+    df = docs(spark, rows).repartition(4)
+    train = [w for _, w in tokens_of(rows)]
+    common = [w for w, _ in Counter(x for w in train for x in w).most_common(20)]
+    order = sorted({*common, None}, key=word_hash)
+    core = lm.Table(np.array([word_hash(w) for w in order]), np.arange(len(order)) % lm.CLASSES)
+    cls = {w: i % lm.CLASSES for i, w in enumerate(order)}
+    left, right = {}, {}
+    for w in train:
+        for a, b in zip([None, *w], w):
+            left.setdefault(word_hash(b), Counter())[cls.get(a, lm.CLASSES) + lm.CLASSES + 1] += 1
+            right.setdefault(word_hash(a), Counter())[cls.get(b, lm.CLASSES)] += 1
+    got = lm.word_contexts(df, core).collect()
+    assert len(got) == len(left)
+    for r in got:
+        codes, counts = np.frombuffer(r["codes"], np.uint8), np.frombuffer(r["counts"], np.int64)
+        assert dict(zip(codes.tolist(), counts.tolist())) == dict(left[r["word"]] + right[r["word"]]) and r["n"] == sum(left[r["word"]].values())
+
+
 def test_language_model_equals_its_definition(spark):
     rows = corpus() + [(1000 + i, t, None) for i, t in enumerate(ODD)] + [(None, "no id here", None), (5, rows_text := "twice the same", None), (5, rows_text, None)]
     df = docs(spark, rows)
-    model, counts = lm.fit_classes(df)
+    words = lm.cluster_words(df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0))
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score_texts(df).collect())
-    tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t or "")) + [None]) for i, t, _ in rows]
+    tokens = tokens_of(rows)
     train = [w for i, w in tokens if fold(i, 10) not in (None, 0)]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    assert counts.count() == v and model.tokens == n
-
-    def unit(word):
-        if word is None:
-            return model.units.size - 1
-        w = find_words(pa.array([word]), SPACED)
-        return int(model.units.of(w.hashes().view(np.int64), lm.suffix_groups(w))[0])
-
-    cls = {w: int(model.class_of[unit(w)]) for _, ws in tokens for w in ws}
+    held = {r["word"]: (r["n"], r["cls"]) for r in words.collect()}
+    assert {w: k for w, (k, _) in held.items()} == {word_hash(w): k for w, k in c.items()}
+    once = Counter(k for m, k in held.values() if m == 1)
+    unknown = min(once, key=lambda k: (-once[k], k))
+    cls = {w: held.get(word_hash(w), (0, unknown))[1] for _, ws in tokens for w in ws}
+    assert len(set(cls.values())) > 3
     n_class, v_class = Counter(), Counter()
     for w, k in c.items():
         n_class[cls[w]] += k
@@ -96,9 +186,21 @@ def test_language_model_equals_its_definition(spark):
             score += math.log10((c[b] + 0.1) / (n_class[cb] + 0.1 * (v_class[cb] + 1)))
         want[(i, fold(i, 10) == 0, len(w), sum(x in c for x in w), n, round(base, 6), round(score, 6))] += 1
     assert got == want
-    held = [(r["base_score"], r["score"]) for r in lm.score_texts(df).where("held_out and doc_id < 1000").collect()]
-    assert sum(s for _, s in held) > sum(b for b, _ in held)
+    held_out = [(r["base_score"], r["score"]) for r in lm.score_texts(df).where("held_out and doc_id < 1000").collect()]
+    assert sum(s for _, s in held_out) > sum(b for b, _ in held_out)
     assert lm.score_texts(df.limit(0)).count() == 0
+    untrained = lm.score_texts(df.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()
+    assert {(r["n_known"], r["train_tokens"]) for r in untrained} == {(0, 0)}
+
+
+def test_language_model_with_rare_words_in_many_blocks(spark, monkeypatch):
+    """Posting lists: with few frequent words and small blocks the scores are the same."""
+    df = docs(spark, corpus(150, 12) + [(700, "word rare1 rare2 " * 20_000, None)]).repartition(3)
+    words = lm.cluster_words(df)
+    whole = lm.emissions(words)
+    e = lm.Emissions(whole.tokens, whole.distinct, whole.denominator, whole.unknown, lm.Table(whole.frequent.word[:3], whole.frequent.value[:3]), whole.counts[:3])
+    texts = lambda x: sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["log_counts"], 6), bytes(r["classes"])) for r in lm.class_texts(df, words, x).collect())
+    assert texts(whole) == texts(e)
 
 
 def test_exchange_raises_the_likelihood():
