@@ -16,6 +16,7 @@ deleted run go with it.
    their places: the join's one side has a row per hash, so a very frequent line can be dealt over many tasks.
 3. A line repeats if its place comes after the first.  So it is compared with all earlier places at once.
 4. Neighbouring repeating lines make runs; the runs' words decide.
+5. Texts with runs meet them by a shuffle.  A bitmap of fixed size over the hashes of those texts lets nearly all others pass without one.
 
 Rows that share a doc_id have the same place in the order, so equal lines at the same position of such rows are
 both first.  Their texts are told apart by hash.  Null doc_ids come last; null texts stay null and have no lines, empty
@@ -28,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import packed, read_table, stored, unpacked
+from .text import packed, read_table, scratch, stored
 
 #: Words from which a run is deleted.  A passage of 50 words may lose its first and last sentence to
 #: the sentences around it, so the bound on whole repeated lines is half of that.
 MIN_WORDS = 25
 _LAST = (1 << 63) - 1
+#: Bits of the bitmap of texts with runs (2 MB); a bit that several texts share only sends more of them through the shuffle.
+BITS = 1 << 24
 #: The character that ends a line, and the place after it.  Both test one character before they look behind.
 _END, _CUT = r"[\n ](?<=\n|[.!?] )", r"(?<=[\n ])(?<=\n|[.!?] )"
 
@@ -77,15 +80,16 @@ def _order() -> Column:
 
 
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The runs to delete: place and body of the document, and runs: array of (first, last, words)."""
-    lines = stored(line_places(df))
-    first = stored(lines.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
-    later = lines.join(first, "print").where(_order() > F.col("first")).select("place", "body", "pos", "line", "w")
-    marked = later.distinct()  # rows that share doc_id and text
-    of_text = Window.partitionBy("place", "body").orderBy("pos")
-    run = marked.withColumn("run", F.col("pos") - F.row_number().over(of_text))
-    runs = run.groupBy("place", "body", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("place", "body").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs"))
+    """The runs to delete, as a stored table: place and body of the document, and runs: array of (first, last, words)."""
+    with scratch(df.sparkSession) as kept:
+        lines = kept(line_places(df))
+        first = kept(lines.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1").drop("n"))
+        later = lines.join(first, "print").where(_order() > F.col("first")).select("place", "body", "pos", "line", "w")
+        marked = later.distinct()  # rows that share doc_id and text
+        of_text = Window.partitionBy("place", "body").orderBy("pos")
+        run = marked.withColumn("run", F.col("pos") - F.row_number().over(of_text))
+        runs = run.groupBy("place", "body", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).where(F.col("words") >= min_words)
+        return stored(runs.groupBy("place", "body").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs")))
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -93,10 +97,18 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, report: bool = False)
 
     ``report``: n_lines, n_deleted and words_deleted are added; input columns of these names give way to them.
     """
-    runs = stored(repeated_runs(df.select("doc_id", "text"), min_words))
+    runs = repeated_runs(df.select("doc_id", "text"), min_words)
     row, found = F.col("row"), F.col("runs")
     text = row["text"]
-    met = packed(df).select("row", *_keys(text, row["doc_id"])).join(runs, ["place", "body"], "left")
+    bit = F.pmod("body", F.lit(BITS))
+    bitmap = runs.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    keyed = packed(df).select("row", *_keys(text, row["doc_id"])).withColumn("bit", bit)
+    keyed = keyed.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bitmap), "bucket", "left")  # BITS / 32768 rows
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    through = keyed.where(may).select("row", "place", "body").join(runs, ["place", "body"], "left").select("row", "runs")
+    met = keyed.where(~may).select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")).unionByName(through)
     left = F.array_join(F.filter(lines_of(text), lambda s, i: ~F.exists(found, lambda r: i.between(r["first"], r["last"]))), "")
     met = met.withColumn("left", F.when(found.isNotNull(), left))
     new = {"text": F.coalesce("left", text)}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import SPACED, find_words, fold_of, pieces, read_table, stored, take_runs
+from .text import SPACED, find_words, fold_of, pieces, read_table, scratch, stored, take_runs
 
 CORE, CLASSES = 1024, 32
 CORE_SWEEPS, SWEEPS = 8, 2
@@ -331,10 +331,7 @@ def cluster_words(training: DataFrame) -> DataFrame:
     top = counts.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(CORE).toPandas()
     words = np.sort(np.append(top["word"].to_numpy(np.int64), END))
     core = Table(words, exchange(count_bigrams(training, words)))
-    contexts = stored(word_contexts(training, core))
     tables: list[np.ndarray] = []
-    for _ in range(SWEEPS):
-        tables.append(class_table(contexts, core, tables))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +339,11 @@ def cluster_words(training: DataFrame) -> DataFrame:
                 own = _assigned(batch, core, tables)[3]
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own, pa.int32())], names=["word", "n", "cls"])
 
-    return stored(contexts.mapInArrow(assign, "word long, n long, cls int"))
+    with scratch(training.sparkSession) as kept:
+        contexts = kept(word_contexts(training, core))
+        for _ in range(SWEEPS):
+            tables.append(class_table(contexts, core, tables))
+        return stored(contexts.mapInArrow(assign, "word long, n long, cls int"))
 
 
 @dataclass
@@ -437,14 +438,8 @@ class _Block:
 
 
 def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFrame:
-    """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text."""
-    mapped = stored(map_texts(documents, e))
+    """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text, as a stored table."""
     known = words.select("word", "n", "cls")
-    lists = mapped.where("word is not null").select("block", "word", "places").join(known, "word", "left")
-    none = lambda t: F.lit(None).cast(t)
-    blocks = mapped.where("word is null").select("block", none("binary").alias("places"), none("long").alias("n"), none("int").alias("cls"), "classes", "docs")
-    rows = lists.select("block", "places", "n", "cls", none("binary").alias("classes"), none(mapped.schema["docs"].dataType).alias("docs")).unionByName(blocks)
-
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Block] = {}
         for batch in batches:
@@ -474,9 +469,14 @@ def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFra
             for a in range(0, made.num_rows, 4096):
                 yield made.slice(a, 4096)
 
-    n_blocks = mapped.where("word is null").count()
-    parts = max(n_blocks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "block").mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary")
+    with scratch(documents.sparkSession) as kept:
+        mapped = kept(map_texts(documents, e))
+        lists = mapped.where("word is not null").select("block", "word", "places").join(known, "word", "left")
+        none = lambda t: F.lit(None).cast(t)
+        blocks = mapped.where("word is null").select("block", none("binary").alias("places"), none("long").alias("n"), none("int").alias("cls"), "classes", "docs")
+        rows = lists.select("block", "places", "n", "cls", none("binary").alias("classes"), none(mapped.schema["docs"].dataType).alias("docs")).unionByName(blocks)
+        parts = max(blocks.count(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return stored(rows.repartition(parts, "block").mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary"))
 
 
 def count_transitions(texts: DataFrame, end: int) -> np.ndarray:
@@ -510,7 +510,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
     of every whole text; scores are log10 probabilities."""
     words = cluster_words(documents.where(fold_of(F.col("doc_id"), FOLDS) != 0))
     e = emissions(words)
-    texts = stored(class_texts(documents, words, e))
+    texts = class_texts(documents, words, e)
     pairs = count_transitions(texts, e.end) + SMOOTH_CLASS
     step = np.log10(pairs / pairs.sum(axis=1, keepdims=True)) + e.denominator[None, :]
 

@@ -8,7 +8,9 @@ bytes as on characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,12 +206,22 @@ def with_rows(batch: pa.RecordBatch, names: list[str], columns: dict[str, object
     return pa.RecordBatch.from_arrays([pa.array(have[f.name], type=f.type) if not isinstance(have[f.name], pa.Array) else have[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The frame's rows, written as Parquet to the shared checkpoint folder and read again: smaller than a
     checkpoint, and later steps read only the columns they use."""
-    import uuid
-
     ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder or df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``stored`` for tables that nothing reads after the block: their folder is deleted at its end."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df: stored(df, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
