@@ -26,6 +26,7 @@ empty result.  Extra columns may have any name.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +40,11 @@ from .text import SPACED, find_words, fold_of, pieces, read_table, scratch, stor
 CORE, CLASSES = 1024, 32
 CORE_SWEEPS, SWEEPS = 8, 2
 #: Words whose class and count every task holds (17 bytes each).
-FREQUENT = 16_384
+FREQUENT = 100_000
 SMOOTH_WORD, SMOOTH_CLASS = 0.1, 0.5
 FOLDS = 10
 #: Tokens of one block, unless a single text has more.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 #: Contexts of a word in a block that leave one by one; more are folded to counts.
 LOOSE = 512
 #: The end of a text, counted as a word.  Its hash can't be told from a word's with that hash.
@@ -373,14 +374,10 @@ def emissions(words: DataFrame) -> Emissions:
     return Emissions(int(n.sum()), int(v.sum()), -np.log10(n + SMOOTH_WORD * (v + 1)), int(np.argmax(once)), table, known["n"].to_numpy(np.int64))
 
 
-_MAPPED = "block long, word long, places binary, classes binary, docs array<struct<doc_id:long,n_tokens:long,n_known:long,log_counts:double>>"
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64())]))
-_ARROW = pa.schema([("block", pa.int64()), ("word", pa.int64()), ("places", pa.binary()), ("classes", pa.binary()), ("docs", _DOCS)])
-
-
 def map_texts(documents: DataFrame, e: Emissions) -> DataFrame:
-    """Rows of two kinds.  Blocks: block, classes (a byte a token, 255 where a task does not know the word) and docs, with what frequent
-    words give (n_known, log_counts: sum of log10(c + 0.1)).  Posting lists: block, word and places (32-bit) in the block."""
+    """Rows of two kinds, of few and flat columns.  Blocks: block and data, the pickled arrays of its documents (doc_id, n_tokens, and what
+    frequent words give: n_known, log_counts, the sum of log10(c + 0.1)) and of its classes (a byte a token, 255 where a task does
+    not know the word).  Posting lists: block, word and data, the word's places (32-bit) in the block."""
     logs = np.log10(e.counts + SMOOTH_WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,13 +387,12 @@ def map_texts(documents: DataFrame, e: Emissions) -> DataFrame:
         for word, n, rows in token_blocks(batches):
             at = e.frequent.place(word)
             known = at >= 0
-            classes = np.where(known, e.frequent.value[at], _UNKNOWN).astype(np.uint8) if len(e.frequent.word) else np.full(len(word), _UNKNOWN, dtype=np.uint8)
+            classes = np.where(known, e.frequent.value[at], _UNKNOWN).astype(np.uint8) if len(logs) else np.full(len(word), _UNKNOWN, dtype=np.uint8)
             edge = np.cumsum(n) - n
             n_known = np.add.reduceat(known.astype(np.int64), edge)
             log = np.add.reduceat(np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(word)), edge)
-            docs = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(n_known), pa.array(log)], fields=list(_DOCS.value_type))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs).cast(_DOCS)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([classes.tobytes()], pa.binary()), whole], schema=_ARROW)
+            data = pickle.dumps((rows.column("doc_id").to_pylist(), n, n_known, log, classes), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], names=["block", "word", "data"])
             place = np.flatnonzero(~known)
             if len(place):
                 rare = word[place]
@@ -405,13 +401,10 @@ def map_texts(documents: DataFrame, e: Emissions) -> DataFrame:
                 edge = np.flatnonzero(np.concatenate(([True], rare[1:] != rare[:-1])))
                 offsets = np.append(edge, len(rare)).astype(np.int32) * 4
                 lists = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(place)])
-                for a in range(0, len(edge), 65_536):
-                    part = slice(a, a + 65_536)
-                    m = len(edge[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(rare[edge[part]]), lists.slice(a, m), pa.nulls(m, pa.binary()), pa.nulls(m, _DOCS)], schema=_ARROW)
+                yield from pa.table({"block": np.full(len(edge), block), "word": rare[edge], "data": lists}).to_batches(max_chunksize=65_536)
             block += 1
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MAPPED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, word long, data binary")
 
 
 class _Block:
@@ -424,8 +417,7 @@ class _Block:
         self.held.append((place, cls.astype(np.uint8), log.astype(np.float64), known))
 
     def done(self) -> pa.RecordBatch:
-        classes, docs = np.frombuffer(self.row[0], dtype=np.uint8).copy(), self.row[1]
-        n, n_known, log = (np.array(docs.field(c)) for c in ("n_tokens", "n_known", "log_counts"))
+        doc_id, n, n_known, log, classes = self.row
         edge = np.cumsum(n)
         for place, cls, more, known in self.held:
             classes[place] = cls
@@ -434,28 +426,25 @@ class _Block:
             n_known = n_known + np.bincount(doc[known], minlength=len(n))
         offsets = np.concatenate(([0], edge)).astype(np.int32)
         texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(classes)])
-        return pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(n), pa.array(n_known), pa.array(log), texts], names=["doc_id", "n_tokens", "n_known", "log_counts", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n), pa.array(n_known), pa.array(log), texts], names=["doc_id", "n_tokens", "n_known", "log_counts", "classes"])
 
 
 def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFrame:
     """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text, as a stored table."""
-    known = words.select("word", "n", "cls")
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Block] = {}
         for batch in batches:
-            owner = batch.column("block").to_numpy()
-            whole = batch.column("classes").is_valid().to_numpy(zero_copy_only=False)
+            owner, n = batch.column("block").to_numpy(), batch.column("n").to_numpy()
+            whole = n < 0
             for i in np.flatnonzero(whole).tolist():
-                held.setdefault(int(owner[i]), _Block(e.unknown)).row = (batch.column("classes")[i].as_py(), pa.concat_arrays([batch.column("docs")[i].values]))
+                held.setdefault(int(owner[i]), _Block(e.unknown)).row = pickle.loads(batch.column("data")[i].as_py())
             rest = np.flatnonzero(~whole)
             if not len(rest):
                 continue
-            part = batch.take(pa.array(rest))
-            owner = owner[rest]
-            raw, length = _bytes(part.column("places"))
+            part = batch.take(pa.array(rest)) if whole.any() else batch
+            owner, n, cls = (part.column(c).to_numpy() for c in ("block", "n", "cls"))
+            raw, length = _bytes(part.column("data"))
             place, length = np.frombuffer(raw.tobytes(), dtype=np.uint32).astype(np.int64), length // 4
-            n = part.column("n").fill_null(0).to_numpy()
-            cls = part.column("cls").fill_null(e.unknown).to_numpy()
             log = np.log10(n + SMOOTH_WORD)
             start = np.cumsum(length) - length
             order = np.argsort(owner, kind="stable")
@@ -471,12 +460,11 @@ def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFra
 
     with scratch(documents.sparkSession) as kept:
         mapped = kept(map_texts(documents, e))
-        lists = mapped.where("word is not null").select("block", "word", "places").join(known, "word", "left")
-        none = lambda t: F.lit(None).cast(t)
-        blocks = mapped.where("word is null").select("block", none("binary").alias("places"), none("long").alias("n"), none("int").alias("cls"), "classes", "docs")
-        rows = lists.select("block", "places", "n", "cls", none("binary").alias("classes"), none(mapped.schema["docs"].dataType).alias("docs")).unionByName(blocks)
+        blocks = mapped.where("word is null").select("block", "data", F.lit(-1).cast("long").alias("n"), F.lit(0).alias("cls"))
+        lists = mapped.where("word is not null").join(words, "word", "left").select("block", "data", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("cls", F.lit(e.unknown)).alias("cls"))
         parts = max(blocks.count(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return stored(rows.repartition(parts, "block").mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary"))
+        rows = lists.unionByName(blocks).repartition(parts, "block")
+        return stored(rows.mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary"))
 
 
 def count_transitions(texts: DataFrame, end: int) -> np.ndarray:
