@@ -5,12 +5,13 @@ space).  Every language has up to ``CENTROIDS`` centroids, found by spherical k-
 a text takes the language of the centroid with the largest cosine.  Each centroid also knows how close
 its training texts come; a text farther away than all but a hundredth of them is marked as rejected.
 
-Only the fit is bounded: about ``PER_LANG`` texts of each of the ``LANGS`` most frequent languages, picked by a hash
-of doc_id.  Their vectors are made by tasks and clustered on the driver.  Prediction is a map over all
-whole texts.
+Inverse document frequencies come from all training texts: tasks count, and BUCKETS numbers reach the driver.  Only the centroids are fitted on
+a bounded sample, about ``PER_LANG`` texts of every language, picked by a hash of doc_id.  Their vectors are made by tasks and
+clustered on the driver, one language at a time.  Prediction is a map over all whole texts.
 
 Learned from: rows with text and lang whose crc32 of doc_id as text modulo 3 is not 1.  A null text or one without a letter is
-``und`` with score 0, and so is every text when nothing can be learned.  Equally near languages: the first by name.
+``und`` with score 0, and so is every text when nothing can be learned.  Equally near languages: the first by name.  Repeated rows each count and
+are each predicted; a text of any length is one vector; an empty table gives an empty result.  Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fold_of, pieces, read_table
+from .text import fold_of, own_first, pieces, read_table
 
 BUCKETS = 4096
 CENTROIDS = 3
-#: Training texts of each language (about), and languages.
-PER_LANG, LANGS = 800, 200
+#: Texts of each language that its centroids are fitted on (about).
+PER_LANG = 800
 FOLDS = 3
 #: Rows turned into vectors at once.
 ROWS = 1024
@@ -133,11 +134,32 @@ class LanguageModel:
         return [self.langs[p] if h else "und" for p, h in zip(pick.tolist(), has.tolist())], score, far
 
 
-def fit_languages(documents: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS, k: int = CENTROIDS) -> LanguageModel:
-    """A model from about ``per_lang`` texts of each of the ``langs`` most frequent languages of the training folds."""
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of the texts with a letter hold each bucket, and how many such texts there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, dtype=np.int64)
+        for batch in pieces(batches, most=2 << 20):
+            for at in range(0, batch.num_rows, ROWS):
+                _, bucket, _, has = gram_counts(batch.slice(at, ROWS).column("text").to_pylist())
+                total[:-1] += np.bincount(bucket, minlength=BUCKETS)
+                total[-1] += has.sum()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS + 1 rows
+    out = np.zeros(BUCKETS + 1, dtype=np.int64)
+    out[found["bucket"].to_numpy(int)] = found["n"]
+    return out[:-1], int(out[-1])
+
+
+def fit_languages(documents: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS) -> LanguageModel:
+    """A model from all texts of the training folds (frequencies) and about ``per_lang`` texts of each language (centroids)."""
     rows = documents.select("doc_id", "text", "lang").where((fold_of(F.col("doc_id"), FOLDS) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("rate"))
-    chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < F.col("rate")).select("doc_id", "lang", "text")
+    rates = rows.groupBy("lang").count().select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("rate"))
+    # A row a language.  The hash covers the text, so that one doc_id of many rows is sampled like others.
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    chosen = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("doc_id", "lang", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -145,25 +167,24 @@ def fit_languages(documents: DataFrame, per_lang: int = PER_LANG, langs: int = L
                 part = batch.slice(at, ROWS)
                 row, bucket, count, has = gram_counts(part.column("text").to_pylist())
                 edge = np.searchsorted(row, np.arange(part.num_rows + 1))
-                packed = [(bucket[a:b].astype(np.uint16).tobytes(), np.minimum(count[a:b], 65_535).astype(np.uint16).tobytes()) for a, b in zip(edge, edge[1:])]
+                packed = [(bucket[a:b].astype(np.uint16).tobytes(), count[a:b].astype(np.int64).tobytes()) for a, b in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([p for p, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["doc_id", "lang", "bucket", "n"])
 
     schema = T.StructType([documents.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("bucket", T.BinaryType()), T.StructField("n", T.BinaryType())])
     found = chosen.mapInArrow(describe, schema).toPandas()
-    found = found[found["bucket"].map(len) > 0].sort_values(["lang", "doc_id"], kind="stable")
+    found = found[found["bucket"].map(len) > 0].sort_values(["lang", "doc_id", "bucket", "n"], kind="stable")
     if not len(found):
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(0))
+    frequency, n_texts = document_frequencies(rows)
+    idf = (np.log((1 + n_texts) / (1 + frequency)) + 1).astype(np.float32)
     names = sorted(found["lang"].unique())
-    x = np.zeros((len(found), BUCKETS), dtype=np.float32)
-    for i, (b, n) in enumerate(zip(found["bucket"], found["n"])):
-        x[i, np.frombuffer(b, np.uint16)] = 1 + np.log(np.frombuffer(n, np.uint16))
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    lang = np.searchsorted(names, found["lang"].to_numpy())
     centroids, lang_of, least = [], [], []
-    for i in range(len(names)):
-        mine = x[lang == i]
+    for i, (_, texts) in enumerate(found.groupby("lang", sort=True)):
+        mine = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+        for row, (b, n) in zip(mine, zip(texts["bucket"], texts["n"])):
+            at = np.frombuffer(b, np.uint16)
+            row[at] = (1 + np.log(np.frombuffer(n, np.int64))) * idf[at]
+        mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-9)
         c, own = spherical_means(mine, k)
         for j in range(len(c)):
             near = (mine[own == j] @ c[j]) if (own == j).any() else np.ones(1)
@@ -173,17 +194,21 @@ def fit_languages(documents: DataFrame, per_lang: int = PER_LANG, langs: int = L
     return LanguageModel(names, idf, np.stack(centroids), np.array(lang_of), np.array(least))
 
 
+MADE = ("lang_pred", "score", "rejected")
+
+
 def identify(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score and rejected of every row's whole ``text``."""
-    source = df.select(*dict.fromkeys((*keep, "text")))
-    schema = T.StructType([*df.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    """``keep`` columns, lang_pred, score and rejected of every row's whole ``text``.  Kept columns with one of these names give way."""
+    kept = own_first(keep, MADE)
+    source = df.select(*dict.fromkeys((*kept, "text")))
+    schema = T.StructType([*df.select(*kept).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 lang, score, far = model.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], names=[*keep, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], names=[*kept, *MADE])
 
     return source.mapInArrow(predict, schema)
 

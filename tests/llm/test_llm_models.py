@@ -240,6 +240,72 @@ def test_languages(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def plain_grams(text):
+    """Buckets of a text's letter n-grams, and how often each occurs, by plain loops."""
+    runs = "".join(ch if ch.isalpha() else "\0" for ch in (text or "").lower() + "\0")
+    runs = re.sub("\0+", "\0", runs)
+    mul = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    out = Counter()
+    for size in (1, 2, 3):
+        for a in range(len(runs) - size + 1):
+            gram = runs[a : a + size]
+            if gram.strip("\0"):
+                key = size
+                for ch, m in zip(gram, mul):
+                    key = (key ^ (0 if ch == "\0" else ord(ch))) * m % (1 << 64)
+                    key ^= key >> 29
+                out[key >> 52] += 1
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rows = corpus(90, 7) + [(600 + i, t, "en") for i, t in enumerate(ODD)] + [(700, "aé b! " * 30_000, "xx"), (3, "a doc_id again", "yy"), (3, "a doc_id again", "yy")]
+    df = docs(spark, rows).repartition(4)
+    model = langid.fit_languages(df)
+    train = [(plain_grams(t), lang) for i, t, lang in rows if fold(i, 3) != 1 and t is not None]
+    train = [(g, lang) for g, lang in train if g]
+    frequency = Counter(b for g, _ in train for b in g)
+    idf = [math.log((1 + len(train)) / (1 + frequency[b])) + 1 for b in range(langid.BUCKETS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+
+    def vector(g):
+        x = {b: (1 + math.log(n)) * idf[b] for b, n in g.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / length for b, v in x.items()}
+
+    cosine = lambda x, c: sum(v * c[b] for b, v in x.items())
+    for i, lang in enumerate(model.langs):  # each centroid is the mean, at length 1, of the training texts nearest to it
+        own = [c for c, j in zip(model.centroids, model.lang_of) if j == i]
+        sums = [np.zeros(langid.BUCKETS) for _ in own]
+        for x in (vector(g) for g, name in train if name == lang):
+            near = [cosine(x, c) for c in own]
+            for b, v in x.items():
+                sums[int(np.argmax(near))][b] += v
+        for c, total in zip(own, sums):
+            assert cosine(dict(enumerate(total / np.linalg.norm(total))), c) > 0.99
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.identify(df, model).collect()}
+    for i, t, _ in rows:
+        g = plain_grams(t)
+        if not g:
+            assert (i, "und", 0.0) in got
+            continue
+        x = vector(g)
+        best = [max(cosine(x, c) for c, j in zip(model.centroids, model.lang_of) if j == k) for k in range(len(model.langs))]
+        share = [math.exp(model.sharp * (b - max(best))) for b in best]
+        pick = int(np.argmax(best))
+        assert any(d == i and lang == model.langs[pick] and abs(s - share[pick] / sum(share)) < 1e-3 for d, lang, s in got)
+
+
+def test_every_language_can_be_predicted(spark):
+    letters = [chr(0x400 + i) + chr(0x440 + i) + chr(0x3B1 + i % 20) for i in range(230)]
+    rows = [(i, " ".join([w] * 6), f"l{k:03}") for k, w in enumerate(letters) for i in range(k * 4, k * 4 + 4)]
+    df = docs(spark, rows)
+    model = langid.fit_languages(df)
+    assert len(model.langs) > 200
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model, keep=("doc_id", "score")).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if fold(i, 3) != 1]) > 0.99
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     rows, labels = [], []
