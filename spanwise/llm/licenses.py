@@ -1,16 +1,17 @@
 """License scans: phrases, and license notices found by an exact set-similarity join.
 
-A text is cut into blocks of ``BLOCK`` words, a new one every ``BLOCK/2`` words, so any notice of at most
-``BLOCK/2`` words stands whole inside one block.  A block meets a template when it holds at least
-``threshold`` of the template's distinct words.  Template words are ordered by how many documents of the whole corpus
-hold them, rarest first.  A block can only meet the threshold if it holds one of the template's first
+For each template a text is cut into blocks a quarter longer than the template, a new one at every quarter, so that a notice stands
+whole inside one.  A block meets a template when it holds at least ``threshold`` of the template's distinct words and, since
+sets know no order, at least ``order`` of its distinct pairs of neighbouring words.  Template words are ordered by how many documents of
+the whole corpus hold them, rarest first.  A block can only meet the threshold if it holds one of the template's first
 n - need + 1 words (prefix filter), has at least ``need`` words (length filter), and the words found in the
 prefix plus all words after it reach ``need`` (positional filter).  What is left is counted exactly.
 
 Templates and phrases are fixed and few; the corpus is mapped over twice (word frequencies, scan) and never
-shuffled, but for one small row per task and template word.
+shuffled, but for one small row per task and template word.  Words are found by hash and compared as bytes.
 
-Nulls count as empty texts: no words, no labels, score 0.  Rows are judged each by itself.
+Nulls count as empty texts: no words, no labels, score 0.  Rows are judged each by itself, repeated ones too; a text of any length is
+cut whole; an empty table gives an empty result.  Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,19 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ALNUM, find_words, pieces, read_table
+from .text import ALNUM, Words, find_words, own_first, pieces, read_table, take_runs
 
 # Phrases and what they label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Public license notices (SPDX names MIT, Apache-2.0, GPL-3.0-or-later, BSD-2-Clause, ISC).
+# The wording of public license notices (SPDX names MIT, Apache-2.0, GPL-3.0-or-later, BSD-3-Clause, ISC), without names and years.
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including without
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following
         conditions: The above copyright notice and this permission notice shall be included in all copies or
-        substantial portions of the Software.""",
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
@@ -45,18 +50,33 @@ TEMPLATES = {
     "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
         your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
-        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details. You should have received a copy of the GNU General Public License along
+        with this program. If not, see https://www.gnu.org/licenses/""",
     "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: Redistributions of source code must retain the above copyright notice,
-        this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+        SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
 }
 
-THRESHOLD = 0.8
-BLOCK = 512
+#: Shares of a template's distinct words, and of its distinct neighbouring pairs, that a block has to hold.
+THRESHOLD, ORDER = 0.8, 0.6
 
 
 class Vocabulary:
@@ -67,18 +87,24 @@ class Vocabulary:
         h = words.hashes()
         self.hash, at = np.unique(h, return_index=True)
         self.word = [words.text(i) for i in at.tolist()]
+        self.size = np.array([len(w) for w in self.word])
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(self.word), dtype=np.uint8)
         number = np.searchsorted(self.hash, h)
         self.of = [number[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
 
-    def numbers(self, words) -> np.ndarray:
+    def numbers(self, words: Words) -> np.ndarray:
         """For each word its number here, or -1."""
         h = words.hashes()
         at = np.searchsorted(self.hash, h)
         at[at == len(self.hash)] = 0
-        number = np.where(self.hash[at] == h, at, -1)
-        for i in np.flatnonzero(number >= 0).tolist():
-            if words.text(i) != self.word[number[i]]:
-                number[i] = -1
+        found = np.flatnonzero((self.hash[at] == h) & (self.size[at] == words.end - words.start))
+        own, size = at[found], self.size[at[found]]
+        differ = words.data[take_runs(words.start[found], size)] != self.data[take_runs(self.start[own], size)]
+        wrong = np.zeros(len(found), dtype=bool)
+        wrong[np.repeat(np.arange(len(found)), size)[differ]] = True
+        number = np.full(len(h), -1, dtype=np.int64)
+        number[found[~wrong]] = own[~wrong]
         return number
 
 
@@ -105,15 +131,33 @@ _MADE = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int6
 _SCHEMA = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.ArrayType(T.StringType())), ("labels", T.ArrayType(T.StringType())), ("score", T.DoubleType())]
 
 
+def block_shape(n_words: int) -> tuple[int, int]:
+    """Words of a block for a template of ``n_words`` words, and words from one block to the next: every run of n_words stands whole in a block."""
+    step = max(1, -(-n_words // 4))
+    return n_words + step, step
+
+
+class Template:
+    """A template's distinct words, globally rarest first, its pairs of neighbouring words, and the filters' bounds."""
+
+    def __init__(self, label: str, words: np.ndarray, rarity: np.ndarray, threshold: float, order: float):
+        self.label, (self.block, self.step) = label, block_shape(len(words))
+        own = np.unique(words)
+        self.words = own[np.lexsort((own, rarity[own]))]
+        self.need = math.ceil(threshold * len(self.words) - 1e-9)
+        self.prefix = len(self.words) - self.need + 1
+        self.local = np.full(len(rarity), -1, dtype=np.int64)
+        self.local[self.words] = np.arange(len(self.words))
+        self.pairs = np.unique(words[:-1] * len(rarity) + words[1:])
+        self.need_pairs = math.ceil(order * len(self.pairs) - 1e-9)
+
+
 class Scanner:
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], frequency: dict[bytes, int], threshold: float, block: int):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], frequency: dict[bytes, int], threshold: float, order: float):
         self.vocabulary = Vocabulary([*phrases, *templates.values()])
-        self.block, self.labels = block, [*templates]
         self.phrases = list(zip(self.vocabulary.of, phrases.values()))
         rarity = np.array([frequency.get(w, 0) for w in self.vocabulary.word])
-        self.sets = [np.unique(x) for x in self.vocabulary.of[len(phrases) :]]
-        self.sets = [x[np.lexsort((x, rarity[x]))] for x in self.sets]
-        self.need = [math.ceil(threshold * len(x) - 1e-9) for x in self.sets]
+        self.templates = [Template(label, words, rarity, threshold, order) for label, words in zip(templates, self.vocabulary.of[len(phrases) :])]
 
     def scan(self, texts: pa.Array) -> list[tuple]:
         words = find_words(texts, ALNUM)
@@ -133,56 +177,60 @@ class Scanner:
                 base[doc[i]].add(label)
         labels = [set(x) for x in base]
         score = [1.0 if x else 0.0 for x in base]
-        for d, label, share in self.blocks(words, number):
-            labels[d].add(label)
-            score[d] = max(score[d], share)
+        for template in self.templates:
+            for d, share in self.blocks(template, words, number):
+                labels[d].add(template.label)
+                score[d] = max(score[d], share)
         return [(n, len(p), min(p, default=None), max(p, default=None), sorted(b), sorted(m), s) for n, p, b, m, s in zip(counts.tolist(), places, base, labels, score)]
 
-    def blocks(self, words, number: np.ndarray) -> Iterator[tuple[int, str, float]]:
-        """(text, label, share of the template's words) of each block that meets a template's threshold."""
-        known = np.flatnonzero(number >= 0)
-        if not len(known):
+    def blocks(self, t: Template, words: Words, number: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(text, share of the template's words) of each block that meets the template."""
+        local = np.where(number >= 0, t.local[number], -1)
+        at = np.flatnonzero((local >= 0) & (local < t.prefix))  # prefix filter: a block that can meet holds one of these
+        if not len(at):
             return
-        doc, half = words.doc[known], self.block // 2
-        step = (known - words.first[doc]) // half
-        per_doc = words.counts // half + 1
-        first_block = np.cumsum(per_doc) - per_doc
-        own = first_block[doc] + step  # this block, and the one before, which reaches over it
-        before = step > 0
-        block = np.concatenate((own, own[before] - 1))
-        cell = np.unique(block * len(self.vocabulary.hash) + np.concatenate((number[known], number[known][before])))
-        row, column = cell // len(self.vocabulary.hash), cell % len(self.vocabulary.hash)
-        rows, row = np.unique(row, return_inverse=True)
-        holds = np.zeros((len(rows), len(self.vocabulary.hash)), dtype=bool)
-        holds[row, column] = True
-        owner = np.searchsorted(first_block, rows, "right") - 1
-        left = words.counts[owner] - (rows - first_block[owner]) * half
-        size = np.minimum(left, self.block)
-        for label, words_of, need in zip(self.labels, self.sets, self.need):
-            prefix = len(words_of) - need + 1
-            live = np.flatnonzero(size >= need)
-            early = holds[np.ix_(live, words_of[:prefix])].sum(axis=1)
-            go = (early > 0) & (early + len(words_of) - prefix >= need)
-            live, early = live[go], early[go]
-            full = early + holds[np.ix_(live, words_of[prefix:])].sum(axis=1)
-            for i in np.flatnonzero(full >= need).tolist():
-                yield int(owner[live[i]]), label, float(full[i]) / len(words_of)
-
-
-def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.
-
-    score: 1 where a phrase stands, else the largest share of a template's words in one block that meets the threshold, else 0.
+        doc = words.doc[at]
+        place = at - words.first[doc]
+        reach = -(-t.block // t.step)
+        block = (place // t.step)[:, None] - np.arange(reach)[None, :]
+        holds = (block >= 0) & (block * t.step + t.block > place[:, None])
+        found = np.unique(np.stack([np.broadcast_to(doc[:, None], block.shape)[holds], block[holds]], axis=1), axis=0)
+        start = words.first[found[:, 0]] + found[:, 1] * t.step
+        stop = np.minimum(start + t.block, words.first[found[:, 0] + 1])
+        live = np.flatnonzero(stop - start >= t.need)  # length filter
+        for a in range(0, len(live), 4096):  # bounded memory
+            part = live[a : a + 4096]
+            inside = take_runs(start[part], stop[part] - start[part])
+            row = np.repeat(np.arange(len(part)), stop[part] - start[part])
+            mine = local[inside] >= 0
+            has = np.zeros((len(part), len(t.words)), dtype=bool)
+            has[row[mine], local[inside][mine]] = True
+            early = has[:, : t.prefix].sum(axis=1)
+            go = (early > 0) & (early + len(t.words) - t.prefix >= t.need)  # positional filter
+            full = np.where(go, has.sum(axis=1), 0)
+            for i in np.flatnonzero(full >= t.need).tolist():
+                own = number[start[part[i]] : stop[part[i]]]
+                pair = own[:-1] * len(t.local) + own[1:]
+                if np.isin(t.pairs, pair[(own[:-1] >= 0) & (own[1:] >= 0)]).sum() >= t.need_pairs:
+                    yield int(found[part[i], 0]), float(full[i]) / len(t.words)
+
+
+def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, order: float = ORDER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.  Kept columns with one
+    of these names give way.
+
+    score: 1 where a phrase stands, else the largest share of a template's words in one block that meets it, else 0.
     """
     frequency = word_frequencies(df, [*phrases, *templates.values()])
-    source = df.select(*dict.fromkeys((*keep, "text")))
-    schema = T.StructType([*df.select(*keep).schema, *(T.StructField(n, t) for n, t in _SCHEMA)])
+    kept = own_first(keep, tuple(n for n, _ in _MADE))
+    source = df.select(*dict.fromkeys((*kept, "text")))
+    schema = T.StructType([*df.select(*kept).schema, *(T.StructField(n, t) for n, t in _SCHEMA)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates, frequency, threshold, block)
+        scanner = Scanner(phrases, templates, frequency, threshold, order)
         for batch in pieces(batches):
             made = zip(*scanner.scan(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *(pa.array(x, t) for x, (_, t) in zip(made, _MADE))], names=[*keep, *(n for n, _ in _MADE)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(x, t) for x, (_, t) in zip(made, _MADE))], names=[*kept, *(n for n, _ in _MADE)])
 
     return source.mapInArrow(scan, schema)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import bpe, decontam, exact_dedup, langid, licenses, line_dedup, lm, quality, simhash, token_counts
-from .licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD
+from .licenses import ORDER, PHRASES, TEMPLATES, THRESHOLD
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
@@ -45,10 +45,12 @@ def _rows(pairs: dict[str, str]) -> str:
     return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in pairs.items())
 
 
+_PAIRS = "list_transform(generate_series(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 OP5 = f"""
 WITH dw AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_rows(PHRASES)}) t(phrase, label)),
-templates AS (SELECT label, list_distinct({_WORDS.format("body")}) AS t FROM (VALUES {_rows(TEMPLATES)}) t(label, body)),
+bodies AS (SELECT label, {_WORDS.format("body")} AS x FROM (VALUES {_rows(TEMPLATES)}) t(label, body)),
+templates AS (SELECT label, list_distinct(x) AS t, list_distinct({_PAIRS.format("x")}) AS pairs, len(x) AS n, (len(x) + 3) // 4 AS step FROM bodies),
 places AS (
   SELECT doc_id, label, i - 1 AS place
   FROM (SELECT doc_id, w, p, label, unnest(generate_series(1, len(w) - len(p) + 1)) AS i FROM dw, phrases WHERE len(w) >= len(p))
@@ -56,8 +58,9 @@ places AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word
   FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, w[b * {BLOCK // 2} + 1 : b * {BLOCK // 2} + {BLOCK}] AS b FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) // {BLOCK // 2})) AS b FROM dw)),
-met AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), t)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(list_distinct(b), t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+blocks AS (SELECT doc_id, label, t, pairs, w[b * step + 1 : b * step + n + step] AS b FROM (SELECT *, unnest(generate_series(0, len(w) // step)) AS b FROM dw, templates)),
+held AS (SELECT doc_id, label, pairs, b, len(list_intersect(list_distinct(b), t)) / len(t) AS share FROM blocks WHERE len(list_intersect(list_distinct(b), t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+met AS (SELECT doc_id, label, share FROM held WHERE len(list_intersect(list_distinct({_PAIRS.format("b")}), pairs)) >= ceil({ORDER} * len(pairs) - 1e-9)),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
 base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
 names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id)

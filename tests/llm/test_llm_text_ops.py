@@ -154,10 +154,13 @@ def test_winnowing_keeps_a_print_of_every_shared_span():
 def test_licenses_equal_brute_force(spark):
     rnd = random.Random(8)
     notice = licenses.TEMPLATES["mit"]
-    broken = " ".join(w for w in notice.split() if rnd.random() < 0.9)
+    broken = " ".join(w for w in notice.split() if rnd.random() < 0.93)
     half = " ".join(notice.split()[: len(notice.split()) // 2])
     filler = " ".join(rnd.choice(["of", "the", "software", "zz", "any"]) for _ in range(700))
-    texts = ODD + [notice, filler + " " + broken + " " + filler, half, "The MIT License. apache-license; GENERAL public\nlicense mit license", filler, licenses.TEMPLATES["gpl"].upper(), "mit", "license"]
+    mixed = notice.split()
+    rnd.shuffle(mixed)
+    texts = ODD + [notice, filler + " " + broken + " " + filler, half, "The MIT License. apache-license; GENERAL public\nlicense mit license", filler, licenses.TEMPLATES["gpl"].upper(), "mit", "license", " ".join(mixed), filler * 30 + " " + licenses.TEMPLATES["isc"]]
+    texts += [f"{x} {y}" for x in licenses.TEMPLATES.values() for y in licenses.TEMPLATES.values()]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     found = Counter()
     for i, t in enumerate(texts):
@@ -169,10 +172,12 @@ def test_licenses_equal_brute_force(spark):
             places += at
             base |= {label} if at else set()
         for label, body in licenses.TEMPLATES.items():
-            own = set(WORD.findall(low(body)))
-            for a in range(0, len(w), licenses.BLOCK // 2):
-                share = len(own & set(w[a : a + licenses.BLOCK])) / len(own)
-                if share >= licenses.THRESHOLD:
+            x = WORD.findall(low(body))
+            own, pairs, step = set(x), set(zip(x, x[1:])), -(-len(x) // 4)
+            for a in range(0, len(w), step):
+                part = w[a : a + len(x) + step]
+                share = len(own & set(part)) / len(own)
+                if share >= licenses.THRESHOLD and len(pairs & set(zip(part, part[1:]))) >= licenses.ORDER * len(pairs) - 1e-9:
                     labels.add(label)
                     best = max(best, share)
         r = got[i]
@@ -180,10 +185,26 @@ def test_licenses_equal_brute_force(spark):
         assert r["base_labels"] == sorted(base) and r["labels"] == sorted(base | labels)
         assert r["score"] == pytest.approx(1.0 if base else best)
         found.update(labels)
-    assert found["mit"] >= 2 and found["gpl"] == 1
+    assert found["mit"] == 11 and found["gpl"] >= 10
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_each_license_gets_its_own_label_only(spark):
+    prose = "Permission to use the hall for any purpose with or without a fee is granted to all, provided that this notice and the above rules appear in and on all copies of the form, and that copyright, copy and software matters are sent to the office to modify or distribute them."
+    texts = [*licenses.TEMPLATES.values(), "Copyright (c) 2020 X\n\n" + licenses.TEMPLATES["mit"] + "\n\n" + licenses.TEMPLATES["bsd"], prose, prose * 20]
+    rows = docs(spark, texts).withColumnRenamed("key", "score")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(rows, keep=("doc_id", "score")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[x] for x in licenses.TEMPLATES] + [["bsd", "mit"], [], []]
+
+
+def test_words_are_compared_as_bytes(monkeypatch):
+    from spanwise.llm.text import Words
+
+    monkeypatch.setattr(Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))
+    v = licenses.Vocabulary(["ab abc"])
+    assert v.numbers(licenses.find_words(pa.array(["abc ab xy xyz a", None, ""]), licenses.ALNUM)).tolist() == [1, 0, -1, -1, -1]
+
+
 @pytest.mark.parametrize("digest_hex,bound", [(64, 10), (1, 10), (1, 0), (64, 0)])
 def test_exact_dedup_by_bytes(spark, digest_hex, bound):
     texts = ODD + fuzz(60, 4, "aAbBéÉ") + ["Common text"] * 1200 + ["É", "é", None]
