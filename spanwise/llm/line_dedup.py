@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import packed, read_table, scratch, stored
+from .text import has_bit, packed, read_table, scratch, stored
 
 #: Words from which a run is deleted.  A passage of 50 words may lose its first and last sentence to
 #: the sentences around it, so the bound on whole repeated lines is half of that.
@@ -104,9 +104,7 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, report: bool = False)
     bitmap = runs.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     keyed = packed(df).select("row", *_keys(text, row["doc_id"])).withColumn("bit", bit)
     keyed = keyed.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bitmap), "bucket", "left")  # BITS / 32768 rows
-    at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    may = has_bit(F.col("bits"), F.col("bit"))
     through = keyed.where(may).select("row", "place", "body").join(runs, ["place", "body"], "left").select("row", "runs")
     met = keyed.where(~may).select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")).unionByName(through)
     left = F.array_join(F.filter(lines_of(text), lambda s, i: ~F.exists(found, lambda r: i.between(r["first"], r["last"]))), "")

@@ -81,6 +81,13 @@ def own_first(keep: tuple[str, ...], made: tuple[str, ...]) -> list[str]:
     return [c for c in dict.fromkeys(keep) if c not in made]
 
 
+def has_bit(bits: Column, bit: Column) -> Column:
+    """Does a bucket's bitmap (null: empty) hold the bit?"""
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame's rows, written to the checkpoint folder: later steps start from those files."""
     ensure_checkpoint_dir(df.sparkSession)
