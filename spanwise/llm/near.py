@@ -11,7 +11,9 @@ So no two documents that stay are near copies, and each that goes is one of a do
    whole shingle sets, and the near copies go.  A round makes at most one pair per key and node, never all pairs of a group.
    What is left after a round and fits ``FEW_ROWS`` and ``FEW_SHINGLES`` is settled in order by one task, with the same result.
 
-Documents without a doc_id all stay and make none go.
+Documents without a doc_id all stay and make none go.  Null and empty texts are one empty set, so the first of them stays.  Rows that
+repeat doc_id and text stand or fall together; of rows that share a doc_id only, each has its own set.  A text of any length is one
+set; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .simhash import near_duplicates
-from .text import SPACED, cut, find_words, grams, mixed, pieces, stored
+from .simhash import hot_join, near_duplicates
+from .text import SPACED, cut, find_words, grams, mixed, packed, pieces, stored, unpacked
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -70,18 +72,18 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, _text, node (digest of the shingle set), n (its size) and keys of each text."""
+    """doc_id, body, node (digest of the shingle set), n (its size) and keys of each text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("_text"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
-            ], names=["doc_id", "_text", "node", "n", "keys"])
+                batch.column("doc_id"), batch.column("body"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+            ], names=["doc_id", "body", "node", "n", "keys"])
 
     long = T.LongType()
-    kept = T.StructType([df.schema["doc_id"], T.StructField("_text", long), T.StructField("node", long), T.StructField("n", long), T.StructField("keys", T.ArrayType(long))])
-    return df.select("doc_id", "text", "_text").mapInArrow(make, kept)
+    kept = T.StructType([df.schema["doc_id"], T.StructField("body", long), T.StructField("node", long), T.StructField("n", long), T.StructField("keys", T.ArrayType(long))])
+    return df.select("doc_id", "text", "body").mapInArrow(make, kept)
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -138,19 +140,19 @@ def _in_order(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id and _text (XXH64 of the text) of the documents that go."""
-    docs = df.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    """doc_id and body (XXH64 of the text) of the documents that go."""
+    docs = df.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("body"))
     made = stored(sketches(docs))
-    nodes = stored(made.groupBy("node").agg(F.min("doc_id").alias("lead"), F.min("n").alias("n")))
+    nodes = stored(made.groupBy("node").agg(F.min("doc_id").alias("lead"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")))
     banded = made.select("node", F.explode("keys").alias("key")).distinct()
-    simhashed = near_duplicates(docs).where("component_id is not null").select("doc_id", F.xxhash64(F.lit("simhash"), "component_id").alias("key"))
-    grouped = simhashed.join(made.select("doc_id", "node"), "doc_id").select("node", "key").distinct()
+    simhashed = near_duplicates(docs, keep=("doc_id", "body")).where("component_id is not null").select("doc_id", "body", F.xxhash64(F.lit("simhash"), "component_id").alias("key")).distinct()
+    grouped = simhashed.join(made.select("doc_id", "body", "node").distinct(), ["doc_id", "body"]).select("node", "key").distinct()
     state = stored(banded.union(grouped))
-    many = state.groupBy("key").count().where("count > 1").select("key")
-    state = stored(state.join(many, "key").join(nodes, "node").select("key", "node", "lead", "n"))
-    # One text of each node that has a candidate; (doc_id, _text) may occur more than once.
-    wanted = state.select("node", F.col("lead").alias("doc_id")).distinct().join(made.select("doc_id", "_text", "node"), ["node", "doc_id"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("_text").alias("_text"))
-    sets = stored(_sets(docs.join(wanted, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])))
+    many = cut(state.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    state = stored(hot_join(state, many, "key").join(nodes.drop("rows"), "node").select("key", "node", "lead", "n"))
+    # One text of each node that has a candidate; (doc_id, body) may occur more than once.
+    wanted = state.select("node", F.col("lead").alias("doc_id")).distinct().join(made.select("doc_id", "body", "node"), ["node", "doc_id"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
+    sets = stored(_sets(docs.join(wanted, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"])))
     gone: DataFrame | None = None
     while True:
         rows = state.count()
@@ -160,22 +162,27 @@ def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
             found = cut(_in_order(state, sets, least))
             gone = found if gone is None else gone.union(found)
             break
-        first = state.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-        met = cut(state.join(first, "key"))
+        first = cut(state.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        met = cut(hot_join(state, first, "key"))
         settled = met.groupBy("node").agg(F.bool_and(F.col("first.node") == F.col("node")).alias("stays")).where("stays").select("node")
         settled = cut(settled)
         sizes = F.least("n", "first.n") >= least * F.greatest("n", "first.n") - 1e-9
         pairs = met.where((F.col("first.node") != F.col("node")) & sizes).select(F.col("first.node").alias("stays"), F.col("node").alias("gone")).distinct().join(settled.withColumnRenamed("node", "stays"), "stays")
-        pairs = pairs.join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("x")), "stays").join(sets.select(F.col("node").alias("gone"), F.col("shingles").alias("y")), "gone")
+        pairs = cut(pairs)
+        given = pairs.groupBy("stays").agg(F.count(F.lit(1)).alias("rows")).join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("x")), "stays")
+        pairs = hot_join(pairs, cut(given), "stays").join(sets.select(F.col("node").alias("gone"), F.col("shingles").alias("y")), "gone")
         found = cut(_alike(pairs, least).distinct())
         gone = found if gone is None else gone.union(found)
         state = cut(met.select("key", "node", "lead", "n").join(settled, "node", "left_anti").join(found.withColumnRenamed("gone", "node"), "node", "left_anti"))
-    rows = made.join(nodes.select("node", "lead"), "node")
-    copies = rows.where("doc_id > lead").select("doc_id", "_text")
-    return copies if gone is None else copies.union(made.join(gone.withColumnRenamed("gone", "node"), "node", "left_semi").select("doc_id", "_text"))
+    copies = hot_join(made.select("doc_id", "body", "node"), nodes.drop("n"), "node").where("doc_id > lead").select("doc_id", "body")
+    if gone is None:
+        return copies
+    losers = cut(nodes.select("node", "rows").join(gone.withColumnRenamed("gone", "node").distinct(), "node"))
+    return copies.union(hot_join(made.select("doc_id", "body", "node"), losers, "node").select("doc_id", "body"))
 
 
 def keep_first_of_near(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that stay; all columns stay."""
-    gone = near_copies(df, least).distinct()
-    return df.withColumn("_text", F.xxhash64("text")).join(gone, ["doc_id", "_text"], "left_anti").select(*df.columns)
+    """The documents that stay; all columns stay, under any name."""
+    keyed = packed(df).select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), F.xxhash64(F.col("row")["text"]).alias("body"))
+    gone = near_copies(keyed, least).distinct()
+    return unpacked(keyed.join(gone, ["doc_id", "body"], "left_anti"), df.columns)

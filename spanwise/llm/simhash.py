@@ -14,8 +14,13 @@ of chunks is a trie of its own.
 A trie's links leave the task as the edges of a spanning forest, never as all pairs of a group.  Connected
 components come from rounds of large-star and small-star steps over those edges, each written to the checkpoint folder.
 
+Joins on a node or a component whose rows may be a large part of all (a hub, a mass of close copies) go two ways: keys of more than
+a thousandth of the rows, fewer than a thousand, are broadcast; the rest are shuffled.
+
 Null and empty texts have fingerprint zero, which links like any other.  A null doc_id takes the component
-of its fingerprint but is never its smallest id; a component without any id is null.
+of its fingerprint but is never its smallest id; a component without any id is null.  Rows that repeat a doc_id come out each with the
+fingerprint of its own text; a text of any length is one fingerprint.  An empty table gives an empty result.  Extra columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import cut, pieces, read_table
+from .text import cut, packed, pieces, read_table, unpacked
 
 SEED = 42
 #: Fingerprints under one key above which it is split into chunks of this many.
@@ -62,15 +67,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return sum(1 << int(i) for i in on)
 
 
-def fingerprints(df: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and print: the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and print: the fingerprint as a signed 64-bit number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints.view(np.int64))], names=[*keep, "print"])
 
-    return df.select("doc_id", "text").mapInArrow(make, T.StructType([df.schema["doc_id"], T.StructField("print", T.LongType())]))
+    return df.select(*keep, "text").mapInArrow(make, T.StructType([*df.select(*keep).schema, T.StructField("print", T.LongType())]))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -165,13 +170,18 @@ def link_edges(prints: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) ->
     while blocks < 8 and n / 2 ** (64 * (blocks - bits) / blocks) > trie_rows:
         blocks += 1
     dealt = prints.select("print", F.explode(block_keys(F.col("print"), blocks, bits)).alias("key"))
-    # A bound on the keys that are split: none of them holds fewer than 1/1000 of the fingerprints.
-    large = dealt.groupBy("key").count().where(F.col("count") > max(trie_rows, n // 1000)).withColumn("chunks", F.ceil(F.col("count") / trie_rows).cast("int")).select("key", "chunks")
+    counts = dealt.groupBy("key").count().where(F.col("count") > trie_rows)
+    large = cut(counts.withColumn("chunks", F.ceil(F.col("count") / trie_rows).cast("int")))
+    hot = large.where(F.col("count") > n // 1000).select("key", "chunks")  # fewer than 1,000 for each choice of blocks
+    rest = large.where(F.col("count") <= n // 1000).select("key", F.col("chunks").alias("more"))
     chunk = F.pmod(F.xxhash64("print", F.lit("chunk")), F.col("chunks")).cast("int")
     tries = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(chunk, j).cast("long") * F.lit(1 << 20) + F.greatest(chunk, j) + 1)
     )
-    placed = dealt.join(F.broadcast(large), "key", "left").select("print", "key", F.explode(tries).alias("trie"))
+    split = dealt.join(F.broadcast(hot), "key", "left")
+    if not rest.isEmpty():
+        split = split.join(rest, "key", "left").select("print", "key", F.coalesce("chunks", "more").alias("chunks"))
+    placed = split.select("print", "key", F.explode(tries).alias("trie"))
     placed = placed.select("print", F.xxhash64("key", "trie").alias("key"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +213,25 @@ def link_edges(prints: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) ->
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a long, b long").distinct()
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has one row a key and, in ``rows``, the number of left's rows with it."""
+    total = right.agg(F.sum("rows")).first()[0] or 0
+    hot, rest = right.where(F.col("rows") > total / 1000).drop("rows"), right.where(F.col("rows") <= total / 1000).drop("rows")
+    through = left.join(F.broadcast(hot), key)  # fewer than 1,000 rows
+    return through.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has an edge (a, b)."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = _state(edges)
     while size[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")).select("a", F.least("a", "m").alias("m"), "rows"))
+        large = hot_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a > b").distinct()
         large = cut(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        down = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")))
+        small = hot_join(large, down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         edges = cut(small)
         now = _state(edges)
         if now == size:
@@ -228,22 +246,27 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def near_duplicates(df: DataFrame, shingle: int = 4, bits: int = 4, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links)."""
-    docs = cut(fingerprints(df, shingle))
+def near_duplicates(df: DataFrame, shingle: int = 4, bits: int = 4, trie_rows: int = TRIE_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links)."""
+    docs = cut(fingerprints(df, shingle, keep))
     prints = cut(docs.groupBy("print").agg(F.min("doc_id").alias("least")))
     rooted = components(link_edges(prints.select("print"), bits, trie_rows))
-    member = prints.join(rooted, prints["print"] == rooted["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    member = cut(member)
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = member.join(ids, "root").select("print", "component_id")
-    return docs.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    member = cut(prints.join(rooted, prints["print"] == rooted["node"], "left").select("print", "least", "root"))
+    linked = member.where("root is not null")
+    ids = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+    of_print = hot_join(linked.select("print", "root"), ids, "root").select("print", "component_id").unionByName(member.where("root is null").select("print", F.col("least").alias("component_id")))
+    per_print = of_print.join(docs.groupBy("print").agg(F.count(F.lit(1)).alias("rows")), "print")
+    return hot_join(docs, cut(per_print), "print").select(*keep, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """The documents that stand for their component (smallest doc_id), and those without a doc_id; all columns stay."""
-    dropped = near_duplicates(df, shingle, bits).where("component_id < doc_id").select("doc_id").distinct()
-    return df.join(dropped, "doc_id", "left_anti").select(*df.columns)
+    """The documents that stand for their component (smallest doc_id), and those without a doc_id; all columns stay.
+
+    Rows are told apart by doc_id and text, so of rows that share a doc_id only those go whose own text is linked to an earlier document."""
+    keyed = packed(df).select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), F.xxhash64(F.col("row")["text"]).alias("body"))
+    found = near_duplicates(keyed, shingle, bits, keep=("doc_id", "body"))
+    dropped = found.where("component_id < doc_id").select("doc_id", "body").distinct()
+    return unpacked(keyed.join(dropped, ["doc_id", "body"], "left_anti"), df.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

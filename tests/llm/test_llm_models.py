@@ -388,6 +388,28 @@ def test_held_out_quality_and_languages_on_the_tables(spark):
     assert named.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")).alias("a")).first()["a"] > 0.97
 
 
+def test_pipeline_stages_with_odd_rows_and_columns(spark):
+    """Null ids and texts, empty and long texts, repeated rows, an empty table, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    names = ("row", "runs", "left", "bit", "bucket", "body", "place", "node", "key", "print", "n_hit", "n_words", "items", "spans", "score", "predicted", "a.b")
+    line = "These words of a repeated passage stand in a good number of documents and nobody minds that they do so, since there are more than twenty five. "
+    texts = [(1, "plain text one"), (2, None), (2, None), (3, ""), (None, "no id"), (4, line + "and more"), (5, line + "but other"), (5, line + "but other"), (6, "w " * 300_000), (7, "tab\tand\r\nfeed")]
+    schema = T.StructType([*DOCS.fields[:5], *(T.StructField(n, T.LongType()) for n in names)])
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (odd, odd.limit(0)):
+            out = stage(spark, frame, BASE)
+            rows = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == odd.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in rows), name
+            assert len(rows) <= frame.count(), name
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.line_stage(spark, odd, BASE).collect())
+    assert kept == Counter({(1, "plain text one"): 1, (2, None): 2, (3, ""): 1, (None, "no id"): 1, (4, line + "and more"): 1, (5, "but other"): 2, (6, "w " * 300_000): 1, (7, "tab\tand\r\nfeed"): 1})
+    near = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, odd, BASE).collect())
+    assert near[(2, None)] == 2 and near[(3, "")] == 0 and near[(None, "no id")] == 1 and near[(5, line + "but other")] in (0, 2)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

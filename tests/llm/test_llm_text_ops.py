@@ -224,6 +224,28 @@ def test_exact_dedup_by_bytes(spark, digest_hex, bound):
     assert {(r["doc_id"], r["keep_id"]) for r in smallest} == {(0, 0), (1, 0), (2, 2)}
 
 
+def test_merge_index_keeps_older_runs(spark, monkeypatch):
+    rnd = random.Random(21)
+    rows = [(i, f"{rnd.randint(0, 150):03}") for i in range(400)]
+    for bits in (1 << 24, 1 << 15):
+        monkeypatch.setattr(exact_dedup, "BITS", bits)
+        index = exact_dedup.MergeIndex(largest=False, fanout=3)
+        files = []
+        for k in range(0, 400, 50):
+            index.add(spark.createDataFrame(rows[k : k + 50], "doc_id long, digest string"))
+            want = defaultdict(list)
+            for i, d in rows[: k + 50]:
+                want[d].append(i)
+            assert {(r["digest"], r["keep_id"], r["n"]) for r in index.groups().collect()} == {(d, min(x), len(x)) for d, x in want.items() if len(x) > 1}
+            files.append({f for run, _ in index.runs for f in run.inputFiles()})
+        assert [len(level) for level in index.levels] == [2, 2]
+        assert files[0] < files[1] and files[6] < files[7]  # a batch adds a run beside the others
+        for run, _ in index.runs:
+            for f in run.inputFiles():
+                own = [r["digest"] for r in spark.read.parquet(f).collect()]
+                assert own == sorted(set(own))
+
+
 def plain_fingerprint(text, k=4):
     w = low(text or "").encode().split()
     if not w:
@@ -266,6 +288,16 @@ def test_simhash_equals_brute_force(spark):
     kept = simhash.keep_one_of_each(docs(spark, texts))
     assert kept.columns == DOCS.names and {r["doc_id"] for r in kept.collect()} == set(components_of(prints))
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    names = ("print", "body", "row", "root", "component_id", "a.b")
+    rows = [(3, one), (7, one), (7, other), (None, one), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], T.StructType([*DOCS.fields[:2], *(T.StructField(n, T.LongType()) for n in names)]))
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter((i, t, *range(len(names))) for i, t in rows if (i, t) not in ((7, one), (9, None)))
+    long = "word " * 400_000 + "end"
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, [long, long + " more", one])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
 
 
 @pytest.mark.parametrize("trie_rows", [2048, 40])
