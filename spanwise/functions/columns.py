@@ -109,8 +109,3 @@ def chi_square_p(chi2: Column) -> Column:
     """Upper tail with one degree of freedom; 1 for null."""
     return F.coalesce(erfc(F.sqrt(chi2 / 2)), F.lit(1.0))
 
-
-def md5_share(*key: Column) -> Column:
-    """A number in [0, 100) that depends on the key's text only."""
-    text = F.concat_ws("|", *(k.cast("string") for k in key))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100

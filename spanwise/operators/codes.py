@@ -69,10 +69,14 @@ def describe_codes(codes: DataFrame, descriptions: DataFrame, code: str = "code_
 
 
 def opioid_products(products: DataFrame) -> DataFrame:
-    """One row per 11-digit package code of products whose ingredients or classes name an opioid; the first per code stays."""
+    """One row per 11-digit package code of products whose ingredients or classes name an opioid; the first per code stays.
+
+    strength: each ingredient's name and strength; route: all routes; both joined by commas."""
     names = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.col("active_ingredients.name"), F.col("pharm_class"), F.col("pharm_class_cs"), F.col("pharm_class_epc"))))
-    strength = F.array_join("active_ingredients.strength", "; ")
-    rows = products.where(has_term(names)).select(F.explode("packaging.package_ndc").alias("raw"), "brand_name", strength.alias("strength"), F.array_join("route", "; ").alias("route"), "labeler_name")
+    named = F.transform("active_ingredients", lambda i: F.concat(i["name"], F.lit(" "), F.coalesce(i["strength"], F.lit("None"))))
+    strength = F.array_join(F.coalesce(named, F.array().cast("array<string>")), ", ")
+    route = F.array_join(F.coalesce("route", F.array().cast("array<string>")), ", ")
+    rows = products.where(has_term(names)).select(F.explode("packaging.package_ndc").alias("raw"), "brand_name", strength.alias("strength"), route.alias("route"), "labeler_name")
     coded = rows.withColumn("ndc11", ndc11(F.col("raw"))).where(F.col("ndc11").isNotNull())
     first = Window.partitionBy("ndc11").orderBy("brand_name", "strength", "route", "labeler_name")
     return coded.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("ndc11", "brand_name", "strength", "route", "labeler_name")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chi_square, chi_square_p, pairs_of, trios_of
+from ..sources.tables import stored
+from .ranges import running, with_range
 
 
 def count_combinations(df: DataFrame, items: str, outcome: Column, size: int | None) -> DataFrame:
@@ -21,14 +23,19 @@ def count_combinations(df: DataFrame, items: str, outcome: Column, size: int | N
 
 
 def bh_adjust(df: DataFrame, p: str, keys: list[str], method: str = "bh") -> DataFrame:
-    """p_adj: Benjamini-Hochberg over all rows.  ``forward_cummin`` is a variant that takes the running minimum from the smallest p on.
+    """p_adj: Benjamini-Hochberg over all rows of df, which is read twice.  ``forward_cummin`` is a variant that takes the running minimum from the smallest p on.
 
-    Ranks are global; rows are distinct combinations, whose number the vocabulary bounds."""
+    Rows are folded to distinct values of p, which are ranked by value ranges; equal p share the last one's rank, but in
+    the variant, where ``keys`` order them."""
     m = df.agg(F.count(F.lit(1)).alias("_m"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(p, *keys))).join(F.broadcast(m))
-    raw = F.col(p) * F.col("_m") / F.col("_rank")
-    order = Window.orderBy("_rank") if method == "forward_cummin" else Window.orderBy(F.desc("_rank"))
-    return ranked.withColumn("p_adj", F.least(F.lit(1.0), F.min(raw).over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_rank", "_m")
+    folded = with_range(stored(df.groupBy(p).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(m))), p)
+    ranked = running(folded, p, {"_rank": (F.sum, "_n")}).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
+    if method == "forward_cummin":
+        least = running(ranked, p, {"_least": (F.min, "_raw")}, own=False).select(p, "_m", (F.col("_rank") - F.col("_n")).alias("_before"), "_least")
+        place = F.row_number().over(Window.partitionBy(p).orderBy(*keys)) + F.col("_before")
+        return df.join(least, p).withColumn("p_adj", F.least(F.lit(1.0), F.col("_least"), F.col(p) * F.col("_m") / place)).select(*df.columns, "p_adj")
+    least = running(ranked, p, {"_least": (F.min, "_raw")}, descending=True)
+    return df.join(least.select(p, F.least(F.lit(1.0), "_least").alias("p_adj")), p).select(*df.columns, "p_adj")
 
 
 def mine_combinations(cohort: DataFrame, size: int | None = 2, min_n: int = 200, outcome: str = "had_ae", must_contain: str | None = None, names: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
@@ -42,7 +49,7 @@ def mine_combinations(cohort: DataFrame, size: int | None = 2, min_n: int = 200,
     a, n = F.col("n_ae"), F.col("n_total")
     chi = chi_square(a, n - a, F.col("all_ae") - a, F.col("all_n") - F.col("all_ae") - (n - a))
     tested = counted.join(F.broadcast(totals)).withColumn("rate", a / n).withColumn("chi2", chi).withColumn("p_value", chi_square_p(F.col("chi2"))).withColumn("overall_rate", F.col("all_ae") / F.col("all_n"))
-    done = bh_adjust(tested.drop("all_n", "all_ae"), "p_value", keys)
+    done = bh_adjust(stored(tested.drop("all_n", "all_ae")), "p_value", keys)
     significant = F.col("p_adj") < alpha
     done = done.withColumn("significant", significant).withColumn("signal", significant & (F.col("rate") > F.col("overall_rate"))).drop("overall_rate")
     if names is not None:
@@ -61,3 +68,9 @@ def top_combos(df: DataFrame, size: int, n: int = 10, names: DataFrame | None =
         return top
     named = top.select("drug_combo", "n", F.explode("drug_combo").alias("code")).join(F.broadcast(names), "code", "left")
     return named.groupBy("drug_combo", "n").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("name", "code"))), ", ").alias("names"))
+
+
+def top_mined(mined: DataFrame, by: str = "rate", n: int = 10, signals: bool = False) -> DataFrame:
+    """The n mined combinations with the largest rate or n_ae; ``signals``: among significant ones with a raised rate only."""
+    keys = [c for c in mined.columns if c.startswith("item")]
+    return (mined.where("signal") if signals else mined).orderBy(F.desc(by), *keys).limit(n)

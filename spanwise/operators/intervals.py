@@ -41,11 +41,11 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[s
     return joined if how in ("left_semi", "left_anti") else joined.drop(right[key])
 
 
-def latest_on_or_before(probes: DataFrame, changes: DataFrame, key: str, probe_date: str, change_date: str, by: Sequence[str], value: str) -> DataFrame:
+def latest_on_or_before(probes: DataFrame, changes: DataFrame, key: str, probe_date: str, change_date: str, by: Sequence[str], value: str, also: Column | None = None) -> DataFrame:
     """As-of join: for each probe row and each ``by`` group of its key, the value of the latest change on or before the probe's date;
-    a probe without any keeps one row of nulls.
+    a probe without any keeps one row of nulls.  ``also``: a further condition on the pair.
 
     Written as an aggregate (max_by), so tasks fold changes before any sort; on one date the larger value wins."""
     right = changes.withColumnRenamed(key, "_key")
     cond = (F.col(key) == F.col("_key")) & (F.col(change_date) <= F.col(probe_date))
-    return probes.join(right, cond, "left").groupBy(*probes.columns, *by).agg(F.max_by(value, F.struct(change_date, value)).alias(value))
+    return probes.join(right, cond if also is None else cond & also, "left").groupBy(*probes.columns, *by).agg(F.max_by(value, F.struct(change_date, value)).alias(value))

@@ -1,20 +1,20 @@
 """Ranking and classification metrics over (y, score) rows.
 
-Rows are folded to distinct scores first; what follows ranks scores, not rows.  Ties share a threshold."""
+Rows are folded to distinct scores first; ties share a threshold.  Scores are then ranked by value ranges, since a model's scores are
+about as many as the rows: no task sees them all."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def by_score(df: DataFrame) -> DataFrame:
     """score, n, tp of each distinct score, and cumulative cn, ctp from the top."""
     folded = df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("tp"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return folded.withColumn("cn", F.sum("n").over(down)).withColumn("ctp", F.sum("tp").over(down))
+    return running(folded, "score", {"cn": (F.sum, "n"), "ctp": (F.sum, "tp")}, descending=True)
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -31,17 +31,30 @@ def roc_auc(df: DataFrame) -> DataFrame:
     return by_score(df).join(F.broadcast(total)).agg(F.round(area, 6).alias("roc_auc"))
 
 
-def precision_at_fraction(df: DataFrame, fractions: tuple[float, ...] = (0.001, 0.01, 0.05, 0.1), key: str = "row_id") -> DataFrame:
-    """Precision, recall and enrichment among the top int(fraction * n) rows by score."""
+def precision_at_fraction(df: DataFrame, fractions: tuple[float, ...] = (0.001, 0.01, 0.05, 0.1), key: str = "row_id", ranges: int = 1000) -> DataFrame:
+    """Precision, recall and enrichment among the top int(fraction * n) rows by score; of equal scores those with the smallest ``key``,
+    a whole number that tells rows apart.
+
+    Folded scores tell which score is the last to count and how many of its rows do.  Only those rows are ranked, by ranges of the key."""
     total = df.agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_pos"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).join(F.broadcast(total))
-    parts = [
-        ranked.where(F.col("_rank") <= F.floor(F.lit(f) * F.col("_n"))).agg(
-            F.lit(f).alias("fraction"), F.count(F.lit(1)).alias("k"), F.round(F.avg("y"), 6).alias("precision"), F.round(F.sum("y") / F.max("_pos"), 6).alias("recall"), F.round(F.avg("y") / (F.max("_pos") / F.max("_n")), 6).alias("enrichment")
-        )
-        for f in fractions
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    wanted = total.select("*", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("k", F.floor(F.col("fraction") * F.col("_n")))
+    inside = (F.col("cn") - F.col("n") < F.col("k")) & (F.col("cn") >= F.col("k"))
+    last = by_score(df).join(F.broadcast(wanted), inside).select("fraction", "score", (F.col("k") - F.col("cn") + F.col("n")).alias("need"), (F.col("ctp") - F.col("tp")).alias("above"))  # one row a fraction
+    tied = df.select("score", "y", F.col(key).alias("_key")).join(F.broadcast(last), "score").select("fraction", "need", "_key", "y")
+    span = tied.groupBy("fraction").agg(F.min("_key").alias("_low"), (F.floor((F.max("_key") - F.min("_key")) / ranges) + 1).alias("_width"))
+    placed = tied.join(F.broadcast(span), "fraction").withColumn("_range", F.floor((F.col("_key") - F.col("_low")) / F.col("_width")))
+    sizes = placed.groupBy("fraction", "need", "_range").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("tp"))  # at most ranges + 1 rows a fraction
+    up = Window.partitionBy("fraction").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    whole = sizes.where(F.col("before") + F.col("n") <= F.col("need")).groupBy("fraction").agg(F.sum("tp").alias("tp"))
+    part = sizes.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") > F.col("need"))).select("fraction", "_range", "before")  # one row a fraction
+    place = F.row_number().over(Window.partitionBy("fraction").orderBy("_key")) + F.col("before")
+    rest = placed.join(F.broadcast(part), ["fraction", "_range"]).withColumn("_place", place).where(F.col("_place") <= F.col("need")).groupBy("fraction").agg(F.sum("y").alias("tp"))
+    hits = last.select("fraction", F.col("above").alias("tp")).unionByName(whole).unionByName(rest).groupBy("fraction").agg(F.sum("tp").alias("tp"))
+    rate = F.col("tp") / F.nullif("k", F.lit(0))
+    return wanted.join(F.broadcast(hits), "fraction", "left").select(
+        "fraction", "k", F.round(rate, 6).alias("precision"), F.round(F.col("tp") / F.col("_pos"), 6).alias("recall"), F.round(rate / (F.col("_pos") / F.col("_n")), 6).alias("enrichment")
+    )
 
 
 def pr_curve(df: DataFrame) -> DataFrame:
@@ -60,9 +73,12 @@ def best_f1(df: DataFrame) -> DataFrame:
 
 def threshold_for_precision(df: DataFrame, targets: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:
     """For each target the smallest threshold whose precision reaches it; targets that none reaches are left out."""
-    curve = pr_curve(df)
-    parts = [curve.where(F.col("precision") >= t).agg(F.lit(t).alias("target"), F.min_by(F.struct("threshold", "precision", "recall"), "threshold").alias("b")).where("b is not null").select("target", "b.*") for t in targets]
-    return reduce(DataFrame.unionByName, parts)
+    total = df.agg(F.sum("y").alias("_pos"))
+    precision, recall = F.col("ctp") / F.col("cn"), F.col("ctp") / F.col("_pos")
+    found = F.struct(F.col("score").alias("threshold"), F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
+    best = by_score(df).join(F.broadcast(total)).agg(*(F.min_by(F.when(precision >= t, found), F.when(precision >= t, F.col("score"))).alias(f"t{i}") for i, t in enumerate(targets)))
+    each = F.array(*(F.struct(F.lit(t).alias("target"), F.col(f"t{i}").alias("b")) for i, t in enumerate(targets)))
+    return best.select(F.inline(each)).where("b is not null").select("target", "b.*")
 
 
 def f1_sweep(df: DataFrame, steps: int = 100) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Models of Spark ML over the design matrix: logistic regression with odds ratios and bootstrap intervals, boosted trees, a perceptron."""
+"""Models of Spark ML over the design matrix: logistic regression with odds ratios and bootstrap intervals, boosted trees, perceptrons, saved models."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import average_precision, roc_auc
+from .replicates import fit_replicates
 
 
 def with_weights(df: DataFrame, y: str = "y", pos_weight: float | None = None) -> DataFrame:
@@ -45,30 +45,51 @@ def top_and_bottom(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(column), "feature").limit(n // 2).unionByName(df.orderBy(column, "feature").limit(n // 2))
 
 
-def bootstrap_odds_ratios(df: DataFrame, names: list[str], replicates: int = 200, seed: int = 42, max_iter: int = 50) -> DataFrame:
-    """2.5 and 97.5 percentiles of the odds ratios over models fitted on rows drawn with replacement."""
-    fits = [odds_ratios(df.sparkSession, fit_logistic(df.sample(True, 1.0, seed + b), max_iter), names) for b in range(replicates)]
-    q = F.percentile("odds_ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return reduce(DataFrame.unionByName, fits).groupBy("feature").agg(q.alias("q")).select("feature", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+_INTERVALS = T.StructType([T.StructField(n, T.StringType() if n == "feature" else T.DoubleType()) for n in ("feature", "odds_ratio", "mean", "low", "high")])
+
+
+def bootstrap_odds_ratios(df: DataFrame, names: list[str], replicates: int = 200, seed: int = 42, max_iter: int = 100) -> DataFrame:
+    """feature, odds_ratio of the fit on df, and over fits on ``replicates`` bootstrap samples exp of the mean coefficient (mean) and of
+    its 2.5 and 97.5 percentiles (low, high).  df: row_id, features and y."""
+    import numpy as np
+
+    own = fit_logistic(df, max_iter).coefficients.toArray()
+    coefs = fit_replicates(df, replicates, seed, max_iter)
+    low, high = np.percentile(coefs, (2.5, 97.5), axis=0)
+    return df.sparkSession.createDataFrame([(n, *map(float, x)) for n, *x in zip(names, *map(np.exp, (own, coefs.mean(axis=0), low, high)))], _INTERVALS)  # a row a feature
 
 
 def scored_rows(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("row_id", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
 
 
-def fit_trees(df: DataFrame, pos_weight: float | None = None, depth: int = 4, rounds: int = 400, step: float = 0.05, min_rows: int = 8):
-    """Gradient-boosted trees."""
-    return GBTClassifier(labelCol="y", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=min_rows, seed=42).fit(with_weights(df, pos_weight=pos_weight))
+def fit_trees(df: DataFrame, pos_weight: float | None = None, depth: int = 4, rounds: int = 400, step: float = 0.05, min_rows: int = 8, share: float = 0.8):
+    """Gradient-boosted trees; each round sees ``share`` of the rows and each split that share of the features."""
+    return GBTClassifier(labelCol="y", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=share, featureSubsetStrategy=str(share), minInstancesPerNode=min_rows, seed=42).fit(with_weights(df, pos_weight=pos_weight))
+
+
+# The sweep's shares of negatives per positive, and the settings of the full search.
+SWEEP = (0.05, 0.1, 0.15, 0.2)
+GRID = tuple({"depth": depth, "min_rows": rows, "share": share} for share in (0.8, 0.9) for depth in (3, 4) for rows in (5, 10))
+
+
+def tree_settings(train: DataFrame, full: bool, rounds: int = 400) -> list[dict]:
+    """The weight sweep, or (``full``) the search over depth, leaf size and subsampling at the plain weight."""
+    row = train.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    ratio = (row["n"] - row["p"]) / max(row["p"], 1)
+    return [{"pos_weight": ratio, "rounds": rounds, **g} for g in GRID] if full else [{"pos_weight": ratio * s, "rounds": rounds} for s in SWEEP]
 
 
 def tree_grid(train: DataFrame, valid: DataFrame, grid: list[dict]) -> DataFrame:
     """One row per setting with its validation metrics, for ``best_run``."""
     found = []
+    train = train.persist()
     for i, params in enumerate(grid):
         scores = scored_rows(fit_trees(train, **params), valid).cache()
         metrics = average_precision(scores).crossJoin(roc_auc(scores)).first()  # two one-row frames
         found.append((i, str(sorted(params.items())), metrics["average_precision"], metrics["roc_auc"]))
         scores.unpersist()
+    train.unpersist()
     return train.sparkSession.createDataFrame(found, "run int, params string, average_precision double, roc_auc double")
 
 
@@ -78,7 +99,20 @@ def fit_perceptron(df: DataFrame, hidden: tuple[int, ...] = (256, 128), max_iter
     return MultilayerPerceptronClassifier(labelCol="y", layers=[width, *hidden, 2], maxIter=max_iter, seed=42).fit(df)
 
 
-def vector_rows(long: DataFrame, keys: list[str], dims: int) -> DataFrame:
-    """A dense features vector from (keys, dim, value) rows; dims that a key lacks are 0."""
-    held = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    return held.select(*keys, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))).alias("features"))
+def array_features(df: DataFrame, *columns: str) -> DataFrame:
+    """df with ``features``: the arrays of the columns, one after the other, as a dense vector."""
+    return df.withColumn("features", array_to_vector(F.concat(*(F.col(c).cast("array<double>") for c in columns))))
+
+
+def save_model(model, names: list[str], path: str) -> None:
+    """A fitted model and its features' names."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame(list(enumerate(names)), "place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+
+def load_model(path: str):
+    """What ``save_model`` wrote: (model, names)."""
+    spark = SparkSession.active()
+    names = [r["name"] for r in spark.read.parquet(f"{path}/names").orderBy("place").collect()]  # a row a feature
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark), names

@@ -1,11 +1,11 @@
 """Spells of concurrent use: detection, changes, censoring, labels, segments and combinations.
 
-A fill covers [filldate, filldate + supplydayscount - 1].  Every step keys on member_id (or on spell_id, which holds it), so one hash
-partitioning by member serves the whole chain."""
+A fill covers [filldate, filldate + supplydayscount - 1].  Every step's join and window keys start with member_id, so one hash
+partitioning by member serves the whole chain: rows of one spell are found among the member's by ``same_spell``, which is no join key of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import coalesce_intervals, concurrency_sweep, latest_on_or_before
@@ -14,6 +14,11 @@ from .intervals import coalesce_intervals, concurrency_sweep, latest_on_or_befor
 SPELLS_PER_MEMBER = 1000
 
 
+def same_spell(left: str, right: str) -> Column:
+    """Equality of spell ids, written so that Spark does not take it for a join key, which would shuffle both sides anew."""
+    return (F.col(left) >= F.col(right)) & (F.col(left) <= F.col(right))
+
+
 def drug_intervals(fills: DataFrame, grace: int = 21) -> DataFrame:
     """member_id, atc_3_code, start, end, is_op: fills of one drug joined over gaps of up to ``grace`` days.
 
@@ -104,9 +109,9 @@ def split_at_adds(spells: DataFrame, changes: DataFrame) -> DataFrame:
     ae_codes and followup_end_date stay on every segment."""
     cutoff = F.coalesce("first_ae_date", "followup_end_date", "extended_exit_date")
     ended = spells.withColumn("_end", F.least("extended_exit_date", cutoff))
-    adds = changes.where(F.lower("change_type") == "add").select(F.col("spell_id").alias("_spell"), F.to_date("date").alias("_add")).distinct()
-    order = Window.partitionBy("spell_id").orderBy("_add")
-    inside = (F.col("spell_id") == F.col("_spell")) & (F.col("_add") >= F.col("entry_date")) & (F.col("_add") <= F.col("_end"))
+    adds = changes.where(F.lower("change_type") == "add").groupBy(F.col("member_id").alias("_member"), F.col("spell_id").alias("_spell"), F.to_date("date").alias("_add")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    order = Window.partitionBy("member_id", "spell_id").orderBy("_add")
+    inside = (F.col("member_id") == F.col("_member")) & same_spell("spell_id", "_spell") & (F.col("_add") >= F.col("entry_date")) & (F.col("_add") <= F.col("_end"))
     met = ended.join(adds, inside, "left").withColumns({"_next": F.lead("_add").over(order), "_seq": F.row_number().over(order)})
     stop = F.greatest(F.least(F.coalesce(F.date_sub("_next", 1), F.col("_end")), F.col("_end")), F.col("_add"))
     split = F.col("_add").isNotNull()
@@ -130,8 +135,8 @@ def label_combo(segments: DataFrame, changes: DataFrame, exact: bool = False, in
         held = intervals.select(F.col("member_id").alias("_member"), F.col("atc_3_code").alias("_drug"), "start", "end")
         met = segments.join(held, (F.col("member_id") == F.col("_member")) & (F.col("start") <= F.col("entry_date")) & (F.col("end") >= F.col("entry_date")), "left")
         return met.groupBy(*own).agg(F.array_sort(F.collect_set("_drug")).alias("drug_combo"))
-    status = changes.where(F.lower("change_type").isin("add", "drop")).select("spell_id", F.col("date").alias("_date"), F.col("atc_3_code").alias("_drug"), F.when(F.lower("change_type") == "add", 1).otherwise(0).alias("_on"))
-    latest = latest_on_or_before(segments, status, "spell_id", "entry_date", "_date", ["_drug"], "_on")
+    status = changes.where(F.lower("change_type").isin("add", "drop")).select("member_id", F.col("spell_id").alias("_spell"), F.col("date").alias("_date"), F.col("atc_3_code").alias("_drug"), F.when(F.lower("change_type") == "add", 1).otherwise(0).alias("_on"))
+    latest = latest_on_or_before(segments, status, "member_id", "entry_date", "_date", ["_drug"], "_on", same_spell("spell_id", "_spell"))
     return latest.groupBy(*own).agg(F.array_sort(F.collect_set(F.when(F.col("_on") == 1, F.col("_drug")))).alias("drug_combo"))
 
 

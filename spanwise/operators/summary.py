@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import RACE_LABELS
+
 
 def frequency_table(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Value, n and share (of the rows shown, in percent)."""
@@ -62,10 +64,17 @@ def member_code_counts(df: DataFrame, codes: str) -> DataFrame:
     return df.select("member_id", F.explode(codes).alias("code")).groupBy("member_id").agg(F.countDistinct("code").alias("n_codes"))
 
 
+def top_member_codes(df: DataFrame, codes: str, n: int) -> DataFrame:
+    """The n codes that most members have, with their members' number."""
+    held = df.select("member_id", F.explode(codes).alias("code")).distinct()
+    return held.groupBy("code").agg(F.count(F.lit(1)).alias("n_members")).orderBy(F.desc("n_members"), "code").limit(n)
+
+
 def baseline_table(cohort: DataFrame, outcome: str, race: Column) -> DataFrame:
     """Per outcome group: sizes, median and quartiles of age and code counts, percent per gender and race; in long form."""
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    labels = ("White", "Black or African American", "Hispanic or Latino", "Asian or Pacific Islander", "Some Other Race", "Unknown")
+    # The order of the races; item names are fixed too.
+    labels = [RACE_LABELS[k] for k in ("01", "02", "11", "04", "06", "09")]
     share = lambda cond: F.round(100.0 * F.avg(F.coalesce(cond, F.lit(False)).cast("int")), 6)
     rows = cohort.withColumn("_race", race).withColumn("_codes", F.size(F.array_distinct("icd10_codes")))
     wide = rows.groupBy(F.col(outcome).alias("grp")).agg(

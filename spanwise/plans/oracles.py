@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.columns import ERFC, OPIOID_TERMS
 from ..sources.claims import CLAIM_CODES, EVENT_CODES, QUERY_BRANDS
-from .queries import GRACE, K, LOOKBACK, MIN_LARGER, MIN_LEN, MIN_N, WINDOW
+from .queries import GRACE, K, LOOKBACK, MAX_CODES, MAX_DRUGS, MIN_LARGER, MIN_LEN, MIN_N, WINDOW
 
 
 def _strings(values) -> str:
@@ -114,7 +114,9 @@ c_leak AS (
 c_age AS (SELECT * FROM c_leak WHERE age <= 120),
 cohort AS (SELECT * FROM c_age WHERE gendercode IS NOT NULL),
 names AS (SELECT DISTINCT atc_3_code AS code, atc_3_name AS name FROM atc),
-vectors AS (SELECT 'Brand#' || CAST(vec_id + 1 AS VARCHAR) AS code, embedding AS vec FROM embeddings WHERE vec_id < 25),
+dims AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+vectors AS (SELECT code, list(x ORDER BY i) AS vec FROM (SELECT 'Brand#' || CAST(vec_id % 25 + 1 AS VARCHAR) AS code, i, avg(x) AS x FROM dims GROUP BY ALL) GROUP BY code),
+icd_vectors AS (SELECT code, list(x ORDER BY i) AS vec FROM (SELECT ([{_strings(c[:3] for c in CLAIM_CODES)}])[vec_id % {len(CLAIM_CODES)} + 1] AS code, i, avg(x) AS x FROM dims GROUP BY ALL) GROUP BY code),
 scored AS (SELECT event_id AS row_id, round(value / (1 + value), 3) AS score, CAST(event_type = 'error' AS INTEGER) AS y FROM events),
 folded AS (SELECT score, count(*) AS n, CAST(sum(y) AS BIGINT) AS tp FROM scored GROUP BY score),
 ranked AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ctp FROM folded WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
@@ -184,6 +186,15 @@ def _top(k: int) -> str:
       FROM (SELECT drugs, count(*) AS n FROM combos WHERE len(drugs) = {k} GROUP BY drugs ORDER BY n DESC, drugs LIMIT 10)"""
 
 
+def _items(k: int) -> str:
+    return ", ".join(f"item{i + 1}" for i in range(k))
+
+
+def _pooled(items: str, vectors: str) -> str:
+    return f"""SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, CAST(i - 1 AS INTEGER) AS dim, round(avg(vec[i]), 5) AS value
+      FROM (SELECT spell_id, split_seq, vec, unnest(generate_series(1, len(vec))) AS i FROM (SELECT spell_id, split_seq, unnest({items}) AS code FROM cohort) JOIN {vectors} USING (code)) GROUP BY ALL"""
+
+
 def _report() -> str:
     cells = "(SELECT count(*) FILTER (y = 0 AND score < 0.5) AS n00, count(*) FILTER (y = 0 AND score >= 0.5) AS n01, count(*) FILTER (y = 1 AND score < 0.5) AS n10, count(*) FILTER (y = 1 AND score >= 0.5) AS n11 FROM scored)"
     rates = f"(SELECT *, coalesce(n00 / nullif(n00 + n10, 0), 0) AS p0, coalesce(n00 / nullif(n00 + n01, 0), 0) AS r0, coalesce(n11 / nullif(n01 + n11, 0), 0) AS p1, coalesce(n11 / nullif(n10 + n11, 0), 0) AS r1, n00 + n01 AS s0, n10 + n11 AS s1 FROM {cells})"
@@ -206,7 +217,7 @@ _PLAIN = {
     "match_rate": "SELECT count(*) AS n_rows, count(ndc) AS n_matched, round(count(ndc) / count(*), 6) AS share FROM rx LEFT JOIN (SELECT * FROM atc WHERE CAST(ndc AS BIGINT) % 50 <> 0) a ON ndc11code = lpad(ndc, 11, '0')",
     "ae_prefix_filter": f"SELECT code_value, count(*) AS n FROM claim_code WHERE {_PREFIXES} GROUP BY code_value",
     "code_type_filter": "SELECT code_type, count(*) AS n FROM claim_code WHERE code_type IN (17, 18, 22, 23, 24) GROUP BY code_type",
-    "opioid_products": f"SELECT '0' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS ndc11, p_name AS brand_name, p_type AS strength, 'ORAL' AS route, p_brand AS labeler_name FROM part WHERE p_size % 5 = 0 OR regexp_matches(lower(p_name), '{'|'.join(OPIOID_TERMS)}')",
+    "opioid_products": f"SELECT '0' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS ndc11, p_name AS brand_name, CASE WHEN p_size % 5 = 0 THEN 'OXYCODONE ' ELSE '' END || p_name || ' ' || p_type || ', ACETAMINOPHEN ' || p_size || ' mg' AS strength, CASE WHEN p_size % 2 = 0 THEN 'ORAL, RECTAL' ELSE 'ORAL' END AS route, p_brand AS labeler_name FROM part WHERE p_size % 5 = 0 OR regexp_matches(lower(p_name), '{'|'.join(OPIOID_TERMS)}')",
     "coalesce_intervals": 'SELECT member_id, drug AS atc_3_code, s AS start, e AS "end", is_op FROM iv',
     "concurrency_sweep": "SELECT member_id, d AS day, CAST(n AS BIGINT) AS n, CAST(nq AS BIGINT) AS n_flagged FROM sweep",
     "detect_spells": "SELECT member_id, spell_id, entry_date, raw_exit_date, extended_exit_date, CAST(spell_length_days AS INTEGER) AS spell_length_days FROM spells",
@@ -240,6 +251,7 @@ _PLAIN = {
     "total_and_members": "SELECT count(*) AS n_rows, count(DISTINCT member_id) AS n_members, round(count(*) / count(DISTINCT member_id), 6) AS ratio FROM segments",
     "non_event_members": "SELECT DISTINCT member_id FROM segments WHERE member_id NOT IN (SELECT member_id FROM segments WHERE had_ae)",
     "member_code_counts": "SELECT member_id, count(DISTINCT c) AS n_codes FROM (SELECT member_id, unnest(icd) AS c FROM clusters) GROUP BY member_id",
+    **{f"top_member_codes_{n}": f"SELECT c AS code, count(DISTINCT member_id) AS n_members FROM (SELECT member_id, unnest(icd) AS c FROM clusters) GROUP BY c ORDER BY n_members DESC, c LIMIT {n}" for n in (20, 500)},
     "adds_per_spell": "SELECT n_events, count(*) AS n FROM (SELECT spell_id, count(*) AS n_events FROM changes WHERE change_type = 'add' GROUP BY 1) GROUP BY 1",
     "ae_by_split_seq": "SELECT CAST(split_seq AS INTEGER) AS split_seq, count(*) AS n FROM segments WHERE had_ae GROUP BY 1",
     "days_into_spell": "SELECT spell_id, CAST(first_ae_date - entry_date AS INTEGER) AS days FROM labelled WHERE had_ae",
@@ -249,26 +261,31 @@ _PLAIN = {
     "one_hot_long": "SELECT member_id, 'gendercode_' || coalesce(gendercode, 'NaN') AS feature, 1 AS value FROM people UNION ALL SELECT member_id, 'raceethnicitytypecode_' || coalesce(race, 'NaN'), 1 FROM people",
     "age_buckets": f"SELECT {_AGE} AS bucket, {_RACE} AS race, count(*) AS n FROM cohort GROUP BY ALL",
     "vocab_index": f"SELECT code, CAST(idx AS INTEGER) AS idx FROM {_VOCAB}",
-    "encode_sequence": f""", v AS (SELECT * FROM {_VOCAB} WHERE code <> 'Brand#7'), p AS (SELECT spell_id, split_seq, unnest(generate_series(1, least(len(drugs), 5))) AS i, drugs FROM cohort),
+    "encode_sequence": f""", v AS (SELECT * FROM {_VOCAB} WHERE code <> 'Brand#7'), p AS (SELECT spell_id, split_seq, unnest(generate_series(1, least(len(drugs), {MAX_DRUGS}))) AS i, drugs FROM cohort),
       e AS (SELECT spell_id, split_seq, list(coalesce(idx, 1) ORDER BY i) AS ids FROM p LEFT JOIN v ON v.code = drugs[i] GROUP BY ALL)
-      SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, array_to_string(list_resize(ids, 5, 0), ' ') AS ids FROM e""",
-    "pooled_embedding": "SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(vec[i] AS DOUBLE)), 5) AS value FROM (SELECT spell_id, split_seq, vec, unnest(generate_series(1, len(vec))) AS i FROM (SELECT spell_id, split_seq, unnest(drugs) AS code FROM cohort) JOIN vectors USING (code)) GROUP BY ALL",
-    "flattened_embedding": "SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, CAST(256 AS BIGINT) AS n, round(coalesce(sum(t), 0), 4) AS total FROM (SELECT spell_id, split_seq, unnest(drugs[1:4]) AS code FROM cohort) LEFT JOIN (SELECT code, list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))) AS t FROM vectors) USING (code) GROUP BY ALL",
-    "stratified_split": "SELECT y, CAST('0x' || substr(md5(CAST(spell_id AS VARCHAR) || '|' || CAST(split_seq AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS is_train, count(*) AS n FROM cohort GROUP BY ALL",
+      SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, array_to_string(list_resize(ids, {MAX_DRUGS}, 0), ' ') AS ids FROM e""",
+    "pooled_embedding": _pooled("drugs", "vectors"),
+    "pooled_icd_embedding": _pooled("icd", "icd_vectors"),
+    "flattened_embedding": f"""SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, CAST(place AS INTEGER) AS place, round(list_sum(vec), 4) AS total FROM (
+        SELECT spell_id, split_seq, i - 1 AS place, vec FROM (SELECT *, unnest(generate_series(1, least(len(icd), {MAX_CODES}))) AS i FROM cohort) JOIN icd_vectors ON code = icd[i]
+        UNION ALL SELECT spell_id, split_seq, {MAX_CODES} + i - 1, vec FROM (SELECT *, unnest(generate_series(1, least(len(drugs), {MAX_DRUGS}))) AS i FROM cohort) JOIN vectors ON code = drugs[i])""",
+    "stratified_split": """SELECT y, is_train, count(*) AS n FROM (
+        SELECT y, row_number() OVER (PARTITION BY y ORDER BY CAST('0x' || substr(md5(CAST(spell_id AS VARCHAR) || '|' || CAST(split_seq AS VARCHAR)), 1, 8) AS BIGINT), spell_id, split_seq) <= floor(count(*) OVER (PARTITION BY y) * 0.8) AS is_train FROM cohort) GROUP BY ALL""",
     "class_weights": """SELECT y, n, round(t.all_n / (2 * n), 6) AS balanced, CASE WHEN y = 1 THEN round((t.all_n - pos) / pos, 6) ELSE 1.0 END AS pos_weight, CASE WHEN y = 1 THEN round(least((t.all_n - pos) / pos, 50), 6) ELSE 1.0 END AS capped, CASE WHEN y = 1 THEN round(sqrt((t.all_n - pos) / pos), 6) ELSE 1.0 END AS root
       FROM (SELECT y, count(*) AS n FROM scored GROUP BY y), totals t""",
-    "median_age": "SELECT round(CAST(median(birthyear) AS DOUBLE), 6) AS median FROM people",
+    "median_age": "SELECT round(CAST(median(age) AS DOUBLE), 6) AS median FROM cohort",
     "average_precision": "SELECT round(sum(tp / pos * ctp / cn), 6) AS average_precision FROM ranked, totals",
     "roc_auc": "SELECT round(sum(tp * ((all_n - pos) - (cn - ctp) + (n - tp) / 2) / pos / (all_n - pos)), 6) AS roc_auc FROM ranked, totals",
     "precision_at_fraction": ", o AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_id) AS r FROM scored, totals) " + " UNION ALL ".join(f"SELECT CAST({f} AS DOUBLE) AS fraction, count(*) AS k, round(avg(y), 6) AS precision, round(sum(y) / max(pos), 6) AS recall, round(avg(y) / (max(pos) / max(all_n)), 6) AS enrichment FROM o WHERE r <= floor({f}::DOUBLE * all_n)" for f in (0.001, 0.01, 0.05, 0.1)),
     "pr_curve": "SELECT * FROM curve",
     "best_f1": "SELECT * FROM curve ORDER BY f1 DESC, threshold LIMIT 1",
-    "threshold_for_precision": " UNION ALL ".join(f"(SELECT CAST({t} AS DOUBLE) AS target, threshold, precision, recall FROM curve WHERE precision >= {t} ORDER BY threshold LIMIT 1)" for t in (0.05, 0.1, 0.2)),
+    "threshold_for_precision": " UNION ALL ".join(f"(SELECT CAST({t} AS DOUBLE) AS target, score AS threshold, round(ctp / cn, 6) AS precision, round(ctp / pos, 6) AS recall FROM ranked, totals WHERE ctp / cn >= {t} ORDER BY score LIMIT 1)" for t in (0.05, 0.1, 0.2)),
     "f1_sweep": "SELECT i / 100 AS threshold, round(coalesce(2 * s.ctp / nullif(s.cn + pos, 0), 0), 6) AS f1 FROM (SELECT i, (SELECT count(*) FROM scored WHERE score + 1e-11 >= i / 100) AS cn, (SELECT coalesce(sum(y), 0) FROM scored WHERE score + 1e-11 >= i / 100) AS ctp FROM (SELECT unnest(generate_series(0, 100)) AS i)) s, totals",
     "class_report": _report(),
     "key_range_batches": ", k AS (SELECT DISTINCT member_id FROM rx), r AS (SELECT member_id, row_number() OVER (ORDER BY member_id) AS rank FROM k) SELECT member_id, rank, CAST((rank - 1) // 200 AS BIGINT) AS batch FROM r",
     "hash_buckets": "SELECT member_id % 100 AS bucket, count(*) AS n_rows, count(DISTINCT member_id) AS n_keys FROM rx GROUP BY 1",
-    "json_explode": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1",
+    "json_explode": """, d AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS n FROM part), e AS (SELECT *, n[1:4] || '-' || n[5:8] || '-' || n[9:10] AS package_ndc FROM d)
+      SELECT package_ndc, 0 AS place, CASE WHEN p_size % 5 = 0 THEN 'OXYCODONE ' ELSE '' END || p_name AS ingredient, p_type AS strength FROM e UNION ALL SELECT package_ndc, 1, 'ACETAMINOPHEN', p_size || ' mg' FROM e""",
     "validate_dataset": "SELECT 'rows' AS \"check\", count(*) AS value FROM people UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'has:member_id', 1 UNION ALL SELECT 'has:zip3value', 0" + "".join(f" UNION ALL SELECT 'nulls:{a}', count(*) FILTER ({b} IS NULL) FROM people" for a, b in (("member_id", "member_id"), ("birthyear", "birthyear"), ("gendercode", "gendercode"), ("raceethnicitytypecode", "race"), ("statecode", "statecode"))),
 }
 
@@ -277,5 +294,7 @@ ORACLES: dict[str, str] = {name: CHAIN + sql for name, sql in _PLAIN.items()} |
     "combo_pairs_containing": _mined(2, "WHERE contains(item1, 'Brand#7') OR contains(item2, 'Brand#7') OR contains(m1.name, 'Brand#7') OR contains(m2.name, 'Brand#7')"),
     "combo_trios": _mined(3),
     "combo_sets": _mined(None),
+    **{f"top_{name}_by_rate": _mined(k, "ORDER BY adjusted.rate DESC, " + _items(k) + " LIMIT 10", _items(k) + ", CAST(n_total AS BIGINT) AS n_total, n_ae, round(rate, 6) AS rate") for k, name in ((2, "pairs"), (3, "trios"))},
+    **{f"top_{name}_by_count": _mined(k, "WHERE p_adj < 0.05 AND adjusted.rate > all_ae / all_n ORDER BY n_ae DESC, " + _items(k) + " LIMIT 10", _items(k) + ", CAST(n_total AS BIGINT) AS n_total, n_ae, round(rate, 6) AS rate") for k, name in ((2, "pairs"), (3, "trios"))},
     "bh_forward_cummin": _mined(2, select="item1, item2, round(p_forward, 5) AS p_adj"),
 }

@@ -4,20 +4,24 @@ All chain the same lazy steps: fills, drug intervals, spells, changes, censoring
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import age_bucket, race_label, starts_with_any
+from ..functions.columns import AGE_BUCKETS, RACE_LABELS, YOUNGEST, age_bucket, race_label, starts_with_any
 from ..operators import codes, cohort, combos, features, intervals, metrics, models, spells, summary
 from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
-from ..sources.tables import PRODUCT, validate_dataset
+from ..sources.tables import products_of, shared_folder, stored, validate_dataset
 
 K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
 #: Least support of trios and whole sets: they are rarer than pairs.
 MIN_LARGER = 3
+#: Drugs and diagnoses of a sequence, and numbers of a code's vector.
+MAX_DRUGS, MAX_CODES, DIM = 15, 50, 64
+#: Registered queries fit models on less than the operators' own settings (400 rounds; hidden layers of 256 and 128 or 512 and 256, 100 iterations).
+ROUNDS, HIDDEN, EPOCHS = 10, (32,), 30
 
 
 class Chain:
@@ -95,6 +99,12 @@ def mined(c: Chain, size: int | None, **options) -> DataFrame:
     return found.select(*kept, logs.alias("log_p"), F.round("p_adj", 5).alias("p_adj"))
 
 
+def top_mined(c: Chain, size: int, by: str) -> DataFrame:
+    """The ten combinations with the largest rate, or among signals the ten with the most events."""
+    found = combos.mine_combinations(c.cohort, size, MIN_N if size == 2 else MIN_LARGER)
+    return combos.top_mined(found, by, 10, signals=by == "n_ae").select(*(f"item{i + 1}" for i in range(size)), "n_total", "n_ae", F.round("rate", 6).alias("rate"))
+
+
 def eligible_members(c: Chain) -> DataFrame:
     return codes.eligible_members(c.claims.rx_fills(), c.claims.query_drugs())
 
@@ -188,82 +198,125 @@ def age_buckets(c: Chain) -> DataFrame:
     return c.cohort.groupBy(age_bucket(F.col("age")).alias("bucket"), race_label(F.col("raceethnicitytypecode")).alias("race")).agg(F.count(F.lit(1)).alias("n"))
 
 
+KEYS = ["spell_id", "split_seq"]
+
+
 def encode_sequence(c: Chain) -> DataFrame:
     vocab = features.vocabulary(c.cohort, "drug_combo").where("code <> 'Brand#7'")  # one code left out: it comes back as unknown
-    return features.encode_sequence(c.cohort, ["spell_id", "split_seq"], "drug_combo", vocab, 5).select("spell_id", "split_seq", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return features.encode_sequence(c.cohort, KEYS, "drug_combo", vocab, MAX_DRUGS).select(*KEYS, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-def pooled_embedding(c: Chain) -> DataFrame:
-    return features.pooled_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors()).select("spell_id", "split_seq", "dim", F.round("value", 5).alias("value"))
+def pooled_embedding(c: Chain, items: str = "drug_combo", kind: str = "drug") -> DataFrame:
+    rows = c.cohort.where(F.size(items) > 0)
+    return features.pooled_vectors(rows, KEYS, items, c.claims.code_vectors(kind), DIM).select(*KEYS, F.posexplode("pooled").alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
-def flattened_embedding(c: Chain) -> DataFrame:
-    flat = features.flattened_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors(), 4, 64)
-    return flat.select("spell_id", "split_seq", F.size("flat").cast("long").alias("n"), F.round(F.aggregate("flat", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+def flattened(c: Chain) -> DataFrame:
+    """keys and flat: the vectors of up to MAX_CODES diagnoses, then of up to MAX_DRUGS drugs."""
+    codes_flat = features.flattened_vectors(c.cohort, KEYS, "icd10_codes", c.claims.code_vectors("icd"), MAX_CODES, DIM).withColumnRenamed("flat", "_codes")
+    drugs_flat = features.flattened_vectors(c.cohort, KEYS, "drug_combo", c.claims.code_vectors(), MAX_DRUGS, DIM)
+    return codes_flat.join(drugs_flat, KEYS).select(*KEYS, F.concat("_codes", "flat").alias("flat"))
 
 
-def json_explode(c: Chain) -> DataFrame:
-    events = c.claims.table("events")
-    value = F.from_json("props", "k int")
-    return events.select(value["k"].alias("k"), "event_type").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+def flattened_embedding(c: Chain) -> DataFrame:
+    """The sum of each place's vector, where there is one."""
+    place = F.transform(F.sequence(F.lit(0), F.lit(MAX_CODES + MAX_DRUGS - 1)), lambda i: F.aggregate(F.slice("flat", i * DIM + 1, DIM), F.lit(0.0), lambda a, x: a + x))
+    return flattened(c).select(*KEYS, F.posexplode(place).alias("place", "total")).where("total <> 0").withColumn("total", F.round("total", 4))
 
 
-def opioid_products(c: Chain) -> DataFrame:
-    """The part table as nested product records: each part has one package, and names stand in for ingredients."""
-    ingredient = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("OXYCODONE "), "p_name")).otherwise(F.col("p_name"))
+def exported_products(c: Chain) -> DataFrame:
+    """The part table as the drug directory's nested JSON records: a package, two ingredients and up to two routes each."""
+    named = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("OXYCODONE "), "p_name")).otherwise(F.col("p_name"))
+    ingredients = F.array(F.struct(named.alias("name"), F.col("p_type").alias("strength")), F.struct(F.lit("ACETAMINOPHEN").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" mg")).alias("strength")))
+    routes = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("ORAL"), F.lit("RECTAL"))).otherwise(F.array(F.lit("ORAL")))
     digits = F.lpad(F.col("p_partkey").cast("string"), 10, "0")
     code = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 2))
     empty = F.array().cast("array<string>")
     record = F.struct(
-        F.col("p_name").alias("brand_name"), F.col("p_brand").alias("labeler_name"), F.array(F.lit("ORAL")).alias("route"), F.array(F.struct(ingredient.alias("name"), F.col("p_type").alias("strength"))).alias("active_ingredients"),
+        F.col("p_name").alias("brand_name"), F.col("p_brand").alias("labeler_name"), routes.alias("route"), ingredients.alias("active_ingredients"),
         empty.alias("pharm_class"), empty.alias("pharm_class_cs"), empty.alias("pharm_class_epc"), F.array(F.struct(code.alias("package_ndc"))).alias("packaging"),
     )
-    text = c.claims.table("part").select(F.to_json(record).alias("j"))
-    return codes.opioid_products(text.select(F.from_json("j", T.StructType(PRODUCT.fields)).alias("p")).select("p.*"))
+    return products_of(c.claims.table("part").select(F.to_json(F.struct(F.array(record).alias("results"))).alias("value")))
+
+
+def json_explode(c: Chain) -> DataFrame:
+    rows = exported_products(c).select(F.col("packaging")[0]["package_ndc"].alias("package_ndc"), F.posexplode("active_ingredients").alias("place", "i"))
+    return rows.select("package_ndc", "place", F.col("i.name").alias("ingredient"), F.col("i.strength").alias("strength"))
+
+
+def opioid_products(c: Chain) -> DataFrame:
+    return codes.opioid_products(exported_products(c))
+
+
+def keyed_rows(c: Chain) -> DataFrame:
+    return c.cohort.select("*", (F.col("spell_id") * 100 + F.col("split_seq")).alias("row_id")).withColumn("y", F.col("had_ae").cast("int"))
 
 
 def model_frame(c: Chain) -> tuple[DataFrame, list[str]]:
-    kept = c.cohort.select("spell_id", "split_seq", "drug_combo", "icd10_codes", "age", "gendercode", "raceethnicitytypecode", F.col("had_ae").cast("int").alias("y"))
-    frame, names = features.design_matrix(kept, ["age"], ["gendercode", "raceethnicitytypecode"], icd_floor=MIN_N)
-    return features.split_rows(frame.withColumn("row_id", F.col("spell_id") * 100 + F.col("split_seq")), "spell_id", "split_seq"), names
+    kept = keyed_rows(c).select("row_id", *KEYS, "drug_combo", "icd10_codes", "age", "gendercode", "raceethnicitytypecode", "y")
+    frame, names = features.design_matrix(stored(kept), ["age"], ["gendercode", "raceethnicitytypecode"], icd_floor=MIN_N)
+    return stored(features.split_rows(frame.select("row_id", *KEYS, "y", "features"), *KEYS)), names
 
 
 def quality_of(scores: DataFrame) -> DataFrame:
-    scores = scores.cache()
+    scores = stored(scores)
     return metrics.average_precision(scores).join(F.broadcast(metrics.roc_auc(scores)))
 
 
 def logistic_odds_ratios(c: Chain) -> DataFrame:
     frame, names = model_frame(c)
-    return models.top_and_bottom(models.odds_ratios(c.spark, models.fit_logistic(frame.where("is_train"), 25), names), "odds_ratio", 30)
+    return models.top_and_bottom(models.odds_ratios(c.spark, models.fit_logistic(frame.where("is_train")), names), "odds_ratio", 30)
 
 
 def bootstrap_intervals(c: Chain) -> DataFrame:
     frame, names = model_frame(c)
-    return models.bootstrap_odds_ratios(frame.where("is_train").select("features", "y").cache(), names, replicates=3, max_iter=10)
+    return models.bootstrap_odds_ratios(frame.where("is_train").select("row_id", "features", "y"), names)
 
 
 def logistic_quality(c: Chain) -> DataFrame:
     frame, _ = model_frame(c)
-    frame = frame.cache()
-    return quality_of(models.scored_rows(models.fit_logistic(frame.where("is_train"), 25), frame.where("not is_train")))
+    return quality_of(models.scored_rows(models.fit_logistic(frame.where("is_train")), frame.where("not is_train")))
 
 
-def tree_search(c: Chain) -> DataFrame:
+def tree_search(c: Chain, full: bool = False) -> DataFrame:
     frame, _ = model_frame(c)
-    frame = frame.cache()
-    return models.tree_grid(frame.where("is_train"), frame.where("not is_train"), [{"pos_weight": w, "rounds": 5, "depth": 3} for w in (1.0, 5.0)])
+    train = frame.where("is_train")
+    return models.tree_grid(train, frame.where("not is_train"), models.tree_settings(train, full, ROUNDS))
 
 
 def tree_best(c: Chain) -> DataFrame:
     return metrics.best_run(tree_search(c))
 
 
+def _perceptron(c: Chain, arrays: DataFrame, *columns: str) -> DataFrame:
+    """Validation quality of a perceptron over age, race and gender tokens and the arrays' columns."""
+    rows = keyed_rows(c)
+    ages = [YOUNGEST, *(name for _, name in AGE_BUCKETS)]
+    tokens = features.one_hot_tokens(rows, KEYS, [(age_bucket(F.col("age")), ages), (F.col("raceethnicitytypecode"), sorted(RACE_LABELS)), (F.col("gendercode"), ["F", "M"])])
+    made = models.array_features(rows.select("row_id", *KEYS, "y").join(tokens, KEYS).join(arrays, KEYS), "tokens", *columns)
+    split = stored(features.split_rows(made.select("row_id", *KEYS, "y", "features"), *KEYS))
+    return quality_of(models.scored_rows(models.fit_perceptron(split.where("is_train"), HIDDEN, EPOCHS), split.where("not is_train")))
+
+
 def perceptron_quality(c: Chain) -> DataFrame:
-    pooled = features.pooled_vectors(c.cohort, ["spell_id", "split_seq"], "drug_combo", c.claims.code_vectors())
-    rows = models.vector_rows(pooled, ["spell_id", "split_seq"], 64).join(c.cohort.select("spell_id", "split_seq", F.col("had_ae").cast("int").alias("y")), ["spell_id", "split_seq"])
-    split = features.split_rows(rows.withColumn("row_id", F.col("spell_id") * 100 + F.col("split_seq")), "spell_id", "split_seq").cache()
-    return quality_of(models.scored_rows(models.fit_perceptron(split.where("is_train"), (16,), 20), split.where("not is_train")))
+    """Over the pooled vectors of diagnoses and drugs."""
+    diagnoses = features.pooled_vectors(c.cohort, KEYS, "icd10_codes", c.claims.code_vectors("icd"), DIM).withColumnRenamed("pooled", "_codes")
+    drugs = features.pooled_vectors(c.cohort, KEYS, "drug_combo", c.claims.code_vectors(), DIM)
+    return _perceptron(c, diagnoses.join(drugs, KEYS), "_codes", "pooled")
+
+
+def sequence_quality(c: Chain) -> DataFrame:
+    """Over the flattened vectors of diagnoses and drugs."""
+    return _perceptron(c, flattened(c), "flat")
+
+
+def saved_model_quality(c: Chain) -> DataFrame:
+    """A logistic model written to the session's shared folder, read again and used."""
+    frame, names = model_frame(c)
+    path = f"{shared_folder(c.spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(models.fit_logistic(frame.where("is_train")), names, path)
+    model, _ = models.load_model(path)
+    return quality_of(models.scored_rows(model, frame.where("not is_train")))
 
 
 _STEPS = {
@@ -299,6 +352,10 @@ _STEPS = {
     "combo_trios": lambda c: mined(c, 3),
     "combo_sets": lambda c: mined(c, None),
     "bh_forward_cummin": lambda c: combos.bh_adjust(combos.mine_combinations(c.cohort, 2, MIN_N).select("item1", "item2", "p_value"), "p_value", ["item1", "item2"], "forward_cummin").select("item1", "item2", F.round("p_adj", 5).alias("p_adj")),
+    "top_pairs_by_rate": lambda c: top_mined(c, 2, "rate"),
+    "top_pairs_by_count": lambda c: top_mined(c, 2, "n_ae"),
+    "top_trios_by_rate": lambda c: top_mined(c, 3, "rate"),
+    "top_trios_by_count": lambda c: top_mined(c, 3, "n_ae"),
     "spell_gaps": spell_gaps,
     "describe_gaps": lambda c: summary.describe(spell_gaps(c), "gap_days"),
     "describe_lengths": lambda c: summary.describe(c.segments, "spell_length_days", "segment_end_reason"),
@@ -313,6 +370,8 @@ _STEPS = {
     "total_and_members": lambda c: summary.total_and_members(c.segments),
     "non_event_members": lambda c: cohort.members_without_event(c.segments),
     "member_code_counts": lambda c: summary.member_code_counts(c.icd, "icd10_codes"),
+    "top_member_codes_20": lambda c: summary.top_member_codes(c.icd, "icd10_codes", 20),
+    "top_member_codes_500": lambda c: summary.top_member_codes(c.icd, "icd10_codes", 500),
     "adds_per_spell": lambda c: summary.count_of_counts(c.changes.where("change_type = 'add'"), "spell_id"),
     "ae_by_split_seq": lambda c: c.segments.where("had_ae").groupBy("split_seq").agg(F.count(F.lit(1)).alias("n")),
     "days_into_spell": days_into_spell,
@@ -323,10 +382,11 @@ _STEPS = {
     "vocab_index": lambda c: features.vocabulary(c.cohort, "drug_combo"),
     "encode_sequence": encode_sequence,
     "pooled_embedding": pooled_embedding,
+    "pooled_icd_embedding": lambda c: pooled_embedding(c, "icd10_codes", "icd"),
     "flattened_embedding": flattened_embedding,
     "stratified_split": lambda c: features.split_rows(c.cohort, "spell_id", "split_seq").groupBy("y", "is_train").agg(F.count(F.lit(1)).alias("n")),
     "class_weights": lambda c: features.class_weights(c.claims.scored(), "y"),
-    "median_age": lambda c: features.median_of(c.claims.demographics(), "birthyear"),
+    "median_age": lambda c: features.median_of(c.cohort, "age"),
     "average_precision": lambda c: metrics.average_precision(c.claims.scored()),
     "roc_auc": lambda c: metrics.roc_auc(c.claims.scored()),
     "precision_at_fraction": lambda c: metrics.precision_at_fraction(c.claims.scored()),
@@ -343,8 +403,11 @@ _STEPS = {
     "logistic_quality": logistic_quality,
     "bootstrap_intervals": bootstrap_intervals,
     "tree_search": tree_search,
+    "tree_full_search": lambda c: tree_search(c, True),
     "tree_best": tree_best,
     "perceptron_quality": perceptron_quality,
+    "sequence_quality": sequence_quality,
+    "saved_model_quality": saved_model_quality,
 }
 
 

@@ -80,8 +80,15 @@ class Claims:
             F.col("n_name").alias("statecode"),
         )
 
-    def code_vectors(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id < 25").select(F.concat(F.lit("Brand#"), (F.col("vec_id") + 1).cast("string")).alias("code"), F.col("embedding").alias("vec"))
+    def code_vectors(self, kind: str = "drug") -> DataFrame:
+        """code and vec of drug classes, or of ICD clusters: the mean of all vectors whose number falls to the code."""
+        if kind == "drug":
+            code = F.concat(F.lit("Brand#"), (F.col("vec_id") % 25 + 1).cast("string"))
+        else:
+            code = F.element_at(F.array(*(F.lit(c[:3]) for c in CLAIM_CODES)), (F.col("vec_id") % len(CLAIM_CODES) + 1).cast("int"))
+        cells = self.table("embeddings").select(code.alias("code"), F.posexplode("embedding").alias("dim", "x")).groupBy("code", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        whole = cells.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))  # 64 cells a code
+        return whole.select("code", F.col("v.x").alias("vec"))
 
     def scored(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("row_id"), F.round(F.col("value") / (1 + F.col("value")), 3).alias("score"), (F.col("event_type") == "error").cast("int").alias("y"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,22 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share; in local mode without that setting a
+    temporary one."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return folder or f"file://{tempfile.mkdtemp(prefix='spanwise-tables-')}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame's rows, written to the shared folder and read again: what follows is planned from there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_ranked_csv(df: DataFrame, path: str, *order) -> None:
     """A small ranked report as one CSV file."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -54,10 +72,15 @@ PRODUCT = T.StructType([
 ])
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """One row per product of {"results": [...]} files."""
+def products_of(texts: DataFrame) -> DataFrame:
+    """One row per product of {"results": [...]} texts (column value)."""
     schema = T.StructType([T.StructField("results", T.ArrayType(PRODUCT))])
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("results").alias("p")).select("p.*")
+    return texts.select(F.explode(F.from_json("value", schema)["results"]).alias("p")).select("p.*")
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files that each hold one such object, over many lines."""
+    return products_of(spark.read.text(path, wholetext=True))
 
 
 def read_code_vectors(spark: SparkSession, path: str) -> DataFrame:

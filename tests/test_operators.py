@@ -16,7 +16,7 @@ from spanwise.plans.queries import QUERIES
 from spanwise.sources import tables
 
 BASE = "/root/testdata/sf0.001"
-FAST = ("view_rx_fills", "eligible_members", "clean_map", "match_rate", "opioid_products", "detect_spells", "label_first_event", "ae_by_description", "average_precision", "roc_auc", "pr_curve", "f1_sweep", "class_report", "key_range_batches", "validate_dataset", "one_hot_long")
+FAST = ("view_rx_fills", "eligible_members", "clean_map", "match_rate", "opioid_products", "detect_spells", "label_first_event", "ae_by_description", "average_precision", "roc_auc", "pr_curve", "precision_at_fraction", "threshold_for_precision", "best_f1", "f1_sweep", "class_report", "key_range_batches", "validate_dataset", "one_hot_long", "json_explode", "split_at_adds", "label_combo", "cluster_codes", "top_pairs_by_rate", "top_trios_by_rate", "top_member_codes_20", "combo_pairs", "stratified_split", "median_age", "encode_sequence", "pooled_embedding", "pooled_icd_embedding", "flattened_embedding")
 
 
 def one(spark, value, f, kind="string"):
@@ -59,6 +59,15 @@ def test_combinations_and_adjustment(spark):
     p = [0.01, 0.04, 0.03, 0.5, 0.5]
     adj = {r["k"]: r["p_adj"] for r in combos.bh_adjust(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p", ["k"]).collect()}
     assert [round(adj[i], 6) for i in range(5)] == [0.05, 0.066667, 0.066667, 0.5, 0.5]
+    rnd = random.Random(8)
+    many = [(i, round(rnd.random() ** 3, 2)) for i in range(500)]
+    order = sorted(many, key=lambda x: (x[1], x[0]))
+    raw = [p * 500 / (r + 1) for r, (_, p) in enumerate(order)]
+    for method, want in (("bh", [min(1.0, *raw[i:]) for i in range(500)]), ("forward_cummin", [min(1.0, *raw[: i + 1]) for i in range(500)])):
+        got = {r["k"]: r["p_adj"] for r in combos.bh_adjust(spark.createDataFrame(many, "k int, p double"), "p", ["k"], method).collect()}
+        assert all(got[k] == pytest.approx(w) for (k, _), w in zip(order, want))
+    top = spark.createDataFrame([("a", "b", 0.5, 3, True), ("a", "c", 0.9, 1, False), ("b", "c", 0.5, 9, True)], "item1 string, item2 string, rate double, n_ae int, signal boolean")
+    assert [r["item2"] for r in combos.top_mined(top, "rate", 2).collect()] == ["c", "b"] and [r["n_ae"] for r in combos.top_mined(top, "n_ae", 5, True).collect()] == [9, 3]
 
 
 def test_metrics_against_plain_loops(spark):
@@ -74,6 +83,16 @@ def test_metrics_against_plain_loops(spark):
         ap += (tp - seen) / len(pos) * tp / n
         seen = tp
     assert metrics.average_precision(df).first()["average_precision"] == pytest.approx(ap, abs=1e-6)
+    for n, make in ((3000, lambda: rnd.choice([0.0, 0.1, 0.5])), (3000, rnd.random), (5, rnd.random), (1, rnd.random)):
+        rows = [(i * 7, int(rnd.random() < 0.4 or n == 1), make()) for i in range(n)]
+        df = spark.createDataFrame(rows, "row_id int, y int, score double")
+        best, pos = sorted(rows, key=lambda r: (-r[2], r[0])), sum(y for _, y, _ in rows)
+        for r in metrics.precision_at_fraction(df, (0.001, 0.1, 0.5, 1.0)).collect():
+            k = math.floor(r["fraction"] * n)
+            hits = sum(y for _, y, _ in best[:k])
+            assert r["k"] == k and (r["precision"] is None if not k else r["precision"] == pytest.approx(hits / k, abs=1e-6) and r["recall"] == pytest.approx(hits / pos, abs=1e-6))
+        cum = {r["score"]: (r["cn"], r["ctp"]) for r in metrics.by_score(df).collect()}
+        assert all(cum[t] == (sum(s >= t for _, _, s in rows), sum(y for _, y, s in rows if s >= t)) for t in list(cum)[:50])
     assert metrics.best_run(spark.createDataFrame([(0, 0.1), (1, 0.3), (2, 0.3)], "run int, average_precision double")).first()["run"] == 1
 
 
@@ -93,14 +112,40 @@ def test_sources_round_trip(spark, tmp_path):
     assert tables.read_parquet(spark, str(tmp_path / "p"), ["code"]).columns == ["code"]
     tables.write_ranked_csv(df, str(tmp_path / "c"), "code")
     assert [r["code"] for r in tables.read_csv_strings(spark, str(tmp_path / "c"), ["code", "name"]).collect()] == ["007", "08"]
-    product = {"results": [{"brand_name": "b", "labeler_name": "l", "route": ["ORAL"], "active_ingredients": [{"name": "Oxycodone HCl", "strength": "5 mg"}], "packaging": [{"package_ndc": "1234-5678-90"}]}, {"brand_name": "c", "packaging": [{"package_ndc": "1-1-1"}]}]}
+    product = {"results": [{"brand_name": "b", "labeler_name": "l", "route": ["ORAL", "RECTAL"], "active_ingredients": [{"name": "Oxycodone HCl", "strength": "5 mg"}, {"name": "Acetaminophen", "strength": "325 mg"}], "packaging": [{"package_ndc": "1234-5678-90"}]}, {"brand_name": "c", "packaging": [{"package_ndc": "1-1-1"}]}]}
     (tmp_path / "j.json").write_text(json.dumps(product, indent=1))
     found = codes.opioid_products(tables.read_products(spark, str(tmp_path / "j.json"))).collect()
-    assert [tuple(r) for r in found] == [("01234567890", "b", "5 mg", "ORAL", "l")]
+    assert [tuple(r) for r in found] == [("01234567890", "b", "Oxycodone HCl 5 mg, Acetaminophen 325 mg", "ORAL, RECTAL", "l")]
     (tmp_path / "v.json").write_text('{"a": [1.0, 2.0], "b": [3.0, 4.0]}')
     assert {r["code"]: list(r["vec"]) for r in tables.read_code_vectors(spark, str(tmp_path / "v.json")).collect()} == {"a": [1, 2], "b": [3, 4]}
 
 
+def test_jdbc_is_read_in_ranges(spark):
+    url = "jdbc:derby:memory:claims;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("cast(id as int) as MEMBER_ID", "cast(id % 7 as int) as N").write.jdbc(url, "FILLS", mode="overwrite", properties=driver)
+    got = tables.read_jdbc_ranges(spark, url, "SELECT MEMBER_ID, N FROM FILLS WHERE N < 3", "MEMBER_ID", 0, 100, 4, driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i % 7) for i in range(100) if i % 7 < 3]
+
+
+def test_splits_and_vectors(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(1005)]
+    split = features.split_rows(spark.createDataFrame(rows, "id int, y int"), "id")
+    assert {(r["y"], r["is_train"]): r["count"] for r in split.groupBy("y", "is_train").count().collect()} == {(0, True): 723, (0, False): 181, (1, True): 80, (1, False): 21}
+    again = features.split_rows(spark.createDataFrame(rows[::-1], "id int, y int").repartition(5), "id")
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, again.collect()))
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 6.0])], "code string, vec array<double>")
+    items = spark.createDataFrame([(1, ["a", "b", "q"]), (2, ["q"]), (3, [])], "id int, items array<string>")
+    for most in (features.BROADCAST_BYTES, 0):
+        features.BROADCAST_BYTES, kept = most, features.BROADCAST_BYTES
+        assert {r["id"]: r["pooled"] for r in features.pooled_vectors(items, ["id"], "items", vectors, 2).collect()} == {1: [2.0, 4.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+        assert {r["id"]: r["flat"] for r in features.flattened_vectors(items, ["id"], "items", vectors, 2, 2).collect()} == {1: [1.0, 2.0, 3.0, 6.0], 2: [0.0] * 4, 3: [0.0] * 4}
+        features.BROADCAST_BYTES = kept
+    tokens = features.one_hot_tokens(items.withColumn("g", F.when(F.col("id") == 1, "F")), ["id"], [(F.col("g"), ["F", "M"])])
+    assert {r["id"]: r["tokens"] for r in tokens.collect()} == {1: [1, 0, 0], 2: [0, 0, 1], 3: [0, 0, 1]}
+
+
 def test_summary_and_features(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 10.0, "a"), (3, 5.0, "b"), (4, 11.0, None)], "id int, x double, g string")
     assert {(r["bin"], r["n"]) for r in summary.histogram(df, "x", 0, 10, 5).collect()} == {(0, 1), (4, 1), (2, 1)}
@@ -112,7 +157,7 @@ def test_summary_and_features(spark):
     assert all(abs(r["count"] - 500) < 80 for r in balanced)
 
 
-def test_models_find_a_planted_signal(spark):
+def test_models_find_a_planted_signal(spark, tmp_path):
     rnd = random.Random(4)
     rows = []
     for i in range(300):
@@ -125,6 +170,42 @@ def test_models_find_a_planted_signal(spark):
     odds = {r["feature"]: r["odds_ratio"] for r in models.odds_ratios(spark, model, names).collect()}
     assert max(odds, key=odds.get) == "DRUG_a"
     assert metrics.roc_auc(models.scored_rows(model, frame)).first()["roc_auc"] > 0.75
+    models.save_model(model, names, str(tmp_path / "m"))
+    again, same = models.load_model(str(tmp_path / "m"))
+    assert same == names and again.coefficients == model.coefficients
+    found = {r["feature"]: r for r in models.bootstrap_odds_ratios(frame.select("row_id", "features", "y"), names, replicates=30).collect()}
+    assert set(found) == set(names) and all(r["low"] <= r["mean"] * 1.5 and r["low"] <= r["high"] for r in found.values())
+    assert found["DRUG_a"]["low"] > 1 and found["DRUG_a"]["odds_ratio"] == pytest.approx(odds["DRUG_a"], rel=0.2)
+    settings = models.tree_settings(frame, True, 3)
+    assert len(settings) == 8 and len(models.tree_settings(frame, False)) == 4 and {s["rounds"] for s in settings} == {3}
+    runs = models.tree_grid(frame, frame, [settings[0], {**settings[7], "depth": 2}])
+    best = metrics.best_run(runs).first()
+    assert best["roc_auc"] > 0.75 and runs.count() == 2
+    vectors = models.array_features(frame.select("row_id", "y", F.transform(F.array(*map(F.lit, "abcdef")), lambda d: F.array_contains("drug_combo", d).cast("double")).alias("held")), "held")
+    net = models.fit_perceptron(vectors, (4,), 50)
+    assert metrics.roc_auc(models.scored_rows(net, vectors)).first()["roc_auc"] > 0.75
+
+
+def test_replicates_equal_plain_fits(spark):
+    """Each replicate is the minimum of its weighted loss: its gradient, by plain loops over weighted rows, is zero."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from spanwise.operators.replicates import fit_replicates, poisson_weights
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 2, (150, 4)), rng.integers(20, 90, 150)]).astype(float)
+    y = (rng.random(150) < 1 / (1 + np.exp(1 - 2 * x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, Vectors.dense(r), int(v)) for i, (r, v) in enumerate(zip(x, y))], ["row_id", "features", "y"]).repartition(3)
+    w = fit_replicates(df, 6, seed=5, max_iter=300, tolerance=1e-7)
+    weights = poisson_weights(np.arange(150), 6, 5)
+    assert abs(weights.mean() - 1) < 0.1 and abs(weights.var() - 1) < 0.2 and len({tuple(c) for c in weights.T}) == 6
+    for b in range(6):
+        n = [(weights[:, b] * (y == k)).sum() for k in (0, 1)]
+        times = weights[:, b] * np.where(y == 1, sum(n) / 2 / n[1], sum(n) / 2 / n[0])
+        least = min((np.abs(((1 / (1 + np.exp(-(x @ w[b] + t))) - y) * times).sum()), t) for t in np.linspace(-8, 8, 16001))[1]
+        gradient = x.T @ ((1 / (1 + np.exp(-(x @ w[b] + least))) - y) * times) + w[b]
+        assert np.abs(gradient[:4]).max() < 0.1 and np.abs(gradient[4]) < 8
 
 
 @pytest.mark.parametrize("name", FAST)
