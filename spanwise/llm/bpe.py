@@ -24,12 +24,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .text import pieces, read_table, take_runs
+from .text import own_first, pieces, read_table, spread, take_runs
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: White space as the tokenizer's patterns see it.
 _WS = r"\t-\r \x85\xa0  -     　"
 
+#: The normalisation that ``split`` carries out; a file that names another one is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
 
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -45,6 +48,9 @@ class BpeCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        other = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if spec["normalizer"] != NORMALIZER or spec["decoder"] or other:
+            raise ValueError("this codec knows NFC, white space to blanks and lower-casing, plain BPE and no decoder; the file asks for something else")
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -202,12 +208,14 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.str
 
 
 def bpe_round_trip(df: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode ``text`` and decode the ids again.  A map over the input's partitions: nothing is shuffled.
+    """Encode ``text`` and decode the ids again.  A map over the input's partitions, which are dealt anew only if they are
+    far fewer than the cores.
 
     ``outputs``: any of n_tokens, ids, decoded, and the SHA-256 digests ids_sha256 and decoded_sha256 of
-    the decimal ids joined by a space and of the decoded text; ``keep``: input columns that stay.
+    the decimal ids joined by a space and of the decoded text; ``keep``: input columns that stay, but for names of outputs.
     """
-    source = df.select(*keep, *(() if "text" in keep else ("text",)))
+    keep = own_first(keep, outputs)
+    source = spread(df.select(*dict.fromkeys((*keep, "text"))))
     fields = [(f.name, f) for f in source.select(*keep).schema]
     schema = T.StructType([f for _, f in fields] + [T.StructField(n, _TYPES[n]) for n in outputs])
 

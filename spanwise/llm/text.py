@@ -44,6 +44,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the input comes in fewer splits than half of them, such as one small file; else as they are.
+
+    For maps whose work on a row costs far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def fold_of(column: Column, folds: int) -> Column:
     """crc32 of an id written as text, modulo ``folds``; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % folds

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import pieces, read_table
+from .text import own_first, pieces, read_table, spread
 
 #: Characters after which a long text is split at the next safe place.
 PART_CHARS = 16_384
@@ -51,9 +51,11 @@ def safe_parts(text: str, most: int = PART_CHARS) -> list[str]:
 
 
 def count_tokens(df: DataFrame, path: str, limit: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row's whole ``text``."""
-    source = df.select(*keep, *(() if "text" in keep else ("text",)))
-    fields = list(source.select(*keep).schema)
+    """``keep`` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row's whole ``text``.  Kept columns with one of these
+    names give way."""
+    kept = own_first(keep, ("n_bytes", "n_tokens", "over_limit"))
+    source = spread(df.select(*dict.fromkeys((*kept, "text"))))
+    fields = list(source.select(*kept).schema)
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +70,7 @@ def count_tokens(df: DataFrame, path: str, limit: int, keep: tuple[str, ...] = (
             lengths = [len(e) for e in own.encode_batch_fast(parts, add_special_tokens=False)]
             n_tokens = np.bincount(np.array(owner), np.array(lengths, dtype=np.float64), len(texts)).astype(np.int64)
             n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), n_bytes, pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), n_bytes, pa.array(n_tokens)], names=[*kept, "n_bytes", "n_tokens"])
 
     return source.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 

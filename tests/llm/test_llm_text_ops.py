@@ -1,6 +1,7 @@
 """BPE, token counts, decontamination, license scans, exact dedup, SimHash and line dedup against plain models."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -36,7 +37,7 @@ def fuzz(n, seed=1, alphabet="abcdefgzAZ 019'.,!?<|>\n\t\x1c\x85\xa0éÉßüñΣ
     return ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) for _ in range(n)]
 
 
-def test_bpe_equals_the_library(spark):
+def test_bpe_equals_the_library(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     own = tokenizers.Tokenizer.from_file(path)
     texts = ODD + fuzz(400) + ["aaaaa", "hahahahaha", "I'll don't WE'VE"]
@@ -50,6 +51,12 @@ def test_bpe_equals_the_library(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, got[r["doc_id"]]["ids"])).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(got[r["doc_id"]]["decoded"].encode()).hexdigest()
     assert bpe.bpe_round_trip(docs(spark, []), path).count() == 0
+    clash = bpe.bpe_round_trip(docs(spark, ["a b"]).withColumnRenamed("key", "ids"), path, keep=("doc_id", "ids", "print"))
+    assert clash.columns == ["doc_id", "print", "n_tokens", "ids", "decoded"] and clash.count() == 1
+    other = json.loads(open(path, encoding="utf-8").read()) | {"normalizer": {"type": "NFKC"}}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError):
+        bpe.BpeCodec(str(tmp_path / "other.json"))
 
 
 def test_token_counts_equal_the_library(spark, monkeypatch):
@@ -66,6 +73,8 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
         assert "".join(parts) == t
         assert sum(len(own.encode(p, add_special_tokens=False).ids) for p in parts) == len(own.encode(t, add_special_tokens=False).ids)
     assert token_counts.count_tokens(docs(spark, []), path, 512).count() == 0
+    clash = token_counts.count_tokens(docs(spark, ["a b"]).withColumnRenamed("key", "n_tokens"), path, 512, keep=("doc_id", "n_tokens"))
+    assert clash.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and clash.count() == 1
 
 
 def contamination(texts, items, span=10):
