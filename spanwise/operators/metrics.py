@@ -39,7 +39,8 @@ def precision_at_fraction(df: DataFrame, fractions: tuple[float, ...] = (0.001,
     total = df.agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_pos"))
     wanted = total.select("*", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("k", F.floor(F.col("fraction") * F.col("_n")))
     inside = (F.col("cn") - F.col("n") < F.col("k")) & (F.col("cn") >= F.col("k"))
-    last = by_score(df).join(F.broadcast(wanted), inside).select("fraction", "score", (F.col("k") - F.col("cn") + F.col("n")).alias("need"), (F.col("ctp") - F.col("tp")).alias("above"))  # one row a fraction
+    last = by_score(df).join(F.broadcast(wanted), inside).select("fraction", "score", (F.col("k") - F.col("cn") + F.col("n")).alias("need"), (F.col("ctp") - F.col("tp")).alias("above"))
+    last = df.sparkSession.createDataFrame(last.collect(), last.schema)  # one row a fraction, read several times below
     tied = df.select("score", "y", F.col(key).alias("_key")).join(F.broadcast(last), "score").select("fraction", "need", "_key", "y")
     span = tied.groupBy("fraction").agg(F.min("_key").alias("_low"), (F.floor((F.max("_key") - F.min("_key")) / ranges) + 1).alias("_width"))
     placed = tied.join(F.broadcast(span), "fraction").withColumn("_range", F.floor((F.col("_key") - F.col("_low")) / F.col("_width")))
