@@ -208,14 +208,13 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.str
 
 
 def bpe_round_trip(df: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode ``text`` and decode the ids again.  A map over the input's partitions, which are dealt anew only if they are
-    far fewer than the cores.
+    """Encode ``text`` and decode the ids again.  A map over the input's partitions: nothing is shuffled.
 
     ``outputs``: any of n_tokens, ids, decoded, and the SHA-256 digests ids_sha256 and decoded_sha256 of
     the decimal ids joined by a space and of the decoded text; ``keep``: input columns that stay, but for names of outputs.
     """
     keep = own_first(keep, outputs)
-    source = spread(df.select(*dict.fromkeys((*keep, "text"))))
+    source = df.select(*dict.fromkeys((*keep, "text")))
     fields = [(f.name, f) for f in source.select(*keep).schema]
     schema = T.StructType([f for _, f in fields] + [T.StructField(n, _TYPES[n]) for n in outputs])
 
@@ -243,5 +242,5 @@ def bpe_round_trip(df: DataFrame, path: str, outputs: tuple[str, ...] = ("n_toke
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    documents = read_table(spark, sf_dir, "documents")
+    documents = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bpe_round_trip(documents, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))

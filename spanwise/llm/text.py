@@ -45,9 +45,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt over all cores where the input comes in fewer splits than half of them, such as one small file; else as they are.
+    """The rows of a scan dealt over all cores where it has fewer splits than half of them, such as one small file; else as they are.
 
-    For maps whose work on a row costs far more than moving it."""
+    For maps whose work on a row costs far more than moving it.  df has to be a scan: counting its partitions runs any shuffles in it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 

@@ -54,7 +54,7 @@ def count_tokens(df: DataFrame, path: str, limit: int, keep: tuple[str, ...] = (
     """``keep`` columns, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row's whole ``text``.  Kept columns with one of these
     names give way."""
     kept = own_first(keep, ("n_bytes", "n_tokens", "over_limit"))
-    source = spread(df.select(*dict.fromkeys((*kept, "text"))))
+    source = df.select(*dict.fromkeys((*kept, "text")))
     fields = list(source.select(*kept).schema)
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -78,4 +78,4 @@ def count_tokens(df: DataFrame, path: str, limit: int, keep: tuple[str, ...] = (
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+    return count_tokens(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"), 512)
