@@ -77,6 +77,18 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
     assert clash.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and clash.count() == 1
 
 
+def test_tokenizers_take_very_long_texts(spark):
+    rnd = random.Random(31)
+    long = " ".join(rnd.choice(["alpha", "Beta", "gam-ma", "É9", "x" * 40, "12,345"]) for _ in range(400_000))
+    assert len(long) > 3_000_000
+    word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    ids = tokenizers.Tokenizer.from_file(word).encode(long, add_special_tokens=False).ids
+    got = bpe.bpe_round_trip(docs(spark, [long, "b"]), word, ("n_tokens", "ids_sha256")).where("doc_id = 0").first()
+    assert (got["n_tokens"], got["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    n = len(tokenizers.Tokenizer.from_file(byte).encode(long, add_special_tokens=False).ids)
+    assert token_counts.count_tokens(docs(spark, [long]), byte, 512).first()["n_tokens"] == n
+
+
 def contamination(texts, items, span=10):
     out = []
     its = [(i, WORD.findall(low(t or ""))) for i, t in items]
