@@ -1,5 +1,10 @@
 """Five stages from raw documents to token ids.  Each takes (spark, docs, sf_dir) and returns a DataFrame that is
-written as Parquet and read again as the next one's docs; all but the last return the columns of documents."""
+written as Parquet and read again as the next one's docs; all but the last return the columns of documents.
+
+Rows are judged each by itself, repeated ones too.  Null texts count as empty: the classifier scores them like any empty text, line dedup
+leaves them null, of several null or empty texts the near-copy stage keeps those of the smallest doc_id, no benchmark window stands in
+them, and they have no tokens.  A null doc_id comes last in line dedup's order, and its documents are no near copies of any.  Texts of any
+length are worked on whole; an empty table stays empty.  Columns beside those of documents come through under any name."""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwise.llm import bpe, decontam, line_dedup, near, quality
-from spanwise.llm.text import ensure_checkpoint_dir, read_table
+from spanwise.llm.text import discard, ensure_checkpoint_dir, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what stands between them is written to the shared checkpoint folder."""
+    """All stages over documents; what stands between them is written to the shared checkpoint folder, where the last stage's input stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
@@ -61,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     raise ValueError("STAGES is empty")
