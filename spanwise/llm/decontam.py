@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ALNUM, Words, cut, find_words, grams, own_first, packed, pieces, read_table, stored, take_runs, unpacked
+from .text import ALNUM, Words, cut, find_words, grams, hot_join, own_first, packed, pieces, read_table, stored, take_runs, unpacked
 
 GRAM, WINDOW = 6, 5
 #: Words of benchmark text up to which each task holds the whole index (24 bytes a word).
@@ -264,12 +264,15 @@ def _by_shuffle(source: DataFrame, items: DataFrame, span: int) -> DataFrame:
 
     numbered = stored(source.withColumn("key", F.monotonically_increasing_id()))
     made = "key long, print long, size int"
-    theirs = items.select("key", "text").mapInArrow(prints(True), made).withColumnRenamed("key", "item")
-    mine = numbered.select("key", "text").mapInArrow(prints(False), made)
-    pairs = mine.join(theirs, ["print", "size"]).select("key", "item").distinct()
+    # A passage that stands in a large part of all documents, or of which an item consists, is joined by hot_join.
+    both = F.xxhash64("print", "size").alias("both")
+    theirs = items.select("key", "text").mapInArrow(prints(True), made).groupBy(both).agg(F.collect_set("key").alias("items"))
+    mine = stored(numbered.select("key", "text").mapInArrow(prints(False), made).select("key", both))
+    theirs = cut(theirs.join(mine.groupBy("both").agg(F.count(F.lit(1)).alias("rows")), "both"))
+    pairs = cut(hot_join(mine, theirs, "both").select("key", F.explode("items").alias("item")).distinct())
     chunk = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1) / CANDIDATES).alias("chunk")
-    named = items.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text"))
-    given = pairs.select("key", "item", chunk).join(named, "item").groupBy("key", "chunk").agg(F.collect_list(F.struct("item_id", "item_text")).alias("candidates"))
+    named = items.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")).join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("rows")), "item")
+    given = hot_join(pairs.select("key", "item", chunk), cut(named), "item").groupBy("key", "chunk").agg(F.collect_list(F.struct("item_id", "item_text")).alias("candidates"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .simhash import hot_join, near_duplicates
-from .text import SPACED, cut, find_words, grams, mixed, packed, pieces, stored, unpacked
+from .simhash import near_duplicates
+from .text import SPACED, cut, find_words, grams, hot_join, mixed, packed, pieces, stored, unpacked
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5

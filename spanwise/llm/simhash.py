@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import cut, packed, pieces, read_table, unpacked
+from .text import cut, hot_join, packed, pieces, read_table, unpacked
 
 SEED = 42
 #: Fingerprints under one key above which it is split into chunks of this many.
@@ -213,14 +213,6 @@ def link_edges(prints: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) ->
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a long, b long").distinct()
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined with right, which has one row a key and, in ``rows``, the number of left's rows with it."""
-    total = right.agg(F.sum("rows")).first()[0] or 0
-    hot, rest = right.where(F.col("rows") > total / 1000).drop("rows"), right.where(F.col("rows") <= total / 1000).drop("rows")
-    through = left.join(F.broadcast(hot), key)  # fewer than 1,000 rows
-    return through.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has an edge (a, b)."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
