@@ -21,7 +21,6 @@ Extra columns may have any name.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

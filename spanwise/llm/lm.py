@@ -431,6 +431,7 @@ class _Block:
 
 def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFrame:
     """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text, as a stored table."""
+
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Block] = {}
         for batch in batches:
