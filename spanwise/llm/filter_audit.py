@@ -99,7 +99,7 @@ def audit_orders(cells: DataFrame) -> DataFrame:
     """One row per part, order and step: the counts of that step, and its filter's removals over all orders (shapley)."""
     spark = cells.sparkSession
     limit = int(spark.conf.get("spark.sql.cteRecursionRowLimit", "1000000"))
-    if 0 <= limit < (need := PREFIXES * cells.count()):
+    if 0 <= limit < (need := PREFIXES * cells.count() + 1):  # the recursion ends below its limit only
         spark.conf.set("spark.sql.cteRecursionRowLimit", str(need))
     view = f"mask_cells_{uuid.uuid4().hex}"
     cells.createOrReplaceTempView(view)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, filter_audit, langid, licenses, line_dedup, lm, quality, simhash, token_counts
+from . import bpe, decontam, exact_dedup, filter_audit, langid, licenses, line_dedup, lm, phrases, quality, simhash, token_counts
 from .licenses import ORDER, PHRASES, TEMPLATES, THRESHOLD
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op12_phrases": phrases.op12_phrases,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
@@ -70,4 +71,4 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS
 FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op5_license_scan": OP5, "op6_exact_dedup": exact_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES = {"op2_decontamination": OP2, "op5_license_scan": OP5, "op6_exact_dedup": exact_dedup.SQL, "op12_phrases": phrases.SQL, "op13_filter_audit": filter_audit.SQL}
