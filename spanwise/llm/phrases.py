@@ -65,8 +65,8 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
 
 
 def filter_slots(texts: DataFrame, least: int, slots: int) -> np.ndarray:
-    """A bitmap of the slots whose pairs of neighbouring words occur ``least`` times or more together; ``slots`` is a power of two."""
-    size = max(1, slots // SLOT_RANGES)
+    """A bitmap of the slots whose pairs of neighbouring words occur ``least`` times (255 at most) or more together; ``slots`` is a power of two from 8."""
+    size = max(8, slots // SLOT_RANGES)  # a multiple of 8, as slots is
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(slots, dtype=np.uint8)
