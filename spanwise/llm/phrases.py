@@ -207,7 +207,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slots: int
         if slots is None:
             size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
             slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (size // BYTES_PER_SLOT).bit_length()))
-        grams = keep(longest_grams(texts, least, filter_slots(texts, least, slots), slots))
+        grams = keep(longest_grams(texts, least, filter_slots(texts, min(least, 255), slots), slots))
         flow = node_flow(grams)
         # Every occurrence of a word starts one gram.
         total = grams.groupBy("lang").agg(F.sum("n").alias("n"))

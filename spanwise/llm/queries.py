@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, filter_audit, langid, licenses, line_dedup, lm, phrases, quality, simhash, token_counts
+from . import bpe, decontam, exact_dedup, filter_audit, langid, licenses, line_dedup, lm, phrases, quality, simhash, suffixes, token_counts
 from .licenses import ORDER, PHRASES, TEMPLATES, THRESHOLD
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_suffix_dedup": suffixes.op11_suffix_dedup,
     "op12_phrases": phrases.op12_phrases,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
