@@ -5,16 +5,18 @@ A-Z are lower-cased; ``[.,;:!?\\x0A-\\x0D]`` part a text into pieces and ``[^\\x
 
 Nodes of the graph are runs of three words, edges their overlaps: runs of four, weighted by how often they occur.
 
-1. A hashed table of saturating counters (``filter_slots``) over neighbouring words tells which pairs can occur ``least`` times.  Pieces are cut
-   where a pair can't: a phrase that counts lies inside one of the paths that are left, so its count is not touched.  Colliding pairs only leave paths longer.
+1. Hashed tables of saturating counters tell which grams can occur ``least`` times: first pairs of neighbouring words (``filter_slots``), then,
+   where pairs pass, runs of three and four.  Pieces are cut where a pair can't be frequent: a phrase that counts lies inside one of the paths that
+   are left, so its count is not touched.  Colliding grams only leave more.
 2. Paths that occur several times in a task's batch are compacted to one, with a weight; words are numbered exactly, so equal means equal.
-3. Each place of a path gives its longest gram: an edge of four words, or fewer where the path ends.  Tasks fold these before the one shuffle by gram.
-4. Shorter counts follow from node flow: a gram occurs as often as the longer ones that start with it, plus the paths that end in it.
-5. Cuts of the candidates are joined to the counts of their parts; a candidate inside a longer one that is nearly as frequent is found by a fold of
-   the longer ones' parts.  Each language's best are picked in two steps, so that no task sorts all of a language.
+3. Each place of a path gives its longest gram that can be frequent: an edge of four words, or fewer.  Tasks fold these before the one shuffle by gram.
+4. Shorter counts follow from node flow: a gram occurs as often as the longer ones that start with it, plus the places whose gram it is (path ends among them).
+5. Level by level, a phrase joins its two nodes, the phrases without its last and its first word, and takes over their counts and those of
+   their heads and tails: all its cuts.  A phrase inside a longer one that is nearly as frequent lies in one that has just one word more
+   and is at least as frequent, so each level only looks at the next.  Each language's best are picked in two steps, so that no task sorts all of a language.
 
-The filter's slots follow the text's bytes up to ``MAX_SLOTS``, where each task holds 128 MB and the broadcast bitmap 16 MB; beyond, more pairs pass and the shuffle
-grows, with the same result.  Counts are added as 64-bit numbers and compared as decimals.
+A filter's slots follow the text's bytes up to ``MAX_SLOTS``, where each task holds 128 MB and each of two broadcast bitmaps 16 MB; beyond, more grams pass and the
+shuffle grows, with the same result.  Counts are added as 64-bit numbers and compared as decimals.
 
 Null and empty texts have no words.  Repeated rows count as often as they are there.  A text of any length is one row.  Equal scores go by count, then by the
 phrase's bytes.  Extra columns are not looked at; an empty table gives an empty result.
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import Words, find_words, hot_join, mixed, pieces, read_table, scratch, stored
+from .text import Words, find_words, hot_join, mixed, pieces, read_table, scratch, stored, take_runs
 
 LEAST, LONGEST, COVERED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Texts' bytes for each slot of the pair filter (about six pairs), and the most and fewest slots.
@@ -53,9 +55,19 @@ def _linked(words: Words) -> np.ndarray:
     return ends[1:] == ends[:-1]
 
 
-def _pair_slots(hashes: np.ndarray, langs: np.ndarray, slots: int) -> np.ndarray:
+def _slots(words: Words, langs: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots of the pairs, triples and quadruples of words from each place that has as many behind it."""
+    h = words.hashes()
+    grams, own = [], h + _lang_hashes(langs)[words.doc]
     with np.errstate(over="ignore"):
-        return mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(3) + langs[:-1]) & np.uint64(slots - 1)
+        for k in range(1, LONGEST):
+            own = mixed(own[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
+            grams.append((own & np.uint64(slots - 1)).astype(np.int64))
+    return tuple(grams)
+
+
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _lang_hashes(langs: pa.Array) -> np.ndarray:
@@ -64,9 +76,12 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return mixed(own)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def filter_slots(texts: DataFrame, least: int, slots: int) -> np.ndarray:
-    """A bitmap of the slots whose pairs of neighbouring words occur ``least`` times (255 at most) or more together; ``slots`` is a power of two from 8."""
+def filter_slots(texts: DataFrame, least: int, slots: int, pairs: np.ndarray | None = None) -> np.ndarray:
+    """A bitmap of the slots whose grams occur ``least`` times (255 at most) or more together; ``slots`` is a power of two from 8.
+
+    The grams are pairs of neighbouring words or, given the bitmap of those, the runs of three and four in which all pairs pass."""
     size = max(8, slots // SLOT_RANGES)  # a multiple of 8, as slots is
+    shared = None if pairs is None else texts.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(slots, dtype=np.uint8)
@@ -74,7 +89,13 @@ def filter_slots(texts: DataFrame, least: int, slots: int) -> np.ndarray:
             words = find_words(batch.column("text"), WORD)
             if len(words.start) < 2:
                 continue
-            at = _pair_slots(words.hashes(), _lang_hashes(batch.column("lang"))[words.doc], slots)[_linked(words)]
+            two, three, four = _slots(words, batch.column("lang"), slots)
+            on = _linked(words)
+            if shared is None:
+                at = two[on]
+            else:
+                on &= _has(shared.value, two)
+                at = np.concatenate((three[on[:-1] & on[1:]], four[on[:-2] & on[1:-1] & on[2:]]))
             at, n = np.unique(at, return_counts=True)
             seen[at] = np.minimum(seen[at].astype(np.int64) + n, 255).astype(np.uint8)
         for a in range(0, slots, size):
@@ -114,22 +135,24 @@ def _numbered(words: Words, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa.A
     return both.indices.to_numpy(zero_copy_only=False), lang.dictionary.take(pa.array(pairs >> 32)), coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF))
 
 
-def _paths(ids: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal sequences of words that go on, equal ones once: the words' numbers, where each path starts, and how often it occurs."""
+def _paths(ids: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal sequences of words that go on, equal ones once: the words' numbers, where each path starts, how often it occurs, and the
+    places of its words' first occurrence."""
     start = np.concatenate(([0], np.flatnonzero(~goes_on) + 1, [len(ids)])).astype(np.int64)
     whole = pa.Array.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer(start * 4), pa.py_buffer(np.ascontiguousarray(ids, dtype=np.int32))]).dictionary_encode()
-    kept = whole.dictionary
-    offsets = np.frombuffer(kept.buffers()[1], dtype=np.int64)[: len(kept) + 1] // 4
-    return np.frombuffer(kept.buffers()[2], dtype=np.int32)[: offsets[-1]], offsets, np.bincount(whole.indices.to_numpy(zero_copy_only=False), minlength=len(kept))
+    number = whole.indices.to_numpy(zero_copy_only=False)
+    _, first = np.unique(number, return_index=True)  # numbers follow first occurrence
+    length = start[first + 1] - start[first]
+    at = take_runs(start[first], length)
+    return ids[at], np.concatenate(([0], np.cumsum(length))), np.bincount(number, minlength=len(first)), at
 
 
-def _grams(ids: np.ndarray, start: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct longest grams of all places (numbers, -1 behind a path's end), and their weights."""
-    end = np.repeat(start[1:], np.diff(start))
+def _grams(ids: np.ndarray, length: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all places, ``length`` words from each (numbers, -1 behind its end), and the sums of their weights."""
     at = np.arange(len(ids))
     columns = np.full((LONGEST, len(ids)), -1, dtype=np.int64)
     for j in range(LONGEST):
-        there = at + j < end
+        there = length > j
         columns[j, there] = ids[at[there] + j]
     low, high = (columns[0] << 32) | (columns[1] + 1), ((columns[2] + 1) << 32) | (columns[3] + 1)
     order = np.lexsort((high, low))
@@ -137,23 +160,30 @@ def _grams(ids: np.ndarray, start: np.ndarray, weight: np.ndarray) -> tuple[np.n
     new = np.ones(len(order), dtype=bool)
     new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     first = np.flatnonzero(new)
-    return columns[:, order[first]], np.add.reduceat(np.repeat(weight, np.diff(start))[order], first) if len(first) else np.zeros(0, np.int64)
+    return columns[:, order[first]], np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def longest_grams(texts: DataFrame, least: int, bits: np.ndarray, slots: int) -> DataFrame:
-    """lang, k, gram and n: the weighted edges (k is 4) and path ends (k below 4) of the texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+def longest_grams(texts: DataFrame, pairs: np.ndarray, runs: np.ndarray, slots: int) -> DataFrame:
+    """lang, k, gram and n: the weighted edges (k is 4) and shorter grams (k below 4) of the texts' places."""
+    context = texts.sparkSession.sparkContext
+    shared_pairs, shared_runs = context.broadcast(pairs), context.broadcast(runs)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = shared.value
         for batch in pieces(batches, most=BATCH_BYTES):
             words = find_words(batch.column("text"), WORD)
             if not len(words.start):
                 continue
-            slot = _pair_slots(words.hashes(), _lang_hashes(batch.column("lang"))[words.doc], slots).astype(np.int64)
-            goes_on = _linked(words) & ((may[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+            two, three, four = _slots(words, batch.column("lang"), slots)
+            on = _linked(words) & _has(shared_pairs.value, two)
+            may = on[:-1] & on[1:] & _has(shared_runs.value, three)
+            longest = np.ones(len(words.start), dtype=np.int8)
+            longest[:-1] += on
+            longest[:-2] += may
+            if len(four):
+                longest[:-3] += may[:-1] & may[1:] & _has(shared_runs.value, four)
             ids, langs, names = _numbered(words, batch.column("lang"))
-            grams, n = _grams(*_paths(ids, goes_on))
+            own, start, weight, at = _paths(ids, on)
+            grams, n = _grams(own, longest[at], np.repeat(weight, np.diff(start)))
             parts = [names.take(pa.array(g, pa.int64(), mask=g < 0)) for g in grams]
             gram = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
             columns = [langs.take(pa.array(grams[0])).cast(pa.string()), pa.array((grams >= 0).sum(axis=0), pa.int32()), gram.cast(pa.string()), pa.array(n, pa.int64())]
@@ -188,17 +218,25 @@ def _exact(c: str) -> Column:
     return F.col(c).cast("decimal(20,0)")
 
 
-def _looked_up(rows: DataFrame, part: str, counts: DataFrame, name: str, few: bool) -> DataFrame:
-    """rows with the count of each row's ``part`` as ``name``."""
-    own = counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
+def _looked_up(rows: DataFrame, part: str, nodes: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of the node that each row's ``part`` names."""
+    own = nodes.withColumnRenamed("phrase", part)
     if few:
         return rows.join(F.broadcast(own), ["lang", part])
     key = F.struct("lang", part)
     sizes = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    given = own.select(key.alias("key"), name).join(sizes, "key")
+    given = own.select(key.alias("key"), *(c for c in own.columns if c not in ("lang", part))).join(sizes, "key")
     return hot_join(rows.withColumn("key", key), given, "key").drop("key")
 
 
+def _level(counts: DataFrame, nodes: DataFrame, k: int, few: bool) -> DataFrame:
+    """Phrases of k words with f and the counts of all their heads (shortest first) and tails (longest first)."""
+    rows = counts.where(F.col("k") == k).select("lang", "phrase", "f", _words("phrase", 1, k - 1).alias("head"), _words("phrase", 2).alias("tail"))
+    heads = nodes.select("lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
+    tails = nodes.select("lang", "phrase", F.concat(F.array("f"), "tails").alias("tails"))
+    return _looked_up(_looked_up(rows, "head", heads, few), "tail", tails, few).select("lang", "phrase", "f", "heads", "tails", "head", "tail")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slots: int | None = None, broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
     lang = F.coalesce("lang", F.lit("und"))
@@ -207,33 +245,34 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slots: int
         if slots is None:
             size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
             slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (size // BYTES_PER_SLOT).bit_length()))
-        grams = keep(longest_grams(texts, least, filter_slots(texts, min(least, 255), slots), slots))
-        flow = node_flow(grams)
+        pairs = filter_slots(texts, min(least, 255), slots)
+        grams = keep(longest_grams(texts, pairs, filter_slots(texts, min(least, 255), slots, pairs), slots))
         # Every occurrence of a word starts one gram.
         total = grams.groupBy("lang").agg(F.sum("n").alias("n"))
-        counts = keep(flow.where(F.col("f") >= least))
+        counts = keep(node_flow(grams).where(F.col("f") >= least))
         few = counts.count() <= broadcast_phrases
-        found = counts.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"))
-        cuts = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda c: c)
-        cut = found.select("lang", "k", "phrase", "a", F.explode(cuts).alias("cut"))
-        words = F.split("phrase", " ")
-        cut = cut.select("lang", "k", "phrase", "a", "cut", F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ").alias("head"), F.array_join(F.slice(words, F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("tail"))
-        met = _looked_up(_looked_up(cut, "head", counts, "l", few), "tail", counts, "r", few)
-        score = F.expr(f"(CAST(a AS DECIMAL(20,0)) * {SCALE}) div (CAST(l AS DECIMAL(20,0)) + r)")
-        scored = met.withColumn("score", score).groupBy("lang", "k", "phrase").agg(F.min("a").alias("a"), F.min_by(F.struct("l", "r", "score"), F.struct("score", "cut")).alias("best"))
-
-        inner = [(k, i, j) for k in range(3, LONGEST + 1) for j in range(2, k) for i in range(1, k - j + 2)]
-        spans = F.array_compact(F.array(*(F.when(F.col("k") == k, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for k, i, j in inner)))
-        parts = found.where("k > 2").select("lang", "a", "phrase", F.explode(spans).alias("s")).select("lang", "a", F.array_join(F.slice(words, F.col("s.i"), F.col("s.j")), " ").alias("phrase"))
-        longer = parts.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-        left = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * _exact("longer") < F.lit(COVERED) * _exact("a")))
-        rows = left.select("lang", "phrase", "a", "best.*")
+        none = F.array().cast("array<bigint>")
+        nodes = counts.where("k = 1").select("lang", "phrase", "f", none.alias("heads"), none.alias("tails"))
+        levels = []
+        for k in range(2, LONGEST + 1):
+            nodes = keep(_level(counts, nodes, k, few))
+            levels.append(nodes)
+        rows = None
+        for level, above in zip(levels, [*levels[1:], None]):
+            if above is not None:
+                inside = above.select("lang", F.col("head").alias("phrase"), "f").unionByName(above.select("lang", F.col("tail").alias("phrase"), "f"))
+                longer = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+                level = level.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * _exact("longer") < F.lit(COVERED) * _exact("f")))
+            level = level.select("lang", "phrase", "f", "heads", "tails")
+            rows = level if rows is None else rows.unionByName(level)
+        score = f"(CAST(f AS DECIMAL(20,0)) * {SCALE}) div (CAST(heads[c] AS DECIMAL(20,0)) + tails[c])"
+        cuts = F.expr(f"array_min(transform(sequence(0, size(heads) - 1), c -> named_struct('score', {score}, 'cut', c, 'l', heads[c], 'r', tails[c])))")
+        rows = rows.select("lang", "phrase", F.col("f").alias("a"), cuts.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
         order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(256)))
         near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
         best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-        out = best.join(F.broadcast(total) if total.count() <= broadcast_phrases else total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
-        return stored(out)
+        return stored(best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,5 +71,5 @@ def test_empty_tables_and_equal_paths(spark):
     assert phrases.collocations(spark.createDataFrame([(1, None, None, None, None), (2, "rare words", "en", None, None)], DOCS)).count() == 0
     import numpy as np
 
-    ids, start, weight = phrases._paths(np.array([1, 2, 3, 1, 2, 3, 4, 1, 2]), np.array([True, True, False, True, True, False, False, True]))
-    assert ids.tolist() == [1, 2, 3, 4, 1, 2] and start.tolist() == [0, 3, 4, 6] and weight.tolist() == [2, 1, 1]
+    ids, start, weight, at = phrases._paths(np.array([1, 2, 3, 1, 2, 3, 4, 1, 2]), np.array([True, True, False, True, True, False, False, True]))
+    assert ids.tolist() == [1, 2, 3, 4, 1, 2] and start.tolist() == [0, 3, 4, 6] and weight.tolist() == [2, 1, 1] and at.tolist() == [0, 1, 2, 6, 7, 8]
