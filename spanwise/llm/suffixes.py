@@ -40,7 +40,7 @@ LENGTH = 100
 #: A perfect difference set: every difference modulo 57 but 0 occurs once.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of text that a task works on at once, and hashes at once.
-PIECE, HASHED = 12 << 20, 4 << 20
+PIECE, HASHED = 6 << 20, 2 << 20
 #: Samples (or suffixes) of a bucket, buckets of a task, and the most buckets.
 BUCKET, BUCKETS_OF_TASK, MAX_BUCKETS = 400_000, 8, 1 << 24
 #: Ranges of suffix buckets that go one after the other.
@@ -51,13 +51,17 @@ _LOW40 = np.uint64((1 << 40) - 1)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Differences of whole numbers, by byte planes, compressed."""
-    return pa.compress(np.diff(values.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+    """Differences of whole numbers, by byte planes of as many bytes as they need (4 or 8, told by the first byte), compressed."""
+    steps = np.diff(values, prepend=0)
+    small = not len(steps) or (steps.max() < 1 << 31 and steps.min() >= -1 << 31)
+    planes = steps.astype(np.int32 if small else np.int64).view(np.uint8).reshape(len(steps), -1).T if len(steps) else steps
+    return (b"\4" if small else b"\10") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(n))
+    wide = packed[0]
+    planes = np.frombuffer(pa.decompress(memoryview(packed)[1:], wide * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(wide, n).T).view(np.int32 if wide == 4 else np.int64).reshape(n), dtype=np.int64)
 
 
 def pack40(values: np.ndarray) -> bytes:
@@ -187,17 +191,15 @@ def _lists(ids: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, pa.Arra
     return {"id": pa.array(ids[first])} | {c: pa.ListArray.from_arrays(offsets, pa.array(v)) for c, v in columns.items()}
 
 
-def _samples(data: np.ndarray, offsets: np.ndarray, shift: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the samples in ``data``, and the number of each one's document."""
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    cover = np.zeros(PERIOD, dtype=bool)
-    cover[list(COVER)] = True
-    residue = (np.arange(len(data), dtype=np.int64) + (shift - offsets[:-1])[doc]) % PERIOD
-    at = np.flatnonzero(cover[residue])
-    end = offsets[1:] - 1
-    at = at[(at + depth <= end[doc[at]]) & (size[doc[at]] > length)]  # a line feed follows each text
-    return at, doc[at]
+def _samples(offsets: np.ndarray, shift: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the samples of texts that start at ``offsets``, and the number of each one's document."""
+    size = np.diff(offsets) - 1  # a line feed follows each text
+    first = (np.array(COVER)[None, :] - shift[:, None]) % PERIOD
+    n = np.where((size >= length)[:, None], np.maximum(0, (size[:, None] - depth - first) // PERIOD + 1), 0)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n.ravel(), n.ravel())
+    there = np.zeros(int(offsets[-1]), dtype=bool)
+    there[np.repeat((offsets[:-1, None] + first).ravel(), n.ravel()) + step * PERIOD] = True
+    return np.flatnonzero(there), np.repeat(np.arange(len(size)), n.sum(axis=1))
 
 
 def shared_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -208,7 +210,7 @@ def shared_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in pieces(batches, most=PIECE):
             data, offsets = joined(batch.column("text"))
             rows, shift = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "shift"))
-            at, doc = _samples(data, offsets, shift, length, depth)
+            at, doc = _samples(offsets, shift, length, depth)
             if not len(at):
                 continue
             keys = prints(data, at, depth)
@@ -235,8 +237,13 @@ def shared_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     def settle(held: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         once = np.concatenate([unpack40(r["prints"]) for r in held])
         more = np.concatenate([unpack40(r["more"]) for r in held])
-        whole = np.sort(np.concatenate((once, more, more)))
-        shared = np.searchsorted(whole, once, side="right") - np.searchsorted(whole, once, side="left") > 1
+        whole = np.concatenate((once, more))
+        order = np.argsort(whole)
+        first = np.flatnonzero(np.diff(whole[order], prepend=~whole[order[:1]]) != 0)
+        times = np.add.reduceat(np.where(order < len(once), 1, 2), first) if len(first) else first
+        shared = np.empty(len(whole), dtype=bool)
+        shared[order] = np.repeat(times > 1, np.diff(np.append(first, len(whole))))
+        shared = shared[: len(once)]
         at = [(unpack(r["ids"], r["n"]), unpack(r["starts"], r["n"])) for r in held if r["n"]]
         ids, starts = (np.concatenate(x) for x in zip(*at)) if at else (np.zeros(0, np.int64),) * 2
         return ids[shared], starts[shared]
@@ -260,7 +267,7 @@ def later_places(texts: DataFrame, length: int, buckets: int, low: int, high: in
             last = offsets[doc + 1] - 1 - length
             np.add.at(edge, np.maximum(at - PERIOD + 1, offsets[doc]), 1)
             np.add.at(edge, np.maximum(np.minimum(at, last) + 1, np.maximum(at - PERIOD + 1, offsets[doc])), -1)
-            at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
             heads = prints(data, at, PERIOD - 1)
             of = bucket_of(heads, buckets)
             own = np.flatnonzero((of >= low) & (of < high))
