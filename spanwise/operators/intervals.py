@@ -41,11 +41,42 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[s
     return joined if how in ("left_semi", "left_anti") else joined.drop(right[key])
 
 
-def latest_on_or_before(probes: DataFrame, changes: DataFrame, key: str, probe_date: str, change_date: str, by: Sequence[str], value: str, also: Column | None = None) -> DataFrame:
-    """As-of join: for each probe row and each ``by`` group of its key, the value of the latest change on or before the probe's date;
-    a probe without any keeps one row of nulls.  ``also``: a further condition on the pair.
-
-    Written as an aggregate (max_by), so tasks fold changes before any sort; on one date the larger value wins."""
-    right = changes.withColumnRenamed(key, "_key")
-    cond = (F.col(key) == F.col("_key")) & (F.col(change_date) <= F.col(probe_date))
-    return probes.join(right, cond if also is None else cond & also, "left").groupBy(*probes.columns, *by).agg(F.max_by(value, F.struct(change_date, value)).alias(value))
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
+    """Each null of ``columns`` takes the last value before it among the rows of its keys, in ``order``; nulls before any value stay."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in columns})
+
+
+def _merged(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, **kept: Column) -> DataFrame:
+    """Probes (packed in _own) and changes in one frame that sorts by keys, _at and _probe: changes come before probes of their date."""
+    packed = F.struct(*(F.col(c) for c in probes.columns))
+    left = probes.select(*keys, F.col(probe_date).alias("_at"), F.lit(1).alias("_probe"), packed.alias("_own"))
+    return left.unionByName(changes.select(*keys, F.col(change_date).alias("_at"), F.lit(0).alias("_probe"), *(v.alias(c) for c, v in kept.items())), allowMissingColumns=True)
+
+
+def latest_on_or_before(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, values: Sequence[str]) -> DataFrame:
+    """As-of join by merge: each probe row with the values of its keys' latest change on or before its date, nulls where there is none.
+
+    Probes and changes are sorted together and filled forward, so a key's rows are read once, however many there are of each.  Of
+    changes on one date the larger values win."""
+    rows = _merged(probes, changes, keys, probe_date, change_date, _values=F.struct(*values))
+    filled = forward_fill(rows, keys, ["_at", "_probe", "_values"], ["_values"]).where("_probe = 1")
+    return filled.select(*(F.col("_own").getField(c).alias(c) for c in probes.columns), *(F.col("_values").getField(c).alias(c) for c in values))
+
+
+def active_at(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, item: str, on: str, name: str) -> DataFrame:
+    """Each probe row with ``name``: the sorted items of its keys whose latest change on or before its date turned them on.
+
+    One merge of probes and changes: the probes of a key are numbered by date, and a change that turns its item on holds for those from its
+    date to the item's next change, which the running number of probes tells.  So the work is that of sorting, and of the items that are found.
+    Of an item's changes on one date, one that turns it on wins."""
+    folded = changes.groupBy(*keys, item, change_date).agg(F.max(F.col(on).cast("int")).alias("_on"))
+    rows = _merged(probes, folded, keys, probe_date, change_date, _item=F.col(item), _on=F.col("_on"))
+    key = Window.partitionBy(*keys)
+    so_far = F.sum("_probe").over(key.orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_n": so_far, "_all": F.sum("_probe").over(key)})
+    until = F.coalesce(F.lead("_n").over(Window.partitionBy(*keys, "_item", "_probe").orderBy("_at")), F.col("_all"))
+    rows = rows.withColumn("_until", until)
+    numbers = F.when(F.col("_probe") == 1, F.array("_n")).when((F.col("_on") == 1) & (F.col("_until") > F.col("_n")), F.sequence(F.col("_n") + 1, "_until"))
+    met = rows.select(*keys, "_own", "_item", F.explode(numbers).alias("_n")).groupBy(*keys, "_n").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_set("_item")).alias(name))
+    return met.select(*(F.col("_own").getField(c).alias(c) for c in probes.columns), name)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import coalesce_intervals, concurrency_sweep, latest_on_or_before
+from .intervals import active_at, coalesce_intervals, concurrency_sweep
 
 #: Spells of one member that a spell_id can number.
 SPELLS_PER_MEMBER = 1000
@@ -130,14 +130,13 @@ def label_combo(segments: DataFrame, changes: DataFrame, exact: bool = False, in
 
     By default a drug is active when its latest recorded change by then is an add, so one held since before the look-back is missed;
     ``exact`` compares the drugs' intervals with the day instead."""
-    own = [F.col(c) for c in segments.columns]
     if exact:
-        held = intervals.select(F.col("member_id").alias("_member"), F.col("atc_3_code").alias("_drug"), "start", "end")
-        met = segments.join(held, (F.col("member_id") == F.col("_member")) & (F.col("start") <= F.col("entry_date")) & (F.col("end") >= F.col("entry_date")), "left")
-        return met.groupBy(*own).agg(F.array_sort(F.collect_set("_drug")).alias("drug_combo"))
-    status = changes.where(F.lower("change_type").isin("add", "drop")).select("member_id", F.col("spell_id").alias("_spell"), F.col("date").alias("_date"), F.col("atc_3_code").alias("_drug"), F.when(F.lower("change_type") == "add", 1).otherwise(0).alias("_on"))
-    latest = latest_on_or_before(segments, status, "member_id", "entry_date", "_date", ["_drug"], "_on", same_spell("spell_id", "_spell"))
-    return latest.groupBy(*own).agg(F.array_sort(F.collect_set(F.when(F.col("_on") == 1, F.col("_drug")))).alias("drug_combo"))
+        turns = F.array(F.struct(F.col("start").alias("date"), F.lit(1).alias("on")), F.struct(F.date_add("end", 1).alias("date"), F.lit(0).alias("on")))
+        held = intervals.select("member_id", "atc_3_code", F.inline(turns))
+        return active_at(segments, held, ["member_id"], "entry_date", "date", "atc_3_code", "on", "drug_combo")
+    kind = F.lower("change_type")
+    status = changes.where(kind.isin("add", "drop")).select("member_id", "spell_id", F.to_date("date").alias("date"), "atc_3_code", (kind == "add").alias("on"))
+    return active_at(segments, status, ["member_id", "spell_id"], "entry_date", "date", "atc_3_code", "on", "drug_combo")
 
 
 def diagnosis_windows(segments: DataFrame, diagnoses: DataFrame, lookback: int = 180) -> DataFrame:

@@ -229,6 +229,8 @@ _PLAIN = {
       SELECT member_id, spell_id, entry_date, raw_exit_date, extended_exit_date, CAST(spell_length_days AS INTEGER) AS spell_length_days, followup_end_date FROM censored c WHERE EXISTS (SELECT 1 FROM b3 e WHERE e.member_id = c.member_id AND eff <= entry_date - 180 AND term >= entry_date)""",
     "label_first_event": f"SELECT {_SEGMENT} FROM labelled",
     "split_at_adds": f"SELECT {_SEGMENT}, CAST(split_seq AS INTEGER) AS split_seq, segment_end_reason FROM segments",
+    "latest_change": "SELECT g.spell_id, CAST(split_seq AS INTEGER) AS split_seq, c.date, c.change_type, c.atc_3_code FROM segments g LEFT JOIN changes c ON g.spell_id = c.spell_id AND c.date <= g.entry_date QUALIFY row_number() OVER (PARTITION BY g.spell_id, split_seq ORDER BY c.date DESC NULLS LAST, change_type DESC, atc_3_code DESC) = 1",
+    "filled_status": "SELECT g.spell_id, CAST(split_seq AS INTEGER) AS split_seq, c.atc_3_code, arg_max(CAST(change_type = 'add' AS INTEGER), c.date * 2 + CAST(change_type = 'add' AS INTEGER)) AS is_on FROM segments g JOIN (SELECT spell_id, atc_3_code, change_type, date - DATE '1900-01-01' AS date FROM changes) c ON g.spell_id = c.spell_id AND c.date <= g.entry_date - DATE '1900-01-01' GROUP BY g.spell_id, split_seq, c.atc_3_code",
     "label_combo": "SELECT spell_id, CAST(split_seq AS INTEGER) AS split_seq, array_to_string(drugs, '+') AS drug_combo FROM combos",
     "label_combo_exact": "SELECT g.spell_id, CAST(g.split_seq AS INTEGER) AS split_seq, coalesce(string_agg(DISTINCT drug, '+' ORDER BY drug), '') AS drug_combo FROM segments g LEFT JOIN iv ON iv.member_id = g.member_id AND iv.s <= g.entry_date AND iv.e >= g.entry_date GROUP BY ALL",
     "diagnosis_windows": "SELECT member_id, spell_id, CAST(split_seq AS INTEGER) AS split_seq, code_value FROM windows",

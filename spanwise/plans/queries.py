@@ -151,6 +151,21 @@ def finalize(c: Chain) -> DataFrame:
     return c.cohort.select("member_id", "spell_id", "split_seq", "entry_date", "spell_length_days", "had_ae", "first_ae_date", joined("drug_combo"), joined("icd10_codes"), "y", "age", "gendercode", "raceethnicitytypecode", "statecode")
 
 
+def latest_change(c: Chain) -> DataFrame:
+    """The last change that each segment's spell recorded on or before the segment's first day."""
+    probes = c.segments.select("member_id", "spell_id", "split_seq", "entry_date")
+    return intervals.latest_on_or_before(probes, c.changes, ["member_id", "spell_id"], "entry_date", "date", ["date", "change_type", "atc_3_code"]).drop("member_id", "entry_date")
+
+
+def filled_status(c: Chain) -> DataFrame:
+    """Whether each drug of a spell is on at the first day of each segment: its changes filled forward; drugs without a change by then are left out."""
+    status = c.changes.groupBy("member_id", "spell_id", "atc_3_code", "date").agg(F.max((F.col("change_type") == "add").cast("int")).alias("is_on"))
+    grid = c.segments.select("member_id", "spell_id", "split_seq", F.col("entry_date").alias("date")).join(status.select("member_id", "spell_id", "atc_3_code").distinct(), ["member_id", "spell_id"])
+    rows = grid.withColumn("is_on", F.lit(None).cast("int")).unionByName(status, allowMissingColumns=True)
+    filled = intervals.forward_fill(rows, ["member_id", "spell_id", "atc_3_code"], ["date", F.col("split_seq").asc_nulls_first()], ["is_on"])
+    return filled.where("split_seq is not null and is_on is not null").select("spell_id", "split_seq", "atc_3_code", "is_on")
+
+
 def spell_gaps(c: Chain) -> DataFrame:
     return spells.spell_gaps(c.spells)
 
@@ -343,6 +358,8 @@ _STEPS = {
     "split_at_adds": lambda c: flat_segments(c.segments),
     "label_combo": lambda c: c.combos.select("spell_id", "split_seq", joined("drug_combo")),
     "label_combo_exact": lambda c: spells.label_combo(c.segments, c.changes, True, c.intervals).select("spell_id", "split_seq", joined("drug_combo")),
+    "latest_change": latest_change,
+    "filled_status": filled_status,
     "diagnosis_windows": diagnosis_windows,
     "cluster_codes": lambda c: c.icd.select("member_id", "spell_id", "split_seq", joined("icd10_codes")),
     "finalize_cohort": finalize,
