@@ -5,6 +5,7 @@ bytes that covers it also starts at an earlier place, judged on the texts as the
 
 Suffixes are told apart by their first ``length`` bytes, which is all that matters here.  They are never all gathered:
 
+0. *Copies.*  Of equal whole texts (by SHA-256) all but the first go at once; what follows does without them.
 1. *Cover.*  The places whose number, after a shift by document, lies in a difference cover modulo ``PERIOD`` are samples, about one in seven.  Any two equal
    strings have a sample at the same distance, less than ``PERIOD``, from their starts, whatever the numbers of those are.
 2. *Ranks.*  A sample's rank is the 64-bit print of the ``length - PERIOD + 1`` bytes from it, which lie in both strings.  Samples are dealt to buckets by
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import _BYTE, joined, mixed, pieces, power_table, read_table, scratch, stored
+from .text import _BYTE, joined, mixed, pieces, power_table, read_table, released, scratch, stored
 
 LENGTH = 100
 #: A perfect difference set: every difference modulo 57 but 0 occurs once.
@@ -45,6 +46,10 @@ PIECE, HASHED = 6 << 20, 2 << 20
 BUCKET, BUCKETS_OF_TASK, MAX_BUCKETS = 400_000, 8, 1 << 24
 #: Ranges of suffix buckets that go one after the other.
 BLOCKS = 2
+#: Suffixes that a task folds before it sends them.
+SUFFIXES = 1_500_000
+#: Copies of whole texts up to which every task holds their numbers (8 bytes each).
+BROADCAST_COPIES = 1_000_000
 #: Documents whose places are met together.
 GROUP_BITS = 10
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -256,39 +261,50 @@ def shared_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
 def later_places(texts: DataFrame, length: int, buckets: int, low: int, high: int) -> DataFrame:
     """Places (ids: rank) where a string of a bucket from ``low`` to below ``high`` starts that also starts earlier."""
 
+    def suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Prints of the first bytes and of those behind, document and start of the suffixes with a shared sample in reach."""
+        data, offsets = joined(batch.column("text"))
+        lists = batch.column("starts")
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        at = lists.flatten().to_numpy(zero_copy_only=False) + offsets[doc]
+        first = np.maximum(at - PERIOD + 1, offsets[doc])
+        edge = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, np.maximum(np.minimum(at, offsets[doc + 1] - 1 - length) + 1, first), -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
+        heads = prints(data, at, PERIOD - 1)
+        of = bucket_of(heads, buckets)
+        own = (of >= low) & (of < high)
+        at, heads = at[own], heads[own]
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        return heads, prints(data, at + PERIOD - 1, length - PERIOD + 1), batch.column("rank").to_numpy(zero_copy_only=False)[doc], at - offsets[doc]
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        heads, tails, ids, starts = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((starts, ids, tails, heads))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (np.diff(heads[order]) != 0) | (np.diff(tails[order]) != 0)
+        again, once = order[~first], order[first]
+        once = once[np.lexsort((starts[once], ids[once]))]
+        of = bucket_of(heads[once], buckets)
+        out: dict[str, list] = {c: [] for c in ("bucket", "prints", "more", "n", "ids", "starts")}
+        for bucket, at in _slices(np.argsort(of, kind="stable"), of):
+            x = once[at]
+            for c, v in (("bucket", bucket), ("prints", pack40(heads[x])), ("more", pack40(tails[x])), ("n", len(x)), ("ids", pack(ids[x])), ("starts", pack(starts[x]))):
+                out[c].append(v)
+        again = again[np.lexsort((starts[again], ids[again]))]
+        runs = np.flatnonzero((np.diff(starts[again], prepend=-2) != 1) | (np.diff(ids[again], prepend=-1) != 0))
+        yield from _asks(out, _places(ids[again[runs]], starts[again[runs]], np.diff(np.append(runs, len(again)))))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in pieces(batches, most=PIECE):
-            data, offsets = joined(batch.column("text"))
-            ranks = batch.column("rank").to_numpy(zero_copy_only=False)
-            lists = batch.column("starts")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = lists.flatten().to_numpy(zero_copy_only=False) + offsets[doc]
-            edge = np.zeros(len(data) + 1, dtype=np.int32)
-            last = offsets[doc + 1] - 1 - length
-            np.add.at(edge, np.maximum(at - PERIOD + 1, offsets[doc]), 1)
-            np.add.at(edge, np.maximum(np.minimum(at, last) + 1, np.maximum(at - PERIOD + 1, offsets[doc])), -1)
-            at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
-            heads = prints(data, at, PERIOD - 1)
-            of = bucket_of(heads, buckets)
-            own = np.flatnonzero((of >= low) & (of < high))
-            if not len(own):
-                continue
-            at, heads, of = at[own], heads[own], of[own]
-            tails = prints(data, at + PERIOD - 1, length - PERIOD + 1)
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            ids, starts = ranks[doc], at - offsets[doc]
-            order = np.lexsort((starts, ids, tails, heads))
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = (np.diff(heads[order]) != 0) | (np.diff(tails[order]) != 0)
-            again, once = np.sort(order[~first]), np.sort(order[first])
-            out: dict[str, list] = {c: [] for c in ("bucket", "prints", "more", "n", "ids", "starts")}
-            for bucket, x in _slices(once[np.argsort(of[once], kind="stable")], of):
-                x = x[np.lexsort((starts[x], ids[x]))]
-                for c, v in (("bucket", bucket), ("prints", pack40(heads[x])), ("more", pack40(tails[x])), ("n", len(x)), ("ids", pack(ids[x])), ("starts", pack(starts[x]))):
-                    out[c].append(v)
-            runs = np.flatnonzero(np.diff(at[again], prepend=-2) != 1) if len(again) else np.zeros(0, np.int64)
-            # A place outside a string's last text never follows one inside: the line feed between texts starts no string.
-            yield from _asks(out, _places(ids[again[runs]], starts[again[runs]], np.diff(np.append(runs, len(again)))))
+            held.append(suffixes(batch))
+            if sum(len(x[0]) for x in held) >= SUFFIXES:
+                yield from sent(held)
+                held = []
+        if held:
+            yield from sent(held)
 
     def settle(held: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         heads, tails = (np.concatenate([unpack40(r[c]) for r in held]) for c in ("prints", "more"))
@@ -316,32 +332,41 @@ def _spans(length: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], dict[s
     return fold
 
 
-def repeated_spans(df: DataFrame, keep: Callable[[DataFrame], DataFrame], length: int = LENGTH, buckets: int | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(df: DataFrame, keep: Callable[[DataFrame], DataFrame], length: int = LENGTH, buckets: int | None = None, blocks: int = BLOCKS, broadcast_copies: int = BROADCAST_COPIES) -> tuple[DataFrame, DataFrame]:
     """The texts (row, doc_id, text) and, by row, the byte ranges to remove (first and end, arrays)."""
     if length < PERIOD + 8:
         raise ValueError(f"strings have {PERIOD + 8} bytes at least")
     text = F.coalesce("text", F.lit(""))
-    texts = keep(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("body"), F.pmod(F.xxhash64("doc_id", F.lit("shift")), F.lit(PERIOD)).alias("shift"), text.alias("text")))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shift = F.pmod(F.xxhash64("doc_id", F.lit("shift")), F.lit(PERIOD))
+    texts = keep(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("body"), F.octet_length(text).cast("long").alias("n"), shift.alias("shift"), text.alias("text")))
+    size = texts.agg(F.sum("n")).first()[0] or 0
     if buckets is None:
         buckets = min(MAX_BUCKETS, BUCKETS_OF_TASK * max(1, size * len(COVER) // PERIOD // BUCKET // BUCKETS_OF_TASK + 1))
-    long = texts.where(F.octet_length("text") >= length)
+    long = texts.where(F.col("n") >= length)
     order = (F.asc_nulls_last("doc_id"), F.asc("body"), F.asc("row"))
     # Numbers in the order of documents: partitions are ranges, and rows are sorted in each.
-    ranks = keep(long.select("row", "doc_id", "body").repartitionByRange(*order).sortWithinPartitions(*order).select("row", F.monotonically_increasing_id().alias("rank")))
-    shared = keep(shared_samples(long, length, buckets)).join(ranks, "row")
-    near = keep(long.select("row", "text").join(shared, "row").select("row", "rank", "starts", "text"))
+    ranks = keep(long.select("row", "doc_id", "body", "n").repartitionByRange(*order).sortWithinPartitions(*order).select("row", "body", "n", F.monotonically_increasing_id().alias("rank")))
+    # A whole text that stands earlier goes, and holds no string that it does not hold.
+    copies = keep(ranks.join(ranks.groupBy("body").agg(F.min("rank").alias("rank")).select("rank"), "rank", "left_anti").select("row", "n"))
+    few = copies.count() <= broadcast_copies
+    long = long.join(F.broadcast(copies.select("row")) if few else copies.select("row"), "row", "left_anti")
+    shared = keep(shared_samples(long, length, buckets))
+    released(df.sparkSession)
+    near = keep(long.select("row", "text").join(shared.join(ranks.select("row", "rank"), "row"), "row").select("row", "rank", "starts", "text"))
     edges = [buckets * i // blocks for i in range(blocks + 1)]
     found = None
     for low, high in zip(edges, edges[1:]):
         if high > low:
+            released(df.sparkSession)
             places = keep(later_places(near, length, buckets, low, high))
             found = places if found is None else found.unionByName(places)
+    released(df.sparkSession)
     spans = _by_team(found, _spans(length), "id long, first array<long>, end array<long>").withColumnRenamed("id", "rank")
-    return texts, spans.join(ranks, "rank").select("row", "first", "end")
+    whole = copies.select("row", F.array(F.lit(0).cast("long")).alias("first"), F.array("n").alias("end"))
+    return texts, spans.join(ranks, "rank").select("row", "first", "end").unionByName(whole)
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, buckets: int | None = None, blocks: int = BLOCKS, digest: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = LENGTH, buckets: int | None = None, blocks: int = BLOCKS, digest: bool = False, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what is left of each text: its bytes (kept), or their SHA-256 (kept_sha256) if ``digest``.
 
     A cut may fall inside a character, so what is left is bytes, not text.
@@ -366,7 +391,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, buckets: int | None = No
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(gone), pa.array(spans), pa.array(kept, kept_kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", kept_name])
 
     with scratch(df.sparkSession) as keep:
-        texts, spans = repeated_spans(df, keep, length, buckets, blocks)
+        texts, spans = repeated_spans(df, keep, length, buckets, blocks, broadcast_copies)
         kind = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {kept_name} {'string' if digest else 'binary'}"
         return stored(texts.join(spans, "row", "left").select("doc_id", "text", "first", "end").mapInArrow(make, kind))
 
