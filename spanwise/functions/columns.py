@@ -24,9 +24,9 @@ def zero_filled(code: Column, width: int = 11) -> Column:
 
 
 def ndc11(code: Column) -> Column:
-    """A hyphenated 10- or 11-digit NDC as 11 digits (5-4-2); eleven digits stay; anything else is null."""
+    """An NDC written 4-4-2, 5-3-2, 5-4-1 or 5-4-2 as eleven digits (5-4-2); eleven digits stay; anything else is null."""
     part = F.split(code, "-")
-    fits = code.rlike(r"^\d{1,5}-\d{1,4}-\d{1,2}$")
+    fits = code.rlike(r"^(\d{4,5}-\d{4}-\d{2}|\d{5}-\d{3}-\d{2}|\d{5}-\d{4}-\d)$")
     joined = F.concat(F.lpad(part[0], 5, "0"), F.lpad(part[1], 4, "0"), F.lpad(part[2], 2, "0"))
     return F.when(fits, joined).when(code.rlike(r"^\d{11}$"), code)
 

@@ -5,21 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import chi_square, chi_square_p, pairs_of, trios_of
+from ..functions.columns import chi_square, chi_square_p, pairs_of
 from ..sources.tables import stored
 from .ranges import running, with_range
 
 
-def count_combinations(df: DataFrame, items: str, outcome: Column, size: int | None) -> DataFrame:
-    """item columns (or items, for whole sets), n_total and n_ae.  Tasks fold the counts of each combination before the shuffle."""
-    made = {2: pairs_of, 3: trios_of}
+#: Frequent items up to which rows are pruned by a list, and frequent pairs up to which every task holds them.
+FEW_ITEMS, FEW_PAIRS = 10_000, 200_000
+
+
+def _without_rare(df: DataFrame, items: str, min_n: int) -> DataFrame:
+    """df whose arrays hold only items of ``min_n`` rows or more: no other can be in a combination that counts."""
+    counted = df.select(F.explode(F.array_distinct(items)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    frequent = [r["x"] for r in counted.where(F.col("n") >= min_n).select("x").limit(FEW_ITEMS + 1).collect()]
+    return df if len(frequent) > FEW_ITEMS else df.withColumn(items, F.filter(items, lambda x: x.isin(frequent)))
+
+
+def count_combinations(df: DataFrame, items: str, outcome: Column, size: int | None, min_n: int = 1) -> DataFrame:
+    """item columns (or items, for whole sets), n_total and n_ae of combinations that ``min_n`` rows or more hold.
+
+    Level by level: rare items go before pairs are made, and pairs of rare ones before a third item is added, so a row makes few combinations that can't
+    count.  Tasks fold the counts of each combination before the shuffle."""
     if size is None:
-        keyed = df.select(F.array_join(items, "+").alias("items"), outcome.cast("int").alias("_y"))
-        keys = ["items"]
-    else:
-        keyed = df.select(F.explode(made[size](F.col(items))).alias("c"), outcome.cast("int").alias("_y")).select("c.*", "_y")
-        keys = [f"item{i + 1}" for i in range(size)]
-    return keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.sum("_y").alias("n_ae"))
+        counted = df.groupBy(F.array_join(items, "+").alias("items")).agg(F.count(F.lit(1)).alias("n_total"), F.sum(outcome.cast("int")).alias("n_ae"))
+        return counted.where(F.col("n_total") >= min_n)
+    rows = df.select(F.col(items).alias("x"), outcome.cast("int").alias("_y"))
+    if min_n > 1:
+        rows = _without_rare(rows, "x", min_n)
+    found = _folded(rows.select(F.explode(pairs_of(F.col("x"))).alias("c"), "x", "_y").select("c.*", "x", "_y"), ["item1", "item2"], min_n)
+    if size == 2:
+        return found
+    pairs = stored(found.select("item1", "item2"))
+    few = pairs.count() <= FEW_PAIRS
+    met = rows.select(F.explode(pairs_of(F.col("x"))).alias("c"), "x", "_y").select("c.*", "x", "_y")
+    kept = F.broadcast(pairs) if few else pairs
+    if min_n > 1:
+        met = met.join(kept, ["item1", "item2"], "left_semi")
+    trios = met.select("item1", "item2", F.explode(F.slice("x", F.array_position("x", F.col("item2")).cast("int") + 1, F.size("x"))).alias("item3"), "_y")
+    if min_n > 1 and few:
+        for a, b in (("item1", "item3"), ("item2", "item3")):
+            trios = trios.join(F.broadcast(pairs.select(F.col("item1").alias(a), F.col("item2").alias(b))), [a, b], "left_semi")
+    return _folded(trios, ["item1", "item2", "item3"], min_n)
+
+
+def _folded(rows: DataFrame, keys: list[str], min_n: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.sum("_y").alias("n_ae")).where(F.col("n_total") >= min_n)
 
 
 def bh_adjust(df: DataFrame, p: str, keys: list[str], method: str = "bh") -> DataFrame:
@@ -43,7 +73,7 @@ def mine_combinations(cohort: DataFrame, size: int | None = 2, min_n: int = 200,
 
     ``must_contain`` keeps combinations with that text in a code or name, after the adjustment.  names: code and name."""
     y = F.col(outcome).cast("boolean")
-    counted = count_combinations(cohort, "drug_combo", y, size).where(F.col("n_total") >= min_n)
+    counted = count_combinations(cohort, "drug_combo", y, size, min_n)
     totals = cohort.agg(F.count(F.lit(1)).alias("all_n"), F.sum(y.cast("int")).alias("all_ae"))
     keys = [c for c in counted.columns if c.startswith("item")]
     a, n = F.col("n_ae"), F.col("n_total")

@@ -1,34 +1,95 @@
-"""Logistic regression on many bootstrap replicates at once.
+"""Draws by hash, and logistic regression on many bootstrap replicates at once.
 
 Each row stands Poisson(1) many times in each replicate, by a hash of its key and the replicate's number, so no sample is drawn or moved.  All
-replicates take their L-BFGS steps together: one pass over the rows gives every replicate's loss and gradient."""
+replicates take their L-BFGS steps together: one pass over the rows gives every replicate's loss and gradient.  Rows stay sparse: a task holds
+the numbers that are not zero of ``ROWS`` rows, and works on as many replicates at once as keep its products below ``PRODUCTS`` numbers."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the frame in a task at once, and partial sums that reach the driver.
-ROWS, PARTS = 1024, 8
+#: Rows of the frame in a task at once, products at once, and partial sums that reach the driver.
+ROWS, PRODUCTS, PARTS = 1024, 1 << 22, 8
 _POISSON = np.exp(-1) * np.cumsum([1.0, 1.0, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720, 1 / 5040, 1 / 40320, 1 / 362880])
 
 
-def poisson_weights(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """How often each row stands in each replicate."""
+def _uniform(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each key and salt (arrays that broadcast), the same wherever it is asked for."""
     with np.errstate(over="ignore"):
-        x = key.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x10001))[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xC2B2AE3D27D4EB4F)
         for shift in (30, 27, 31):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / 2.0**53, side="right")
+    return (x >> np.uint64(11)) / 2.0**53
 
 
-def _summed(df: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all rows of f(key, x, y): tasks add up their own, a shuffle theirs, and the driver PARTS arrays."""
+def poisson_weights(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each row stands in each replicate."""
+    with np.errstate(over="ignore"):
+        salt = np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x10001)
+    return np.searchsorted(_POISSON, _uniform(key[:, None], salt[None, :]), side="right")
+
+
+def poisson_draws(key: np.ndarray, rate: float, seed: int) -> np.ndarray:
+    """How often each row is drawn when ``rate`` draws are expected of it: Poisson numbers by a hash of its key."""
+    wide = 10 * math.sqrt(rate) + 20  # beyond, less than the hash resolves
+    low = max(0, math.floor(rate - wide))
+    k = np.arange(low, math.ceil(rate + wide) + 1)
+    logs = k * math.log(rate) - rate - np.array([math.lgamma(i + 1) for i in k.tolist()])
+    with np.errstate(over="ignore"):
+        salt = np.uint64(seed) * np.uint64(0x10003) + np.uint64(1 << 40)
+    return low + np.minimum(np.searchsorted(np.cumsum(np.exp(logs)), _uniform(key, salt), side="right"), len(k) - 1)
+
+
+@dataclass
+class SparseRows:
+    """Rows with an intercept as last feature: where each row's numbers start, their features and values, and keys and classes."""
+
+    start: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+    key: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, width: int) -> SparseRows:
+        vectors = batch.column("features")
+        sparse, n = vectors.field("type").to_numpy() == 0, len(batch)
+        values = vectors.field("values")
+        length = np.diff(values.offsets.to_numpy())
+        start = np.concatenate(([0], np.cumsum(length + 1)))
+        feature, value = np.empty(start[-1], dtype=np.int64), np.empty(start[-1])
+        own = np.ones(start[-1], dtype=bool)
+        own[start[1:] - 1] = False
+        value[own], value[~own], feature[~own] = values.flatten().to_numpy(), 1.0, width
+        of_sparse = np.repeat(sparse, length)
+        place = np.arange(len(of_sparse)) - np.repeat(np.cumsum(length) - length, length)  # of a dense vector's numbers
+        place[of_sparse] = vectors.field("indices").flatten().to_numpy()
+        feature[own] = place
+        return cls(start, feature, value, batch.column("row_id").to_numpy(), batch.column("y").to_numpy().astype(np.float64))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """rows x w's rows: the products of each row with each row of w."""
+        return np.add.reduceat(w[:, self.feature] * self.value, self.start[:-1], axis=1).T
+
+    def pulled(self, pull: np.ndarray, width: int) -> np.ndarray:
+        """pull's columns x features: the sums of the rows' numbers, each row times its number in pull."""
+        order = np.argsort(self.feature, kind="stable")
+        features, first = np.unique(self.feature[order], return_index=True)
+        row = np.repeat(np.arange(len(self.y)), np.diff(self.start))[order]
+        out = np.zeros((pull.shape[1], width))
+        out[:, features] = np.add.reduceat(pull[row].T * self.value[order], first, axis=1)
+        return out
+
+
+def _summed(df: DataFrame, f: Callable[[SparseRows], np.ndarray], shape: tuple[int, ...], width: int) -> np.ndarray:
+    """The sum over all rows of f: tasks add up their own, a shuffle theirs, and the driver PARTS arrays."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -36,9 +97,7 @@ def _summed(df: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.
         total = np.zeros(shape)
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
-                total += f(part.column("row_id").to_numpy(), x, part.column("y").to_numpy().astype(np.float64))
+                total += f(SparseRows.of(batch.slice(a, ROWS), width))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,18 +115,16 @@ def _summed(df: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.
 def fit_replicates(df: DataFrame, replicates: int, seed: int = 42, max_iter: int = 100, tolerance: float = 1e-4) -> np.ndarray:
     """Coefficients (replicates x features) of the replicates' fits: L2 with C = 1, classes balanced in each replicate, free intercept.
 
-    df: row_id, features and y."""
-    rows = df.select(F.col("row_id").cast("long").alias("row_id"), vector_to_array("features").alias("x"), F.col("y").cast("int").alias("y")).persist()
-    width = len(rows.first()["x"])
-
-    def with_one(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    df: row_id, features (vectors, sparse or dense) and y."""
+    rows = df.select(F.col("row_id").cast("long").alias("row_id"), "features", F.col("y").cast("int").alias("y")).persist()
+    width = rows.first()["features"].size
 
-    def counts(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        w = poisson_weights(key, replicates, seed)
-        return np.concatenate([np.stack([(w * (1 - y)[:, None]).sum(axis=0), (w * y[:, None]).sum(axis=0)]).ravel(), (with_one(x) ** 2).sum(axis=0), [len(y)]])
+    def counts(part: SparseRows) -> np.ndarray:
+        w = poisson_weights(part.key, replicates, seed)
+        classes = [(w * x[:, None]).sum(axis=0) for x in (1 - part.y, part.y)]
+        return np.concatenate([*classes, np.bincount(part.feature, part.value**2, width + 1), [len(part.y)]])
 
-    found = _summed(rows, counts, (2 * replicates + width + 2,))
+    found = _summed(rows, counts, (2 * replicates + width + 2,), width)
     size = found[: 2 * replicates].reshape(2, replicates)
     weight = size.sum(axis=0) / (2 * np.maximum(size, 1))  # of the classes, in each replicate
     n = found[-1]
@@ -75,14 +132,19 @@ def fit_replicates(df: DataFrame, replicates: int, seed: int = 42, max_iter: int
     scale = 1 / (found[2 * replicates : -1] / (4 * n) + np.append(np.ones(width) / n, 1e-9))  # inverse of a bound on the diagonal
 
     def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        def loss(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            x = with_one(x)
-            times = poisson_weights(key, replicates, seed) * np.where(y[:, None] == 1, weight[1], weight[0])
-            margin = np.where(y[:, None] == 1, 1.0, -1.0) * (x @ w.T)
-            pull = -times * np.where(y[:, None] == 1, 1.0, -1.0) / (1 + np.exp(np.clip(margin, -50, 50)))
-            return np.concatenate([pull.T @ x, (times * np.logaddexp(0, -margin)).sum(axis=0)[:, None]], axis=1)
-
-        sums = _summed(rows, loss, (replicates, width + 2)) / n
+        def loss(part: SparseRows) -> np.ndarray:
+            sign = np.where(part.y == 1, 1.0, -1.0)[:, None]
+            times = poisson_weights(part.key, replicates, seed) * np.where(part.y[:, None] == 1, weight[1], weight[0])
+            out = np.empty((replicates, width + 2))
+            tile = max(1, PRODUCTS // max(1, len(part.value)))
+            for a in range(0, replicates, tile):
+                margin = sign * part.times(w[a : a + tile])
+                pull = -times[:, a : a + tile] * sign / (1 + np.exp(np.clip(margin, -50, 50)))
+                out[a : a + tile, :-1] = part.pulled(pull, width + 1)
+                out[a : a + tile, -1] = (times[:, a : a + tile] * np.logaddexp(0, -margin)).sum(axis=0)
+            return out
+
+        sums = _summed(rows, loss, (replicates, width + 2), width) / n
         return sums[:, -1] + 0.5 * (ridge * w * w).sum(axis=1), sums[:, :-1] + ridge * w
 
     w = _minimised(evaluate, np.zeros((replicates, width + 1)), scale, max_iter, tolerance)

@@ -19,13 +19,13 @@ def same_spell(left: str, right: str) -> Column:
     return (F.col(left) >= F.col(right)) & (F.col(left) <= F.col(right))
 
 
-def drug_intervals(fills: DataFrame, grace: int = 21) -> DataFrame:
+def drug_intervals(fills: DataFrame, grace: int = 21, placed: bool = False) -> DataFrame:
     """member_id, atc_3_code, start, end, is_op: fills of one drug joined over gaps of up to ``grace`` days.
 
-    is_op: any fill of the member's drug is from the query list."""
+    is_op: any fill of the member's drug is from the query list.  ``placed``: the fills come in buckets of member_id, so nothing is moved."""
     end = F.date_add("filldate", F.col("supplydayscount").cast("int") - 1)
-    whole = fills.where(F.col("member_id").isNotNull() & F.col("atc_3_code").isNotNull()).select("member_id", "atc_3_code", F.col("filldate").alias("start"), end.alias("end"), F.col("is_query_drug").cast("int").alias("q")).repartition("member_id")
-    joined = coalesce_intervals(whole, ["member_id", "atc_3_code"], "start", "end", grace, [F.max("q").alias("q")])
+    whole = fills.where(F.col("member_id").isNotNull() & F.col("atc_3_code").isNotNull()).select("member_id", "atc_3_code", F.col("filldate").alias("start"), end.alias("end"), F.col("is_query_drug").cast("int").alias("q"))
+    joined = coalesce_intervals(whole if placed else whole.repartition("member_id"), ["member_id", "atc_3_code"], "start", "end", grace, [F.max("q").alias("q")])
     return joined.select("member_id", "atc_3_code", "start", "end", F.max("q").over(Window.partitionBy("member_id", "atc_3_code")).alias("is_op"))
 
 

@@ -285,6 +285,9 @@ _PLAIN = {
     "f1_sweep": "SELECT i / 100 AS threshold, round(coalesce(2 * s.ctp / nullif(s.cn + pos, 0), 0), 6) AS f1 FROM (SELECT i, (SELECT count(*) FROM scored WHERE score + 1e-11 >= i / 100) AS cn, (SELECT coalesce(sum(y), 0) FROM scored WHERE score + 1e-11 >= i / 100) AS ctp FROM (SELECT unnest(generate_series(0, 100)) AS i)) s, totals",
     "class_report": _report(),
     "key_range_batches": ", k AS (SELECT DISTINCT member_id FROM rx), r AS (SELECT member_id, row_number() OVER (ORDER BY member_id) AS rank FROM k) SELECT member_id, rank, CAST((rank - 1) // 200 AS BIGINT) AS batch FROM r",
+    "json_file_vectors": "SELECT code, CAST(len(vec) AS INTEGER) AS n, round(list_sum(list_transform(vec, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 3) AS total FROM vectors",
+    "batched_extract": ", k AS (SELECT DISTINCT member_id FROM rx), r AS (SELECT member_id, CAST((row_number() OVER (ORDER BY member_id) - 1) // 200 AS BIGINT) AS batch FROM k) SELECT batch, count(*) AS n_rows, count(DISTINCT member_id) AS n_members FROM rx JOIN r USING (member_id) GROUP BY batch",
+    "sketched_lengths": "SELECT segment_end_reason, count(*) AS n_rows, count(DISTINCT member_id) AS n_members, true AS close_members, true AS close_quartiles FROM segments GROUP BY segment_end_reason",
     "hash_buckets": "SELECT member_id % 100 AS bucket, count(*) AS n_rows, count(DISTINCT member_id) AS n_keys FROM rx GROUP BY 1",
     "json_explode": """, d AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS n FROM part), e AS (SELECT *, n[1:4] || '-' || n[5:8] || '-' || n[9:10] AS package_ndc FROM d)
       SELECT package_ndc, 0 AS place, CASE WHEN p_size % 5 = 0 THEN 'OXYCODONE ' ELSE '' END || p_name AS ingredient, p_type AS strength FROM e UNION ALL SELECT package_ndc, 1, 'ACETAMINOPHEN', p_size || ' mg' FROM e""",
@@ -300,3 +303,5 @@ ORACLES: dict[str, str] = {name: CHAIN + sql for name, sql in _PLAIN.items()} |
     **{f"top_{name}_by_count": _mined(k, "WHERE p_adj < 0.05 AND adjusted.rate > all_ae / all_n ORDER BY n_ae DESC, " + _items(k) + " LIMIT 10", _items(k) + ", CAST(n_total AS BIGINT) AS n_total, n_ae, round(rate, 6) AS rate") for k, name in ((2, "pairs"), (3, "trios"))},
     "bh_forward_cummin": _mined(2, select="item1, item2, round(p_forward, 5) AS p_adj"),
 }
+# The same rows another way.
+ORACLES |= {"json_file_products": ORACLES["json_explode"], "bucketed_spells": ORACLES["detect_spells"]}

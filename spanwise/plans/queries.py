@@ -5,7 +5,8 @@ All chain the same lazy steps: fills, drug intervals, spells, changes, censoring
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import AGE_BUCKETS, RACE_LABELS, YOUNGEST, age_bucket, race_label, starts_with_any
 from ..operators import codes, cohort, combos, features, intervals, metrics, models, spells, summary
 from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
-from ..sources.tables import products_of, shared_folder, stored, validate_dataset
+from ..sources.storage import bucketed, missing_batches, write_batches
+from ..sources.tables import products_of, read_code_vectors, read_products, shared_folder, stored, validate_dataset
 
 K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
 #: Least support of trios and whole sets: they are rarer than pairs.
@@ -205,6 +207,20 @@ def top_other_bucket(c: Chain) -> DataFrame:
     return summary.top_or_other(c.labelled.where("had_ae"), "first_ae_code", 2, "grp", pool).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sketched_lengths(c: Chain) -> DataFrame:
+    """Members and length quartiles by end reason from sketches kept by month, and whether they lie within five standard errors of the exact ones."""
+    by = "segment_end_reason"
+    rows = c.segments.withColumn("month", F.trunc("entry_date", "month"))
+    parts = stored(summary.sketch_parts(rows, ["month", by], "member_id", "spell_length_days"))
+    found = summary.from_sketches(parts, [by])
+    exact = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("member_id").alias("n_members"))
+    ranked = rows.join(F.broadcast(found), by).groupBy(by).agg(*(F.avg((F.col("spell_length_days") < F.col(f"p{p}")).cast("int")).alias(f"below_{p}") for p in (25, 50, 75)), *(F.avg((F.col("spell_length_days") <= F.col(f"p{p}")).cast("int")).alias(f"upto_{p}") for p in (25, 50, 75)))
+    close = [F.col(f"below_{p}") <= p / 100 + 0.02 for p in (25, 50, 75)] + [F.col(f"upto_{p}") >= p / 100 - 0.02 for p in (25, 50, 75)]
+    met = exact.join(found.drop("n"), by).join(ranked, by)
+    within = F.abs(F.col("n_entities") - F.col("n_members")) <= F.greatest(F.lit(2.0), 5 * 1.04 / 2 ** (summary.LG_K / 2) * F.col("n_members"))
+    return met.select(by, "n_rows", "n_members", within.alias("close_members"), reduce(and_, close).alias("close_quartiles"))
+
+
 def table1(c: Chain) -> DataFrame:
     return summary.baseline_table(c.cohort, "y", race_label(F.col("raceethnicitytypecode")))
 
@@ -255,10 +271,51 @@ def exported_products(c: Chain) -> DataFrame:
 
 
 def json_explode(c: Chain) -> DataFrame:
-    rows = exported_products(c).select(F.col("packaging")[0]["package_ndc"].alias("package_ndc"), F.posexplode("active_ingredients").alias("place", "i"))
+    return ingredients_of(exported_products(c))
+
+
+def ingredients_of(products: DataFrame) -> DataFrame:
+    rows = products.select(F.col("packaging")[0]["package_ndc"].alias("package_ndc"), F.posexplode("active_ingredients").alias("place", "i"))
     return rows.select("package_ndc", "place", F.col("i.name").alias("ingredient"), F.col("i.strength").alias("strength"))
 
 
+def json_file_products(c: Chain) -> DataFrame:
+    """The same from JSON files in the shared folder, laid out over many lines with up to fifty products an object."""
+    path = f"{shared_folder(c.spark)}/products-{uuid.uuid4().hex}"
+    objects = exported_products(c).withColumn("k", F.floor(F.regexp_replace(F.col("packaging")[0]["package_ndc"], "-", "").cast("long") / 50))
+    grouped = objects.groupBy("k").agg(F.collect_list(F.struct(*(x for x in objects.columns if x != "k"))).alias("results"))
+    grouped.select(F.to_json(F.struct("results"), {"pretty": "true"}).alias("value")).write.text(path)
+    return ingredients_of(read_products(c.spark, path))
+
+
+def json_file_vectors(c: Chain) -> DataFrame:
+    """Codes with the length and total of their vectors, from JSON files that map codes to vectors."""
+    path = f"{shared_folder(c.spark)}/vectors-{uuid.uuid4().hex}"
+    grouped = c.claims.code_vectors().groupBy(F.pmod(F.xxhash64("code"), F.lit(4)).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("code", "vec"))).alias("m"))
+    grouped.select(F.to_json("m", {"pretty": "true"}).alias("value")).write.text(path)
+    read = read_code_vectors(c.spark, path)
+    return read.select("code", F.size("vec").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+
+
+def bucketed_spells(c: Chain) -> DataFrame:
+    """The spells again, from fills stored in buckets of members."""
+    kept = bucketed(c.fills.select("member_id", "atc_3_code", "filldate", "supplydayscount", "is_query_drug"), "member_id", 16)
+    return spells.detect_spells(spells.drug_intervals(kept, GRACE, placed=True), K, GRACE, MIN_LEN)
+
+
+def batched_extract(c: Chain) -> DataFrame:
+    """Fills written in batches of 200 members, the first of them once more as after a failure: rows and members by batch."""
+    path = f"{shared_folder(c.spark)}/batches-{uuid.uuid4().hex}"
+    batches = stored(codes.key_range_batches(c.claims.rx_fills(), "member_id", 200))
+    first = batches.agg(F.min("batch")).first()[0]
+    if first is not None:
+        write_batches(c.claims.rx_fills(), batches, "member_id", path, [first])
+        write_batches(c.claims.rx_fills(), batches, "member_id", path, missing_batches(c.spark, batches, path) or None)
+        write_batches(c.claims.rx_fills(), batches, "member_id", path, [first])
+    done = c.spark.read.schema(c.claims.rx_fills().schema.add("batch", "long")).parquet(path)
+    return done.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("member_id").alias("n_members"))
+
+
 def opioid_products(c: Chain) -> DataFrame:
     return codes.opioid_products(exported_products(c))
 
@@ -310,7 +367,8 @@ def _perceptron(c: Chain, arrays: DataFrame, *columns: str) -> DataFrame:
     tokens = features.one_hot_tokens(rows, KEYS, [(age_bucket(F.col("age")), ages), (F.col("raceethnicitytypecode"), sorted(RACE_LABELS)), (F.col("gendercode"), ["F", "M"])])
     made = models.array_features(rows.select("row_id", *KEYS, "y").join(tokens, KEYS).join(arrays, KEYS), "tokens", *columns)
     split = stored(features.split_rows(made.select("row_id", *KEYS, "y", "features"), *KEYS))
-    return quality_of(models.scored_rows(models.fit_perceptron(split.where("is_train"), HIDDEN, EPOCHS), split.where("not is_train")))
+    train = stored(features.resample_balanced(split.where("is_train"), "y", *KEYS))
+    return quality_of(models.scored_rows(models.fit_perceptron(train, HIDDEN, EPOCHS), split.where("not is_train")))
 
 
 def perceptron_quality(c: Chain) -> DataFrame:
@@ -363,7 +421,7 @@ _STEPS = {
     "diagnosis_windows": diagnosis_windows,
     "cluster_codes": lambda c: c.icd.select("member_id", "spell_id", "split_seq", joined("icd10_codes")),
     "finalize_cohort": finalize,
-    "attrition": lambda c: cohort.attrition(c.steps),
+    "attrition": lambda c: cohort.attrition(c.combos, c.claims.demographics(), c.icd, WINDOW),
     "combo_pairs": lambda c: mined(c, 2),
     "combo_pairs_containing": lambda c: mined(c, 2, must_contain="Brand#7"),
     "combo_trios": lambda c: mined(c, 3),
@@ -383,6 +441,7 @@ _STEPS = {
     "top_combos_k3": lambda c: top_combos(c, 3),
     "top_combos_k4": lambda c: top_combos(c, 4),
     "category_shares": category_shares,
+    "sketched_lengths": sketched_lengths,
     "table1": table1,
     "total_and_members": lambda c: summary.total_and_members(c.segments),
     "non_event_members": lambda c: cohort.members_without_event(c.segments),
@@ -415,6 +474,10 @@ _STEPS = {
     "key_range_batches": lambda c: codes.key_range_batches(c.claims.rx_fills(), "member_id", 200),
     "hash_buckets": lambda c: codes.hash_buckets(c.claims.rx_fills(), "member_id"),
     "json_explode": json_explode,
+    "json_file_products": json_file_products,
+    "json_file_vectors": json_file_vectors,
+    "bucketed_spells": bucketed_spells,
+    "batched_extract": batched_extract,
     "validate_dataset": lambda c: validate_dataset(c.claims.demographics(), ("member_id", "zip3value")),
     "logistic_odds_ratios": logistic_odds_ratios,
     "logistic_quality": logistic_quality,

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,15 +78,66 @@ def products_of(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.from_json("value", schema)["results"]).alias("p")).select("p.*")
 
 
+def bracketed_records(spark: SparkSession, path: str, brackets: str = "{}", depth: int = 1) -> DataFrame:
+    """file, number and value: what stands in ``depth`` nested pairs of brackets in large JSON files, and all before it since the last such record.
+
+    Files are read in splits of any place, cut at the closing bracket, so one file gives many tasks and no row holds it.  Whether
+    a piece starts inside a string, and how deep, follows from the pieces before: running sums inside a split, and one row for each split of
+    the file.  Brackets inside strings and escaped quotes do not count; layout does not matter.  A record as long as several splits is put together from its pieces."""
+    opener, closer = brackets
+    here = F.col("_metadata")
+    raw = spark.read.option("lineSep", closer).text(path).select(here["file_path"].alias("file"), here["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("piece"))
+    bare = F.regexp_replace("piece", r"(?s)\\.", "")  # without escaped characters
+    raw = raw.withColumn("bare", bare)
+
+    def change(text: Column) -> Column:
+        """Brackets opened less those closed in a text that starts outside strings; the piece's own end is not in it."""
+        plain = F.regexp_replace(text, r'"[^"]*("|$)', "")
+        return F.length(plain) - F.length(F.replace(plain, F.lit(opener), F.lit("")))
+
+    quotes = F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))
+    odd = quotes % 2
+    pieces = raw.select("file", "block", "place", "piece", quotes.alias("quotes"), (change(F.col("bare")) - (1 - odd)).alias("outside"), (change(F.regexp_replace("bare", r'^[^"]*("|$)', "")) - odd).alias("inside"))
+    of_split = Window.partitionBy("file", "block").orderBy("place")
+    before, so_far = of_split.rowsBetween(Window.unboundedPreceding, -1), of_split.rowsBetween(Window.unboundedPreceding, 0)
+    odd_before = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
+    # Both cases, by whether the split starts inside a string: the depth after each piece, counted from the split's start.
+    deep = {0: F.sum(F.when(F.col("odd_before") == 0, F.col("outside")).otherwise(F.col("inside"))), 1: F.sum(F.when(F.col("odd_before") == 1, F.col("outside")).otherwise(F.col("inside")))}
+    pieces = stored(pieces.withColumn("odd_before", odd_before).select("file", "block", "place", "piece", "quotes", "odd_before", *(f.over(so_far).alias(f"deep_{k}") for k, f in deep.items())))
+
+    splits = pieces.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *(F.max_by(f"deep_{k}", "place").alias(f"deep_{k}") for k in deep))
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("odd", F.coalesce(F.sum("quotes").over(of_file), F.lit(0)) % 2)
+    own = F.when(F.col("odd") == 0, F.col("deep_0")).otherwise(F.col("deep_1"))
+    splits = splits.withColumn("own", own).select("file", "block", "odd", F.coalesce(F.sum("own").over(of_file), F.lit(0)).alias("start"))
+    placed = pieces.join(splits, ["file", "block"])
+    ends_outside = (F.col("odd") + F.col("odd_before") + F.col("quotes")) % 2 == 0
+    after = F.col("start") + F.when(F.col("odd") == 0, F.col("deep_0")).otherwise(F.col("deep_1"))
+    placed = placed.select("file", "block", "place", "piece", (ends_outside & (after == depth - 1)).cast("int").alias("closes"))
+    totals = placed.groupBy("file", "block").agg(F.sum("closes").alias("n")).select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    number = F.coalesce(F.sum("closes").over(before), F.lit(0)) + F.col("earlier")
+    numbered = placed.join(totals, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("file", "block", "place", "piece", "closes", number.alias("number"))
+    whole = numbered.groupBy("file", "number").agg(F.max("closes").alias("closed"), F.sort_array(F.collect_list(F.struct("block", "place", "piece"))).alias("parts")).where("closed = 1")
+    return whole.select("file", "number", F.concat(F.array_join("parts.piece", closer), F.lit(closer)).alias("value"))
+
+
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """The same of files that each hold one such object, over many lines."""
-    return products_of(spark.read.text(path, wholetext=True))
+    """The products of files that hold {"results": [...]} objects of any size and layout, a record a row."""
+    records = bracketed_records(spark, path, "{}", 2)
+    plain = r'(?:[^"{}]++|"(?:[^"\\]++|\\.)*+")*+'  # text and strings outside braces
+    # A file's first record comes after the outer object's brace; a later one may follow the end of one outer object and the start of the next.
+    before = F.when(F.col("number") == 0, F.regexp_extract("value", rf"(?s)^{plain}\{{({plain})\{{", 1)).otherwise(F.regexp_extract("value", rf"(?s)^((?:{plain}\}}{plain}\{{)?{plain})\{{", 1))
+    skipped = F.when(F.col("number") == 0, F.regexp_extract("value", rf"(?s)^({plain}\{{{plain})\{{", 1)).otherwise(before)
+    # Members of the outer object that are objects themselves, such as a file's description, follow a colon.
+    kept = records.where(~before.rlike(r":\s*$")).select(F.from_json(F.substr("value", F.length(skipped) + 1), PRODUCT).alias("p"))
+    return kept.where("p is not null").select("p.*")
 
 
 def read_code_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """code and vec of a JSON object that maps codes to vectors (one object per line)."""
-    schema = "map<string,array<float>>"
-    return spark.read.text(path).select(F.explode(F.from_json("value", schema)).alias("code", "vec"))
+    """code and vec of JSON objects that map codes to vectors, of any size and layout: a member a row."""
+    records = bracketed_records(spark, path, "[]", 1)
+    member = F.concat(F.lit("{"), F.regexp_replace("value", r"(?s)^[\s{},]*", ""), F.lit("}"))
+    return records.select(F.explode(F.from_json(member, "map<string,array<float>>")).alias("code", "vec"))
 
 
 def read_jdbc_ranges(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, parts: int, properties: dict[str, str] | None = None) -> DataFrame:
