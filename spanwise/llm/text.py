@@ -9,6 +9,7 @@ bytes as on characters.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -246,9 +247,11 @@ def discard(spark: SparkSession, folder: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Shuffle files of finished steps may go: Spark deletes them once the driver's collector sees that nothing refers to them."""
+    """Shuffle files of finished steps may go: Spark deletes them once the driver's collector sees that nothing refers to them, which takes a few turns."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(6):
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 @contextmanager
