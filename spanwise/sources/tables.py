@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,3 +153,22 @@ def validate_dataset(df: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
     values = {"rows": F.col("rows"), "columns": F.lit(len(df.columns))}
     values |= {f"nulls:{c}": F.col(f"nulls_{i}") for i, c in enumerate(df.columns)} | {f"has:{c}": F.lit(int(c in df.columns)) for c in expected}
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), v.cast("long").alias("value")) for k, v in values.items()))))
+
+
+def validate_path(spark: SparkSession, path: str, expected: Sequence[str] = ()) -> DataFrame:
+    """The same for Parquet at a path, after one row each for whether it exists and whether it can be read."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = spark.createDataFrame([("exists", int(there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)))], "check string, value long")
+    if not found.first()["value"]:
+        return found
+    try:
+        df = spark.read.parquet(path)
+        df.limit(1).collect()
+    except (AnalysisException, Py4JJavaError):
+        return found.union(spark.createDataFrame([("readable", 0)], "check string, value long"))
+    return found.union(spark.createDataFrame([("readable", 1)], "check string, value long")).union(validate_dataset(df, expected))
+
+
+def preview(spark: SparkSession, path: str, rows: int = 5) -> list[Row]:
+    """The first rows of Parquet at a path."""
+    return spark.read.parquet(path).limit(rows).collect()

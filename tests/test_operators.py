@@ -1,19 +1,21 @@
 """Codes, combinations, metrics, features, sources and the SQL twins of the named queries."""
 
+import itertools
 import json
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import columns as C
-from spanwise.operators import codes, combos, features, metrics, models, summary
+from spanwise.operators import codes, combos, features, intervals, metrics, models, summary
 from spanwise.plans.oracles import ORACLES
 from spanwise.plans.queries import QUERIES
-from spanwise.sources import tables
+from spanwise.sources import storage, tables
 
 BASE = "/root/testdata/sf0.001"
 FAST = ("view_rx_fills", "eligible_members", "clean_map", "match_rate", "opioid_products", "detect_spells", "label_first_event", "ae_by_description", "average_precision", "roc_auc", "pr_curve", "precision_at_fraction", "threshold_for_precision", "best_f1", "f1_sweep", "class_report", "key_range_batches", "validate_dataset", "one_hot_long", "json_explode", "split_at_adds", "label_combo", "cluster_codes", "top_pairs_by_rate", "top_trios_by_rate", "top_member_codes_20", "combo_pairs", "stratified_split", "median_age", "encode_sequence", "pooled_embedding", "pooled_icd_embedding", "flattened_embedding")
@@ -23,7 +25,10 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("raw,want", [("1-22-3", "00001002203"), ("12345678901", "12345678901"), ("1234-5678-90", "01234567890"), ("123456-1-1", None), ("abc", None), (None, None)])
+@pytest.mark.parametrize("raw,want", [
+    ("1-22-3", None), ("12345678901", "12345678901"), ("1234-5678-90", "01234567890"), ("12345-678-90", "12345067890"), ("12345-6789-0", "12345678900"), ("12345-6789-01", "12345678901"),
+    ("1234-567-89", None), ("1234-5678-9", None), ("123456-1-1", None), ("1234567890", None), ("abc", None), (None, None),
+])
 def test_ndc11(spark, raw, want):
     assert one(spark, raw, C.ndc11) == want
 
@@ -153,8 +158,173 @@ def test_summary_and_features(spark):
     sets = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, ["z", "b", "q", "a"])], "id int, items array<string>")
     vocab = features.vocabulary(sets.where("id < 3"), "items")
     assert {r["id"]: r["ids"] for r in features.encode_sequence(sets, ["id"], "items", vocab, 3).collect()} == {1: [3, 2, 0], 2: [0, 0, 0], 3: [1, 3, 1]}
-    balanced = features.resample_balanced(spark.range(1000).select((F.col("id") % 10 == 0).cast("int").alias("y")), "y").groupBy("y").count().collect()
-    assert all(abs(r["count"] - 500) < 80 for r in balanced)
+
+
+def test_balanced_draws(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 40 == 0, 1).when(F.col("id") % 997 != 1, 0).alias("y"))
+    draws = [Counter((r["id"], r["y"]) for r in features.resample_balanced(df.repartition(n), "y", "id").collect()) for n in (1, 8)]
+    assert draws[0] == draws[1]
+    sizes = Counter()
+    for (_, y), n in draws[0].items():
+        sizes[y] += n
+    assert set(sizes) == {0, 1} and all(abs(n - 2000) < 5 * 2000**0.5 for n in sizes.values())
+    times = {y: Counter(n for (_, c), n in draws[0].items() if c == y) for y in (0, 1)}
+    assert max(times[0]) > 1 and len(times[1]) > 5 and sum(times[0].values()) < 2500
+    assert features.resample_balanced(df, "y", "id", seed=7).count() != sum(sizes.values())
+    assert features.resample_balanced(df.limit(0), "y", "id").count() == 0
+
+
+def test_poisson_draws_follow_their_law():
+    import numpy as np
+
+    from spanwise.operators.replicates import poisson_draws
+
+    for rate in (0.02, 0.51, 1.0, 37.0, 50_000.0):
+        n = poisson_draws(np.arange(40_000), rate, 3)
+        assert abs(n.mean() - rate) < 5 * (rate / 40_000) ** 0.5 and abs(n.var() / rate - 1) < 0.1
+
+
+def test_sparse_and_dense_rows_fit_alike(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from spanwise.operators import replicates
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (80, 6)) * (rng.random((80, 6)) < 0.4)
+    y = (x[:, 0] + rng.random(80) > 1).astype(int)
+    rows = [(i, Vectors.dense(r) if i % 3 else Vectors.sparse(6, {j: float(v) for j, v in enumerate(r) if v}), int(c)) for i, (r, c) in enumerate(zip(x.astype(float), y))]
+    mixed = replicates.fit_replicates(spark.createDataFrame(rows, ["row_id", "features", "y"]).repartition(2), 3, max_iter=60)
+    dense = replicates.fit_replicates(spark.createDataFrame([(i, Vectors.dense(v.toArray()), c) for i, v, c in rows], ["row_id", "features", "y"]), 3, max_iter=60)
+    assert np.allclose(mixed, dense, atol=1e-6)
+    many = replicates.PRODUCTS
+    try:
+        replicates.PRODUCTS = 1  # one replicate at a time
+        assert np.allclose(replicates.fit_replicates(spark.createDataFrame(rows, ["row_id", "features", "y"]), 3, max_iter=60), mixed, atol=1e-6)
+    finally:
+        replicates.PRODUCTS = many
+
+
+def test_merged_as_of_joins(spark):
+    rnd = random.Random(2)
+    probes = [(k, i, rnd.randint(0, 30)) for i, k in enumerate(rnd.choices([1, 2, 3, None], k=60))]
+    changes = [(k, rnd.randint(-5, 35), rnd.choice("abcd"), rnd.random() < 0.5) for k in rnd.choices([1, 2, 4, None], k=150)]
+    p = spark.createDataFrame(probes, "k int, id int, day int")
+    c = spark.createDataFrame(changes, "k int, at int, item string, on boolean")
+    latest = {r["id"]: (r["at"], r["item"]) for r in intervals.latest_on_or_before(p, c, ["k"], "day", "at", ["at", "item"]).collect()}
+    active = {r["id"]: r["held"] for r in intervals.active_at(p, c, ["k"], "day", "at", "item", "on", "held").collect()}
+    assert len(latest) == len(active) == 60
+    for k, i, day in probes:
+        before = [x for x in changes if x[0] == k and x[1] <= day]  # here null keys meet, as in a window
+        assert latest[i] == (max((x[1], x[2]) for x in before) if before else (None, None))
+        last = {item: max((at, on) for _, at, it, on in before if it == item) for item in {x[2] for x in before}}
+        assert active[i] == sorted(item for item, (_, on) in last.items() if on)
+    filled = intervals.forward_fill(spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, None), (2, 1, None), (1, 4, 6)], "k int, t int, v int"), ["k"], ["t"], ["v"]).collect()
+    assert sorted((r["k"], r["t"], r["v"]) for r in filled if r["v"] is not None) == [(1, 2, 5), (1, 3, 5), (1, 4, 6)]
+    plan = intervals.active_at(p, c, ["k"], "day", "at", "item", "on", "held")._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("5000", "0")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_large_json_is_read_in_splits(spark, tmp_path, small_splits, indent):
+    rnd = random.Random(1)
+    vectors = {f'c"{i}]\\[{{x' if i % 7 == 0 else f"code{i}": [float(rnd.randint(0, 9)) for _ in range(rnd.randint(0, 20))] for i in range(500)}
+    path = str(tmp_path / "v.json")
+    Path(path).write_text(json.dumps(vectors, indent=indent) + "\n" * bool(indent))
+    assert spark.read.option("lineSep", "]").text(path).rdd.getNumPartitions() > 3
+    assert {r["code"]: list(r["vec"]) for r in tables.read_code_vectors(spark, path).collect()} == vectors
+    products = [{"openfda": {"x": {"y": [i]}}, "z": [{}], "brand_name": f'b{{{i}}} "q" \\', "active_ingredients": [{"name": "n", "strength": "s}"}] * (i % 4), "packaging": [{"package_ndc": "1234-5678-90"}]} for i in range(300)]
+    files = {
+        "described": json.dumps({"meta": {"d": "x{", "results": {"skip": 0}}, "results": products}, indent=indent), "plain": json.dumps({"results": products}, indent=indent), "empty": json.dumps({"results": []}, indent=indent),
+        "two": json.dumps({"results": products[:90], "tail": {"a": 1}}, indent=indent) + "\n" + json.dumps({"results": products[90:], "n": "x{"}, indent=indent),
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        found = tables.read_products(spark, str(tmp_path / f"{name}.json")).collect()
+        want = [] if name == "empty" else products
+        assert sorted((r["brand_name"], len(r["active_ingredients"])) for r in found) == sorted((p["brand_name"], len(p["active_ingredients"])) for p in want)
+
+
+def test_storage_by_member(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, i) for i in range(400)], "member_id long, x long")
+    kept = storage.bucketed(df, "member_id", 4, str(tmp_path / "b"))
+    other = storage.bucketed(df.select("member_id").distinct(), "member_id", 4, str(tmp_path / "c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = kept.join(other, "member_id").groupBy("member_id").agg(F.sum("x").alias("x"))
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    batches, path = codes.key_range_batches(df, "member_id", 10), str(tmp_path / "parts")
+    assert storage.missing_batches(spark, batches, path) == [0, 1, 2, 3]
+    storage.write_batches(df, batches, "member_id", path, [0, 2])
+    assert storage.missing_batches(spark, batches, path) == [1, 3]
+    storage.write_batches(df, batches, "member_id", path, [1, 3])
+    times = {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    storage.write_batches(df.withColumn("x", F.lit(0)), batches, "member_id", path, [2])
+    again = {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    assert {f for f in again if again[f] != times.get(f)} == {f for f in again if f.parent.name == "batch=2"}
+    sums = {r["batch"]: (r["n"], r["s"]) for r in spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("n"), F.sum("x").alias("s")).collect()}
+    assert {b: n for b, (n, _) in sums.items()} == {0: 100, 1: 100, 2: 100, 3: 100} and sums[2][1] == 0 and sums[1][1] > 0
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_pruned_combinations_equal_plain_counts(spark, monkeypatch, few):
+    rnd = random.Random(6)
+    rows = [(sorted(rnd.sample("abcdefghij", rnd.randint(0, 7))), rnd.random() < 0.3) for _ in range(120)]
+    df = spark.createDataFrame(rows, "drug_combo array<string>, had_ae boolean")
+    monkeypatch.setattr(combos, "FEW_PAIRS", few)
+    for size, least in ((2, 1), (2, 30), (3, 1), (3, 12)):
+        want = Counter()
+        events = Counter()
+        for items, y in rows:
+            for c in itertools.combinations(items, size):
+                want[c] += 1
+                events[c] += y
+        got = {tuple(r)[:size]: (r["n_total"], r["n_ae"]) for r in combos.count_combinations(df, "drug_combo", F.col("had_ae"), size, least).collect()}
+        assert got == {c: (n, events[c]) for c, n in want.items() if n >= least}
+
+
+def test_signals_come_first(spark):
+    """Pairs with raised rates are significant and lead the list by events."""
+    rows = [(["a", "b"], i % 2 == 0) for i in range(60)] + [(["a", "c"], i % 3 == 0) for i in range(30)] + [(["c", "d"], i % 40 == 0) for i in range(400)]
+    mined = combos.mine_combinations(spark.createDataFrame(rows, "drug_combo array<string>, had_ae boolean"), 2, 20)
+    top = combos.top_mined(mined, "n_ae", 10, signals=True).collect()
+    assert [(r["item1"], r["item2"], r["n_ae"]) for r in top] == [("a", "b", 30), ("a", "c", 10)] and all(r["significant"] for r in top)
+
+
+def test_sketches_of_parts_equal_the_whole(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("part"), (F.col("id") % 2).alias("g"), (F.xxhash64("id") % 9000).alias("who"), (F.col("id") % 1000).alias("x"))
+    parts = summary.sketch_parts(df, ["part", "g"], "who", "x")
+    for r in summary.from_sketches(parts, ["g"]).collect():
+        own = df.where(F.col("g") == r["g"])
+        assert r["n"] == own.count() and abs(r["n_entities"] / own.select("who").distinct().count() - 1) < 5 * 1.04 / 2 ** (summary.LG_K / 2)
+        assert all(abs(r[f"p{p}"] - 10 * p) < 20 for p in (25, 50, 75))
+    earlier = summary.merged_sketches(parts.where("part < 5"), ["g"])
+    both = earlier.unionByName(parts.where("part >= 5").drop("part"))
+    assert {(r["g"], r["n_entities"]) for r in summary.from_sketches(both, ["g"]).collect()} == {(r["g"], r["n_entities"]) for r in summary.from_sketches(parts, ["g"]).collect()}
+
+
+def test_dataset_checks_on_a_path(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "b")], "id int, name string").write.parquet(str(tmp_path / "d"))
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    got = {r["check"]: r["value"] for r in tables.validate_path(spark, str(tmp_path / "d"), ("id", "zip")).collect()}
+    assert got == {"exists": 1, "readable": 1, "rows": 2, "columns": 2, "nulls:id": 0, "nulls:name": 1, "has:id": 1, "has:zip": 0}
+    assert [tuple(r) for r in tables.validate_path(spark, str(tmp_path / "none")).collect()] == [("exists", 0)]
+    assert {tuple(r) for r in tables.validate_path(spark, str(tmp_path / "bad.parquet")).collect()} == {("exists", 1), ("readable", 0)}
+    assert len(tables.preview(spark, str(tmp_path / "d"), 1)) == 1
 
 
 def test_models_find_a_planted_signal(spark, tmp_path):

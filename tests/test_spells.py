@@ -151,7 +151,9 @@ def test_cohort_filters(spark):
     icd = spark.createDataFrame([(s, q, i) for _, s, q, *_, i, _ in rows], "spell_id long, split_seq int, icd10_codes array<string>")
     people = spark.createDataFrame([(1, 1950, "F"), (1, 1960, "M"), (4, 1950, "F"), (6, 1850, "F"), (7, 1950, None)], "member_id long, birthyear int, gendercode string")
     steps = cohort.cohort_steps(segs, people, icd)
-    sizes = {r["name"]: r["n_rows"] for r in cohort.attrition(steps).collect()}
+    sizes = {r["name"]: r["n_rows"] for r in cohort.attrition(segs, people, icd).collect()}
     assert sizes == {"segments": 8, "size": 7, "entry_day": 6, "length": 5, "dedup": 4, "leakage": 3, "age": 2, "gender": 1}
+    members = {r["name"]: r["n_members"] for r in cohort.attrition(segs, people, icd).collect()}
+    assert members == {name: df.select("member_id").distinct().count() for name, df in steps.items()}
     kept = steps["gender"].collect()
     assert [(r["spell_id"], r["split_seq"], r["y"], r["age"]) for r in kept] == [(1001, 1, 1, 70)]
