@@ -384,29 +384,43 @@ def test_line_dedup_equals_its_definition(spark):
 
 
 def earlier_lines(texts, min_words):
-    """What stays of each text (in order of doc_id) when a line repeats if an equal one stands anywhere earlier; blank lines are passed over."""
-    seen, out = set(), []
+    """What stays of each text (in order of doc_id): every line goes that is in a sequence of min_words words or more which also starts at an
+    earlier place.  A plain pass over pairs of places with equal lines; blank lines are passed over."""
+    cuts, lines = [], []
     for t in texts:
-        if t is None:
-            out.append(None)
-            continue
-        cut = re.split(r"(?<=\n)|(?<=[.!?] )", t)
+        cut = re.split(r"(?<=\n)|(?<=[.!?] )", t) if t is not None else []
         plain = [x.removesuffix("\n").replace("\t", " ").replace("\r", " ").lower().strip(" ") for x in cut]
-        lines = [(i, x) for i, x in enumerate(plain) if x]
-        repeats = []
-        for _, x in lines:
-            repeats.append(x in seen)
-            seen.add(x)
-        drop, a = set(), 0
-        while a < len(lines):
-            b = a
-            while b < len(lines) and repeats[b]:
-                b += 1
-            if b > a and sum(x.count(" ") + 1 for _, x in lines[a:b]) >= min_words:
-                drop |= set(range(lines[a][0], lines[b - 1][0] + 1))
-            a = max(b, a + 1)
-        out.append("".join(x for i, x in enumerate(cut) if i not in drop))
-    return out
+        cuts.append(cut)
+        lines.append([(i, x) for i, x in enumerate(plain) if x])
+    places = defaultdict(list)
+    drop = [set() for _ in texts]
+    for d, own in enumerate(lines):
+        for p, (_, x) in enumerate(own):
+            for e, q in places[x]:  # all earlier places of the line; only where a common sequence starts
+                other = lines[e]
+                if p and q and own[p - 1][1] == other[q - 1][1]:
+                    continue
+                n = 0
+                while p + n < len(own) and q + n < len(other) and own[p + n][1] == other[q + n][1]:
+                    n += 1
+                if sum(y.count(" ") + 1 for _, y in own[p : p + n]) >= min_words:
+                    drop[d] |= set(range(own[p][0], own[p + n - 1][0] + 1))
+            places[x].append((d, p))
+    return [None if t is None else "".join(x for i, x in enumerate(cut) if i not in gone) for t, cut, gone in zip(texts, cuts, drop)]
+
+
+def test_line_dedup_keeps_lines_that_stood_apart(spark):
+    lines = [f"line {i} has six words here" for i in range(5)]
+    texts = [f"own {i} a\n{x}\nother {i} b" for i, x in enumerate(lines)] + ["\n".join(reversed(lines)), "\n".join(lines), "start\n" + "\n".join(lines) + "\nend"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(7)] == texts[:7] and got[7] == "start\nend"
+
+
+def test_line_dedup_takes_ids_of_any_type(spark):
+    line = "word " * 30
+    df = spark.createDataFrame([("d-2", "a\n" + line), ("b-1", line), ("a", "own text"), (None, line), ("b-1", line), ("010", None)], "doc_id string, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    assert got == sorted([("d-2", "a\n"), ("b-1", line), ("a", "own text"), (None, ""), ("b-1", line), ("010", None)], key=str)
 
 
 def test_line_dedup_keeps_columns_of_any_name(spark):
