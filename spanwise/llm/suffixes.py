@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import _BYTE, joined, mixed, pieces, power_table, read_table, released, scratch, stored
+from .text import _BYTE, joined, mixed, pieces, power_table, read_table, released, scratch, stored, take_runs
 
 LENGTH = 100
 #: A perfect difference set: every difference modulo 57 but 0 occurs once.
@@ -43,7 +43,7 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of text that a task works on at once, and hashes at once.
 PIECE, HASHED = 6 << 20, 2 << 20
 #: Samples (or suffixes) of a bucket, buckets of a task, and the most buckets.
-BUCKET, BUCKETS_OF_TASK, MAX_BUCKETS = 400_000, 8, 1 << 24
+BUCKET, BUCKETS_OF_TASK, MAX_BUCKETS = 400_000, 4, 1 << 24
 #: Ranges of suffix buckets that go one after the other.
 BLOCKS = 2
 #: Suffixes that a task folds before it sends them.
@@ -102,6 +102,15 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """Indexes by the upper bits of 64-bit keys, then by index: one sort of numbers that hold both, several times as fast as a stable one.
+
+    Equal keys come in order of index, but keys that differ in their lower bits alone may stand between them."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+
+
 def _slices(order: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, indexes) of each group, for an order in which groups ascend."""
     own = groups[order]
@@ -220,7 +229,7 @@ def shared_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 continue
             keys = prints(data, at, depth)
             ids, starts = rows[doc], at - offsets[doc]
-            order = np.argsort(keys, kind="stable")
+            order = in_order(keys)
             own = keys[order]
             new = np.diff(own, prepend=~own[:1]) != 0
             first = np.flatnonzero(new)
@@ -281,18 +290,22 @@ def later_places(texts: DataFrame, length: int, buckets: int, low: int, high: in
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         heads, tails, ids, starts = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((starts, ids, tails, heads))
-        first = np.ones(len(order), dtype=bool)
+        # Documents by their numbers: places are in order then.
+        edges = np.append(np.flatnonzero(np.diff(ids, prepend=~ids[:1]) != 0), len(ids))
+        by_id = np.argsort(ids[edges[:-1]])
+        order = take_runs(edges[:-1][by_id], np.diff(edges)[by_id])
+        heads, tails, ids, starts = heads[order], tails[order], ids[order], starts[order]
+        with np.errstate(over="ignore"):
+            order = in_order(heads + tails * np.uint64(0x9E3779B97F4A7C15))
+        first = np.ones(len(order), dtype=bool)  # where other keys stand between, one more is sent than need be
         first[1:] = (np.diff(heads[order]) != 0) | (np.diff(tails[order]) != 0)
-        again, once = order[~first], order[first]
-        once = once[np.lexsort((starts[once], ids[once]))]
+        again, once = np.sort(order[~first]), np.sort(order[first])
         of = bucket_of(heads[once], buckets)
         out: dict[str, list] = {c: [] for c in ("bucket", "prints", "more", "n", "ids", "starts")}
         for bucket, at in _slices(np.argsort(of, kind="stable"), of):
             x = once[at]
             for c, v in (("bucket", bucket), ("prints", pack40(heads[x])), ("more", pack40(tails[x])), ("n", len(x)), ("ids", pack(ids[x])), ("starts", pack(starts[x]))):
                 out[c].append(v)
-        again = again[np.lexsort((starts[again], ids[again]))]
         runs = np.flatnonzero((np.diff(starts[again], prepend=-2) != 1) | (np.diff(ids[again], prepend=-1) != 0))
         yield from _asks(out, _places(ids[again[runs]], starts[again[runs]], np.diff(np.append(runs, len(again)))))
 
