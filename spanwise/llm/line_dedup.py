@@ -4,23 +4,21 @@ A text is cut into lines at line feeds and, so that a passage inside a paragraph
 by a space.  Lines are compared after lower-casing and trimming spaces; tabs and carriage returns count as spaces, and a line has one
 word more than spaces.  Order is by doc_id, then by place in the text.
 
-A sequence of neighbouring lines *repeats* when the same lines stand one after the other at an earlier place, in an earlier document or
-before it in the same text.  Every line that lies in a repeating sequence of ``min_words`` words or more is deleted; lines that stood earlier only apart from each
-other stay.  The earlier place may itself be deleted, and may overlap the later one.
+Two neighbouring lines *repeat* when the same two stand next to each other at an earlier place, in an earlier document or before it in the same
+text; a line of ``min_words`` words or more repeats when an equal one stands earlier.  A run is a longest sequence of lines that repeating pairs link, or that
+such a line makes alone; runs of ``min_words`` words or more are deleted.  So lines that stood earlier only apart from each other stay, and all that a plain
+search for sequences of ``min_words`` words that start earlier finds is deleted.  (A sequence whose pairs stand earlier, but at different places, goes as well.)
 
 Blank lines have no words: they are passed over, so lines that only blank lines part are neighbours, and blank lines inside a
 deleted run go with it.
 
-1. Every line with a word is hashed, and the lines are folded to hash and count.  A line that occurs once is in no repeating sequence;
-   the rest are joined to their places, very frequent ones through a bounded broadcast.
-2. Neighbouring lines of the rest make stretches; those under ``min_words`` words go.
-3. From each line of a stretch, the shortest sequence of ``min_words`` words that starts with it, and that ends with it, is a *window*.  A window has at most ``min_words``
-   lines, so its hash comes from a frame of fixed size.  Equal sequences have equal windows at equal places, and each of their lines is in one.
-4. Windows are folded to their first place, and joined to it: a window that comes later is deleted.  So each place is compared with all
-   earlier ones, and a match is a whole window, never single lines.
-5. Deleted windows that overlap or touch make runs.  Texts with runs meet them by a shuffle.  A bitmap of fixed size over the hashes of those texts lets nearly all others pass without one.
-
-All windows are kept, none is left to a choice by winnowing: matches grow along their first places only, so what a choice leaves out could stand earlier elsewhere.
+1. Every line with a word is hashed, and so is every pair of neighbours.  None is left to a choice by winnowing: a pair that its neighbours crowd out at one place may
+   be kept at another, so a choice can miss the equal pair that stands earlier.
+2. Pairs (and long lines) are folded to hash, number and first place; those that occur once go.  The rest are joined to
+   their places, the very frequent ones through a bounded broadcast.
+3. A pair repeats if its place comes after the first.  So it is compared with all earlier places at once.
+4. Repeating pairs that share a line make runs; the runs' words decide.
+5. Texts with runs meet them by a shuffle.  A bitmap of fixed size over the hashes of those texts lets nearly all others pass without one.
 
 Rows that share a doc_id have the same place in the order, so equal sequences at the same position of such rows are
 both first.  Their texts are told apart by hash.  A doc_id can be of any type that sorts.  Null doc_ids come last; null texts stay null and have no lines, empty
@@ -77,12 +75,18 @@ def _in_order(df: DataFrame, keep: Callable[[DataFrame], DataFrame], doc_id: str
     return df.join(ranks, F.col(doc_id) == F.col("_id"), "left").withColumn("place", F.coalesce("_place", F.lit(_LAST))).drop("_id", "_place")
 
 
-def line_places(df: DataFrame) -> DataFrame:
-    """Every line with a word: place and body (hash) of its document, number among the text's lines with words (pos) and among all (line), print and words (w)."""
+def line_places(df: DataFrame, min_words: int) -> DataFrame:
+    """Every line with a word: place and body (hash) of its document, number among the text's lines with words (pos) and among all (line), words (w), the
+    same of the next one (next_line, next_w), and the hashes of both (pair) and of the line alone if it has ``min_words`` words (alone)."""
     text = F.col("text")
     lines = F.filter(F.transform(F.split(_spaced(F.lower(text)), _END), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("s"))), lambda x: x["s"] != "")
     made = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("print"), _words(x["s"]).alias("w")))
-    rows = df.where(text.isNotNull()).select("place", F.xxhash64(text).alias("body"), made.alias("l"))
+
+    def with_next(x: Column, i: Column) -> Column:
+        then = F.get("l", i + 1)
+        return F.struct(x["line"].alias("line"), x["w"].alias("w"), then["line"].alias("next_line"), then["w"].alias("next_w"), F.when(then.isNotNull(), F.xxhash64(x["print"], then["print"])).alias("pair"), F.when(x["w"] >= min_words, x["print"]).alias("alone"))
+
+    rows = df.where(text.isNotNull()).select("place", F.xxhash64(text).alias("body"), made.alias("l")).select("place", "body", F.transform("l", with_next).alias("l"))
     # The outer form: Spark puts a filter on the size of the lines before the other one, which would cut every text twice.
     return rows.select("place", "body", F.posexplode_outer("l").alias("pos", "k")).where("pos is not null").select("place", "body", "pos", "k.*")
 
@@ -92,51 +96,23 @@ def _order() -> Column:
     return F.col("place").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
 
 
-def _shortest(lines: Column, min_words: int) -> Column:
-    """The first lines of an array that together have ``min_words`` words: their words, hash and number, and the last one's line and words_to."""
-    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.lit(0).cast("long").alias("words_to"))
-
-    def add(got: Column, x: Column) -> Column:
-        more = F.struct((got["words"] + x["w"]).alias("words"), F.xxhash64(got["h"], x["print"]).alias("h"), (got["n"] + 1).alias("n"), x["line"].alias("line"), x["words_to"].alias("words_to"))
-        return F.when(got["words"] >= min_words, got).otherwise(more)
-
-    return F.aggregate(lines, start, add)
-
-
-def windows_of(lines: DataFrame, min_words: int) -> DataFrame:
-    """The windows of each text's stretches of neighbouring lines: key (hash), pos (where it starts or ends), first and last line and the words before and up to them."""
-    of_text = Window.partitionBy("place", "body").orderBy("pos")
-    stretch = ["place", "body", "run"]
-    rows = lines.withColumn("run", F.col("pos") - F.dense_rank().over(of_text))
-    rows = rows.withColumn("total", F.sum("w").over(Window.partitionBy(*stretch))).where(F.col("total") >= min_words)
-    rows = rows.groupBy(*stretch, "pos", "line", "print", "w").agg(F.count(F.lit(1)).alias("_n"))  # rows that share doc_id and text
-    order = Window.partitionBy(*stretch).orderBy("pos")
-    rows = rows.withColumn("words_to", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    line = F.struct("print", "w", "line", "words_to")
-    most = min_words - 1
-    rows = rows.select(*stretch, "pos", "line", "w", "words_to", F.collect_list(line).over(order.rowsBetween(0, most)).alias("ahead"), F.collect_list(line).over(order.rowsBetween(-most, 0)).alias("back"))
-    rows = rows.select("place", "body", "pos", "line", "w", "words_to", _shortest(F.col("ahead"), min_words).alias("a"), _shortest(F.reverse("back"), min_words).alias("b"))
-    before = F.col("words_to") - F.col("w")
-    made = F.array(
-        F.when(F.col("a.words") >= min_words, F.struct(F.xxhash64("a.h", F.lit(0)).alias("key"), F.col("line").alias("first"), F.col("a.line").alias("last"), before.alias("words_from"), F.col("a.words_to").alias("words_to"), F.col("pos").alias("start"), (F.col("pos") + F.col("a.n") - 1).alias("stop"))),
-        F.when(F.col("b.words") >= min_words, F.struct(F.xxhash64("b.h", F.lit(1)).alias("key"), F.col("b.line").alias("first"), F.col("line").alias("last"), (F.col("words_to") - F.col("b.words")).alias("words_from"), F.col("words_to").alias("words_to"), (F.col("pos") - F.col("b.n") + 1).alias("start"), F.col("pos").alias("stop"))),
-    )
-    return rows.select("place", "body", "pos", F.explode(F.array_compact(made)).alias("k")).select("place", "body", "pos", "k.*")
-
-
 def repeated_runs(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to delete, as a stored table: place and body of the document, and runs: array of (first, last, words).  df: place and text."""
     with scratch(df.sparkSession) as kept:
-        lines = kept(line_places(df))
-        several = kept(lines.groupBy("print").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-        windows = kept(windows_of(hot_join(lines, several, "print"), min_words))
-        first = kept(windows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(_order()).alias("earliest")).where("rows > 1"))
-        later = hot_join(windows, first, "key").where(_order() > F.col("earliest"))
-        order = Window.partitionBy("place", "body").orderBy("start", "stop")
-        so_far = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        marked = later.withColumn("new", (so_far.isNull() | (F.col("start") > so_far + 1)).cast("int"))
-        numbered = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        runs = numbered.groupBy("place", "body", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("words_to") - F.min("words_from")).alias("words"))
+        lines = kept(line_places(df, min_words))
+        pairs = lines.where("pair is not null").withColumnRenamed("pair", "key").drop("alone")
+        alone = lines.where("alone is not null").select("place", "body", "pos", "line", "w", F.lit(None).cast("int").alias("next_line"), F.lit(None).cast("int").alias("next_w"), F.xxhash64("alone").alias("key"))
+        places = pairs.unionByName(alone)
+        first = kept(places.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(_order()).alias("first")).where("rows > 1"))
+        later = hot_join(places, first, "key").where(_order() > F.col("first"))
+        # One row a line: of rows that share doc_id and text, and of a long line and its pair.
+        marked = later.groupBy("place", "body", "pos", "line", "w").agg(F.max("next_line").alias("next_line"), F.max("next_w").alias("next_w"))
+        order = Window.partitionBy("place", "body").orderBy("pos")
+        last_pair, last_pos = F.lag("next_line").over(order), F.lag("pos").over(order)
+        new = F.when(last_pair.isNotNull() & (last_pos == F.col("pos") - 1), 0).otherwise(1)
+        numbered = marked.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        words = F.sum("w") + F.max_by(F.coalesce("next_w", F.lit(0)), "pos")
+        runs = numbered.groupBy("place", "body", "run").agg(F.min("line").alias("first"), F.max(F.coalesce("next_line", "line")).alias("last"), words.alias("words")).where(F.col("words") >= min_words)
         return stored(runs.groupBy("place", "body").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words"))).alias("runs")))
 
 

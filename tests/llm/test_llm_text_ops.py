@@ -383,20 +383,25 @@ def test_line_dedup_equals_its_definition(spark):
     assert counted[1]["text"] == "new. " and counted[1]["n_chars"] == 5 and counted[0]["n_chars"] == 205
 
 
-def earlier_lines(texts, min_words):
-    """What stays of each text (in order of doc_id): every line goes that is in a sequence of min_words words or more which also starts at an
-    earlier place.  A plain pass over pairs of places with equal lines; blank lines are passed over."""
+def lines_of(texts):
+    """Of each text, its lines, and (number, plain form) of those that are not blank."""
     cuts, lines = [], []
     for t in texts:
         cut = re.split(r"(?<=\n)|(?<=[.!?] )", t) if t is not None else []
         plain = [x.removesuffix("\n").replace("\t", " ").replace("\r", " ").lower().strip(" ") for x in cut]
         cuts.append(cut)
         lines.append([(i, x) for i, x in enumerate(plain) if x])
+    return cuts, lines
+
+
+def common_sequences(texts, min_words):
+    """The lines of each text that are in a sequence of min_words words or more which also starts at an earlier place: a plain pass over all pairs of places."""
+    _, lines = lines_of(texts)
     places = defaultdict(list)
     drop = [set() for _ in texts]
     for d, own in enumerate(lines):
         for p, (_, x) in enumerate(own):
-            for e, q in places[x]:  # all earlier places of the line; only where a common sequence starts
+            for e, q in places[x]:
                 other = lines[e]
                 if p and q and own[p - 1][1] == other[q - 1][1]:
                     continue
@@ -406,7 +411,57 @@ def earlier_lines(texts, min_words):
                 if sum(y.count(" ") + 1 for _, y in own[p : p + n]) >= min_words:
                     drop[d] |= set(range(own[p][0], own[p + n - 1][0] + 1))
             places[x].append((d, p))
-    return [None if t is None else "".join(x for i, x in enumerate(cut) if i not in gone) for t, cut, gone in zip(texts, cuts, drop)]
+    return drop
+
+
+def earlier_lines(texts, min_words):
+    """What stays of each text (in order of doc_id) by the definition: runs of lines linked by pairs that stand earlier, or long lines that do."""
+    cuts, lines = lines_of(texts)
+    seen, out = set(), []
+    for t, cut, own in zip(texts, cuts, lines):
+        words = [x.count(" ") + 1 for _, x in own]
+        linked = []
+        for p, (_, x) in enumerate(own):
+            pair = (x, own[p + 1][1]) if p + 1 < len(own) else None
+            linked.append((pair in seen, words[p] >= min_words and x in seen))
+            seen |= {pair, x if words[p] >= min_words else None} - {None}
+        drop, a = set(), 0
+        while a < len(own):
+            b = a
+            while b < len(own) and linked[b][0]:
+                b += 1
+            end = b if b > a or linked[a][1] else a - 1
+            if end >= a and sum(words[a : end + 1]) >= min_words:
+                drop |= set(range(own[a][0], own[end][0] + 1))
+            a = max(end, a) + (0 if end > a and end < len(own) and linked[end][1] else 1)
+        out.append(None if t is None else "".join(x for i, x in enumerate(cut) if i not in drop))
+    return out
+
+
+def test_line_dedup_deletes_all_common_sequences(spark):
+    """Against the plain search: nothing that it finds stays, and here hardly anything else goes."""
+    rnd = random.Random(21)
+    stock = [" ".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(1, 9))) for _ in range(300)]
+    passages = [rnd.sample(stock, rnd.randint(6, 12)) for _ in range(12)]
+    texts = []
+    for i in range(80):
+        parts = rnd.sample(stock, rnd.randint(0, 15)) + [f"own {i}"]
+        for p in rnd.sample(passages, 2):
+            a = rnd.randint(0, 3)
+            parts[1:1] = p[a:]
+        texts.append("\n".join(parts))
+    texts += [texts[3], "x\n" + texts[5], None]
+    cuts, _ = lines_of(texts)
+    want = common_sequences(texts, line_dedup.MIN_WORDS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    counted = line_dedup.dedup_lines(docs(spark, texts), report=True).agg({"n_deleted": "sum"}).first()[0]
+    exact = sum(map(len, want))
+    assert [got[i] for i in range(len(texts))] == earlier_lines(texts, line_dedup.MIN_WORDS)
+    for i, (cut, gone) in enumerate(zip(cuts, want)):
+        stays = [x for j, x in enumerate(cut) if j not in gone]
+        left = iter(stays)
+        assert all(x in left for x in re.split(r"(?<=\n)", got[i] or "") if x), i  # what stays is part of what the search leaves
+    assert exact <= counted <= 1.02 * exact
 
 
 def test_line_dedup_keeps_lines_that_stood_apart(spark):
