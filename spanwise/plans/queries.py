@@ -22,8 +22,10 @@ K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
 MIN_LARGER = 3
 #: Drugs and diagnoses of a sequence, and numbers of a code's vector.
 MAX_DRUGS, MAX_CODES, DIM = 15, 50, 64
-#: Registered queries fit models on less than the operators' own settings (400 rounds; hidden layers of 256 and 128 or 512 and 256, 100 iterations).
-ROUNDS, HIDDEN, EPOCHS = 10, (32,), 30
+#: Registered tree queries run fewer rounds than the operator's own 400.
+ROUNDS = 10
+#: Hidden layers and iterations over pooled vectors; those over flattened vectors are cut (production: layers of 512 and 256, 100 iterations).
+POOLED, FLAT = ((256, 128), 100), ((32,), 30)
 
 
 class Chain:
@@ -360,7 +362,7 @@ def tree_best(c: Chain) -> DataFrame:
     return metrics.best_run(tree_search(c))
 
 
-def _perceptron(c: Chain, arrays: DataFrame, *columns: str) -> DataFrame:
+def _perceptron(c: Chain, arrays: DataFrame, settings: tuple[tuple[int, ...], int], *columns: str) -> DataFrame:
     """Validation quality of a perceptron over age, race and gender tokens and the arrays' columns."""
     rows = keyed_rows(c)
     ages = [YOUNGEST, *(name for _, name in AGE_BUCKETS)]
@@ -368,19 +370,19 @@ def _perceptron(c: Chain, arrays: DataFrame, *columns: str) -> DataFrame:
     made = models.array_features(rows.select("row_id", *KEYS, "y").join(tokens, KEYS).join(arrays, KEYS), "tokens", *columns)
     split = stored(features.split_rows(made.select("row_id", *KEYS, "y", "features"), *KEYS))
     train = stored(features.resample_balanced(split.where("is_train"), "y", *KEYS))
-    return quality_of(models.scored_rows(models.fit_perceptron(train, HIDDEN, EPOCHS), split.where("not is_train")))
+    return quality_of(models.scored_rows(models.fit_perceptron(train, *settings), split.where("not is_train")))
 
 
 def perceptron_quality(c: Chain) -> DataFrame:
     """Over the pooled vectors of diagnoses and drugs."""
     diagnoses = features.pooled_vectors(c.cohort, KEYS, "icd10_codes", c.claims.code_vectors("icd"), DIM).withColumnRenamed("pooled", "_codes")
     drugs = features.pooled_vectors(c.cohort, KEYS, "drug_combo", c.claims.code_vectors(), DIM)
-    return _perceptron(c, diagnoses.join(drugs, KEYS), "_codes", "pooled")
+    return _perceptron(c, diagnoses.join(drugs, KEYS), POOLED, "_codes", "pooled")
 
 
 def sequence_quality(c: Chain) -> DataFrame:
     """Over the flattened vectors of diagnoses and drugs."""
-    return _perceptron(c, flattened(c), "flat")
+    return _perceptron(c, flattened(c), FLAT, "flat")
 
 
 def saved_model_quality(c: Chain) -> DataFrame:

@@ -17,6 +17,12 @@ def test_works_without_the_text_operators():
     assert done.returncode == 0, done.stderr
 
 
+def test_works_without_a_package_of_theirs():
+    code = "import sys, warnings; sys.modules['regex'] = None; warnings.simplefilter('error', UserWarning)\ntry:\n    import __spark_entry__\nexcept UserWarning as w:\n    assert 'regex' in str(w)\nelse:\n    assert 'regex' not in sys.modules or sys.modules['regex'] is None\nwarnings.simplefilter('ignore'); import __spark_entry__ as e; assert 'detect_spells' in e.queries()"
+    done = run(code)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     sys.path.insert(0, str(HERE))
     import __spark_entry__
