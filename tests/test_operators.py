@@ -18,7 +18,7 @@ from spanwise.plans.queries import QUERIES
 from spanwise.sources import storage, tables
 
 BASE = "/root/testdata/sf0.001"
-FAST = ("view_rx_fills", "eligible_members", "clean_map", "match_rate", "opioid_products", "detect_spells", "label_first_event", "ae_by_description", "average_precision", "roc_auc", "pr_curve", "precision_at_fraction", "threshold_for_precision", "best_f1", "f1_sweep", "class_report", "key_range_batches", "validate_dataset", "one_hot_long", "json_explode", "split_at_adds", "label_combo", "cluster_codes", "top_pairs_by_rate", "top_trios_by_rate", "top_member_codes_20", "combo_pairs", "stratified_split", "median_age", "encode_sequence", "pooled_embedding", "pooled_icd_embedding", "flattened_embedding")
+FAST = ("view_rx_fills", "latest_change", "filled_status", "attrition", "combo_trios", "json_file_products", "json_file_vectors", "bucketed_spells", "batched_extract", "sketched_lengths", "eligible_members", "clean_map", "match_rate", "opioid_products", "detect_spells", "label_first_event", "ae_by_description", "average_precision", "roc_auc", "pr_curve", "precision_at_fraction", "threshold_for_precision", "best_f1", "f1_sweep", "class_report", "key_range_batches", "validate_dataset", "one_hot_long", "json_explode", "split_at_adds", "label_combo", "cluster_codes", "top_pairs_by_rate", "top_trios_by_rate", "top_member_codes_20", "combo_pairs", "stratified_split", "median_age", "encode_sequence", "pooled_embedding", "pooled_icd_embedding", "flattened_embedding")
 
 
 def one(spark, value, f, kind="string"):
