@@ -19,7 +19,7 @@ shuffle on the word and come back to their block by a shuffle on the block.  No
 5. Class transitions are counted from the texts of classes, a byte a token, and the texts are scored.
 
 Words are known by 64-bit hashes.  Learned from: documents whose crc32 of doc_id as text modulo 10 is not 0; a
-null doc_id is neither learned from nor held out.  Null and empty texts count as one token, the end; a very long text is a block of
+null doc_id is neither learned from nor held out, and doc_ids can be of any simple type.  Null and empty texts count as one token, the end; a very long text is a block of
 its own.  Repeated rows each count and are each scored.  Without training documents all words are unknown; an empty table gives an
 empty result.  Extra columns may have any name.
 """
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import SPACED, find_words, fold_of, pieces, read_table, scratch, stored, take_runs
 
@@ -404,14 +405,14 @@ def map_texts(documents: DataFrame, e: Emissions) -> DataFrame:
                 yield from pa.table({"block": np.full(len(edge), block), "word": rare[edge], "data": lists}).to_batches(max_chunksize=65_536)
             block += 1
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, word long, data binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "block long, word long, data binary")
 
 
 class _Block:
     """One block, put together from its own row and its posting lists, whichever comes first."""
 
-    def __init__(self, unknown: int):
-        self.unknown, self.row, self.held = unknown, None, []
+    def __init__(self, unknown: int, kind: pa.DataType):
+        self.unknown, self.kind, self.row, self.held = unknown, kind, None, []
 
     def add(self, place: np.ndarray, cls: np.ndarray, log: np.ndarray, known: np.ndarray) -> None:
         self.held.append((place, cls.astype(np.uint8), log.astype(np.float64), known))
@@ -426,11 +427,12 @@ class _Block:
             n_known = n_known + np.bincount(doc[known], minlength=len(n))
         offsets = np.concatenate(([0], edge)).astype(np.int32)
         texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(classes)])
-        return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n), pa.array(n_known), pa.array(log), texts], names=["doc_id", "n_tokens", "n_known", "log_counts", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(doc_id, self.kind), pa.array(n), pa.array(n_known), pa.array(log), texts], names=["doc_id", "n_tokens", "n_known", "log_counts", "classes"])
 
 
 def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFrame:
     """doc_id, n_tokens, n_known, log_counts and classes (a byte a token) of every text, as a stored table."""
+    kind = to_arrow_type(documents.schema["doc_id"].dataType)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Block] = {}
@@ -438,7 +440,7 @@ def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFra
             owner, n = batch.column("block").to_numpy(), batch.column("n").to_numpy()
             whole = n < 0
             for i in np.flatnonzero(whole).tolist():
-                held.setdefault(int(owner[i]), _Block(e.unknown)).row = pickle.loads(batch.column("data")[i].as_py())
+                held.setdefault(int(owner[i]), _Block(e.unknown, kind)).row = pickle.loads(batch.column("data")[i].as_py())
             rest = np.flatnonzero(~whole)
             if not len(rest):
                 continue
@@ -453,7 +455,7 @@ def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFra
             for a, b in zip(edge, edge[1:]):
                 mine = order[a:b]
                 m = length[mine]
-                held.setdefault(int(owner[mine[0]]), _Block(e.unknown)).add(place[take_runs(start[mine], m)], np.repeat(cls[mine], m), np.repeat(log[mine], m), np.repeat(n[mine] > 0, m))
+                held.setdefault(int(owner[mine[0]]), _Block(e.unknown, kind)).add(place[take_runs(start[mine], m)], np.repeat(cls[mine], m), np.repeat(log[mine], m), np.repeat(n[mine] > 0, m))
         for block in list(held):
             made = held.pop(block).done()
             for a in range(0, made.num_rows, 4096):
@@ -465,7 +467,7 @@ def class_texts(documents: DataFrame, words: DataFrame, e: Emissions) -> DataFra
         lists = mapped.where("word is not null").join(words, "word", "left").select("block", "data", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("cls", F.lit(e.unknown)).alias("cls"))
         parts = max(blocks.count(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         rows = lists.unionByName(blocks).repartition(parts, "block")
-        return stored(rows.mapInArrow(put_together, "doc_id long, n_tokens long, n_known long, log_counts double, classes binary"))
+        return stored(rows.mapInArrow(put_together, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, log_counts double, classes binary"))
 
 
 def count_transitions(texts: DataFrame, end: int) -> np.ndarray:
@@ -510,7 +512,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
                 made = np.add.reduceat(step[before, now], edge)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "log_counts")), pa.array(made)], names=["doc_id", "n_tokens", "n_known", "log_counts", "of_classes"])
 
-    rows = texts.mapInArrow(score, "doc_id long, n_tokens long, n_known long, log_counts double, of_classes double")
+    rows = texts.mapInArrow(score, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, log_counts double, of_classes double")
     denominator = float(np.log10(e.tokens + SMOOTH_WORD * (e.distinct + 1)))
     total = F.col("log_counts") + F.col("of_classes")
     return rows.select(

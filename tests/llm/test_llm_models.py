@@ -189,6 +189,9 @@ def test_language_model_equals_its_definition(spark):
     held_out = [(r["base_score"], r["score"]) for r in lm.score_texts(df).where("held_out and doc_id < 1000").collect()]
     assert sum(s for _, s in held_out) > sum(b for b, _ in held_out)
     assert lm.score_texts(df.limit(0)).count() == 0
+    named = df.where("doc_id < 60").selectExpr("lpad(cast(doc_id as string), 3, '0') as doc_id", "text")
+    marked = {r["doc_id"]: r["held_out"] for r in lm.score_texts(named).collect()}
+    assert marked == {f"{i:03}": zlib.crc32(f"{i:03}".encode()) % 10 == 0 for i in range(60)}
     untrained = lm.score_texts(df.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()
     assert {(r["n_known"], r["train_tokens"]) for r in untrained} == {(0, 0)}
 
