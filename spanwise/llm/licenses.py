@@ -1,11 +1,14 @@
 """License scans: phrases, and license notices found by an exact set-similarity join.
 
 For each template a text is cut into blocks a quarter longer than the template, a new one at every quarter, so that a notice stands
-whole inside one.  A block meets a template when it holds at least ``threshold`` of the template's distinct words and, since
-sets know no order, at least ``order`` of its distinct pairs of neighbouring words.  Template words are ordered by how many documents of
-the whole corpus hold them, rarest first.  A block can only meet the threshold if it holds one of the template's first
-n - need + 1 words (prefix filter), has at least ``need`` words (length filter), and the words found in the
-prefix plus all words after it reach ``need`` (positional filter).  What is left is counted exactly.
+whole inside one.  A block meets a template when it holds at least ``threshold`` of the template's distinct words; every such
+block is returned.  Sets know no order, so prose made of a notice's words meets it too: a block gives its
+text the template's label only if it also holds at least ``order`` of the template's distinct pairs of neighbouring words.
+
+Template words are ordered by how many documents of the whole corpus hold them, rarest first.  A block can only meet the threshold
+if it holds one of the template's first n - need + 1 words (prefix filter) and has at least ``need`` words (length filter).
+The distinct words found in the prefix, and behind it the smaller of the template's words and the block's occurrences of them, have to
+reach ``need`` together (positional filter).  Only the blocks that are left are counted, exactly.
 
 Templates and phrases are fixed and few; the corpus is mapped over twice (word frequencies, scan) and never
 shuffled, but for one small row per task and template word.  Words are found by hash and compared as bytes.
@@ -127,8 +130,10 @@ def word_frequencies(df: DataFrame, vocabulary_of: list[str]) -> dict[bytes, int
     return {bytes(r["word"]): r["n"] for r in counted.collect()}  # at most one row a template word
 
 
-_MADE = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("score", pa.float64())]
-_SCHEMA = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.ArrayType(T.StringType())), ("labels", T.ArrayType(T.StringType())), ("score", T.DoubleType())]
+_BLOCK = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64()), ("ordered", pa.bool_())])
+_BLOCK_TYPE = T.StructType().add("label", "string").add("first", "long").add("last", "long").add("share", "double").add("ordered", "boolean")
+_MADE = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("score", pa.float64()), ("blocks", pa.list_(_BLOCK))]
+_SCHEMA = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.ArrayType(T.StringType())), ("labels", T.ArrayType(T.StringType())), ("score", T.DoubleType()), ("blocks", T.ArrayType(_BLOCK_TYPE))]
 
 
 def block_shape(n_words: int) -> tuple[int, int]:
@@ -177,27 +182,36 @@ class Scanner:
                 base[doc[i]].add(label)
         labels = [set(x) for x in base]
         score = [1.0 if x else 0.0 for x in base]
+        met: list[list[dict]] = [[] for _ in range(n_docs)]
         for template in self.templates:
-            for d, share in self.blocks(template, words, number):
-                labels[d].add(template.label)
-                score[d] = max(score[d], share)
-        return [(n, len(p), min(p, default=None), max(p, default=None), sorted(b), sorted(m), s) for n, p, b, m, s in zip(counts.tolist(), places, base, labels, score)]
-
-    def blocks(self, t: Template, words: Words, number: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(text, share of the template's words) of each block that meets the template."""
+            for d, block in self.blocks(template, words, number):
+                met[d].append(block)
+                if block["ordered"]:
+                    labels[d].add(template.label)
+                    score[d] = max(score[d], block["share"])
+        return [(n, len(p), min(p, default=None), max(p, default=None), sorted(b), sorted(m), s, x) for n, p, b, m, s, x in zip(counts.tolist(), places, base, labels, score, met)]
+
+    def blocks(self, t: Template, words: Words, number: np.ndarray) -> Iterator[tuple[int, dict]]:
+        """(text, block) for each block that meets the template, in order of place."""
         local = np.where(number >= 0, t.local[number], -1)
         at = np.flatnonzero((local >= 0) & (local < t.prefix))  # prefix filter: a block that can meet holds one of these
         if not len(at):
             return
+        of_text = words.counts // t.step + 1
+        before = np.cumsum(of_text) - of_text  # blocks of the texts before
         doc = words.doc[at]
         place = at - words.first[doc]
         reach = -(-t.block // t.step)
         block = (place // t.step)[:, None] - np.arange(reach)[None, :]
         holds = (block >= 0) & (block * t.step + t.block > place[:, None])
-        found = np.unique(np.stack([np.broadcast_to(doc[:, None], block.shape)[holds], block[holds]], axis=1), axis=0)
-        start = words.first[found[:, 0]] + found[:, 1] * t.step
-        stop = np.minimum(start + t.block, words.first[found[:, 0] + 1])
-        live = np.flatnonzero(stop - start >= t.need)  # length filter
+        held = np.unique((((before[doc][:, None] + block) * t.prefix) + local[at][:, None])[holds])  # a row for each block and word
+        found, early = np.unique(held // t.prefix, return_counts=True)
+        doc = np.searchsorted(before, found, side="right") - 1
+        start = words.first[doc] + (found - before[doc]) * t.step
+        stop = np.minimum(start + t.block, words.first[doc + 1])
+        behind = np.concatenate([[0], np.cumsum(local >= t.prefix)])
+        most = early + np.minimum(len(t.words) - t.prefix, behind[stop] - behind[start])
+        live = np.flatnonzero((stop - start >= t.need) & (most >= t.need))  # length and positional filters
         for a in range(0, len(live), 4096):  # bounded memory
             part = live[a : a + 4096]
             inside = take_runs(start[part], stop[part] - start[part])
@@ -205,21 +219,23 @@ class Scanner:
             mine = local[inside] >= 0
             has = np.zeros((len(part), len(t.words)), dtype=bool)
             has[row[mine], local[inside][mine]] = True
-            early = has[:, : t.prefix].sum(axis=1)
-            go = (early > 0) & (early + len(t.words) - t.prefix >= t.need)  # positional filter
-            full = np.where(go, has.sum(axis=1), 0)
+            full = has.sum(axis=1)
             for i in np.flatnonzero(full >= t.need).tolist():
-                own = number[start[part[i]] : stop[part[i]]]
+                k = part[i]
+                own = number[start[k] : stop[k]]
                 pair = own[:-1] * len(t.local) + own[1:]
-                if np.isin(t.pairs, pair[(own[:-1] >= 0) & (own[1:] >= 0)]).sum() >= t.need_pairs:
-                    yield int(found[part[i], 0]), float(full[i]) / len(t.words)
+                ordered = np.isin(t.pairs, pair[(own[:-1] >= 0) & (own[1:] >= 0)]).sum() >= t.need_pairs
+                origin = words.first[doc[k]]
+                yield int(doc[k]), {"label": t.label, "first": int(start[k] - origin), "last": int(stop[k] - origin) - 1, "share": float(full[i]) / len(t.words), "ordered": bool(ordered)}
 
 
 def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, order: float = ORDER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.  Kept columns with one
-    of these names give way.
+    """``keep`` columns, n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted), score and blocks.  Kept columns with
+    one of these names give way.
 
-    score: 1 where a phrase stands, else the largest share of a template's words in one block that meets it, else 0.
+    blocks: all that meet the threshold, each with the template's label, its first and last word (from 0), the share of the template's words
+    that it holds, and whether they stand in the template's order.  labels: of phrases and of blocks in order.
+    score: 1 where a phrase stands, else the largest share among blocks in order, else 0.
     """
     frequency = word_frequencies(df, [*phrases, *templates.values()])
     kept = own_first(keep, tuple(n for n, _ in _MADE))
@@ -237,4 +253,6 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: d
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read_table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+    listed = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    contained = F.array_join(F.array_sort(F.array_distinct("blocks.label")), ",")
+    return found.withColumns(listed | {"contained": contained, "n_blocks": F.size("blocks").cast("long")}).drop("blocks")

@@ -66,10 +66,14 @@ held AS (SELECT doc_id, label, pairs, b, len(list_intersect(list_distinct(b), t)
 met AS (SELECT doc_id, label, share FROM held WHERE len(list_intersect(list_distinct({_PAIRS.format("b")}), pairs)) >= ceil({ORDER} * len(pairs) - 1e-9)),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
 base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
+contained AS (
+  SELECT doc_id, sum(n) AS n_blocks, string_agg(label, ',' ORDER BY label) AS contained
+  FROM (SELECT doc_id, label, count(*) AS n FROM held GROUP BY doc_id, label) GROUP BY doc_id),
 names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS DOUBLE) AS score
-FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id)
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS DOUBLE) AS score,
+  coalesce(contained, '') AS contained, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks
+FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN contained USING (doc_id)
 """
 
 ORACLES = {"op2_decontamination": OP2, "op5_license_scan": OP5, "op6_exact_dedup": exact_dedup.SQL, "op12_phrases": phrases.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -186,7 +186,7 @@ def test_licenses_equal_brute_force(spark):
     found = Counter()
     for i, t in enumerate(texts):
         w = WORD.findall(low(t or ""))
-        places, base, labels, best = [], set(), set(), 0.0
+        places, base, labels, best, blocks = [], set(), set(), 0.0, []
         for phrase, label in licenses.PHRASES.items():
             p = phrase.split()
             at = [j for j in range(len(w) - len(p) + 1) if w[j : j + len(p)] == p]
@@ -198,15 +198,21 @@ def test_licenses_equal_brute_force(spark):
             for a in range(0, len(w), step):
                 part = w[a : a + len(x) + step]
                 share = len(own & set(part)) / len(own)
-                if share >= licenses.THRESHOLD and len(pairs & set(zip(part, part[1:]))) >= licenses.ORDER * len(pairs) - 1e-9:
+                if share < licenses.THRESHOLD:
+                    continue
+                ordered = len(pairs & set(zip(part, part[1:]))) >= licenses.ORDER * len(pairs) - 1e-9
+                blocks.append((label, a, a + len(part) - 1, pytest.approx(share), ordered))
+                if ordered:
                     labels.add(label)
                     best = max(best, share)
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert r["base_labels"] == sorted(base) and r["labels"] == sorted(base | labels)
         assert r["score"] == pytest.approx(1.0 if base else best)
+        assert [tuple(b) for b in r["blocks"]] == blocks
         found.update(labels)
-    assert found["mit"] == 11 and found["gpl"] >= 10
+        found.update("apart " + b[0] for b in blocks if not b[4])
+    assert found["mit"] == 11 and found["gpl"] >= 10 and found["apart mit"] >= 1
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
@@ -218,6 +224,20 @@ def test_each_license_gets_its_own_label_only(spark):
     assert [got[i] for i in range(len(texts))] == [[x] for x in licenses.TEMPLATES] + [["bsd", "mit"], [], []]
 
 
+def test_blocks_in_disorder_are_returned_without_a_label(spark):
+    rnd = random.Random(4)
+    shuffled = []
+    for body in licenses.TEMPLATES.values():
+        words = WORD.findall(low(body).replace("license", "licence"))
+        rnd.shuffle(words)
+        shuffled.append(" ".join(words))
+    got = licenses.scan_licenses(docs(spark, shuffled + list(licenses.TEMPLATES.values()))).orderBy("doc_id").collect()
+    names, n = list(licenses.TEMPLATES), len(shuffled)
+    for i, r in enumerate(got):
+        assert names[i % n] in [b["label"] for b in r["blocks"]]
+        assert r["labels"] == ([] if i < n else [names[i % n]]) and all(b["ordered"] == (i >= n) for b in r["blocks"] if b["label"] == names[i % n] and b["first"] == 0)
+
+
 def test_words_are_compared_as_bytes(monkeypatch):
     from spanwise.llm.text import Words
 
