@@ -1,10 +1,11 @@
 """Exact dedup by a log-structured merge index of digests, in DataFrame functions only.
 
 Rows come in batches.  A batch is a memtable: tasks fold it to one entry for each digest (the id that stays, the number of rows), and it is
-flushed as a run, a table sorted by digest that is never written again, with a filter, a bitmap of ``BITS`` bits over its digests.  An
-entry can only have an equal in another run if some other run's filter has its bit: entries of one row whose bit no other filter
+flushed as a run, a table sorted by digest that is never written again, with a filter, a bitmap over its digests whose size follows the number
+of digests that the index is meant for.  An entry can only have an equal in another run if some other run's filter has its bit: entries of one row whose bit no other filter
 has are finished without meeting anything.  The others are compacted: runs of one level are merged, digest by digest, into a
-run of the next once there are ``FANOUT`` of them, and each look-up merges what is left.  A merge keeps the id that stays.
+run of the next once there are ``FANOUT`` of them, and each look-up merges what is left.  A merge keeps the id that stays.  An index can be
+saved to a folder, opened there by a later session and fed more batches; what it holds already is not read again but by look-ups and merges.
 
 Digests of two and more rows are groups, and their rows are hits.  Each hit is compared
 byte by byte with the text of the row that stays; a row whose text differs (a digest collision) is
@@ -37,17 +38,49 @@ SALT_ROWS = 500
 BROADCAST_GROUPS = 200_000
 #: Batches that one table is fed in, and runs of a level that are merged into the next.
 BATCHES, FANOUT = 5, 4
-#: Bits of a run's filter (2 MB); more digests than that only let more entries through.
-BITS = 1 << 24
+#: Bits of a filter for each digest: 1 in 16 or fewer entries without an equal get through.
+BITS_A_DIGEST = 16
+#: Bits of one bitmap row, and of the largest filter that each task holds whole (16 MB); a larger one is joined by its rows.
+BUCKET_BITS, BROADCAST_BITS = 1 << 15, 1 << 27
+
+
+def filter_bits(digests: int) -> int:
+    """Size of the filters for so many digests: a power of two."""
+    return max(BUCKET_BITS, 1 << max(0, digests * BITS_A_DIGEST - 1).bit_length())
 
 
 class MergeIndex:
-    """Runs of (digest, keep_id, n), by level, each with its filter.  Batches may be added at any time; older runs stay as they are."""
+    """Runs of (digest, keep_id, n), by level, each with its filter.  Batches may be added at any time; older runs stay as they are.
+
+    ``digests``: how many the index is meant for, which sizes the filters.  More of them only let more entries through.
+    """
 
-    def __init__(self, largest: bool = True, fanout: int = FANOUT, keep: Callable[[DataFrame], DataFrame] = stored):
-        self.pick, self.fanout, self.keep = F.max if largest else F.min, fanout, keep
+    def __init__(self, digests: int, largest: bool = True, fanout: int = FANOUT, keep: Callable[[DataFrame], DataFrame] = stored):
+        self.bits, self.largest, self.fanout, self.keep = filter_bits(digests), largest, fanout, keep
+        self.pick = F.max if largest else F.min
         self.levels: list[list[tuple[DataFrame, DataFrame]]] = []
 
+    def save(self, folder: str) -> None:
+        """Write runs and filters as two tables, a partition for each level and run, to a new folder."""
+        for name, part in (("runs", 0), ("filters", 1)):
+            tables = [run[part].withColumns({"level": F.lit(i), "run": F.lit(j)}) for i, level in enumerate(self.levels) for j, run in enumerate(level)]
+            about = {"size": F.lit(self.bits), "largest": F.lit(self.largest), "fanout": F.lit(self.fanout)}
+            for table in tables:  # appended one by one: each keeps its sorted files
+                (table.withColumns(about) if part else table).write.mode("append").partitionBy("level", "run").parquet(f"{folder}/{name}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, keep: Callable[[DataFrame], DataFrame] = stored) -> MergeIndex:
+        """The index that was saved there; the folder is only read."""
+        runs, filters = (spark.read.parquet(f"{folder}/{name}") for name in ("runs", "filters"))
+        about = filters.select("size", "largest", "fanout").first()
+        index = cls(0, about["largest"], about["fanout"], keep)
+        index.bits = about["size"]
+        for level, run in sorted(tuple(r) for r in filters.select("level", "run").distinct().collect()):  # fewer than fanout a level
+            here = (F.col("level") == level) & (F.col("run") == run)
+            index.levels.extend([] for _ in range(level + 1 - len(index.levels)))
+            index.levels[level].append((runs.where(here).select("digest", "keep_id", "n"), filters.where(here).select("bucket", "bits")))
+        return index
+
     @property
     def runs(self) -> list[tuple[DataFrame, DataFrame]]:
         return [run for level in self.levels for run in level]
@@ -64,7 +97,7 @@ class MergeIndex:
 
     def _flush(self, entries: DataFrame, level: int) -> None:
         run = self.keep(entries.sortWithinPartitions("digest"))
-        bits = run.select(_bit().alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        bits = run.select(self._bit().alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append((run, self.keep(bits)))
@@ -81,14 +114,15 @@ class MergeIndex:
             if not others:
                 through.append(run.where("n > 1"))
                 continue
-            either = reduce(DataFrame.unionByName, others).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))  # BITS / 32768 rows
-            met = run.withColumn("bucket", F.bitmap_bucket_number(_bit())).join(F.broadcast(either), "bucket", "left")
-            through.append(met.where((F.col("n") > 1) | has_bit(F.col("bits"), _bit())).select("digest", "keep_id", "n"))
+            either = reduce(DataFrame.unionByName, others).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))  # bits / 32768 rows
+            if self.bits <= BROADCAST_BITS:
+                either = F.broadcast(either)
+            met = run.withColumn("bucket", F.bitmap_bucket_number(self._bit())).join(either, "bucket", "left")
+            through.append(met.where((F.col("n") > 1) | has_bit(F.col("bits"), self._bit())).select("digest", "keep_id", "n"))
         return self._merged(through).where("n > 1")
 
-
-def _bit() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    def _bit(self) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(self.bits))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -111,16 +145,18 @@ def dedup_exact(df: DataFrame, largest: bool = True, digest_hex: int = 64, broad
     body = normalised(F.col("text"))
     sha = F.sha2(body.cast("binary"), 256)
     digest = F.substring("text_sha256", 1, digest_hex)
-    rows = stored(df.select("doc_id", sha.alias("text_sha256"))).withColumn("digest", digest)
+    batch = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(batches))
+    rows = stored(df.select("doc_id", sha.alias("text_sha256")).withColumn("batch", batch), by=("batch",)).withColumn("digest", digest)
+    n_rows = rows.count()
     with scratch(df.sparkSession) as keep:
-        index = MergeIndex(largest, keep=keep)
+        index = MergeIndex(n_rows, largest, keep=keep)
         for i in range(batches):
-            index.add(rows.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)) == i))
+            index.add(rows.where(F.col("batch") == i))  # a folder of its own
         groups = cut(index.groups().select("digest", "keep_id", F.col("n").alias("group_size")))
     if groups.count() <= broadcast_groups:
         single = rows.join(F.broadcast(groups.select("digest")), "digest", "left_anti")
     else:
-        hot, cold = (groups.where(cond) for cond in _hot(rows.count()))
+        hot, cold = (groups.where(cond) for cond in _hot(n_rows))
         single = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold.select("digest"), "digest", "left_anti")
     single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
 

@@ -231,12 +231,12 @@ def with_rows(batch: pa.RecordBatch, names: list[str], columns: dict[str, object
     return pa.RecordBatch.from_arrays([pa.array(have[f.name], type=f.type) if not isinstance(have[f.name], pa.Array) else have[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The frame's rows, written as Parquet to the shared checkpoint folder and read again: smaller than a
-    checkpoint, and later steps read only the columns they use."""
+    checkpoint, and later steps read only the columns they use.  ``by``: columns whose values get folders of their own."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder or df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

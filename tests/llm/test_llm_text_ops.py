@@ -268,9 +268,9 @@ def test_exact_dedup_by_bytes(spark, digest_hex, bound):
 def test_merge_index_keeps_older_runs(spark, monkeypatch):
     rnd = random.Random(21)
     rows = [(i, f"{rnd.randint(0, 150):03}") for i in range(400)]
-    for bits in (1 << 24, 1 << 15):
-        monkeypatch.setattr(exact_dedup, "BITS", bits)
-        index = exact_dedup.MergeIndex(largest=False, fanout=3)
+    for digests, broadcast_bits in ((10**6, 1 << 27), (10, 1 << 27), (10**4, 0)):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BITS", broadcast_bits)
+        index = exact_dedup.MergeIndex(digests, largest=False, fanout=3)
         files = []
         for k in range(0, 400, 50):
             index.add(spark.createDataFrame(rows[k : k + 50], "doc_id long, digest string"))
@@ -287,6 +287,28 @@ def test_merge_index_keeps_older_runs(spark, monkeypatch):
                 assert own == sorted(set(own))
 
 
+def test_merge_index_can_be_opened_and_extended(spark, tmp_path):
+    rnd = random.Random(22)
+    rows = [(i, f"{rnd.randint(0, 90):03}") for i in range(300)]
+    index = exact_dedup.MergeIndex(300, largest=False, fanout=3)
+    for k in range(0, 200, 50):
+        index.add(spark.createDataFrame(rows[k : k + 50], "doc_id long, digest string"))
+    index.save(f"{tmp_path}/index")
+    for _ in range(2):  # opening and extending leaves the folder as it was
+        again = exact_dedup.MergeIndex.open(spark, f"{tmp_path}/index")
+        assert [len(level) for level in again.levels] == [1, 1] and (again.bits, again.largest, again.fanout) == (index.bits, False, 3)
+        old = {f for run, _ in again.runs for f in run.inputFiles()}
+        for upto in (200, 250, 300):
+            if upto > 200:
+                again.add(spark.createDataFrame(rows[upto - 50 : upto], "doc_id long, digest string"))
+            want = defaultdict(list)
+            for i, d in rows[:upto]:
+                want[d].append(i)
+            assert {(r["digest"], r["keep_id"], r["n"]) for r in again.groups().collect()} == {(d, min(x), len(x)) for d, x in want.items() if len(x) > 1}
+            if upto == 250:
+                assert old < {f for run, _ in again.runs for f in run.inputFiles()}
+
+
 def plain_fingerprint(text, k=4):
     w = low(text or "").encode().split()
     if not w:
