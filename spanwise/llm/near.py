@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .simhash import near_duplicates
-from .text import SPACED, cut, find_words, grams, hot_join, mixed, packed, pieces, stored, unpacked
+from .text import SPACED, cut, find_words, grams, hot_join, mixed, packed, pieces, scratch, stored, unpacked
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -140,45 +140,46 @@ def _in_order(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id and body (XXH64 of the text) of the documents that go."""
+    """doc_id and body (XXH64 of the text) of the documents that go, in a table of their own; sketches and shingle sets are deleted."""
     docs = df.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("body"))
-    made = stored(sketches(docs))
-    nodes = stored(made.groupBy("node").agg(F.min("doc_id").alias("lead"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")))
-    banded = made.select("node", F.explode("keys").alias("key")).distinct()
-    simhashed = near_duplicates(docs, keep=("doc_id", "body")).where("component_id is not null").select("doc_id", "body", F.xxhash64(F.lit("simhash"), "component_id").alias("key")).distinct()
-    grouped = simhashed.join(made.select("doc_id", "body", "node").distinct(), ["doc_id", "body"]).select("node", "key").distinct()
-    state = stored(banded.union(grouped))
-    many = cut(state.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    state = stored(hot_join(state, many, "key").join(nodes.drop("rows"), "node").select("key", "node", "lead", "n"))
-    # One text of each node that has a candidate; (doc_id, body) may occur more than once.
-    wanted = state.select("node", F.col("lead").alias("doc_id")).distinct().join(made.select("doc_id", "body", "node"), ["node", "doc_id"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
-    sets = stored(_sets(docs.join(wanted, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"])))
-    gone: DataFrame | None = None
-    while True:
-        rows = state.count()
-        if not rows:
-            break
-        if rows <= FEW_ROWS and state.select("node", "n").distinct().agg(F.sum("n")).first()[0] <= FEW_SHINGLES:
-            found = cut(_in_order(state, sets, least))
+    with scratch(df.sparkSession) as keep:
+        made = keep(sketches(docs))
+        nodes = keep(made.groupBy("node").agg(F.min("doc_id").alias("lead"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+        banded = made.select("node", F.explode("keys").alias("key")).distinct()
+        simhashed = near_duplicates(docs, keep=("doc_id", "body")).where("component_id is not null").select("doc_id", "body", F.xxhash64(F.lit("simhash"), "component_id").alias("key")).distinct()
+        grouped = simhashed.join(made.select("doc_id", "body", "node").distinct(), ["doc_id", "body"]).select("node", "key").distinct()
+        state = keep(banded.union(grouped))
+        many = cut(state.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        state = keep(hot_join(state, many, "key").join(nodes.drop("rows"), "node").select("key", "node", "lead", "n"))
+        # One text of each node that has a candidate; (doc_id, body) may occur more than once.
+        wanted = state.select("node", F.col("lead").alias("doc_id")).distinct().join(made.select("doc_id", "body", "node"), ["node", "doc_id"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
+        sets = keep(_sets(docs.join(wanted, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"])))
+        gone: DataFrame | None = None
+        while True:
+            rows = state.count()
+            if not rows:
+                break
+            if rows <= FEW_ROWS and state.select("node", "n").distinct().agg(F.sum("n")).first()[0] <= FEW_SHINGLES:
+                found = cut(_in_order(state, sets, least))
+                gone = found if gone is None else gone.union(found)
+                break
+            first = cut(state.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+            met = cut(hot_join(state, first, "key"))
+            settled = met.groupBy("node").agg(F.bool_and(F.col("first.node") == F.col("node")).alias("stays")).where("stays").select("node")
+            settled = cut(settled)
+            sizes = F.least("n", "first.n") >= least * F.greatest("n", "first.n") - 1e-9
+            pairs = met.where((F.col("first.node") != F.col("node")) & sizes).select(F.col("first.node").alias("stays"), F.col("node").alias("gone")).distinct().join(settled.withColumnRenamed("node", "stays"), "stays")
+            pairs = cut(pairs)
+            given = pairs.groupBy("stays").agg(F.count(F.lit(1)).alias("rows")).join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("x")), "stays")
+            pairs = hot_join(pairs, cut(given), "stays").join(sets.select(F.col("node").alias("gone"), F.col("shingles").alias("y")), "gone")
+            found = cut(_alike(pairs, least).distinct())
             gone = found if gone is None else gone.union(found)
-            break
-        first = cut(state.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-        met = cut(hot_join(state, first, "key"))
-        settled = met.groupBy("node").agg(F.bool_and(F.col("first.node") == F.col("node")).alias("stays")).where("stays").select("node")
-        settled = cut(settled)
-        sizes = F.least("n", "first.n") >= least * F.greatest("n", "first.n") - 1e-9
-        pairs = met.where((F.col("first.node") != F.col("node")) & sizes).select(F.col("first.node").alias("stays"), F.col("node").alias("gone")).distinct().join(settled.withColumnRenamed("node", "stays"), "stays")
-        pairs = cut(pairs)
-        given = pairs.groupBy("stays").agg(F.count(F.lit(1)).alias("rows")).join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("x")), "stays")
-        pairs = hot_join(pairs, cut(given), "stays").join(sets.select(F.col("node").alias("gone"), F.col("shingles").alias("y")), "gone")
-        found = cut(_alike(pairs, least).distinct())
-        gone = found if gone is None else gone.union(found)
-        state = cut(met.select("key", "node", "lead", "n").join(settled, "node", "left_anti").join(found.withColumnRenamed("gone", "node"), "node", "left_anti"))
-    copies = hot_join(made.select("doc_id", "body", "node"), nodes.drop("n"), "node").where("doc_id > lead").select("doc_id", "body")
-    if gone is None:
-        return copies
-    losers = cut(nodes.select("node", "rows").join(gone.withColumnRenamed("gone", "node").distinct(), "node"))
-    return copies.union(hot_join(made.select("doc_id", "body", "node"), losers, "node").select("doc_id", "body"))
+            state = cut(met.select("key", "node", "lead", "n").join(settled, "node", "left_anti").join(found.withColumnRenamed("gone", "node"), "node", "left_anti"))
+        copies = hot_join(made.select("doc_id", "body", "node"), nodes.drop("n"), "node").where("doc_id > lead").select("doc_id", "body")
+        if gone is not None:
+            losers = cut(nodes.select("node", "rows").join(gone.withColumnRenamed("gone", "node").distinct(), "node"))
+            copies = copies.union(hot_join(made.select("doc_id", "body", "node"), losers, "node").select("doc_id", "body"))
+        return stored(copies)
 
 
 def keep_first_of_near(df: DataFrame, least: float = LEAST) -> DataFrame:
