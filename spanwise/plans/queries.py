@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import AGE_BUCKETS, RACE_LABELS, YOUNGEST, age_bucket, race_label, starts_with_any
 from ..operators import codes, cohort, combos, features, intervals, metrics, models, spells, summary
 from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
-from ..sources.storage import bucketed, missing_batches, write_batches
+from ..sources.storage import bucketed, buckets_for, missing_batches, write_batches
 from ..sources.tables import products_of, read_code_vectors, read_products, shared_folder, stored, validate_dataset
 
 K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
@@ -22,6 +22,8 @@ K, GRACE, MIN_LEN, LOOKBACK, WINDOW, MIN_N = 3, 15, 7, 180, 30, 20
 MIN_LARGER = 3
 #: Drugs and diagnoses of a sequence, and numbers of a code's vector.
 MAX_DRUGS, MAX_CODES, DIM = 15, 50, 64
+#: Fills in a bucket of members, which one task reads.
+ROWS_A_BUCKET = 500_000
 #: Registered tree searches run fewer rounds than the operator's own 400; tree_quality runs all.
 ROUNDS = 10
 #: Hidden layers and iterations over pooled vectors; those over flattened vectors are cut (production: layers of 512 and 256, 100 iterations).
@@ -300,8 +302,9 @@ def json_file_vectors(c: Chain) -> DataFrame:
 
 
 def bucketed_spells(c: Chain) -> DataFrame:
-    """The spells again, from fills stored in buckets of members."""
-    kept = bucketed(c.fills.select("member_id", "atc_3_code", "filldate", "supplydayscount", "is_query_drug"), "member_id", 16)
+    """The spells again, from fills stored in buckets of members, as many as keep a bucket at ROWS_A_BUCKET fills."""
+    buckets = buckets_for(c.claims.table("lineitem").count(), ROWS_A_BUCKET)  # each fill is a line; Parquet's footers count them
+    kept = bucketed(c.fills.select("member_id", "atc_3_code", "filldate", "supplydayscount", "is_query_drug"), "member_id", buckets)
     return spells.detect_spells(spells.drug_intervals(kept, GRACE, placed=True), K, GRACE, MIN_LEN)
 
 

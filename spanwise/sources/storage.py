@@ -21,6 +21,15 @@ def bucketed(df: DataFrame, key: str, buckets: int, path: str | None = None, nam
     return df.sparkSession.table(name)
 
 
+def buckets_for(rows: int, size: int, least: int = 16) -> int:
+    """How many buckets hold ``rows`` rows at about ``size`` rows each, a power of two times ``least``: a task's share stays the same for any
+    number of rows, and tables of like size get as many buckets."""
+    buckets = least
+    while buckets * size < rows:
+        buckets *= 2
+    return buckets
+
+
 def write_batches(df: DataFrame, batches: DataFrame, key: str, path: str, only: list[int] | None = None) -> None:
     """df's rows in one folder for each batch of keys; ``batches``: key and batch.
 

@@ -280,6 +280,18 @@ def test_storage_by_member(spark, tmp_path):
     assert {b: n for b, (n, _) in sums.items()} == {0: 100, 1: 100, 2: 100, 3: 100} and sums[2][1] == 0 and sums[1][1] > 0
 
 
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from spanwise.plans import queries
+
+    assert [storage.buckets_for(n, 500_000) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [16, 16, 32, 512]
+    asked, plain = [], queries.bucketed
+    monkeypatch.setattr(queries, "ROWS_A_BUCKET", 200)
+    monkeypatch.setattr(queries, "bucketed", lambda df, key, buckets: asked.append(buckets) or plain(df, key, buckets))
+    chain = queries.Chain(spark, "/root/testdata/sf0.001")
+    found = queries.bucketed_spells(chain)
+    assert asked == [32] and sorted(found.collect()) == sorted(chain.spells.collect())
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_pruned_combinations_equal_plain_counts(spark, monkeypatch, few):
     rnd = random.Random(6)
