@@ -311,13 +311,14 @@ def bucketed_spells(c: Chain) -> DataFrame:
 def batched_extract(c: Chain) -> DataFrame:
     """Fills written in batches of 200 members, the first of them once more as after a failure: rows and members by batch."""
     path = f"{shared_folder(c.spark)}/batches-{uuid.uuid4().hex}"
-    batches = stored(codes.key_range_batches(c.claims.rx_fills(), "member_id", 200))
+    fills = stored(c.claims.rx_fills())  # read by each of the writes below
+    batches = stored(codes.key_range_batches(fills, "member_id", 200))
     first = batches.agg(F.min("batch")).first()[0]
     if first is not None:
-        write_batches(c.claims.rx_fills(), batches, "member_id", path, [first])
-        write_batches(c.claims.rx_fills(), batches, "member_id", path, missing_batches(c.spark, batches, path) or None)
-        write_batches(c.claims.rx_fills(), batches, "member_id", path, [first])
-    done = c.spark.read.schema(c.claims.rx_fills().schema.add("batch", "long")).parquet(path)
+        write_batches(fills, batches, "member_id", path, [first])
+        write_batches(fills, batches, "member_id", path, missing_batches(c.spark, batches, path) or None)
+        write_batches(fills, batches, "member_id", path, [first])
+    done = c.spark.read.schema(fills.schema.add("batch", "long")).parquet(path)
     return done.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("member_id").alias("n_members"))
 
 

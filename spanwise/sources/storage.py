@@ -30,12 +30,16 @@ def buckets_for(rows: int, size: int, least: int = 16) -> int:
     return buckets
 
 
-def write_batches(df: DataFrame, batches: DataFrame, key: str, path: str, only: list[int] | None = None) -> None:
+def write_batches(df: DataFrame, batches: DataFrame, key: str, path: str, only: list[int] | None = None, files: int = 1) -> None:
     """df's rows in one folder for each batch of keys; ``batches``: key and batch.
 
-    A batch that is written again replaces its own folder and leaves the others; ``only`` names the batches to write, such as those that ``missing_batches`` finds."""
-    wanted = batches.select(key, "batch") if only is None else batches.where(F.col("batch").isin(*only)).select(key, "batch")
-    rows = df.join(wanted, key).repartition("batch", F.pmod(F.xxhash64(key), F.lit(8)))  # up to eight files a batch
+    A batch that is written again replaces its own folder and leaves the others; ``only`` names the batches to write, such as those that ``missing_batches`` finds.
+    A batch goes to up to ``files`` files, more than one where a task should not write all of it."""
+    wanted = batches.select(key, "batch")
+    if only is not None:
+        named = batches.sparkSession.createDataFrame([(b,) for b in only], "batch long")  # a row a batch
+        wanted = wanted.join(named, "batch", "left_semi")
+    rows = df.join(wanted, key).repartition("batch", F.pmod(F.xxhash64(key), F.lit(files)))
     rows.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 

@@ -292,6 +292,20 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     assert asked == [32] and sorted(found.collect()) == sorted(chain.spells.collect())
 
 
+def test_small_batches_are_one_file_each(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, i) for i in range(400)], "member_id long, x long")
+    batches, path = codes.key_range_batches(df, "member_id", 10), tmp_path / "parts"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small shuffles would meet in one task anyway
+    try:
+        storage.write_batches(df, batches, "member_id", str(path), [0, 1, 3])
+        assert sorted(f.parent.name for f in path.rglob("*.parquet")) == ["batch=0", "batch=1", "batch=3"]
+        storage.write_batches(df, batches, "member_id", str(path), files=4)
+        assert len(list(path.rglob("*.parquet"))) > 4 and spark.read.parquet(str(path)).count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_pruned_combinations_equal_plain_counts(spark, monkeypatch, few):
     rnd = random.Random(6)
