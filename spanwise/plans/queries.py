@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AGE_BUCKETS, RACE_LABELS, YOUNGEST, age_bucket, race_label, starts_with_any
-from ..operators import codes, cohort, combos, features, intervals, metrics, models, spells, summary
+from ..operators import codes, cohort, combos, features, intervals, metrics, models, perceptrons, spells, summary
 from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
 from ..sources.storage import bucketed, buckets_for, missing_batches, write_batches
 from ..sources.tables import products_of, read_code_vectors, read_products, shared_folder, stored, validate_dataset
@@ -375,27 +375,32 @@ def tree_quality(c: Chain) -> DataFrame:
     return quality_of(scores)
 
 
-def _perceptron(c: Chain, arrays: DataFrame, settings: tuple[tuple[int, ...], int], *columns: str) -> DataFrame:
-    """Validation quality of a perceptron over age, race and gender tokens and the arrays' columns."""
-    rows = keyed_rows(c)
-    ages = [YOUNGEST, *(name for _, name in AGE_BUCKETS)]
-    tokens = features.one_hot_tokens(rows, KEYS, [(age_bucket(F.col("age")), ages), (F.col("raceethnicitytypecode"), sorted(RACE_LABELS)), (F.col("gendercode"), ["F", "M"])])
-    made = models.array_features(rows.select("row_id", *KEYS, "y").join(tokens, KEYS).join(arrays, KEYS), "tokens", *columns)
-    split = stored(features.split_rows(made.select("row_id", *KEYS, "y", "features"), *KEYS))
-    train = stored(features.resample_balanced(split.where("is_train"), "y", *KEYS))
-    return quality_of(models.scored_rows(models.fit_perceptron(train, *settings), split.where("not is_train")))
+def _tokens() -> list[tuple[str, list[str]]]:
+    return [("bucket", [YOUNGEST, *(name for _, name in AGE_BUCKETS)]), ("raceethnicitytypecode", sorted(RACE_LABELS)), ("gendercode", ["F", "M"])]
+
+
+def _perceptron(c: Chain, settings: tuple[tuple[int, ...], int], made) -> DataFrame:
+    """Validation quality of a perceptron over age, race and gender tokens and what ``made`` adds of the codes' vectors.
+
+    Rows stay at their codes: the draws of equal rows are folded to a number, and only the codes' vectors are as wide as the input."""
+    rows = keyed_rows(c).select("row_id", *KEYS, "y", age_bucket(F.col("age")).alias("bucket"), "raceethnicitytypecode", "gendercode", F.col("drug_combo").alias("drugs"), F.col("icd10_codes").alias("codes"))
+    split = stored(features.split_rows(rows, *KEYS))
+    drawn = features.resample_balanced(split.where("is_train"), "y", *KEYS)
+    folded = drawn.groupBy("bucket", "raceethnicitytypecode", "gendercode", "drugs", "codes", "y").agg(F.count(F.lit(1)).alias("n"))
+    vectors = [("codes", c.claims.code_vectors("icd"), MAX_CODES), ("drugs", c.claims.code_vectors(), MAX_DRUGS)]
+    build, table = features.table_features(split, _tokens(), vectors, DIM, made)
+    model = perceptrons.fit_perceptron(build(folded), table, *settings)
+    return quality_of(model.scored_rows(build(split.where("not is_train"))))
 
 
 def perceptron_quality(c: Chain) -> DataFrame:
     """Over the pooled vectors of diagnoses and drugs."""
-    diagnoses = features.pooled_vectors(c.cohort, KEYS, "icd10_codes", c.claims.code_vectors("icd"), DIM).withColumnRenamed("pooled", "_codes")
-    drugs = features.pooled_vectors(c.cohort, KEYS, "drug_combo", c.claims.code_vectors(), DIM)
-    return _perceptron(c, diagnoses.join(drugs, KEYS), POOLED, "_codes", "pooled")
+    return _perceptron(c, POOLED, features.mean_codes)
 
 
 def sequence_quality(c: Chain) -> DataFrame:
     """Over the flattened vectors of diagnoses and drugs."""
-    return _perceptron(c, flattened(c), FLAT, "flat")
+    return _perceptron(c, FLAT, features.placed_codes)
 
 
 def saved_model_quality(c: Chain) -> DataFrame:

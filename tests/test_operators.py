@@ -415,3 +415,44 @@ def test_queries_equal_sql(spark, name):
     assert sorted(want.columns) == columns
     quoted = [f'"{c}"' for c in columns]
     assert Counter(tuple(r) for r in got.select(*[f"`{c}`" for c in columns]).collect()) == Counter(want.select(*quoted).fetchall())
+
+
+def test_table_perceptron_equals_dense_inputs(spark):
+    """Sparse rows over a table give the loss and gradient of the dense inputs, so a fit ends where the folded and the repeated rows agree."""
+    import numpy as np
+
+    from spanwise.operators import perceptrons
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.5]), ("b", [-1.0, 2.0]), ("c", [0.0, 1.0])], "code string, vec array<double>")
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("FM"), rnd.sample("abcz", rnd.randint(0, 3))) for i in range(200)]
+    rows = [(i, g, d, int("a" in d) if i % 10 else 1 - int("a" in d)) for i, g, d in rows]
+    df = spark.createDataFrame(rows, "row_id long, g string, d array<string>, y int")
+    for made in (features.mean_codes, features.placed_codes):
+        build, table = features.table_features(df, [("g", ["F"])], [("d", vectors, 3)], 2, made)
+        known = {"a": [1.0, 0.5], "b": [-1.0, 2.0], "c": [0.0, 1.0]}
+        for r in build(df).collect():
+            own = [known[x] for x in r["d"] if x in known]
+            flat = [v for x in r["d"] for v in known.get(x, [0.0, 0.0])]
+            want = list(np.mean(own, axis=0)) if own else [0.0, 0.0]
+            want = want if made is features.mean_codes else flat + [0.0] * (6 - len(flat))
+            assert np.allclose(r["features"].toArray() @ table, [r["g"] == "F", r["g"] != "F", *want])
+        folded = build(df.groupBy("g", "d", "y").agg(F.count(F.lit(1)).alias("n")))
+        a, b = (perceptrons.fit_perceptron(x, table, (4, 3), 25) for x in (folded, build(df.withColumn("n", F.lit(1)))))
+        assert folded.count() < 150
+        scored = [{r["row_id"]: r["score"] for r in m.scored_rows(build(df)).collect()} for m in (a, b)]
+        assert max(abs(scored[0][i] - scored[1][i]) for i in scored[0]) < 1e-3
+        assert metrics.roc_auc(a.scored_rows(build(df))).first()["roc_auc"] > 0.8
+
+
+def test_perceptron_rows_stay_at_their_codes(spark, monkeypatch):
+    """What is fitted are a few numbers a row, not vectors as wide as the input (4,160 numbers and the tokens)."""
+    from spanwise.operators import perceptrons
+    from spanwise.plans import queries
+
+    seen, fit = [], perceptrons.fit_perceptron
+    monkeypatch.setattr(perceptrons, "fit_perceptron", lambda df, table, *settings: seen.append((df.select("features").collect(), table.shape[1])) or fit(df, table, (2,), 2))
+    found = queries.sequence_quality(queries.Chain(spark, "/root/testdata/sf0.001")).first()
+    (rows, width), dim = seen[0], queries.DIM
+    assert width > (queries.MAX_CODES + queries.MAX_DRUGS) * dim and 0 <= found["roc_auc"] <= 1
+    assert rows and all(r["features"].numNonzeros() <= 3 + queries.MAX_CODES + queries.MAX_DRUGS for r in rows)
