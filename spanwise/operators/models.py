@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
@@ -80,16 +83,21 @@ def tree_settings(train: DataFrame, full: bool, rounds: int = 400) -> list[dict]
     return [{"pos_weight": ratio, "rounds": rounds, **g} for g in GRID] if full else [{"pos_weight": ratio * s, "rounds": rounds} for s in SWEEP]
 
 
-def tree_grid(train: DataFrame, valid: DataFrame, grid: list[dict]) -> DataFrame:
-    """One row per setting with its validation metrics, for ``best_run``."""
-    found = []
-    train = train.persist()
-    for i, params in enumerate(grid):
-        scores = scored_rows(fit_trees(train, **params), valid).cache()
+def tree_grid(train: DataFrame, valid: DataFrame, grid: list[dict], parallel: int = 4) -> DataFrame:
+    """One row per setting with its validation metrics, for ``best_run``.  ``parallel`` settings are fitted at once: boosting is a chain of
+    short jobs, between which one fit alone leaves cores idle."""
+    train, valid = train.persist(), valid.persist()
+
+    def run(i: int) -> tuple[int, str, float, float]:
+        scores = scored_rows(fit_trees(train, **grid[i]), valid).cache()
         metrics = average_precision(scores).crossJoin(roc_auc(scores)).first()  # two one-row frames
-        found.append((i, str(sorted(params.items())), metrics["average_precision"], metrics["roc_auc"]))
         scores.unpersist()
+        return i, str(sorted(grid[i].items())), metrics["average_precision"], metrics["roc_auc"]
+
+    with ThreadPool(min(parallel, len(grid))) as pool:
+        found = pool.map(inheritable_thread_target(train.sparkSession)(run), range(len(grid)))
     train.unpersist()
+    valid.unpersist()
     return train.sparkSession.createDataFrame(found, "run int, params string, average_precision double, roc_auc double")
 
 

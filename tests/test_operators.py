@@ -456,3 +456,18 @@ def test_perceptron_rows_stay_at_their_codes(spark, monkeypatch):
     (rows, width), dim = seen[0], queries.DIM
     assert width > (queries.MAX_CODES + queries.MAX_DRUGS) * dim and 0 <= found["roc_auc"] <= 1
     assert rows and all(r["features"].numNonzeros() <= 3 + queries.MAX_CODES + queries.MAX_DRUGS for r in rows)
+
+
+def test_tree_settings_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.linalg import Vectors
+
+    rnd = random.Random(8)
+    frame = spark.createDataFrame([(i, Vectors.dense([rnd.random(), i % 3]), int(i % 3 == 0)) for i in range(90)], ["row_id", "features", "y"])
+    grid = models.tree_settings(frame, True, 1)[:2]
+    alone = [models.tree_grid(frame, frame, [g]).first()["average_precision"] for g in grid]
+    met, fit = threading.Barrier(2), models.fit_trees
+    monkeypatch.setattr(models, "fit_trees", lambda df, **params: met.wait(30) is not None and fit(df, **params))
+    runs = models.tree_grid(frame, frame, grid).orderBy("run").collect()
+    assert [r["run"] for r in runs] == [0, 1] and [r["average_precision"] for r in runs] == alone
