@@ -10,27 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coalesce_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, extras: Sequence[Column] = ()) -> DataFrame:
+def coalesce_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, extras: Sequence[Column] = (), key_marks: Sequence[str] = ()) -> DataFrame:
     """Closed day intervals of one key joined while the next starts at most ``gap`` + 1 days after the end so far.
 
-    ``extras``: aggregates over the joined rows."""
+    ``extras``: aggregates over the joined rows.  ``key_marks``: columns whose largest value among all the key's rows each of its intervals gets.
+
+    Without extras one sort does all: an interval is its first row, and its end is the end so far at the next interval's first row."""
     order = Window.partitionBy(*keys).orderBy(start, end)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     so_far = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(so_far.isNull() | (F.col(start) > F.date_add(so_far, 1 + gap)), 1).otherwise(0)
-    marked = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_new", new)
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *extras).drop("_island")
+    made = {"_so_far": so_far, "_last": F.max(end).over(whole)} | {c: F.max(c).over(whole) for c in key_marks}
+    marked = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns(made)
+    new = F.col("_so_far").isNull() | (F.col(start) > F.date_add("_so_far", 1 + gap))
+    if extras:
+        numbered = marked.withColumn("_island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *extras, *(F.max(c).alias(c) for c in key_marks)).drop("_island")
+    upto = F.coalesce(F.lead("_so_far").over(order), "_last")
+    # A first row that ends before the end so far also ends before its own start; what follows it starts anew, so it stands alone.
+    stop = F.when(F.col("_so_far").isNull() | (upto > F.col("_so_far")), upto).otherwise(F.col(end))
+    return marked.where(new).select(*keys, start, stop.alias(end), *key_marks)
 
 
 def concurrency_sweep(df: DataFrame, entity: str, start: str, end: str, flag: str) -> DataFrame:
-    """Change points per entity and day: n open intervals and n_flagged of them, after the day's changes."""
+    """Change points per entity and day: n open intervals and n_flagged of them, after the day's changes.
+
+    One sort by entity and day: running sums take in all rows of a day, and the last row of a day stays."""
     changes = F.array(
         F.struct(F.col(start).alias("day"), F.lit(1).alias("d"), F.col(flag).cast("int").alias("dq")),
         F.struct(F.date_add(end, 1).alias("day"), F.lit(-1).alias("d"), (-F.col(flag).cast("int")).alias("dq")),
     )
-    points = df.select(entity, F.inline(changes)).groupBy(entity, "day").agg(F.sum("d").alias("d"), F.sum("dq").alias("dq"))
-    order = Window.partitionBy(entity).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return points.select(entity, "day", F.sum("d").over(order).alias("n"), F.sum("dq").over(order).alias("n_flagged"))
+    order = Window.partitionBy(entity).orderBy("day")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    points = df.select(entity, F.inline(changes)).select(entity, "day", F.sum("d").over(upto).alias("n"), F.sum("dq").over(upto).alias("n_flagged"), F.lead(F.struct("day")).over(order).alias("_next"))
+    return points.where(F.col("_next").isNull() | ~F.col("_next.day").eqNullSafe(F.col("day"))).drop("_next")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str | Column, str | Column], right_span: tuple[str, str], how: str = "inner") -> DataFrame:

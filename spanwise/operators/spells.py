@@ -24,9 +24,8 @@ def drug_intervals(fills: DataFrame, grace: int = 21, placed: bool = False) -> D
 
     is_op: any fill of the member's drug is from the query list.  ``placed``: the fills come in buckets of member_id, so nothing is moved."""
     end = F.date_add("filldate", F.col("supplydayscount").cast("int") - 1)
-    whole = fills.where(F.col("member_id").isNotNull() & F.col("atc_3_code").isNotNull()).select("member_id", "atc_3_code", F.col("filldate").alias("start"), end.alias("end"), F.col("is_query_drug").cast("int").alias("q"))
-    joined = coalesce_intervals(whole if placed else whole.repartition("member_id"), ["member_id", "atc_3_code"], "start", "end", grace, [F.max("q").alias("q")])
-    return joined.select("member_id", "atc_3_code", "start", "end", F.max("q").over(Window.partitionBy("member_id", "atc_3_code")).alias("is_op"))
+    whole = fills.where(F.col("member_id").isNotNull() & F.col("atc_3_code").isNotNull()).select("member_id", "atc_3_code", F.col("filldate").alias("start"), end.alias("end"), F.col("is_query_drug").cast("int").alias("is_op"))
+    return coalesce_intervals(whole if placed else whole.repartition("member_id"), ["member_id", "atc_3_code"], "start", "end", grace, key_marks=["is_op"])
 
 
 def detect_spells(intervals: DataFrame, k: int = 3, grace: int = 21, min_len: int = 30) -> DataFrame:
@@ -109,10 +108,11 @@ def split_at_adds(spells: DataFrame, changes: DataFrame) -> DataFrame:
     ae_codes and followup_end_date stay on every segment."""
     cutoff = F.coalesce("first_ae_date", "followup_end_date", "extended_exit_date")
     ended = spells.withColumn("_end", F.least("extended_exit_date", cutoff))
-    adds = changes.where(F.lower("change_type") == "add").groupBy(F.col("member_id").alias("_member"), F.col("spell_id").alias("_spell"), F.to_date("date").alias("_add")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    adds = changes.where(F.lower("change_type") == "add").select(F.col("member_id").alias("_member"), F.col("spell_id").alias("_spell"), F.to_date("date").alias("_add"))
     order = Window.partitionBy("member_id", "spell_id").orderBy("_add")
     inside = (F.col("member_id") == F.col("_member")) & same_spell("spell_id", "_spell") & (F.col("_add") >= F.col("entry_date")) & (F.col("_add") <= F.col("_end"))
-    met = ended.join(adds, inside, "left").withColumns({"_next": F.lead("_add").over(order), "_seq": F.row_number().over(order)})
+    met = ended.join(adds, inside, "left").withColumn("_again", F.lag("_add").over(order) == F.col("_add"))
+    met = met.where(~F.coalesce("_again", F.lit(False))).drop("_again").withColumns({"_next": F.lead("_add").over(order), "_seq": F.row_number().over(order)})  # one add a day
     stop = F.greatest(F.least(F.coalesce(F.date_sub("_next", 1), F.col("_end")), F.col("_end")), F.col("_add"))
     split = F.col("_add").isNotNull()
     at_event = F.coalesce(F.col("_stop") == F.col("first_ae_date"), F.lit(False))

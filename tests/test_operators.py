@@ -1,5 +1,6 @@
 """Codes, combinations, metrics, features, sources and the SQL twins of the named queries."""
 
+import datetime
 import itertools
 import json
 import math
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import columns as C
-from spanwise.operators import codes, combos, features, intervals, metrics, models, summary
+from spanwise.operators import codes, combos, features, intervals, metrics, models, spells, summary
 from spanwise.plans.oracles import ORACLES
 from spanwise.plans.queries import QUERIES
 from spanwise.sources import storage, tables
@@ -225,6 +226,43 @@ def test_merged_as_of_joins(spark):
     assert "Join" not in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_steps_sort_once(spark):
+    rnd = random.Random(5)
+    day = lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i)
+    rows = [(rnd.choice([1, 2, 3]), s, s + rnd.randint(-40, 30), rnd.randint(0, 1)) for s in (rnd.randint(0, 400) for _ in range(90))]
+    df = spark.createDataFrame([(k, day(s), day(e), q) for k, s, e, q in rows], "k int, s date, e date, q int")
+    expected = []
+    for k in (1, 2, 3):
+        islands, so_far = [], None
+        for s, e in sorted((s, e) for j, s, e, _ in rows if j == k):
+            if so_far is None or s > so_far + 1 + 5:
+                islands.append([s, e])
+            islands[-1][1] = max(islands[-1][1], e)
+            so_far = e if so_far is None else max(so_far, e)
+        expected += [(k, day(s), day(e), max(q for j, _, _, q in rows if j == k)) for s, e in islands]
+    joined = intervals.coalesce_intervals(df, ["k"], "s", "e", 5, key_marks=["q"])
+    assert sorted(map(tuple, joined.collect())) == sorted(expected)
+    swept = intervals.concurrency_sweep(df, "k", "s", "e", "q")
+    moves = [(k, day(s), 1, q) for k, s, e, q in rows] + [(k, day(e + 1), -1, -q) for k, s, e, q in rows]
+    found = [(k, d, sum(x[2] for x in moves if x[0] == k and x[1] <= d), sum(x[3] for x in moves if x[0] == k and x[1] <= d)) for k, d in {x[:2] for x in moves}]
+    assert sorted(map(tuple, swept.collect())) == sorted(found)
+    for out in (joined, swept):
+        logical, physical = plan_of(out)
+        assert "Aggregate" not in logical and physical.count("+- Sort [") == 1
+
+
+def test_segments_take_one_add_a_day_without_a_fold(spark):
+    base = spark.sql("SELECT 1L AS member_id, 1001L AS spell_id, DATE'2020-01-01' AS entry_date, DATE'2020-03-01' AS raw_exit_date, DATE'2020-03-01' AS extended_exit_date, 61 AS spell_length_days, DATE'2020-03-01' AS followup_end_date, CAST(NULL AS DATE) AS first_ae_date, false AS had_ae")
+    adds = spark.sql("SELECT 1L AS member_id, 1001L AS spell_id, explode(array(DATE'2020-01-01', DATE'2020-01-01', DATE'2020-02-01', DATE'2020-02-01', DATE'2019-12-01')) AS date, 'add' AS change_type")
+    cut = spells.split_at_adds(base, adds)
+    assert sorted((str(r["entry_date"]), str(r["raw_exit_date"]), r["split_seq"]) for r in cut.collect()) == [("2020-01-01", "2020-01-31", 1), ("2020-02-01", "2020-03-01", 2)]
+    assert "Aggregate" not in plan_of(cut)[0]
+
+
 @pytest.fixture
 def small_splits(spark):
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
