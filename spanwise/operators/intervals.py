@@ -76,19 +76,31 @@ def latest_on_or_before(probes: DataFrame, changes: DataFrame, keys: Sequence[st
     return filled.select(*(F.col("_own").getField(c).alias(c) for c in probes.columns), *(F.col("_values").getField(c).alias(c) for c in values))
 
 
+def _held(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, item: str, on: str) -> tuple[DataFrame, Window]:
+    """Probes (_own) and the changes (_item, _on) that hold at them, a row for each, and the window of the rows that meet at one probe.
+
+    One merge of probes and changes: the probes of a key are numbered by date, and a change holds for those from its date to the item's next change,
+    which the running number of probes tells.  So the work is that of sorting, and of the items that are found.  Changes that no probe of
+    their key follows go before the second sort: they hold nowhere, and what holds before them holds to the last probe.  Of an item's changes
+    on one date, one that turns it on wins: the others end where they start."""
+    rows = _merged(probes, changes, keys, probe_date, change_date, _item=F.col(item), _on=F.col(on).cast("int"))
+    order = Window.partitionBy(*keys).orderBy("_at", "_probe")
+    so_far, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_n": F.sum("_probe").over(so_far), "_all": F.sum("_probe").over(whole)}).where((F.col("_probe") == 1) | (F.col("_n") < F.col("_all")))
+    until = F.coalesce(F.lead("_n").over(Window.partitionBy(*keys, "_item", "_probe").orderBy("_at", "_on")), F.col("_all"))
+    numbers = F.when(F.col("_probe") == 1, F.array("_n")).when(F.col("_until") > F.col("_n"), F.sequence(F.col("_n") + 1, "_until"))
+    return rows.withColumn("_until", until).select(*keys, "_own", "_item", "_on", F.explode(numbers).alias("_n")), Window.partitionBy(*keys, "_n")
+
+
 def active_at(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, item: str, on: str, name: str) -> DataFrame:
-    """Each probe row with ``name``: the sorted items of its keys whose latest change on or before its date turned them on.
-
-    One merge of probes and changes: the probes of a key are numbered by date, and a change that turns its item on holds for those from its
-    date to the item's next change, which the running number of probes tells.  So the work is that of sorting, and of the items that are found.
-    Of an item's changes on one date, one that turns it on wins."""
-    folded = changes.groupBy(*keys, item, change_date).agg(F.max(F.col(on).cast("int")).alias("_on"))
-    rows = _merged(probes, folded, keys, probe_date, change_date, _item=F.col(item), _on=F.col("_on"))
-    key = Window.partitionBy(*keys)
-    so_far = F.sum("_probe").over(key.orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"_n": so_far, "_all": F.sum("_probe").over(key)})
-    until = F.coalesce(F.lead("_n").over(Window.partitionBy(*keys, "_item", "_probe").orderBy("_at")), F.col("_all"))
-    rows = rows.withColumn("_until", until)
-    numbers = F.when(F.col("_probe") == 1, F.array("_n")).when((F.col("_on") == 1) & (F.col("_until") > F.col("_n")), F.sequence(F.col("_n") + 1, "_until"))
-    met = rows.select(*keys, "_own", "_item", F.explode(numbers).alias("_n")).groupBy(*keys, "_n").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_set("_item")).alias(name))
-    return met.select(*(F.col("_own").getField(c).alias(c) for c in probes.columns), name)
+    """Each probe row with ``name``: the sorted items of its keys whose latest change on or before its date turned them on."""
+    held, at_probe = _held(probes, changes, keys, probe_date, change_date, item, on)
+    met = held.where("_own is not null or _on = 1").withColumn("_items", F.collect_list("_item").over(at_probe)).where("_own is not null")
+    return met.select(*(F.col("_own").getField(c).alias(c) for c in probes.columns), F.sort_array("_items").alias(name))
+
+
+def status_at(probes: DataFrame, changes: DataFrame, keys: Sequence[str], probe_date: str, change_date: str, item: str, on: str) -> DataFrame:
+    """Each probe row with each item of its keys that has a change on or before its date, and ``on`` (0 or 1) of the latest."""
+    held, at_probe = _held(probes, changes, keys, probe_date, change_date, item, on)
+    met = held.withColumn("_probe", F.first("_own", ignorenulls=True).over(at_probe.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("_own is null")
+    return met.select(*(F.col("_probe").getField(c).alias(c) for c in probes.columns), F.col("_item").alias(item), F.col("_on").alias(on))

@@ -164,12 +164,10 @@ def latest_change(c: Chain) -> DataFrame:
 
 
 def filled_status(c: Chain) -> DataFrame:
-    """Whether each drug of a spell is on at the first day of each segment: its changes filled forward; drugs without a change by then are left out."""
-    status = c.changes.groupBy("member_id", "spell_id", "atc_3_code", "date").agg(F.max((F.col("change_type") == "add").cast("int")).alias("is_on"))
-    grid = c.segments.select("member_id", "spell_id", "split_seq", F.col("entry_date").alias("date")).join(status.select("member_id", "spell_id", "atc_3_code").distinct(), ["member_id", "spell_id"])
-    rows = grid.withColumn("is_on", F.lit(None).cast("int")).unionByName(status, allowMissingColumns=True)
-    filled = intervals.forward_fill(rows, ["member_id", "spell_id", "atc_3_code"], ["date", F.col("split_seq").asc_nulls_first()], ["is_on"])
-    return filled.where("split_seq is not null and is_on is not null").select("spell_id", "split_seq", "atc_3_code", "is_on")
+    """Whether each drug of a spell is on at the first day of each segment, by its last change; drugs without a change by then are left out."""
+    probes = c.segments.select("member_id", "spell_id", "split_seq", "entry_date")
+    status = c.changes.select("member_id", "spell_id", "atc_3_code", "date", (F.col("change_type") == "add").cast("int").alias("is_on"))
+    return intervals.status_at(probes, status, ["member_id", "spell_id"], "entry_date", "date", "atc_3_code", "is_on").select("spell_id", "split_seq", "atc_3_code", "is_on")
 
 
 def spell_gaps(c: Chain) -> DataFrame:

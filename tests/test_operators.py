@@ -255,6 +255,20 @@ def test_interval_steps_sort_once(spark):
         assert "Aggregate" not in logical and physical.count("+- Sort [") == 1
 
 
+def test_status_of_items_at_probes_without_a_join(spark):
+    rnd = random.Random(7)
+    probes = [(k, i, rnd.randint(0, 30)) for i, k in enumerate(rnd.choices([1, 2, 3], k=40))]
+    changes = [(k, rnd.randint(-5, 35), rnd.choice("abcd"), rnd.randint(0, 1)) for k in rnd.choices([1, 2, 4], k=120)]
+    found = intervals.status_at(spark.createDataFrame(probes, "k int, id int, day int"), spark.createDataFrame(changes, "k int, at int, item string, on int"), ["k"], "day", "at", "item", "on")
+    expected = []
+    for k, i, day in probes:
+        before = [x for x in changes if x[0] == k and x[1] <= day]
+        expected += [(k, i, day, item, max((at, on) for _, at, it, on in before if it == item)[1]) for item in {x[2] for x in before}]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    logical, _ = plan_of(found)
+    assert "Join" not in logical and "Aggregate" not in logical
+
+
 def test_segments_take_one_add_a_day_without_a_fold(spark):
     base = spark.sql("SELECT 1L AS member_id, 1001L AS spell_id, DATE'2020-01-01' AS entry_date, DATE'2020-03-01' AS raw_exit_date, DATE'2020-03-01' AS extended_exit_date, 61 AS spell_length_days, DATE'2020-03-01' AS followup_end_date, CAST(NULL AS DATE) AS first_ae_date, false AS had_ae")
     adds = spark.sql("SELECT 1L AS member_id, 1001L AS spell_id, explode(array(DATE'2020-01-01', DATE'2020-01-01', DATE'2020-02-01', DATE'2020-02-01', DATE'2019-12-01')) AS date, 'add' AS change_type")
