@@ -2,13 +2,15 @@
 
 Each row stands Poisson(1) many times in each replicate, by a hash of its key and the replicate's number, so no sample is drawn or moved.  All
 replicates take their L-BFGS steps together: one pass over the rows gives every replicate's loss and gradient.  Rows stay sparse: a task holds
-the numbers that are not zero of ``ROWS`` rows, and works on as many replicates at once as keep its products below ``PRODUCTS`` numbers."""
+the numbers that are not zero of ``ROWS`` rows, and works on as many replicates at once as keep its products below ``PRODUCTS`` numbers.  Where the rows of
+a batch share few features, up to ``DENSE`` for each number of a row, they are laid out over these features and meet the replicates as matrices."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the frame in a task at once, products at once, and partial sums that reach the driver.
 ROWS, PRODUCTS, PARTS = 1024, 1 << 22, 8
+#: Features of a batch, as a multiple of a row's mean count of numbers, up to which matrix products are the faster way.
+DENSE = 16
 _POISSON = np.exp(-1) * np.cumsum([1.0, 1.0, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720, 1 / 5040, 1 / 40320, 1 / 362880])
 
 
@@ -74,12 +78,29 @@ class SparseRows:
         feature[own] = place
         return cls(start, feature, value, batch.column("row_id").to_numpy(), batch.column("y").to_numpy().astype(np.float64))
 
+    @cached_property
+    def matrix(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The batch's own features and its rows over them, if these features are few."""
+        features, place = np.unique(self.feature, return_inverse=True)
+        if len(features) * len(self.y) > DENSE * len(self.value):
+            return None
+        cells = np.repeat(np.arange(len(self.y)), np.diff(self.start)) * len(features) + place
+        return features, np.bincount(cells, self.value, len(self.y) * len(features)).reshape(len(self.y), len(features))
+
     def times(self, w: np.ndarray) -> np.ndarray:
         """rows x w's rows: the products of each row with each row of w."""
+        if self.matrix is not None:
+            features, rows = self.matrix
+            return rows @ w[:, features].T
         return np.add.reduceat(w[:, self.feature] * self.value, self.start[:-1], axis=1).T
 
     def pulled(self, pull: np.ndarray, width: int) -> np.ndarray:
         """pull's columns x features: the sums of the rows' numbers, each row times its number in pull."""
+        if self.matrix is not None:
+            features, rows = self.matrix
+            out = np.zeros((pull.shape[1], width))
+            out[:, features] = pull.T @ rows
+            return out
         order = np.argsort(self.feature, kind="stable")
         features, first = np.unique(self.feature[order], return_index=True)
         row = np.repeat(np.arange(len(self.y)), np.diff(self.start))[order]

@@ -226,6 +226,22 @@ def test_merged_as_of_joins(spark):
     assert "Join" not in plan
 
 
+def test_replicates_take_few_features_as_a_matrix(monkeypatch):
+    import numpy as np
+
+    from spanwise.operators import replicates
+
+    rng = np.random.default_rng(3)
+    length = rng.integers(1, 6, 50)
+    feature = np.concatenate([rng.choice(9, n, replace=False) for n in length])
+    value, w, pull = rng.random(len(feature)), rng.random((7, 20)), rng.random((50, 7))
+    few, many = (replicates.SparseRows(np.concatenate(([0], np.cumsum(length))), feature, value, np.arange(50), np.ones(50)) for _ in range(2))
+    assert few.matrix is not None and few.matrix[1].shape == (50, 9)
+    monkeypatch.setattr(replicates, "DENSE", 0)
+    assert many.matrix is None
+    assert np.allclose(few.times(w), many.times(w)) and np.allclose(few.pulled(pull, 20), many.pulled(pull, 20))
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
