@@ -281,8 +281,10 @@ def test_status_of_items_at_probes_without_a_join(spark):
         before = [x for x in changes if x[0] == k and x[1] <= day]
         expected += [(k, i, day, item, max((at, on) for _, at, it, on in before if it == item)[1]) for item in {x[2] for x in before}]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
-    logical, _ = plan_of(found)
-    assert "Join" not in logical and "Aggregate" not in logical
+    active = intervals.active_at(spark.createDataFrame(probes, "k int, id int, day int"), spark.createDataFrame(changes, "k int, at int, item string, on int"), ["k"], "day", "at", "item", "on", "held")
+    for out in (found, active):
+        logical, _ = plan_of(out)
+        assert "Join" not in logical and "Aggregate" not in logical
 
 
 def test_segments_take_one_add_a_day_without_a_fold(spark):
