@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AGE_BUCKETS, RACE_LABELS, YOUNGEST, age_bucket, race_label, starts_with_any
-from ..operators import codes, cohort, combos, features, intervals, metrics, models, perceptrons, spells, summary
+from ..operators import boosting, codes, cohort, combos, features, intervals, metrics, models, perceptrons, spells, summary
 from ..sources.claims import DIAGNOSIS_TYPES, EVENT_CODES, Claims
 from ..sources.storage import bucketed, buckets_for, missing_batches, write_batches
 from ..sources.tables import products_of, read_code_vectors, read_products, shared_folder, stored, validate_dataset
@@ -368,9 +368,9 @@ def tree_quality(c: Chain) -> DataFrame:
     """Validation quality of boosted trees at the operator's own settings."""
     frame, _ = model_frame(c)
     train = frame.where("is_train").persist()
-    scores = models.scored_rows(models.fit_trees(train), frame.where("not is_train"))
+    trees = boosting.fit_trees(train)
     train.unpersist()
-    return quality_of(scores)
+    return quality_of(trees.scored_rows(frame.where("not is_train")))
 
 
 def _tokens() -> list[tuple[str, list[str]]]:
