@@ -7,9 +7,12 @@ So no two documents that stay are near copies, and each that goes is one of a do
    shingle).  Equal sets are folded to one node, which stands at its smallest doc_id.
 2. Candidates share a key: one of ``BANDS`` bands of ``ROWS`` MinHash values (a pair at 0.8 shares none in 7 of 100,000 cases), or a component
    of op8's trie join over SimHash fingerprints.
-3. In rounds, a node that is the earliest under each of its keys stays.  It is compared with the others of its keys by their
+3. In ``ROUNDS`` rounds, a node that is the earliest under each of its keys stays.  It is compared with the others of its keys by their
    whole shingle sets, and the near copies go.  A round makes at most one pair per key and node, never all pairs of a group.
    What is left after a round and fits ``FEW_ROWS`` and ``FEW_SHINGLES`` is settled in order by one task, with the same result.
+4. What does not fit falls into parts that share no key.  Tasks settle parts side by side, each in order.  Of a part that passes the bounds, its
+   first nodes up to them are settled, then the rest is dealt into chunks that meet those that stay; what is left of it comes next.  So the steps
+   follow the size of the largest part, not the number of texts under a key that are no near copies of each other.
 
 Documents without a doc_id all stay and make none go.  Null and empty texts are one empty set, so the first of them stays.  Rows that
 repeat doc_id and text stand or fall together; of rows that share a doc_id only, each has its own set.  A text of any length is one
@@ -18,21 +21,26 @@ set; an empty table stays empty.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .simhash import near_duplicates
+from .simhash import components, near_duplicates
 from .text import SPACED, cut, find_words, grams, hot_join, mixed, packed, pieces, stored, unpacked
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Rows (key and node) and shingles up to which one task settles what is left, in order.
+#: Rows (key and node) and shingles up to which one task settles what is left, or a part of it, in order.
 FEW_ROWS, FEW_SHINGLES = 50_000, 2_000_000
+#: Rounds before what is left is settled part by part: the first ones take most copies away.
+ROUNDS = 2
+#: What a task does with a node: holds it as one that stays, decides on it and holds it if it stays, or only decides.
+STAYS, IN_ORDER, TESTED = 0, 1, 2
 _rng = np.random.default_rng(5_080)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -116,27 +124,60 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("gone", "x", "y").mapInArrow(make, "gone long")
 
 
-def _in_order(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The nodes (gone) of a state of bounded size, by the definition: one task goes through them in order."""
+def _settled(rows: DataFrame, sets: DataFrame, least: float, whole: bool = False) -> DataFrame:
+    """The nodes (gone) of groups of bounded size, by the definition: a task goes through a group in order.
+
+    rows: node, lead, keys, grp and kind.  ``whole``: all rows are one group."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "keys", "shingles")))]
         stay: dict[int, list[int]] = {}
         held: dict[int, np.ndarray] = {}
-        gone = []
-        for _, node, keys, shingles in sorted(rows):
-            own = np.frombuffer(shingles, dtype=np.uint64)
-            others = {i for k in keys for i in stay.get(k, ())}
-            if any(alike(own, held[i], least) for i in others if min(len(own), len(held[i])) >= least * max(len(own), len(held[i])) - 1e-9):
-                gone.append(node)
-                continue
-            held[node] = own
-            for k in keys:
-                stay.setdefault(k, []).append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["gone"])
-
-    keyed = state.groupBy("node", "lead").agg(F.collect_list("key").alias("keys")).join(sets, "node")
-    return keyed.select("lead", "node", "keys", "shingles").coalesce(1).mapInArrow(make, "gone long")
+        last = None
+        for batch in batches:
+            gone = []
+            for grp, kind, node, keys, shingles in zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "node", "keys", "shingles"))):
+                if grp != last:
+                    stay, held, last = {}, {}, grp
+                own = np.frombuffer(shingles, dtype=np.uint64)
+                others = {i for k in keys for i in stay.get(k, ())} if kind != STAYS else ()
+                if any(alike(own, held[i], least) for i in others if min(len(own), len(held[i])) >= least * max(len(own), len(held[i])) - 1e-9):
+                    gone.append(node)
+                elif kind != TESTED:
+                    held[node] = own
+                    for k in keys:
+                        stay.setdefault(k, []).append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["gone"])
+
+    met = rows.join(sets, "node")
+    met = met.coalesce(1) if whole else met.repartition("grp")
+    return met.sortWithinPartitions("grp", "kind", "lead", "node").select("grp", "kind", "node", "keys", "shingles").mapInArrow(make, "gone long")
+
+
+def _parts(state: DataFrame) -> DataFrame:
+    """node and part, of nodes that share a key with another: nodes of two parts share none."""
+    first = cut(state.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    return components(hot_join(state, first, "key").select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "part")
+
+
+def _side_by_side(state: DataFrame, parts: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The nodes (gone) found by settling each part up to the bounds, and the state of those not yet settled."""
+    nodes = state.groupBy("node", "lead", "n").agg(F.collect_list("key").alias("keys")).join(parts, "node")
+    order = Window.partitionBy("part").orderBy("lead", "node")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.sum("n").over(upto) <= FEW_SHINGLES) & (F.sum(F.size("keys")).over(upto) <= FEW_ROWS)
+    nodes = cut(nodes.withColumn("now", fits | (F.row_number().over(order) == 1)))
+    now, rest = nodes.where("now"), nodes.where("not now")
+    found = cut(_settled(now.select("node", "lead", "keys", F.col("part").alias("grp"), F.lit(IN_ORDER).alias("kind")), sets, least))
+    large = cut(rest.groupBy("part").agg(F.greatest(F.ceil(F.sum("n") / max(FEW_SHINGLES, 1)), F.ceil(F.sum(F.size("keys")) / max(FEW_ROWS, 1))).cast("int").alias("chunks")))
+    if large.isEmpty():
+        return found, cut(state.limit(0))
+    # A row for a part beyond the bounds, so fewer than the bounds go into what is left.
+    stays = now.join(F.broadcast(large), "part").join(found.withColumnRenamed("gone", "node"), "node", "left_anti").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tested = rest.join(F.broadcast(large), "part").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    both = [df.select("node", "lead", "keys", F.struct("part", "chunk").alias("grp"), F.lit(kind).alias("kind")) for df, kind in ((stays, STAYS), (tested, TESTED))]
+    more = cut(_settled(both[0].union(both[1]).withColumn("grp", F.xxhash64("grp.part", "grp.chunk")), sets, least))
+    gone = found.union(more)
+    return gone, cut(state.join(rest.select("node"), "node", "left_semi").join(more.withColumnRenamed("gone", "node"), "node", "left_anti").select("key", "node", "lead", "n"))
 
 
 def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
@@ -154,14 +195,21 @@ def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
     wanted = state.select("node", F.col("lead").alias("doc_id")).distinct().join(made.select("doc_id", "body", "node"), ["node", "doc_id"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("body").alias("body"))
     sets = stored(_sets(docs.join(wanted, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"])))
     gone: DataFrame | None = None
-    while True:
+    parts: DataFrame | None = None
+    for turn in itertools.count():
         rows = state.count()
         if not rows:
             break
         if rows <= FEW_ROWS and state.select("node", "n").distinct().agg(F.sum("n")).first()[0] <= FEW_SHINGLES:
-            found = cut(_in_order(state, sets, least))
+            left = state.groupBy("node", "lead").agg(F.collect_list("key").alias("keys")).select("*", F.lit(0).alias("grp"), F.lit(IN_ORDER).alias("kind"))
+            found = cut(_settled(left, sets, least, whole=True))
             gone = found if gone is None else gone.union(found)
             break
+        if turn >= ROUNDS:
+            parts = cut(_parts(state)) if parts is None else parts
+            found, state = _side_by_side(state, parts, sets, least)
+            gone = found if gone is None else gone.union(found)
+            continue
         first = cut(state.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
         met = cut(hot_join(state, first, "key"))
         settled = met.groupBy("node").agg(F.bool_and(F.col("first.node") == F.col("node")).alias("stays")).where("stays").select("node")

@@ -52,3 +52,24 @@ def test_near_stage_drops_every_copy_at_0_8(spark, monkeypatch, few):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == first_of_near(texts, ids)
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
     assert near.keep_first_of_near(spark.createDataFrame([(7, "a b"), (7, "c d"), (3, "A B")], "doc_id long, text string")).count() == 2
+
+
+def test_texts_that_share_keys_without_being_alike_need_few_rounds(spark, monkeypatch):
+    """What the rounds leave is settled part by part; a part beyond the bounds in steps of their size."""
+    monkeypatch.setattr(near, "FEW_ROWS", 300)
+    ensure_checkpoint_dir(spark)
+    rounds, steps, pairs, settled = [], [], near._alike, near._side_by_side
+    monkeypatch.setattr(near, "_alike", lambda *a: rounds.append(1) or pairs(*a))
+    monkeypatch.setattr(near, "_side_by_side", lambda *a: steps.append(1) or settled(*a))
+    rnd = random.Random(81)
+    texts = []
+    for _ in range(2):
+        base = [f"w{rnd.randint(0, 4000)}" for _ in range(120)]
+        for i in range(40):  # half of the shingles are the page's own
+            words = [*base, *(f"own{rnd.randint(0, 4000)}" for _ in range(38))]
+            texts += [" ".join(words), " ".join([*words, "end"])] if i % 4 == 0 else [" ".join(words)]
+    ids = list(range(len(texts)))
+    rnd.shuffle(texts)
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == first_of_near(texts, ids) and len(first_of_near(texts, ids)) == 80
+    assert len(rounds) == near.ROUNDS and 1 < len(steps) < 12
