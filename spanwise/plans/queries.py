@@ -24,8 +24,6 @@ MIN_LARGER = 3
 MAX_DRUGS, MAX_CODES, DIM = 15, 50, 64
 #: Fills in a bucket of members, which one task reads.
 ROWS_A_BUCKET = 500_000
-#: Registered tree searches run fewer rounds than the operator's own 400; tree_quality runs all.
-ROUNDS = 10
 #: Hidden layers and iterations over pooled vectors; those over flattened vectors are cut (production: layers of 512 and 256, 100 iterations).
 POOLED, FLAT = ((256, 128), 100), ((32,), 30)
 
@@ -355,9 +353,10 @@ def logistic_quality(c: Chain) -> DataFrame:
 
 
 def tree_search(c: Chain, full: bool = False) -> DataFrame:
+    """Validation quality of each setting, with all the operator's rounds."""
     frame, _ = model_frame(c)
     train = frame.where("is_train")
-    return models.tree_grid(train, frame.where("not is_train"), models.tree_settings(train, full, ROUNDS))
+    return boosting.tree_grid(train, frame.where("not is_train"), models.tree_settings(train, full))
 
 
 def tree_best(c: Chain) -> DataFrame:

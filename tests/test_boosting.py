@@ -3,7 +3,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from spanwise.operators import boosting, models
+from spanwise.operators import boosting, metrics, models
+from spanwise.plans import queries
 
 
 def _frame(spark, rows, copies=1, seed=3):
@@ -38,3 +39,28 @@ def test_many_rounds_are_cut_by_checkpoints(spark, monkeypatch):
     frame = _frame(spark, 400)
     model = boosting.fit_trees(frame, rounds=5, depth=2)
     assert len(model.trees) == 5 and model.scored_rows(frame).where("score between 0 and 1").count() == 400
+
+
+def test_settings_that_grow_together_give_the_trees_of_each_alone(spark):
+    frame = _frame(spark, 500).persist()
+    grid = [{"pos_weight": 2.0, "rounds": 3}, {"pos_weight": 0.5, "rounds": 4, "depth": 2, "min_rows": 5, "share": 0.9}, {"rounds": 2}]
+    together = boosting.fit_all(frame, grid)
+    for found, g in zip(together, grid):
+        alone = boosting.fit_all(frame, [g])[0]
+        assert len(found.trees) == g["rounds"] and all(a.splits == b.splits and np.allclose(a.values, b.values, rtol=1e-12) for a, b in zip(found.trees, alone.trees))
+    runs = boosting.tree_grid(frame, frame, grid[:2]).orderBy("run").collect()
+    scored = together[0].scored_rows(frame)
+    assert [r["run"] for r in runs] == [0, 1] and runs[0]["roc_auc"] == metrics.roc_auc(scored).first()["roc_auc"] > 0.6
+    theirs = GBTClassifier(labelCol="y", weightCol="weight", maxDepth=4, maxIter=3, stepSize=0.05, minInstancesPerNode=8, seed=42).fit(models.with_weights(frame, pos_weight=2.0))
+    expected = {r["row_id"]: r["score"] for r in models.scored_rows(theirs, frame).collect()}
+    plain = boosting.fit_all(frame, [{"pos_weight": 2.0, "rounds": 3, "share": 1.0}])[0].scored_rows(frame).collect()
+    assert max(abs(r["score"] - expected[r["row_id"]]) for r in plain) < 1e-9
+
+
+def test_registered_searches_run_all_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "fit_all", lambda df, grid, seed=42: seen.extend(grid) or [boosting.Trees(boosting.feature_cuts(df), [])] * len(grid))
+    for name, n in (("tree_search", 4), ("tree_full_search", 8), ("tree_best", 4)):
+        seen.clear()
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == (1 if name == "tree_best" else n)
+        assert len(seen) == n and all(g["rounds"] == 400 for g in seen)
